@@ -10,6 +10,7 @@ from .common import load
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
 from .quality_rules import quality_rules
+from .suffix_dedup import deduplicated
 from .token_counts import token_counts
 from .toxicity import DECISION, fit, scored
 from .url_filters import url_verdicts
@@ -55,5 +56,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(load(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op5_byte_bpe, op6_pii, op8_packing, op9_url_filters)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = deduplicated(load(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op5_byte_bpe, op6_pii, op8_packing, op9_url_filters, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
