@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
 from .common import load
+from .ngram_join import near_duplicates
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
 from .quality_rules import quality_rules
@@ -36,6 +37,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe(load(spark, sf_dir, "documents"))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -62,5 +67,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op5_byte_bpe, op6_pii, op8_packing, op9_url_filters, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op8_packing, op9_url_filters, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
