@@ -222,15 +222,16 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut from text_col; a character of which bytes are cut goes whole. Null texts stay null."""
-    rows = docs.select(_owner(id_col).alias("_owner"), *[F.col(c) for c in docs.columns])
+    columns = docs.columns
+    rows = docs.select(_owner(id_col).alias("_owner"), *[F.col(c) for c in columns])
     found = repeats(docs, length, id_col, text_col).select(F.col("owner").alias("_owner"), F.col("starts").alias("_starts"), F.col("ranges").alias("_ranges"))
-    rows = rows.join(found, "_owner", "left").select(*docs.columns, "_starts", "_ranges")
+    rows = rows.join(found, "_owner", "left").select(*columns, "_starts", "_ranges")
 
     def cut(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts = [None if x is None else x.encode("utf-8") for x in b.column(at).to_pylist()]
-            new = [None if t is None else _without(t, _spans(t, s or [], r or [], length)).decode("utf-8", "ignore") for t, s, r in zip(texts, b.column(len(docs.columns)).to_pylist(), b.column(len(docs.columns) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(docs.columns)])], names=docs.columns)
+            new = [None if t is None else _without(t, _spans(t, s or [], r or [], length)).decode("utf-8", "ignore") for t, s, r in zip(texts, b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(columns)])], names=columns)
 
     return rows.mapInArrow(cut, docs.schema)
