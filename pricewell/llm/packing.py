@@ -7,6 +7,9 @@ stay open at any level, and what is open at the end is cut and joined so that no
 
 from __future__ import annotations
 
+import struct
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,11 +23,15 @@ VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 class WordIds(dict):
     """word -> its ids as little-endian 32-bit integers, as the tokenizers library gives them.
 
-    The vocabulary's pattern drops white space, so words between blanks are encoded by themselves;
-    at most `cap` of them are kept.
+    The vocabulary lower-cases, drops white space, and starts a new pre-token where punctuation follows a
+    letter, so words between blanks, and the marks at a word's end, are encoded by themselves. At most `cap`
+    words are kept.
     """
 
-    def __init__(self, path: str, cap: int = 500_000):
+    #: Marks that may end a word. The apostrophe starts pre-tokens of its own.
+    ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, cap: int = 900_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -32,16 +39,31 @@ class WordIds(dict):
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.encode_one = self.tokenizer.encode
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(self.ENDS)
+        if stem != word and stem and (stem[-1].isalpha() and stem.isascii()):
+            out = self[stem] + self[word[len(stem) :]]
+        else:
+            ids = self.encode_one(word, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < self.cap and len(word) < 60:
+            self[word] = out
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        text = (text or "").replace("\n", " ")
+        if "Σ" not in text:  # a final sigma depends on its word, which the library does not look at
+            text = text.lower()
+        return b"".join(map(self.__getitem__, text.split(" ")))
+
 
-    def encode(self, texts: list[str | None], end_id: int = END_ID) -> list[bytes]:
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in self})
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        batch = dict(zip(new, ids, strict=True))
-        if room := max(0, self.cap - len(self)):
-            self.update((w, batch[w]) for w in new[:room] if len(w) < 100)
-        end, known = np.array([end_id], "<u4").tobytes(), self.get
-        return [b"".join([known(w) or batch.get(w, b"") for w in words]) + end for words in split]
+@lru_cache(maxsize=2)
+def shared_words(path: str) -> WordIds:
+    """One table for all tasks that a Python worker runs."""
+    return WordIds(path)
 
 
 class Packer:
@@ -116,7 +138,7 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        coder, packer = WordIds(path), Packer(capacity)
+        coder, packer = shared_words(path), Packer(capacity)
         number = TaskContext.get().partitionId() << 32
 
         def rows(windows):
@@ -132,12 +154,13 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
             types = [key_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        key_type = None
+        key_type, end = None, struct.pack("<I", end_id)
         for b in batches:
             key_type = b.schema.field(0).type
             for at in range(0, b.num_rows, 500):
                 part, done = b.slice(at, 500), []
-                for key, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist(), end_id), strict=True):
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = coder.encode(text) + end
                     n = len(ids) // 4
                     for start in range(0, n, capacity):
                         piece = ids[4 * start : 4 * (start + capacity)]
