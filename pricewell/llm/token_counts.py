@@ -8,6 +8,7 @@ plus one table entry, so truncation and budget questions need no second encoding
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import accumulate
 from operator import itemgetter
 
@@ -97,6 +98,12 @@ class PrefixCounts(dict):
         return 0
 
 
+@lru_cache(maxsize=2)
+def shared_table(path: str) -> PrefixCounts:
+    """One table for all tasks that a Python worker runs."""
+    return PrefixCounts(path)
+
+
 def token_counts(docs: DataFrame, budget: int = 4096, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > budget), fit_chars.
 
@@ -108,7 +115,7 @@ def token_counts(docs: DataFrame, budget: int = 4096, model_path: str | None = N
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        table = PrefixCounts(path)
+        table = shared_table(path)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             n = [table.count(x) for x in texts]
@@ -124,11 +131,10 @@ def token_counts(docs: DataFrame, budget: int = 4096, model_path: str | None = N
 
 def truncated(docs: DataFrame, budget: int = 4096, model_path: str | None = None, text_col: str = "text") -> DataFrame:
     """docs with every text cut to its longest prefix of at most `budget` tokens; nulls stay null."""
-    path = model_path or tokenizer_path(MODEL)
+    path, at = model_path or tokenizer_path(MODEL), docs.columns.index(text_col)
 
     def run(batches):
-        table = PrefixCounts(path)
-        at = docs.columns.index(text_col)
+        table = shared_table(path)
         for b in batches:
             cut = [x if x is None else x[: table.longest_prefix(x, budget)] for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
