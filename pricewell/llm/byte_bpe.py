@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,12 @@ class Editable:
         return self.bpe.tokens(self.data, self.last)
 
 
+@lru_cache(maxsize=2)
+def shared_coder(path: str, pattern: str) -> ByteBpe:
+    """One table for all tasks that a Python worker runs."""
+    return ByteBpe(read_ranks(path), pattern)
+
+
 def byte_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary).
 
@@ -128,7 +135,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str | None = None, pattern: str | None
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        coder = ByteBpe(read_ranks(path), pattern)
+        coder = shared_coder(path, pattern)
         for b in batches:
             for at in range(0, b.num_rows, 500):  # ids take more room than texts
                 part = b.slice(at, 500)
