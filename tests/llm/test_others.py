@@ -1,0 +1,235 @@
+"""Toxicity, quality rules, PII, top-k search, URL filters, and the pipeline."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pricewell.llm import pii, quality_rules as Q, queries, topk_search as K, toxicity as X, url_filters as U
+
+
+def split_labels(spark, d):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    return docs, {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+
+
+def test_toxicity_held_out_accuracy(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.1")
+    _, label = split_labels(spark, big)
+    rows = [r for r in queries.op1_toxicity(spark, big).collect()]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    seen = [(r.predicted, label[r.doc_id]) for r in rows if r.held_out and r.doc_id in label]
+    hit = sum(p and t for p, t in seen)
+    assert hit >= 0.8 * sum(t for _, t in seen) and sum(p and not t for p, t in seen) <= 0.02 * len(seen)
+
+
+def test_toxicity_edges(spark):
+    rows = [(i, ("you scum " if i % 2 else "kind words ") + f"number {i % 7} here", "en" if i % 3 else None, 0.5) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (900, None, "en", 1.0), (901, "", None, 1.0), (None, "you scum", "en", 1.0), (1, "you scum here", "de", 1.0)], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1), (5, None), (7777, 1)], "doc_id long, toxic int")
+    model = X.fit(docs, labels)
+    out = X.scored(docs, model).collect()
+    assert len(out) == 204 and sum(r.toxic != (r.doc_id % 2 == 1) for r in out if r.doc_id is not None and r.doc_id < 200 and r.lang == "en") <= 2
+    assert {r.doc_id: r.toxic for r in out}[900] is False and all(0 <= r.score <= 1 for r in out)
+    assert X.fit(docs, labels.where("toxic = 1")) is None and X.fit(docs.limit(0), labels) is None
+    assert {r.score for r in X.scored(docs, None).collect()} == {0.0} and X.scored(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_gradient_learns_word_pairs():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    texts, label = [], []
+    for k in range(600):
+        w = list(rng.choice(words, 12))
+        i = rng.integers(11)
+        w[i : i + 2] = ["bad", "thing"] if k % 2 else ["thing", "bad"]
+        texts.append(" ".join(w))
+        label.append(k % 2)
+    model = X.train(*X.features(texts), np.array(label), epochs=25)
+    z = model.logits(texts)
+    assert ((z > X.best_cut(z, np.array(label))) == label).mean() > 0.95
+
+
+def brute_measures(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = Counter(zip(w, w[1:], w[2:], strict=False))
+    repeated = {i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated)
+
+
+def quality_texts():
+    rng = np.random.default_rng(4)
+    some = [" ".join(rng.choice(["a", "b", "cc", "ddd", "é"], rng.integers(0, 40))) for _ in range(30)]
+    return [*some, None, "", " \n\t ", "a b c", "a b c a b c", "x\nx\n\nx\ny", "##* $ |<> 🙂 %&", "a\x0bb\x0cc\rd", "one\u00a0word", "t " * 4000]
+
+
+def test_measures_equal_brute_force(spark):
+    texts = quality_texts()
+    docs = spark.createDataFrame([(i, t, "en", 7) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_words int")
+    for r in Q.measures(docs).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_measures(texts[r.id]), texts[r.id]
+    assert Q.measures(docs.limit(0)).count() == 0
+
+
+def test_binomial_tail_is_exact(spark):
+    cases = [(x, n, a) for n in (1, 10, 700, 5000) for a in (0.004, 0.05) for x in (0, 1, 3, 12, 200) if x <= n]
+    for a in (0.004, 0.05):
+        own = [c for c in cases if c[2] == a]
+        got = spark.createDataFrame([(x, n) for x, n, _ in own], "x long, n long").select("x", "n", Q.binomial_tail(F.col("x"), F.col("n"), a).alias("p")).collect()
+        for r in got:
+            exact = sum(math.exp(math.lgamma(r.n + 1) - math.lgamma(k + 1) - math.lgamma(r.n - k + 1) + k * math.log(a) + (r.n - k) * math.log1p(-a)) for k in range(r.x + 1))
+            assert r.p == 1 if r.x >= r.n * a else abs(r.p - exact) <= 1e-9 * exact
+
+
+def test_cuts_limit_false_rejections(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base + (" ###" * 40 if i % 10 == 0 else ""), "en" if i % 4 else "xx", i % 10 > 0) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, failed boolean")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(2400)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    cuts = {(r.stratum, r.rule): r for r in Q.cuts(Q.measures(docs), labels).collect()}
+    assert ("en", "symbols") in cuts and cuts["en", "symbols"].false_rejections <= Q.ALPHA * cuts["en", "symbols"].n_good
+    assert ("other", "symbols") not in cuts  # too few labels to be sure of anything
+    out = {r.doc_id: r for r in Q.quality_rules(docs, labels).collect()}
+    assert all(out[i].kept == (i % 10 > 0) for i in range(2400) if i % 4) and all(out[i].kept for i in range(0, 2400, 4))
+    assert all(r.kept for r in Q.quality_rules(docs, labels.limit(0)).collect()) and Q.quality_rules(docs.limit(0), labels).count() == 0
+
+
+def test_quality_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op3_quality_rules(spark, sf_dir).collect():
+        n, chars, symbols, dup, rep = brute_measures(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, rep)
+        assert r.base_failed == (n < 50 or 100 * rep > 50 * n) and not (r.kept and r.base_failed)
+
+
+def base_spans(text):
+    """The base as its patterns say it, quadratic where they are."""
+    out = []
+    text = text or ""
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 13 <= len(d) <= 19 and pii.luhn(d) or kind == "phone" and 9 <= len(d) <= 15
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+PII_TEXTS = ["a@b.c@d.e", "x.y+z@mail.example.com, q@nodot @a.b a@.b", "1.2.3.4.5.6.7.8 300.1.1.1 001.002.003.0255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "call +1 (988) 555-2485. or +12 3", "é@é.com a_b@c.d_x@e.f", "IBAN DE89 3704 0044 0532 0130 00 ok DE89370400440532013001", "phone 212-555-0123 x 212-555-0123", "+1.2.3.4", "1" * 5000, "a" * 3000 + "@", "", None, "9" * 13 + " " + "0" * 16, "a@b.c_x@d.e", "ssn 123-45-6789", "٣٣٣ 1.1.1.1"]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = np.random.default_rng(8)
+    alphabet = list("ab1.@-+ ()2é_%")
+    texts = PII_TEXTS + ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(3000)]
+    for t in texts:
+        got = [s[:3] for s in pii.spans_of(t) if s[0] in pii.BASE]
+        assert got == base_spans(t), t
+
+
+def test_added_kinds_need_checksum_or_context():
+    kinds = lambda t: [s[0] for s in pii.spans_of(t)]
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00") == ["iban"] and kinds("DE89 3704 0044 0532 0130 01") == []
+    assert kinds("phone 212-555-0123") == ["local_phone"] and kinds("part 212-555-0123") == []
+    assert kinds("ssn 123-45-6789") == ["national_id"] and kinds("lot 123-45-6789") == []
+    assert pii.redact("mail a@b.cd or +1 (988) 555-2485!") == "mail [EMAIL] or [PHONE]!" and pii.redact(None) is None
+
+
+def test_pii_table(spark, sf_dir):
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PII_TEXTS)] + [(None, "a@b.c", 1), (0, "a@b.c", 1)], "doc_id long, text string, spans int")
+    out = pii.pii_spans(docs).collect()
+    assert len(out) == len(PII_TEXTS) + 2 and pii.pii_spans(docs.limit(0)).count() == 0
+    clean = pii.redacted(docs)
+    assert clean.columns == docs.columns and clean.where("doc_id = 12").first().text is None
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op6_pii(spark, sf_dir).collect():
+        base = base_spans(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.BASE)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+
+
+def brute_top(rows, asked, k=20):
+    width = max((len(v) for _, v in rows), default=0)
+    whole = lambda v: [math.floor(64 * float(np.float64(x))) for x in v] + [0] * (width - len(v))
+    rows = [(i, whole(v)) for i, v in rows]
+    out = set()
+    for q, v in rows:
+        if q in asked:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:k]
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("shape", ["spread", "equal", "few", "huge"])
+def test_search_equals_brute_force(spark, shape):
+    rng = np.random.default_rng(6)
+    rows = {
+        "spread": [(i, (rng.normal(0, 1, 8) * rng.choice([0.1, 1, 9])).tolist()) for i in range(600)],
+        "equal": [(i, [0.5, 0.25, -1.0]) for i in range(150)] + [(i, rng.normal(0, 1, 3).tolist()) for i in range(150, 250)],
+        "few": [(i, rng.normal(0, 1, 4)[: 1 + i % 4].tolist()) for i in range(9)],
+        "huge": [(i, (rng.normal(0, 1e7, 3)).tolist()) for i in range(40)],
+    }[shape]
+    table = spark.createDataFrame([(i, v, 1) for i, v in rows] + [(-1, None, 1), (None, [1.0], 1), (-2, [1.0, float("nan")], 1), (-3, [None, 1.0], 1), (-4, [float("inf")], 1)], "vec_id long, embedding array<double>, score int")
+    got = {tuple(r) for r in K.search(table, table.where("vec_id % 20 = 0")).collect()}
+    assert got == brute_top(rows, {i for i, _ in rows if i % 20 == 0})
+
+
+def test_search_empty(spark, sf_dir):
+    table = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert K.search(table, table).count() == 0
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    assert {tuple(r) for r in queries.op7_topk_search(spark, sf_dir).collect()} == brute_top(rows, {i for i, _ in rows if i % 20 == 0})
+
+
+def brute_rule(url):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1].translate(str.maketrans(U.UPPER, U.LOWER)), m[2]) if m else ("", "")
+    fits = [r for r in U.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    best = max(fits, key=lambda r: len(r[1] + r[2]), default=None)
+    return host, path, best and best[1] + best[2], best and best[0]
+
+
+def test_url_rules_and_mining(spark, sf_dir):
+    odd = ["http://NET/", "https://a.b.net", "x://evilnet/", "https://Example.Com/de/1?x=//", "nothing", None, "", "://example.net/en/", "https://shop.org/fr/a.html#z", "a://b://net/", "http://É.net/x"]
+    urls = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + odd + odd[:3]
+    pages = spark.createDataFrame([(i if i % 5 else None, u, "v") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    out = U.url_verdicts(pages).collect()
+    assert len(out) == len(urls)
+    want = Counter(brute_rule(u)[:3] for u in urls)
+    assert Counter((r.host, r.path, r.rule) for r in out) == want
+    assert all(r.verdict == brute_verdict for r in out if (brute_verdict := next((a for a, h, p in U.RULES if h + p == r.rule), None)))
+    assert all(r.verdict in ("allow", "block") for r in out)
+    assert U.url_verdicts(pages.limit(0)).count() == 0 and {r.verdict for r in U.url_verdicts(pages.where("url IS NULL")).collect()} == {"allow"}
+
+
+def test_mined_rules_equal_counting(spark):
+    rows = [(["a", "b", "c"], "block")] * 8 + [(["a", "c"], "allow")] * 5 + [(["b"], "block")] * 4 + [(["d"], None)]
+    table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(r[0], r[1]): (round(r[2], 9), round(r[3], 9)) for r in U.mined_rules(table, 0.1, 0.9)}
+    assert got == {(("b",), "block"): (1.0, round(12 / 17, 9))}
+    judge = U.matcher(U.mined_rules(table, 0.1, 0.9))
+    assert judge(["x", "b"]) == "block" and judge(["a"]) is None and judge([]) is None
+    assert U.mined_rules(table.limit(0)) == []
+
+
+def test_pipeline_stages(spark, sf_dir):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs
+    for name, stage in P.STAGES[:-1]:
+        after = spark.createDataFrame(stage(spark, before, sf_dir).toPandas(), before.schema)
+        assert after.columns == columns and {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+        if name in ("suffix_dedup", "pii"):
+            assert after.count() == before.count() and after.where("n_chars <> length(text)").isEmpty()
+        before = after
+    pieces = P.STAGES[-1][1](spark, before, sf_dir).collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in before.collect()}
+    assert not before.where(F.col("text").rlike(r"[A-Za-z0-9]@[a-z0-9]+\.e")).count()
