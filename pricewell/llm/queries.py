@@ -10,7 +10,7 @@ from .common import load
 from .ngram_join import near_duplicates
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
-from .quality_rules import quality_rules
+from .quality_rules import ALPHA, DELTA, MAX_REPEATED, MIN_WORDS, OTHER, RULES, STRATA, quality_rules
 from .suffix_dedup import deduplicated
 from .token_counts import token_counts
 from .topk_search import search
@@ -74,4 +74,54 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+
+WORD = r"'[^\x20\x09-\x0D]+'"
+
+
+def _cuts_sql() -> str:
+    tests = ", ".join(f"('{rule}', {k}, {cut})" for rule, (_, cuts) in RULES.items() for k, cut in enumerate(cuts))
+    measures = {"symbols": "1000 * n_symbols // n_words", "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // n_words", "long_words": "100 * word_chars // n_words", "short_words": "-(100 * word_chars // n_words)"}
+    values = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {m} AS v FROM b WHERE n_words > 0" for r, m in measures.items())
+    level = DELTA / ((len(STRATA) + 1) * len(RULES))
+    a = f"CAST({ALPHA} AS DOUBLE)"
+    tail = f"list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a})) FOR j IN range(0, x + 1)])"
+    return f"""v AS ({values}), good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1), t(rule, k, cut) AS (VALUES {tests}),
+  c AS (SELECT stratum, rule, k, cut, count(*) AS n, count(*) FILTER (v > cut) AS x FROM v JOIN good USING (doc_id) JOIN t USING (rule) WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
+  p AS (SELECT *, CASE WHEN x >= n * {a} THEN 1 ELSE {tail} END <= {level} AS ok FROM c),
+  s AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY k) AS stands FROM p),
+  cuts AS (SELECT stratum, rule, arg_max(cut, k) AS cut FROM s WHERE stands GROUP BY 1, 2),
+  bad AS (SELECT DISTINCT doc_id FROM v JOIN cuts USING (stratum, rule) WHERE v > cut)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
+  lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, {WORD}) GROUP BY 1),
+  g AS (SELECT doc_id, i, ws[i:i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+  rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), (VALUES (0), (1), (2)) o(k) GROUP BY 1),
+  b0 AS (SELECT doc_id, CASE WHEN lang IN {STRATA} THEN lang ELSE '{OTHER}' END AS stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+  b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM b0),
+  {_cuts_sql()}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b""",
+    "op4_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) >= 5 THEN array_to_string(ws[i:i + 4], ' ') ELSE array_to_string(ws, ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+  e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+  r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "op7_topk_search": """WITH v AS (SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p QUALIFY rank <= 20""",
+    "op10_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+  w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+  m AS (SELECT g, min(doc_id) AS f FROM w GROUP BY 1),
+  x AS (SELECT doc_id, i, i > lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS new FROM w JOIN m USING (g) WHERE f < doc_id),
+  y AS (SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x),
+  r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM y GROUP BY 1, 2),
+  z AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM r UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), max(length(h)) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY 1),
+  k AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM z JOIN d USING (doc_id) GROUP BY 1),
+  t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS c FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256 FROM d JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}
