@@ -9,12 +9,15 @@ as possible in the task, and what is left is dealt by (a, b), so that no bucket
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .word_hash import mixed
+
 #: Names kept until they are packed; owners in one task from which a name is hot.
 FLUSH, HOT = 1_500_000, 256
 NAMES, REPLY, HOT_NAMES = 0, 1, 2
@@ -26,19 +29,20 @@ _REPLIES = pa.schema([("owner", pa.int64()), ("taken", pa.binary()), ("open", pa
 NOBODY = -(1 << 63)
 
 
-def six(x: np.ndarray) -> bytes:
-    """The low 48 bits of each value, byte by byte: sorted values then compress well."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes()
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value, byte by byte: sorted values then compress well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def unsix(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
+def unplanes(raw: bytes, n: int) -> np.ndarray:
+    width = len(raw) // n
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
     return out.reshape(-1).view("<u8")
 
 
-def low48(x: np.ndarray) -> np.ndarray:
-    return x & np.uint64((1 << 48) - 1)
+def low(x: np.ndarray, width: int) -> np.ndarray:
+    return x & np.uint64((1 << 8 * width) - 1)
 
 
 def _bucket(a: np.ndarray, buckets: int) -> np.ndarray:
@@ -62,10 +66,13 @@ def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 
 
 class Flushed:
-    """A task's names until they are packed. a, b: names; owner: 64-bit; extra: a 64-bit number of the name."""
+    """A task's names until they are packed. a, b: names; owner: 64-bit; extra: a 64-bit number of the name.
+
+    The low `width` bytes of a name are kept; with its bucket they tell a from others.
+    """
 
-    def __init__(self, buckets: int, with_b: bool, with_extra: bool):
-        self.buckets, self.with_b, self.with_extra = buckets, with_b, with_extra
+    def __init__(self, buckets: int, width: int, with_b: bool, with_extra: bool):
+        self.buckets, self.width, self.with_b, self.with_extra = buckets, width, with_b, with_extra
         self.parts: list[tuple] = []
         self.size = 0
 
@@ -87,6 +94,7 @@ class Flushed:
             yield from self._counted(a, owner)
 
     def _first_owners(self, a, b, owner, extra):
+        b = low(b, self.width)
         order = np.lexsort((owner, b, a))
         a, b, owner, extra = a[order], b[order], owner[order], extra[order] if extra is not None else None
         starts = _starts(a, b)
@@ -120,11 +128,11 @@ class Flushed:
 
     def reply(self, a, b, owner, extra):
         """What the task knows already goes the same way as the buckets' replies."""
-        for r in replies(owner, _names(a, b) if extra is None else extra.astype("<i8"), np.zeros(len(a), bool)):
+        for r in replies(owner, both_names(a, b, self.width) if extra is None else extra.astype("<i8"), np.zeros(len(a), bool)):
             yield self._passed(r)
 
     def _reply_counts(self, a, owner, count):
-        for r in replies(owner, counted_names(a, count), np.ones(len(a), bool)):
+        for r in replies(owner, counted_names(low(a, self.width), count), np.ones(len(a), bool)):
             yield self._passed(r)
 
     def _passed(self, r: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,7 +142,7 @@ class Flushed:
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(n, REPLY, np.int32)), pa.array(np.zeros(n, np.int32)), r.column(1), r.column(2), pa.array(owner.astype("<i8")).view(pa.binary(8)).cast(pa.binary()), empty, empty], schema=_PACKED)
 
     def _pack(self, kind, bucket, a, b, owner, extra):
-        order = np.lexsort((low48(a), bucket))
+        order = np.lexsort((low(a, self.width), bucket))
         bucket, a, owner = bucket[order], a[order], owner[order]
         b, extra = (None if x is None else x[order] for x in (b, extra))
         cuts = np.append(_starts(bucket), len(bucket))
@@ -142,24 +150,22 @@ class Flushed:
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             owners, index = np.unique(owner[i:j], return_inverse=True)
             kind_ = "<u2" if len(owners) < 1 << 16 else "<u4"
-            rows.append((int(bucket[i]), kind, int(j - i), six(a[i:j]), six(b[i:j]) if b is not None else None, index.astype(kind_).tobytes(), owners.astype("<i8").tobytes(), extra[i:j].astype("<i8").tobytes() if extra is not None else None))
+            rows.append((int(bucket[i]), kind, int(j - i), planes(a[i:j], self.width), planes(b[i:j], self.width) if b is not None else None, index.astype(kind_).tobytes(), owners.astype("<i8").tobytes(), extra[i:j].astype("<i8").tobytes() if extra is not None else None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
 
-NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
 COUNTED = np.dtype([("a", "<u8"), ("count", "<u2")])
 
 
-def _names(a, b) -> np.ndarray:
-    out = np.zeros(len(a), NAME)
-    out["a"], out["b"] = low48(a), low48(b)
-    return out
+def both_names(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """One value for the pair of names, by which its owner finds it again."""
+    return mixed(low(a, width) * np.uint64(0x9E3779B97F4A7C15) + low(b, width))
 
 
 def counted_names(a, count) -> np.ndarray:
     out = np.zeros(len(a), COUNTED)
-    out["a"], out["count"] = low48(a), count
+    out["a"], out["count"] = a, count
     return out
 
 
@@ -183,10 +189,10 @@ def _read(batches: list[pa.RecordBatch], kind: int):
         for r in batch.filter(pc.equal(batch.column(1), kind)).to_pylist():
             table = np.frombuffer(r["owners"], "<i8")
             index = np.frombuffer(r["owner"], "<u2" if len(table) < 1 << 16 else "<u4")
-            a.append(unsix(r["a"]))
+            a.append(unplanes(r["a"], r["n"]))
             owner.append(table[index])
             if r["b"] is not None:
-                b.append(unsix(r["b"]))
+                b.append(unplanes(r["b"], r["n"]))
             if r["extra"] is not None:
                 extra.append(np.frombuffer(r["extra"], "<i8"))
     join = lambda x: np.concatenate(x) if x else None
@@ -207,9 +213,10 @@ def _kept(batches, out):
         out.append(batch.filter(pc.not_equal(batch.column(1), REPLY)))
 
 
-def rank_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def rank_first(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Sort a bucket's (a, b) by owner. taken: names that an owner before has too. open: names that the owner
-    is the first to have, but whose a another owner has. Names whose a has one owner are dropped."""
+    is the first to have, while another owner has a name of the same a and another b. Names whose a has one
+    owner, or one b, are settled with that."""
     waiting: list[pa.RecordBatch] = []
     yield from _kept(batches, waiting)
     for kind in (NAMES, HOT_NAMES):
@@ -225,11 +232,13 @@ def rank_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         heads = _starts(a)
         size = np.diff(np.append(heads, len(a)))
-        shared = np.repeat(np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads), size) | (kind == HOT_NAMES)
-        yield from replies(owner[shared], _names(a[shared], b[shared]), ~later[shared])
+        two = lambda x: np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
+        several = np.repeat(two(owner) & two(b), size) | (kind == HOT_NAMES)
+        told = later | several
+        yield from replies(owner[told], both_names(a[told], b[told], width), ~later[told])
 
 
-def count_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_owners(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """open: the names that at least two owners have, with the number of owners, HOT standing for that and more."""
     waiting: list[pa.RecordBatch] = []
     yield from _kept(batches, waiting)
@@ -248,6 +257,6 @@ def count_owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from replies(owner[keep], counted_names(a[keep], count[keep]), np.ones(int(keep.sum()), bool))
 
 
-def exchanged(packed: DataFrame, buckets: int, rank) -> DataFrame:
+def exchanged(packed: DataFrame, buckets: int, width: int, rank) -> DataFrame:
     """Deal the packed rows by bucket, one bucket to a partition, and rank each: rows (owner, taken, open)."""
-    return packed.repartitionById(buckets, "bucket").mapInArrow(rank, REPLIES)
+    return packed.repartitionById(buckets, "bucket").mapInArrow(partial(rank, width=width), REPLIES)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -25,6 +25,8 @@ from .word_hash import PLACES, hashes, joined, mixed, words_of
 
 WORDS, PERCENT, ORDERS = 5, 75, 2
 SLICE = 1_500_000
+#: Bytes of a shingle's name that sets are compared by.
+NAME_BYTES = 7
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 INSIDE = np.ones(256, bool)
@@ -91,7 +93,7 @@ def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
     buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches):
-        out = exchange.Flushed(buckets, with_b=False, with_extra=False)
+        out = exchange.Flushed(buckets, NAME_BYTES, with_b=False, with_extra=False)
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in _slices(texts):
@@ -100,7 +102,7 @@ def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
                     yield from out.add(np.concatenate(sets), None, np.repeat([set_name(s) for s in sets], [len(s) for s in sets]))
         yield from out.flush()
 
-    found = exchange.exchanged(docs.select(text_col).mapInArrow(run, exchange.PACKED), buckets, exchange.count_owners)
+    found = exchange.exchanged(docs.select(text_col).mapInArrow(run, exchange.PACKED), buckets, NAME_BYTES, exchange.count_owners)
     return found.groupBy(F.col("owner").alias("set")).agg(F.collect_list("open").alias("shared"))
 
 
@@ -156,35 +158,95 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def set_classes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, slack: int = 4) -> DataFrame:
-    """(rep, label) of the sets that are similar to another one; label is the least rep of the class."""
+def set_classes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, turns: int = 2, pivots: int = 4) -> DataFrame:
+    """(rep, label) of the sets given; label is the least rep of the class.
+
+    A round looks at the groups of sets that share a prefix shingle and are not yet one class, and compares
+    all with a few pivots, which then leave the group: they have met all others. The pivots are the sets
+    with the least of their own, since edited copies are nearer to what they were copied from than to each
+    other. What is left together after these rounds is compared in blocks (`block_links`).
+    """
     sets = checkpointed(sets)
-    members = checkpointed(sets.select(F.explode("p0").alias("token"), "rep"))
-    links, labels, turn = None, None, 0
-    while True:
-        turn += 1
-        known = members.withColumn("label", F.col("rep")) if labels is None else members.join(labels, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
-        known = checkpointed(known)
-        # groups of one class are done
-        chance = F.xxhash64(F.col("rep"), F.lit(turn))
-        groups = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min_by(F.struct("rep", "label"), F.struct(chance, F.col("rep"))).alias("pivot")).where("lo < hi")
-        groups = checkpointed(groups)
-        work = groups.agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not work[1]:
-            break
-        left = known.join(groups.select("token", "pivot"), "token")
-        if last := work[0] <= slack * work[1]:  # few pairs are left: all of them, a linear number
-            x, y = left.select("token", "rep", "label"), left.select("token", F.col("rep").alias("b"), F.col("label").alias("b_label"))
-            pairs = x.join(y, "token").where("rep < b AND label <> b_label").select(F.col("rep").alias("a"), "b")
+    members = sets.select(F.explode("p0").alias("token"), "rep", (F.size("tokens") / F.col("n")).alias("common"))
+    labels = checkpointed(sets.select("rep", F.col("rep").alias("label")))
+    first = Window.partitionBy("token").orderBy(F.desc("common"), "rep")
+    for turn in range(turns + 1):
+        known = members.join(labels, "rep").select("token", "rep", "common", "label")
+        several = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("hub")).where("lo < hi")  # the others are one class
+        known = checkpointed(known.join(several.select("token", "hub"), "token"))
+        if known.isEmpty():
+            return labels
+        if turn < turns:
+            chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)
+            chosen = checkpointed(chosen.select("token", F.col("rep").alias("b"), F.col("label").alias("b_label")))
+            pairs = known.join(chosen, "token").where("label <> b_label").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+            found = verified(pairs, sets, percent, orders)
+            members = known.join(chosen.select("token", F.col("b").alias("rep")), ["token", "rep"], "left_anti").select("token", "rep", "common")
         else:
-            pairs = left.where("label <> pivot.label").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-        new = verified(pairs.distinct(), sets, percent, orders)
-        links = checkpointed(new if links is None else links.union(new))
-        labels = components(links)
-        if last:
-            break
-        members = checkpointed(left.where("rep <> pivot.rep").select("token", "rep"))
-    return labels if labels is not None else sets.select("rep", F.col("rep").alias("label")).limit(0)
+            families = components(known.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select("rep", F.col("label").alias("family"))
+            found = block_links(families.join(labels, "rep").join(sets.select("rep", "n", "tokens"), "rep"), percent)
+        by_label = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
+        joined_ = found.join(by_label("a"), "a").join(by_label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        roots = components(joined_).select(F.col("rep").alias("label"), F.col("label").alias("root"))
+        labels = checkpointed(labels.join(roots, "label", "left").select("rep", F.coalesce("root", "label").alias("label")))
+    return labels
+
+
+BLOCK = 128
+
+
+def block_links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the classes of each family. members: (rep, family, label, n, tokens).
+
+    A family, sets that prefix shingles chain together, is cut into blocks of about BLOCK sets, and each two
+    blocks meet in one row. A row's links are thinned to those that join classes within it, so that no more
+    leave it than it holds sets.
+    """
+    count = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(count, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = cut.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("rep", "label", "n", "tokens")).alias("sets"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = blocks.select("family", "block", "sets", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sets")
+    met = sent.groupBy("family", "i", "j").agg(F.flatten(F.collect_list("sets")).alias("sets")).select("sets")
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                s = b.column(0).slice(k, 1).flatten()
+                rep, label, n = (s.field(c).to_numpy() for c in ("rep", "label", "n"))
+                tokens = s.field("tokens")
+                links = _links(rep, label, n, tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy()), percent)
+                yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def _links(rep, label, n, tokens, sizes, percent) -> list[tuple[int, int]]:
+    _, column = np.unique(tokens, return_inverse=True)
+    row = np.repeat(np.arange(len(rep)), sizes)
+    common = np.zeros((len(rep), len(rep)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):  # some shingles at a time
+        i, j = np.searchsorted(column, (start, start + 4096))
+        dense = np.zeros((len(rep), 4096), np.float32)
+        dense[row[i:j], column[i:j] - start] = 1
+        common += dense @ dense.T
+    near = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :])
+    up = {x: x for x in label.tolist()}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        p, q = find(int(label[x])), find(int(label[y]))
+        if p != q:
+            up[p] = q
+            out.append((int(rep[x]), int(rep[y])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,12 +1,12 @@
 """Removal of byte strings that an earlier document holds, by prefix doubling over chosen positions.
 
-Names of 2, 4, 8 and 16 bytes come from pairs of names at offsets 1, 2, 4 and 8. A suffix array of every
+Names of 2, 4, 8, 16 and 32 bytes come from pairs of names at offsets 1, 2, 4, 8 and 16. A suffix array of every
 position would sort as many rows as there are bytes, at each offset; so the positions are thinned first:
-of the 16-byte names within each 50-byte string the least stands for it, the same in each document. A
-maximal run of strings that it stands for is a segment. Spark sorts the pairs (16-byte name, name of the
+of the 32-byte names within each 50-byte string the least stands for it, the same in each document. A
+maximal run of strings that it stands for is a segment. Spark sorts the pairs (32-byte name, name of the
 segment) and ranks them by document: names that one document alone has are unique and leave; a segment
 that an earlier document has too is a repeat; the segments still open go on to offset 50, where Spark
-sorts the pairs (16-byte name, 50-byte name) of each of their positions. The result is that of the
+sorts the pairs (32-byte name, 50-byte name) of each of their positions. The result is that of the
 full array, since equal 50-byte strings have equal names at every step.
 """
 
@@ -23,11 +23,13 @@ from . import exchange
 from .common import shuffle_partitions
 from .word_hash import BYTE, STEP, joined, mixed
 
-LENGTH, FIRST = 50, 16
+LENGTH, FIRST = 50, 32
+#: Bytes of a name that are sent.
+WIDTH = 5
 SLICE = 1_500_000
 LAST = (1 << 63) - 1
 _BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
-_OFFSET_STEPS = tuple(np.uint64(x) for x in np.random.default_rng(5).integers(0, 1 << 62, 4) * 2 + 1)
+_OFFSET_STEPS = tuple(np.uint64(x) for x in np.random.default_rng(5).integers(0, 1 << 62, 5) * 2 + 1)
 
 
 class Names:
@@ -46,14 +48,15 @@ class Names:
                 setattr(Names, name, np.multiply.accumulate(powers))
         value = BYTE[self.data]
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value * Names.forward[:n])])
-        width = length - FIRST + 1  # 16-byte names in a string
+        self.first = FIRST if length >= FIRST else 1 << (length.bit_length() - 1)
+        width = length - self.first + 1  # names in a string
         strings = n - length + 1
         if strings < 1:
             self.start = self.end = self.doc = np.zeros(0, np.int64)
             self.name = np.zeros(0, np.uint64)
             return
         name, offset = value, 1
-        for step in _OFFSET_STEPS:  # prefix doubling: 1 -> 2 -> 4 -> 8 -> 16 bytes
+        for step in _OFFSET_STEPS[: self.first.bit_length() - 1]:  # prefix doubling: 1 -> 2 -> 4 -> ... -> FIRST bytes
             name = name[:-offset] * step + name[offset:]
             offset *= 2
         name = mixed(name)
@@ -101,34 +104,35 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _matching(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One value for each (document, name)."""
-    return mixed(exchange.low48(a) * np.uint64(0x9E3779B97F4A7C15) + exchange.low48(b) + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def _of_doc(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """One value for each (document of a slice, name)."""
+    return mixed(name + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def _found(replies: list[list[bytes]]) -> np.ndarray:
-    """The values of _matching of the names that each document of a slice got back."""
-    names = [np.frombuffer(b"".join(r), exchange.NAME) for r in replies]
+    """The values of _of_doc of the names that each document of a slice got back."""
+    names = [np.frombuffer(b"".join(r), "<u8") for r in replies]
     doc = np.repeat(np.arange(len(names)), [len(x) for x in names])
-    all_names = np.concatenate(names) if names else np.zeros(0, exchange.NAME)
-    return _matching(doc, all_names["a"], all_names["b"])
+    return _of_doc(doc, np.concatenate([*names, np.zeros(0, np.uint64)]))
 
 
 #: A removed range, and a check of the text it belongs to: rows of one id may hold different texts.
 RANGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("text", "<u4")])
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(owner, starts, ranges): by document the bytes of text_col (UTF-8) that lie in a string of `length`
-    bytes that also starts in a document with a smaller id, as packed starts of strings and ranges."""
+def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with _owner, _starts, _ranges: by document the bytes of text_col (UTF-8) that lie in a string of
+    `length` bytes that also starts in a document with a smaller id, as packed starts of strings and ranges.
+
+    Both joins take the same columns of docs, so that Spark shuffles the texts once."""
     buckets = shuffle_partitions(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    owned = docs.select(_owner(id_col).alias("owner"), text.alias("text"))
+    rows = docs.withColumn("_owner", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
+    at_text, at_owner = docs.columns.index(text_col), len(docs.columns)
 
     def name_segments(batches):
-        out = exchange.Flushed(buckets, with_b=True, with_extra=False)
+        out = exchange.Flushed(buckets, WIDTH, with_b=True, with_extra=False)
         for batch in batches:
-            texts, ids = _bytes(batch.column(1)), batch.column(0).to_numpy()
+            texts, ids = _bytes(batch.column(0)), batch.column(1).to_numpy()
             for i, j in _slices(texts):
                 names = Names(texts[i:j], length)
                 yield from out.add(names.name, names.segments(), ids[i:j][names.doc])
@@ -136,16 +140,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
     def name_strings(batches):
         """The strings of the open segments; what the first step has found goes on as it is."""
-        out = exchange.Flushed(buckets, with_b=True, with_extra=True)
+        out = exchange.Flushed(buckets, WIDTH, with_b=True, with_extra=True)
         for batch in batches:
-            texts, ids = _bytes(batch.column(1)), batch.column(0).to_numpy()
-            taken, opened = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts, ids = _bytes(batch.column(at_text)), batch.column(at_owner).to_numpy()
+            taken, opened = batch.column(at_owner + 1).to_pylist(), batch.column(at_owner + 2).to_pylist()
             for i, j in _slices(texts):
                 names = Names(texts[i:j], length)
                 if not len(names.start):
                     continue
                 check = np.array([zlib.crc32(x) for x in texts[i:j]], np.int64)
-                have = _matching(names.doc, names.name, names.segments())
+                have = _of_doc(names.doc, exchange.both_names(names.name, names.segments(), WIDTH))
                 gone, still = np.isin(have, _found(taken[i:j])), np.isin(have, _found(opened[i:j]))
                 still &= ~gone
                 at, doc = names.bounds[:-1], names.doc
@@ -158,16 +162,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
                 yield from out.add(np.repeat(names.name[still], size), names.span(string, string + length), ids[i:j][doc], (check[doc] << 32) | (string - at[doc]))
         yield from out.flush()
 
-    gather = lambda *cs: [F.collect_list(c).alias(c) for c in cs]  # noqa: E731  at most the names of one document
-    first = exchange.exchanged(owned.mapInArrow(name_segments, exchange.PACKED), buckets, exchange.rank_first)
-    first = first.groupBy("owner").agg(*gather("taken", "open"))
-    touched = owned.join(first, "owner").select("owner", "text", "taken", "open")
-    second = exchange.exchanged(touched.mapInArrow(name_strings, exchange.PACKED), buckets, exchange.rank_first)
-    return second.groupBy("owner").agg(F.collect_list("taken").alias("starts"), F.collect_list("open").alias("ranges"))
-
-
-def _owner(id_col: str):
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
+    gather = lambda c, name: F.collect_list(c).alias(name)  # noqa: E731  at most the names of one document
+    first = exchange.exchanged(rows.select(text_col, "_owner").mapInArrow(name_segments, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
+    first = first.groupBy(F.col("owner").alias("_owner")).agg(gather("taken", "_taken"), gather("open", "_open"))
+    touched = rows.join(first, "_owner").select(*docs.columns, "_owner", "_taken", "_open")
+    second = exchange.exchanged(touched.mapInArrow(name_strings, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
+    second = second.groupBy(F.col("owner").alias("_owner")).agg(gather("taken", "_starts"), gather("open", "_ranges"))
+    return rows.join(second, "_owner", "left").select(*docs.columns, "_owner", "_starts", "_ranges")
 
 
 def _spans(text: bytes, starts: list[bytes], ranges: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -207,8 +208,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
                 as_spans = [[{"start": x, "end": y} for x, y in s] for s in spans]
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(as_spans, span_type)], names=[id_col, "n_bytes", "kept", "spans"])
 
-    rows = docs.select(_owner(id_col).alias("owner"), F.col(id_col), F.col(text_col).alias("text"))
-    rows = rows.join(repeats(docs, length, id_col, text_col), "owner", "left").select(id_col, "text", "starts", "ranges")
+    plain = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    rows = with_repeats(plain, length, id_col, "text").select(id_col, "text", "_starts", "_ranges")
     return rows.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
 
 
@@ -223,9 +224,7 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut from text_col; a character of which bytes are cut goes whole. Null texts stay null."""
     columns = docs.columns
-    rows = docs.select(_owner(id_col).alias("_owner"), *[F.col(c) for c in columns])
-    found = repeats(docs, length, id_col, text_col).select(F.col("owner").alias("_owner"), F.col("starts").alias("_starts"), F.col("ranges").alias("_ranges"))
-    rows = rows.join(found, "_owner", "left").select(*columns, "_starts", "_ranges")
+    rows = with_repeats(docs, length, id_col, text_col).select(*columns, "_starts", "_ranges")
 
     def cut(batches):
         for b in batches:

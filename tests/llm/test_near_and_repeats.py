@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
-from pricewell.llm import exchange
+import pytest
+
+from pricewell.llm import exchange, ngram_join
 from pricewell.llm.ngram_join import components, first_of_each, near_duplicates
 from pricewell.llm.queries import op4_ngram_join, op10_suffix_dedup
 from pricewell.llm.suffix_dedup import deduplicated, without_repeats
@@ -60,22 +62,24 @@ def as_table(spark, texts, extra="n_shingles string, set string"):
 
 
 def test_join_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
     rows, docs = as_table(spark, EDGES + near_texts())
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
     assert got == brute_components(rows)
-    # each group is hot, and no round may list what is left: pivots alone must find the same classes
     monkeypatch.setattr(exchange, "HOT", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
     assert got == brute_components(rows)
 
 
-def test_pivot_rounds_find_the_same_classes(spark):
-    from pricewell.llm import ngram_join as N
+@pytest.mark.parametrize("turns", [0, 1, 3])
+def test_any_number_of_pivot_rounds_finds_the_same_classes(spark, turns, monkeypatch):
+    N = ngram_join
+    monkeypatch.setattr(N, "BLOCK", 10)
 
-    rows, docs = as_table(spark, near_texts(9)[:25])
+    rows, docs = as_table(spark, near_texts(9))
     found = N.named_sets(docs, 5, "doc_id", "text").where("set IS NOT NULL").groupBy("set").agg({"id": "min", "n": "max"}).toDF("set", "rep", "n")
     sets = N.prefixes(N.shared_shingles(docs, 5, "text").join(found, "set"))
-    labels = {r.rep: r.label for r in N.set_classes(sets, slack=0).collect()}
+    labels = {r.rep: r.label for r in N.set_classes(sets, turns=turns).collect()}
     want = brute_components(rows)
     reps = [r.rep for r in found.collect()]
     assert {r: labels.get(r, r) for r in reps} == {r: want[r][1] for r in reps}
