@@ -40,12 +40,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe(dict):
     """chunk of text -> its ids as little-endian 32-bit integers; at most `cap` chunks are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 900_000):
         super().__init__()
         self.ranks, self.cap, self.pattern = ranks, cap, regex.compile(pattern)
         self.bpe = PrefixBpe(ranks)
         self.token = {v: k for k, v in ranks.items()}
-        self.words: dict[str, bytes] = {}
         self.lasts: dict[bytes, bytes] = {}
 
     def piece(self, b: bytes) -> list[int]:
@@ -53,20 +52,17 @@ class ByteBpe(dict):
             return [whole]
         known = next((x for k in range(1, 7) if len(b) > k and (x := self.lasts.get(b[:-k])) is not None), None)
         last = self.bpe.last_lengths(b, known)
-        if len(b) < 100 and len(self.lasts) < self.cap:
+        if len(b) < 100 and len(self.lasts) < self.cap // 2:
             self.lasts[b] = bytes(last)
         return [self.ranks[t] for t in self.bpe.tokens(b, last)]
 
-    def word(self, w: str) -> bytes:
-        if (out := self.words.get(w)) is None:
-            ids = self.piece(w.encode("utf-8"))
-            out = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.words) < self.cap and len(w) < 100:
-                self.words[w] = out
-        return out
-
     def __missing__(self, chunk: str) -> bytes:
-        out = b"".join(map(self.word, self.pattern.findall(chunk)))
+        parts = self.pattern.findall(chunk)
+        if len(parts) > 1:
+            out = b"".join(map(self.__getitem__, parts))
+        else:
+            ids = self.piece(chunk.encode("utf-8")) if chunk else []
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < self.cap and len(chunk) < 100:
             self[chunk] = out
         return out
@@ -75,7 +71,7 @@ class ByteBpe(dict):
         """Pre-tokens never start within a word and never end within a run of white space before one,
         so a chunk of white space and the word after it can be matched by itself."""
         if OTHER_SPACE.search(text):
-            return b"".join(map(self.word, self.pattern.findall(text)))
+            return b"".join(map(self.__getitem__, self.pattern.findall(text)))
         return b"".join(map(self.__getitem__, PLAIN.findall(text)))
 
     def encode(self, text: str) -> list[int]:

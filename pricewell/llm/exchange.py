@@ -21,10 +21,12 @@ from .word_hash import mixed
 #: Names kept until they are packed; owners in one task from which a name is hot.
 FLUSH, HOT = 1_500_000, 256
 NAMES, REPLY, HOT_NAMES = 0, 1, 2
-PACKED = "bucket int, kind int, n int, a binary, b binary, owner binary, owners binary, extra binary"
-_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("a", "b", "owner", "owners", "extra")]])
+PACKED = "bucket int, kind int, n int, a binary, b binary, owner binary, owners binary"
+_PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("a", "b", "owner", "owners")]])
+#: Replies on their way: those of many owners in a row. to: where the owners' replies meet; sizes in bytes.
+SENT = "to int, owners binary, open binary, sizes binary, data binary"
+_SENT = pa.schema([("to", pa.int32()), *[(x, pa.binary()) for x in ("owners", "open", "sizes", "data")]])
 REPLIES = "owner long, taken binary, open binary"
-_REPLIES = pa.schema([("owner", pa.int64()), ("taken", pa.binary()), ("open", pa.binary())])
 #: The owner of a marker: it comes before all others and gets no reply.
 NOBODY = -(1 << 63)
 
@@ -58,26 +60,19 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """A binary value for each group of equal-sized records."""
-    width = data.dtype.itemsize
-    offsets = (np.append(starts, len(data)) * width).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 class Flushed:
-    """A task's names until they are packed. a, b: names; owner: 64-bit; extra: a 64-bit number of the name.
+    """A task's names until they are packed. a, b: names; owner: 64-bit.
 
     The low `width` bytes of a name are kept; with its bucket they tell a from others.
     """
 
-    def __init__(self, buckets: int, width: int, with_b: bool, with_extra: bool):
-        self.buckets, self.width, self.with_b, self.with_extra = buckets, width, with_b, with_extra
+    def __init__(self, buckets: int, width: int, with_b: bool):
+        self.buckets, self.width, self.with_b = buckets, width, with_b
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, a, b, owner, extra=None) -> Iterator[pa.RecordBatch]:
-        self.parts.append((a, b, owner, extra))
+    def add(self, a, b, owner) -> Iterator[pa.RecordBatch]:
+        self.parts.append((a, b, owner))
         self.size += len(a)
         if self.size >= FLUSH:
             yield from self.flush()
@@ -86,32 +81,28 @@ class Flushed:
         if not self.size:
             return
         a, b, owner = (np.concatenate([p[k] for p in self.parts]) if k != 1 or self.with_b else None for k in range(3))
-        extra = np.concatenate([p[3] for p in self.parts]) if self.with_extra else None
         self.parts, self.size = [], 0
         if self.with_b:
-            yield from self._first_owners(a, b, owner, extra)
+            yield from self._first_owners(a, b, owner)
         else:
             yield from self._counted(a, owner)
 
-    def _first_owners(self, a, b, owner, extra):
+    def _first_owners(self, a, b, owner):
         b = low(b, self.width)
         order = np.lexsort((owner, b, a))
-        a, b, owner, extra = a[order], b[order], owner[order], extra[order] if extra is not None else None
+        a, b, owner = a[order], b[order], owner[order]
         starts = _starts(a, b)
         least = np.repeat(owner[starts], np.diff(np.append(starts, len(a))))
         later = owner > least
-        yield from self.reply(a[later], b[later], owner[later], None if extra is None else extra[later])
-        a, b, owner, extra = (None if x is None else x[~later] for x in (a, b, owner, extra))
-        if self.with_extra:  # only who is first matters: one bucket has at most one owner of a name from each task
-            yield from self._pack(NAMES, _bucket(a ^ (b << np.uint64(20)), self.buckets), a, b, owner, extra)
-            return
+        yield from self._reply(replies(owner[later], both_names(a[later], b[later], self.width), np.zeros(int(later.sum()), bool), self.buckets))
+        a, b, owner = a[starts], b[starts], owner[starts]
         starts = _starts(a)
         size = np.diff(np.append(starts, len(a)))
         hot = np.repeat(size >= HOT, size)
         marks = a[starts[size >= HOT]]
-        yield from self._pack(HOT_NAMES, _bucket(a[hot] ^ (b[hot] << np.uint64(20)), self.buckets), a[hot], b[hot], owner[hot], None)
+        yield from self._pack(HOT_NAMES, _bucket(a[hot] ^ (b[hot] << np.uint64(20)), self.buckets), a[hot], b[hot], owner[hot])
         a, b, owner = np.concatenate([a[~hot], marks]), np.concatenate([b[~hot], np.zeros_like(marks)]), np.concatenate([owner[~hot], np.full(len(marks), NOBODY)])
-        yield from self._pack(NAMES, _bucket(a, self.buckets), a, b, owner, None)
+        yield from self._pack(NAMES, _bucket(a, self.buckets), a, b, owner)
 
     def _counted(self, a, owner):
         order = np.lexsort((owner, a))
@@ -121,36 +112,31 @@ class Flushed:
         starts = _starts(a)
         size = np.diff(np.append(starts, len(a)))
         hot = np.repeat(size >= HOT, size)
-        yield from self._reply_counts(a[hot], owner[hot], np.full(int(hot.sum()), HOT, np.uint16))
+        yield from self._reply(replies(owner[hot], counted_names(low(a[hot], self.width), np.full(int(hot.sum()), HOT, np.uint16)), np.ones(int(hot.sum()), bool), self.buckets))
         marks = a[starts[size >= HOT]]
         a, owner = np.concatenate([a[~hot], marks]), np.concatenate([owner[~hot], np.full(len(marks), NOBODY)])
-        yield from self._pack(NAMES, _bucket(a, self.buckets), a, None, owner, None)
+        yield from self._pack(NAMES, _bucket(a, self.buckets), a, None, owner)
 
-    def reply(self, a, b, owner, extra):
+    def _reply(self, rows):
         """What the task knows already goes the same way as the buckets' replies."""
-        for r in replies(owner, both_names(a, b, self.width) if extra is None else extra.astype("<i8"), np.zeros(len(a), bool)):
-            yield self._passed(r)
-
-    def _reply_counts(self, a, owner, count):
-        for r in replies(owner, counted_names(low(a, self.width), count), np.ones(len(a), bool)):
-            yield self._passed(r)
+        return map(self._passed, rows)
 
     def _passed(self, r: pa.RecordBatch) -> pa.RecordBatch:
-        n, owner = r.num_rows, r.column(0).to_numpy()
-        bucket = ((owner ^ (owner >> 32)) % self.buckets).astype(np.int32)
-        empty = pa.nulls(n, pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(n, REPLY, np.int32)), pa.array(np.zeros(n, np.int32)), r.column(1), r.column(2), pa.array(owner.astype("<i8")).view(pa.binary(8)).cast(pa.binary()), empty, empty], schema=_PACKED)
+        """Reply rows in the form of packed ones."""
+        n = r.num_rows
+        number = lambda x: pa.array(np.full(n, x, np.int32))
+        return pa.RecordBatch.from_arrays([r.column(0), number(REPLY), number(0), r.column(4), r.column(2), r.column(3), r.column(1)], schema=_PACKED)
 
-    def _pack(self, kind, bucket, a, b, owner, extra):
+    def _pack(self, kind, bucket, a, b, owner):
         order = np.lexsort((low(a, self.width), bucket))
         bucket, a, owner = bucket[order], a[order], owner[order]
-        b, extra = (None if x is None else x[order] for x in (b, extra))
+        b = None if b is None else b[order]
         cuts = np.append(_starts(bucket), len(bucket))
         rows = []
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             owners, index = np.unique(owner[i:j], return_inverse=True)
             kind_ = "<u2" if len(owners) < 1 << 16 else "<u4"
-            rows.append((int(bucket[i]), kind, int(j - i), planes(a[i:j], self.width), planes(b[i:j], self.width) if b is not None else None, index.astype(kind_).tobytes(), owners.astype("<i8").tobytes(), extra[i:j].astype("<i8").tobytes() if extra is not None else None))
+            rows.append((int(bucket[i]), kind, int(j - i), planes(a[i:j], self.width), planes(b[i:j], self.width) if b is not None else None, index.astype(kind_).tobytes(), owners.astype("<i8").tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
@@ -169,22 +155,53 @@ def counted_names(a, count) -> np.ndarray:
     return out
 
 
-def replies(owner: np.ndarray, records: np.ndarray, is_open: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each owner with its records, those that are open apart from the others."""
+def replies(owner: np.ndarray, records: np.ndarray, is_open: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The records of each owner, those that are open apart from the others, in a row for each place they go to."""
     keep = owner != NOBODY
     owner, records, is_open = owner[keep], records[keep], is_open[keep]
     if not len(owner):
         return
-    order = np.lexsort((is_open, owner))
-    owner, records, is_open = owner[order], records[order], is_open[order]
-    starts = _starts(owner, is_open)
-    data, flag = _binary(records, starts), pa.array(is_open[starts])
-    none = pa.nulls(len(starts), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(owner[starts], pa.int64()), pc.if_else(flag, none, data), pc.if_else(flag, data, none)], schema=_REPLIES)
+    to = (mixed(owner.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((is_open, owner, to))
+    to, owner, records, is_open = to[order], owner[order], np.ascontiguousarray(records[order]), is_open[order]
+    starts = _starts(to, owner, is_open)
+    sizes = (np.diff(np.append(starts, len(owner))) * records.dtype.itemsize).astype("<u4")
+    owner, is_open, place = owner[starts].astype("<i8"), is_open[starts].astype(np.uint8), to[starts]
+    cuts = _starts(place)
+    rows = []
+    for i, j in zip(cuts, np.append(cuts[1:], len(place)), strict=True):
+        x, y = starts[i], starts[j] if j < len(starts) else len(records)
+        rows.append((int(place[i]), owner[i:j].tobytes(), is_open[i:j].tobytes(), sizes[i:j].tobytes(), records[x:y].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each owner, with all its replies."""
+    owners, flags, data = [], [], []
+    for batch in batches:
+        for r in batch.to_pylist():
+            owners.append(np.frombuffer(r["owners"], "<i8"))
+            flags.append(np.frombuffer(r["open"], np.uint8))
+            ends = np.cumsum(np.frombuffer(r["sizes"], "<u4").astype(np.int64)).tolist()
+            data += [r["data"][i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+    if not owners:
+        return
+    owner, flag = np.concatenate(owners), np.concatenate(flags)
+    order = np.lexsort((flag, owner))
+    owner, flag = owner[order], flag[order]
+    heads = np.append(_starts(owner), len(owner))
+    order, flag = order.tolist(), flag.tolist()
+    for at in range(0, len(heads) - 1, 5000):
+        some = heads[at : at + 5001].tolist()
+        taken, opened = [], []
+        for i, j in zip(some[:-1], some[1:], strict=True):
+            taken.append(b"".join([data[order[k]] for k in range(i, j) if not flag[k]]))
+            opened.append(b"".join([data[order[k]] for k in range(i, j) if flag[k]]))
+        yield pa.RecordBatch.from_arrays([pa.array(owner[some[:-1]], pa.int64()), pa.array(taken, pa.binary()), pa.array(opened, pa.binary())], names=["owner", "taken", "open"])
 
 
 def _read(batches: list[pa.RecordBatch], kind: int):
-    a, b, owner, extra = [], [], [], []
+    a, b, owner = [], [], []
     for batch in batches:
         for r in batch.filter(pc.equal(batch.column(1), kind)).to_pylist():
             table = np.frombuffer(r["owners"], "<i8")
@@ -193,17 +210,14 @@ def _read(batches: list[pa.RecordBatch], kind: int):
             owner.append(table[index])
             if r["b"] is not None:
                 b.append(unplanes(r["b"], r["n"]))
-            if r["extra"] is not None:
-                extra.append(np.frombuffer(r["extra"], "<i8"))
     join = lambda x: np.concatenate(x) if x else None
-    return join(a), join(b), join(owner), join(extra)
+    return join(a), join(b), join(owner)
 
 
 def _passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     own = batch.filter(pc.equal(batch.column(1), REPLY))
     if own.num_rows:
-        owner = np.frombuffer(b"".join(own.column(5).to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), own.column(3), own.column(4)], schema=_REPLIES)
+        yield pa.RecordBatch.from_arrays([own.column(k) for k in (0, 6, 4, 5, 3)], schema=_SENT)
 
 
 def _kept(batches, out):
@@ -213,36 +227,33 @@ def _kept(batches, out):
         out.append(batch.filter(pc.not_equal(batch.column(1), REPLY)))
 
 
-def rank_first(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Sort a bucket's (a, b) by owner. taken: names that an owner before has too. open: names that the owner
     is the first to have, while another owner has a name of the same a and another b. Names whose a has one
     owner, or one b, are settled with that."""
     waiting: list[pa.RecordBatch] = []
     yield from _kept(batches, waiting)
     for kind in (NAMES, HOT_NAMES):
-        a, b, owner, extra = _read(waiting, kind)
+        a, b, owner = _read(waiting, kind)
         if a is None:
             continue
         order = np.lexsort((owner, b, a))
         a, b, owner = a[order], b[order], owner[order]
         full = _starts(a, b)
         later = owner > np.repeat(owner[full], np.diff(np.append(full, len(a))))
-        if extra is not None:
-            yield from replies(owner[later], extra[order][later], np.zeros(int(later.sum()), bool))
-            continue
         heads = _starts(a)
         size = np.diff(np.append(heads, len(a)))
         two = lambda x: np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
         several = np.repeat(two(owner) & two(b), size) | (kind == HOT_NAMES)
         told = later | several
-        yield from replies(owner[told], both_names(a[told], b[told], width), ~later[told])
+        yield from replies(owner[told], both_names(a[told], b[told], width), ~later[told], buckets)
 
 
-def count_owners(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def count_owners(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """open: the names that at least two owners have, with the number of owners, HOT standing for that and more."""
     waiting: list[pa.RecordBatch] = []
     yield from _kept(batches, waiting)
-    a, _, owner, _ = _read(waiting, NAMES)
+    a, _, owner = _read(waiting, NAMES)
     if a is None:
         return
     order = np.lexsort((owner, a))
@@ -254,9 +265,11 @@ def count_owners(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
     count = np.where(owner[heads] == NOBODY, HOT, np.minimum(size, HOT))
     count = np.repeat(count, size).astype(np.uint16)
     keep = count > 1
-    yield from replies(owner[keep], counted_names(a[keep], count[keep]), np.ones(int(keep.sum()), bool))
+    yield from replies(owner[keep], counted_names(a[keep], count[keep]), np.ones(int(keep.sum()), bool), buckets)
 
 
 def exchanged(packed: DataFrame, buckets: int, width: int, rank) -> DataFrame:
-    """Deal the packed rows by bucket, one bucket to a partition, and rank each: rows (owner, taken, open)."""
-    return packed.repartitionById(buckets, "bucket").mapInArrow(partial(rank, width=width), REPLIES)
+    """Deal the packed rows by bucket, one bucket to a partition, and rank each: one row (owner, taken, open)
+    for each owner that shares a name. Replies travel packed too, so that rows stay few."""
+    sent = packed.repartitionById(buckets, "bucket").mapInArrow(partial(rank, width=width, buckets=buckets), SENT)
+    return sent.repartitionById(buckets, "to").mapInArrow(gathered, REPLIES)

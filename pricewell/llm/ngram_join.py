@@ -93,7 +93,7 @@ def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
     buckets = shuffle_partitions(docs.sparkSession)
 
     def run(batches):
-        out = exchange.Flushed(buckets, NAME_BYTES, with_b=False, with_extra=False)
+        out = exchange.Flushed(buckets, NAME_BYTES, with_b=False)
         for b in batches:
             texts = b.column(0).to_pylist()
             for i, j in _slices(texts):
@@ -103,7 +103,7 @@ def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
         yield from out.flush()
 
     found = exchange.exchanged(docs.select(text_col).mapInArrow(run, exchange.PACKED), buckets, NAME_BYTES, exchange.count_owners)
-    return found.groupBy(F.col("owner").alias("set")).agg(F.collect_list("open").alias("shared"))
+    return found.select(F.col("owner").alias("set"), F.array("open").alias("shared"))
 
 
 def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:

@@ -16,8 +16,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange
 from .common import shuffle_partitions
@@ -121,16 +123,25 @@ RANGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("text", "<u4")])
 
 
 def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with _owner, _starts, _ranges: by document the bytes of text_col (UTF-8) that lie in a string of
-    `length` bytes that also starts in a document with a smaller id, as packed starts of strings and ranges.
+    """docs with _owner, _names, _ranges: by document the bytes of text_col (UTF-8) that lie in a string of
+    `length` bytes that also starts in a document with a smaller id, as names of strings and packed ranges.
 
-    Both joins take the same columns of docs, so that Spark shuffles the texts once."""
+    Texts are compressed, and both joins take the same columns of docs, so that Spark shuffles the texts once."""
     buckets = shuffle_partitions(docs.sparkSession)
-    rows = docs.withColumn("_owner", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    at_text, at_owner = docs.columns.index(text_col), len(docs.columns)
+    columns, at_text, at_owner = docs.columns, docs.columns.index(text_col), len(docs.columns)
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in docs.schema] + [T.StructField("_owner", T.LongType())])
+
+    def pack_texts(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            texts = pa.array([None if x is None else squeeze(x) for x in b.column(at_text).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if k == at_text else c for k, c in enumerate(b.columns)], names=[*columns, "_owner"])
+
+    owned = docs.withColumn("_owner", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
+    rows = owned.mapInArrow(pack_texts, schema)
 
     def name_segments(batches):
-        out = exchange.Flushed(buckets, WIDTH, with_b=True, with_extra=False)
+        out = exchange.Flushed(buckets, WIDTH, with_b=True)
         for batch in batches:
             texts, ids = _bytes(batch.column(0)), batch.column(1).to_numpy()
             for i, j in _slices(texts):
@@ -140,9 +151,9 @@ def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
 
     def name_strings(batches):
         """The strings of the open segments; what the first step has found goes on as it is."""
-        out = exchange.Flushed(buckets, WIDTH, with_b=True, with_extra=True)
+        out = exchange.Flushed(buckets, WIDTH, with_b=True)
         for batch in batches:
-            texts, ids = _bytes(batch.column(at_text)), batch.column(at_owner).to_numpy()
+            texts, ids = _unpacked(batch.column(at_text)), batch.column(at_owner).to_numpy()
             taken, opened = batch.column(at_owner + 1).to_pylist(), batch.column(at_owner + 2).to_pylist()
             for i, j in _slices(texts):
                 names = Names(texts[i:j], length)
@@ -155,37 +166,59 @@ def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
                 at, doc = names.bounds[:-1], names.doc
                 ranges = np.zeros(int(gone.sum()), RANGE)
                 ranges["start"], ranges["end"], ranges["text"] = (names.start - at[doc])[gone], (names.end + length - 1 - at[doc])[gone], check[doc[gone]]
-                yield from map(out._passed, exchange.replies(ids[i:j][doc[gone]], ranges, np.ones(len(ranges), bool)))
-                size = (names.end - names.start)[still]
-                string = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(names.start[still], size)
-                doc = np.repeat(doc[still], size)
-                yield from out.add(np.repeat(names.name[still], size), names.span(string, string + length), ids[i:j][doc], (check[doc] << 32) | (string - at[doc]))
+                yield from map(out._passed, exchange.replies(ids[i:j][doc[gone]], ranges, np.ones(len(ranges), bool), buckets))
+                doc, string, name, other = _strings(names, still)
+                yield from out.add(name, other, ids[i:j][doc])
         yield from out.flush()
 
-    gather = lambda c, name: F.collect_list(c).alias(name)  # noqa: E731  at most the names of one document
-    first = exchange.exchanged(rows.select(text_col, "_owner").mapInArrow(name_segments, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
-    first = first.groupBy(F.col("owner").alias("_owner")).agg(gather("taken", "_taken"), gather("open", "_open"))
-    touched = rows.join(first, "_owner").select(*docs.columns, "_owner", "_taken", "_open")
+    one = lambda c, name: F.array(c).alias(name)  # noqa: E731  at most the names of one document
+    first = exchange.exchanged(owned.select(text_col, "_owner").mapInArrow(name_segments, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
+    first = first.select(F.col("owner").alias("_owner"), one("taken", "_taken"), one("open", "_open"))
+    touched = rows.join(first, "_owner").select(*columns, "_owner", "_taken", "_open")
     second = exchange.exchanged(touched.mapInArrow(name_strings, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
-    second = second.groupBy(F.col("owner").alias("_owner")).agg(gather("taken", "_starts"), gather("open", "_ranges"))
-    return rows.join(second, "_owner", "left").select(*docs.columns, "_owner", "_starts", "_ranges")
-
-
-def _spans(text: bytes, starts: list[bytes], ranges: list[bytes], length: int) -> list[tuple[int, int]]:
-    """Maximal removed runs of a text."""
-    if not (starts or ranges):
-        return []
-    check, step = zlib.crc32(text), np.zeros(len(text) + 1, np.int32)
-    at = np.frombuffer(b"".join(starts), "<i8")
-    at = at[((at >> 32) & 0xFFFFFFFF) == check] & 0xFFFFFFFF
-    found = np.frombuffer(b"".join(ranges), RANGE)
-    found = found[found["text"] == check]
-    for begin, end in ((at, at + length), (found["start"], found["end"])):
-        np.add.at(step, begin, 1)
-        np.add.at(step, end, -1)
-    covered = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
-    edges = np.flatnonzero(covered[1:] != covered[:-1])
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    second = second.select(F.col("owner").alias("_owner"), one("taken", "_names"), one("open", "_ranges"))
+    return rows.join(second, "_owner", "left").select(*columns, "_owner", "_names", "_ranges")
+
+
+def _strings(names: Names, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings of the segments marked: document, start, and two names that tell them from all others."""
+    size = (names.end - names.start)[segments]
+    string = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(names.start[segments], size)
+    other = names.span(string, string + names.length)
+    return np.repeat(names.doc[segments], size), string, mixed(np.repeat(names.name[segments], size) + other * STEP), other
+
+
+def _spans(texts: list[bytes], told: list, ranges: list, length: int) -> list[list[tuple[int, int]]]:
+    """Maximal removed runs of each text."""
+    out: list[list[tuple[int, int]]] = []
+    for i, j in _slices(texts):
+        part = [x if t or r else b"" for x, t, r in zip(texts[i:j], told[i:j], ranges[i:j], strict=True)]
+        names = Names(part, length)
+        step = np.zeros(len(names.data) + 1, np.int32)
+        if len(names.start):
+            doc, string, name, other = _strings(names, np.array([bool(t and t[0]) for t in told[i:j]])[names.doc])
+            gone = np.isin(_of_doc(doc, exchange.both_names(name, other, WIDTH)), _found([t or [] for t in told[i:j]]))
+            np.add.at(step, string[gone], 1)
+            np.add.at(step, string[gone] + length, -1)
+        for k, (x, r) in enumerate(zip(part, ranges[i:j], strict=True)):
+            found = np.frombuffer(b"".join(r or []), RANGE)
+            found = found[found["text"] == zlib.crc32(x)]
+            np.add.at(step, names.bounds[k] + found["start"], 1)
+            np.add.at(step, names.bounds[k] + found["end"], -1)
+        covered = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
+        edges = np.flatnonzero(covered[1:] != covered[:-1])
+        begin, end = edges[::2], edges[1::2]
+        where = np.searchsorted(names.bounds, begin, "right") - 1
+        runs: list[list[tuple[int, int]]] = [[] for _ in part]
+        for k, a, b in zip(where.tolist(), begin.tolist(), end.tolist(), strict=True):
+            runs[k].append((a - int(names.bounds[k]), b - int(names.bounds[k])))
+        out += runs
+    return out
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [b"" if x is None else expand(x) for x in column.to_pylist()]
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,14 +235,14 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                texts = _bytes(part.column(1))
-                spans = [_spans(t, s or [], r or [], length) for t, s, r in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                texts = _unpacked(part.column(1))
+                spans = _spans(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), length)
                 kept = [_without(t, s) for t, s in zip(texts, spans, strict=True)]
                 as_spans = [[{"start": x, "end": y} for x, y in s] for s in spans]
                 yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(as_spans, span_type)], names=[id_col, "n_bytes", "kept", "spans"])
 
     plain = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    rows = with_repeats(plain, length, id_col, "text").select(id_col, "text", "_starts", "_ranges")
+    rows = with_repeats(plain, length, id_col, "text").select(id_col, "text", "_names", "_ranges")
     return rows.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
 
 
@@ -224,13 +257,15 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes cut from text_col; a character of which bytes are cut goes whole. Null texts stay null."""
     columns = docs.columns
-    rows = with_repeats(docs, length, id_col, text_col).select(*columns, "_starts", "_ranges")
+    rows = with_repeats(docs, length, id_col, text_col).select(*columns, "_names", "_ranges")
 
     def cut(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts = [None if x is None else x.encode("utf-8") for x in b.column(at).to_pylist()]
-            new = [None if t is None else _without(t, _spans(t, s or [], r or [], length)).decode("utf-8", "ignore") for t, s, r in zip(texts, b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), strict=True)]
+            texts = _unpacked(b.column(at))
+            spans = _spans(texts, b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), length)
+            null = b.column(at).is_null().to_pylist()
+            new = [None if z else _without(t, s).decode("utf-8", "ignore") for z, t, s in zip(null, texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(columns)])], names=columns)
 
     return rows.mapInArrow(cut, docs.schema)
