@@ -22,15 +22,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pricewell-"))
 
 
+#: Shuffle files of a query go when it ends.
+CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: it survives a lost executor.
+    """Write df to the shared checkpoint folder and read it back: it survives a lost executor, and the
+    shuffle files behind it are no longer needed.
 
     A written table also keeps later plans short: checkpoint() carries the old plan's constraints along,
     and in a loop of joins those grow until planning takes longer than the work.
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in CLEANUP}
+    try:
+        for k in CLEANUP:
+            conf.set(k, "true")
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

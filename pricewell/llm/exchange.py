@@ -227,7 +227,7 @@ def _kept(batches, out):
         out.append(batch.filter(pc.not_equal(batch.column(1), REPLY)))
 
 
-def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int, with_open: bool = True) -> Iterator[pa.RecordBatch]:
     """Sort a bucket's (a, b) by owner. taken: names that an owner before has too. open: names that the owner
     is the first to have, while another owner has a name of the same a and another b. Names whose a has one
     owner, or one b, are settled with that."""
@@ -245,10 +245,15 @@ def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> I
         size = np.diff(np.append(heads, len(a)))
         two = lambda x: np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
         several = np.repeat(two(owner) & two(b), size) | (kind == HOT_NAMES)
-        told = later | several
+        told = later | several if with_open else later
         yield from replies(owner[told], both_names(a[told], b[told], width), ~later[told], buckets)
 
 
+def rank_taken(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """rank_first() without the open names."""
+    return rank_first(batches, width, buckets, with_open=False)
+
+
 def count_owners(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """open: the names that at least two owners have, with the number of owners, HOT standing for that and more."""
     waiting: list[pa.RecordBatch] = []

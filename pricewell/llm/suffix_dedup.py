@@ -16,13 +16,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import exchange
-from .common import shuffle_partitions
+from .common import checkpointed, shuffle_partitions
 from .word_hash import BYTE, STEP, joined, mixed
 
 LENGTH, FIRST = 50, 32
@@ -126,19 +124,10 @@ def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
     """docs with _owner, _names, _ranges: by document the bytes of text_col (UTF-8) that lie in a string of
     `length` bytes that also starts in a document with a smaller id, as names of strings and packed ranges.
 
-    Texts are compressed, and both joins take the same columns of docs, so that Spark shuffles the texts once."""
+    Both joins take the same columns of docs, so that Spark shuffles the texts once."""
     buckets = shuffle_partitions(docs.sparkSession)
     columns, at_text, at_owner = docs.columns, docs.columns.index(text_col), len(docs.columns)
-    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in docs.schema] + [T.StructField("_owner", T.LongType())])
-
-    def pack_texts(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            texts = pa.array([None if x is None else squeeze(x) for x in b.column(at_text).cast(pa.binary()).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([texts if k == at_text else c for k, c in enumerate(b.columns)], names=[*columns, "_owner"])
-
-    owned = docs.withColumn("_owner", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
-    rows = owned.mapInArrow(pack_texts, schema)
+    rows = docs.withColumn("_owner", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
 
     def name_segments(batches):
         out = exchange.Flushed(buckets, WIDTH, with_b=True)
@@ -153,7 +142,7 @@ def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
         """The strings of the open segments; what the first step has found goes on as it is."""
         out = exchange.Flushed(buckets, WIDTH, with_b=True)
         for batch in batches:
-            texts, ids = _unpacked(batch.column(at_text)), batch.column(at_owner).to_numpy()
+            texts, ids = _bytes(batch.column(at_text)), batch.column(at_owner).to_numpy()
             taken, opened = batch.column(at_owner + 1).to_pylist(), batch.column(at_owner + 2).to_pylist()
             for i, j in _slices(texts):
                 names = Names(texts[i:j], length)
@@ -172,10 +161,10 @@ def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
         yield from out.flush()
 
     one = lambda c, name: F.array(c).alias(name)  # noqa: E731  at most the names of one document
-    first = exchange.exchanged(owned.select(text_col, "_owner").mapInArrow(name_segments, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
+    first = checkpointed(exchange.exchanged(rows.select(text_col, "_owner").mapInArrow(name_segments, exchange.PACKED), buckets, WIDTH, exchange.rank_first))
     first = first.select(F.col("owner").alias("_owner"), one("taken", "_taken"), one("open", "_open"))
     touched = rows.join(first, "_owner").select(*columns, "_owner", "_taken", "_open")
-    second = exchange.exchanged(touched.mapInArrow(name_strings, exchange.PACKED), buckets, WIDTH, exchange.rank_first)
+    second = exchange.exchanged(touched.mapInArrow(name_strings, exchange.PACKED), buckets, WIDTH, exchange.rank_taken)
     second = second.select(F.col("owner").alias("_owner"), one("taken", "_names"), one("open", "_ranges"))
     return rows.join(second, "_owner", "left").select(*columns, "_owner", "_names", "_ranges")
 
@@ -216,11 +205,6 @@ def _spans(texts: list[bytes], told: list, ranges: list, length: int) -> list[li
     return out
 
 
-def _unpacked(column: pa.Array) -> list[bytes]:
-    expand = zstandard.ZstdDecompressor().decompress
-    return [b"" if x is None else expand(x) for x in column.to_pylist()]
-
-
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, kept (binary: the bytes that stay), spans (removed runs: start, end in bytes).
 
@@ -235,7 +219,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                texts = _unpacked(part.column(1))
+                texts = _bytes(part.column(1))
                 spans = _spans(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), length)
                 kept = [_without(t, s) for t, s in zip(texts, spans, strict=True)]
                 as_spans = [[{"start": x, "end": y} for x, y in s] for s in spans]
@@ -262,7 +246,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     def cut(batches):
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            texts = _unpacked(b.column(at))
+            texts = _bytes(b.column(at))
             spans = _spans(texts, b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), length)
             null = b.column(at).is_null().to_pylist()
             new = [None if z else _without(t, s).decode("utf-8", "ignore") for z, t, s in zip(null, texts, spans, strict=True)]
