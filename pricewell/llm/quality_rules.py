@@ -6,6 +6,12 @@ tail P(at most the false rejections seen | share ALPHA) stays under the level, a
 ends the walk (fixed-sequence testing, so the cuts of a rule need no correction among themselves). The
 level is DELTA divided by the number of strata times rules (Bonferroni). With probability 1 - DELTA at
 least, in every stratum at once, each rule then rejects at most a share ALPHA of the good documents.
+
+A stratum with fewer than least_labels() good labels can't certify any cut, so its part of DELTA is never
+spent. With pooled=True one such part pays for the same walk over the labels of all strata together, and
+its cuts hold in each stratum that has no cut of its own for the rule, up to the first that rejects more
+than a share ALPHA of that stratum's own good labels. What is certified for them is the share among the
+good documents of all languages, not of that language alone.
 """
 
 from __future__ import annotations
@@ -116,40 +122,54 @@ def binomial_tail(x: Column, n: Column, share: float) -> Column:
     return F.when(xd >= nd * share, F.lit(1.0)).otherwise(F.exp(log_top) * F.aggregate(steps, zero, add, lambda a: a["total"]))
 
 
-def cuts(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """For each stratum and rule with a certified cut: stratum, rule, cut, false_rejections, n_good, tail.
+def least_labels(alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """How many good labels, none of them rejected, certify a cut: 1551 by default."""
+    return math.ceil(math.log(delta / ((len(STRATA) + 1) * len(RULES))) / math.log1p(-alpha))
+
+
+def cuts(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality", pooled: bool = False) -> DataFrame:
+    """For each stratum and rule with a certified cut: stratum, rule, cut, false_rejections, n_good, tail, pooled.
 
     Counts run over all good labelled documents (label 1) that pass the base rules. Null labels or ids
-    are not used; an id labelled twice counts as good only if each label says so.
+    are not used; an id labelled twice counts as good only if each label says so. With pooled=True strata
+    without a cut of their own take that of all strata together, and the counts are those of all strata.
     """
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good")).where("good = 1")
     seen = measured.where(~base_failed()).join(good, "id")
     over = [(rule, k, F.count_if(F.expr(f"{m} > {c}"))) for rule, (m, cs) in RULES.items() for k, c in enumerate(cs)]
     total = seen.groupBy("stratum").agg(F.count("*").alias("n"), *[f.alias(f"{r}_{k}") for r, k, f in over])
+    # strata without good labels too: they may take a pooled cut
+    every = measured.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in (*STRATA, OTHER)])).alias("stratum"))
+    total = every.join(total, "stratum", "left").na.fill(0)
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(RULES[r][1][k]).cast("long").alias("cut"), F.col(f"{r}_{k}").alias("x")) for r, k, _ in over])
     level = delta / ((len(STRATA) + 1) * len(RULES))
-    walk = Window.partitionBy("stratum", "rule").orderBy("k")
+    walk, all_strata = Window.partitionBy("stratum", "rule").orderBy("k"), Window.partitionBy("rule", "k")
+    # the pooled walk needs the unspent part of a stratum with too few labels
+    unspent = F.count_if(F.col("n") < least_labels(alpha, delta)).over(all_strata) > 0
+    allowed = F.lit(pooled) & (F.col("all_tail") <= level) & F.col("unspent") & (F.col("x") <= F.col("n") * alpha)
+    best = lambda stands, x, n, tail: F.max_by(F.struct("cut", F.col(x).alias("false_rejections"), F.col(n).alias("n_good"), F.col(tail).alias("tail"), F.lit(x == "all_x").alias("pooled")), F.when(F.col(stands), F.col("k")))
     return (
         total.select("stratum", "n", F.explode(tests).alias("t"))
         .select("stratum", "n", "t.*")
-        .withColumn("tail", binomial_tail(F.col("x"), F.col("n"), alpha))
-        .withColumn("stands", F.min(F.col("tail") <= level).over(walk))
-        .where("stands")
+        .withColumns({"all_n": F.sum("n").over(all_strata), "all_x": F.sum("x").over(all_strata), "unspent": unspent})
+        .withColumns({"tail": binomial_tail(F.col("x"), F.col("n"), alpha), "all_tail": binomial_tail(F.col("all_x"), F.col("all_n"), alpha)})
+        .withColumns({"stands": F.min(F.col("tail") <= level).over(walk), "all_stands": F.min(allowed).over(walk)})
+        .where("stands OR all_stands")
         .groupBy("stratum", "rule")
-        .agg(F.max_by(F.struct("cut", F.col("x").alias("false_rejections"), F.col("n").alias("n_good"), "tail"), "k").alias("b"))
+        .agg(F.coalesce(best("stands", "x", "n", "tail"), best("all_stands", "all_x", "all_n", "all_tail")).alias("b"))
         .select("stratum", "rule", "b.*")
     )
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", pooled: bool = False) -> DataFrame:
     """measures() of every document with n_words, base_failed, failed (the rules that reject it) and kept.
 
     kept is false if the base rules fail, else true unless a certified cut rejects. Without labels, or with
-    too few to certify a cut, only the base rules reject. Documents with null or repeated ids are judged each.
+    too few to certify a cut, only the base rules reject; pooled is that of cuts(). Documents with null or repeated ids are judged each.
     """
     found = checkpointed(measures(docs, id_col, text_col, lang_col))
     # at most one row for each stratum of the fixed list
-    per_stratum = F.broadcast(cuts(found, labels, alpha, delta, id_col, label_col).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut")))
+    per_stratum = F.broadcast(cuts(found, labels, alpha, delta, id_col, label_col, pooled).groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cut")))
     failed = F.filter(F.array(*[F.when(F.expr(f"n_words > 0 AND {m} > {r}"), F.lit(r)) for r, (m, _) in RULES.items()]), lambda x: x.isNotNull())
     judged = found.join(per_stratum, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("failed", failed)
     return judged.select(F.col("id").alias(id_col), "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"))

@@ -34,7 +34,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    out = quality_rules(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), pooled=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -101,6 +101,27 @@ def test_cuts_limit_false_rejections(spark):
     assert all(r.kept for r in Q.quality_rules(docs, labels.limit(0)).collect()) and Q.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_small_strata_take_pooled_cuts(spark, tmp_path):
+    base, junk = " ".join(f"w{i}" for i in range(60)), " ###" * 40
+    lang = lambda i: "de" if i % 12 == 0 else "fr" if i % 12 == 1 else None if i % 12 == 2 else "en"
+    bad = lambda i: i % 7 == 0
+    # good French documents look like junk: their own labels forbid the strict pooled cuts
+    rows = [(i, base + (junk if bad(i) or lang(i) == "fr" and i % 5 == 0 else ""), lang(i)) for i in range(3000)] + [(5000, base + junk, "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(not bad(i))) for i in range(3000) if lang(i) != "fr" or i < 60], "doc_id long, quality int")
+    own = {(r.stratum, r.rule) for r in Q.cuts(Q.measures(docs), labels).collect()}
+    found = {(r.stratum, r.rule): r for r in Q.cuts(Q.measures(docs), labels, pooled=True).collect()}
+    assert Q.least_labels() == 1551 and {s for s, _ in own} == {"en"} and own < set(found)
+    assert {k for k, r in found.items() if not r.pooled} == own and {s: r.cut for (s, rule), r in found.items() if rule == "symbols"} == {"en": 50, "de": 50, "es": 50, "other": 50, "fr": 2000}
+    assert all(r.false_rejections <= Q.ALPHA * r.n_good and r.tail <= Q.DELTA / 25 and r.n_good >= 1551 for r in found.values())
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for r in queries.op3_quality_rules(spark, str(tmp_path)).collect():
+        assert r.kept == (r.doc_id < 5000 and (lang(r.doc_id) == "fr" or not bad(r.doc_id)))
+    few = labels.where("doc_id < 1800")  # 1,551 labels are in no stratum, nor in all together
+    assert few.where("quality = 1").count() < 1551 and not Q.cuts(Q.measures(docs), few, pooled=True).collect()
+
+
 def test_quality_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.op3_quality_rules(spark, sf_dir).collect():
