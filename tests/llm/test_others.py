@@ -40,6 +40,20 @@ def test_toxicity_edges(spark):
     assert {r.score for r in X.scored(docs, None).collect()} == {0.0} and X.scored(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_sample_skips_texts_that_do_not_fit(spark):
+    rows = [(i, ("you scum " if i % 2 else "kind words ") + f"number {i % 7} here" + " and more" * (3000 if i % 5 == 0 else 0), "en") for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(250)], "doc_id long, toxic int")
+    model = X.fit(docs, labels, max_chars=20_000)
+    assert model is not None
+    out = X.scored(docs, model).where("doc_id % 5 > 0").collect()
+    assert len(out) == 200 and sum(r.toxic != (r.doc_id % 2 == 1) for r in out) <= 2
+    with pytest.raises(ValueError, match="max_chars"):
+        X.fit(docs.where("doc_id % 2 = 0 OR doc_id % 5 = 0"), labels, max_chars=20_000)
+    size, label = np.array([5, 90, 5, 5, 96]), np.array([1, 0, 0, 1, 1])
+    assert sorted(X.fitting(size, label, 1000)) == [0, 1, 2, 3, 4] and sorted(X.fitting(size, label, 105)) == [0, 1, 2, 3] and sorted(X.fitting(size, label, 100)) == [0, 2, 3]
+
+
 def test_toxicity_gradient_learns_word_pairs():
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(30)]
