@@ -15,6 +15,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: (verdict, host, path): fixed values of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,7 +47,7 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     segments = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^[0-9]+(\.|$)"))
     keys = F.regexp_extract_all(url, F.lit(r"[?&]([^=&#]+)="), 1)
     one = lambda name, c: F.when(c != "", F.array(F.concat(F.lit(name), c))).otherwise(F.array().cast("array<string>"))
-    many = lambda name, c: F.transform(c, lambda s: F.concat(F.lit(name), F.substring(s, 1, 60)))
+    many = lambda name, c: F.transform(c, lambda s: F.concat(F.lit(name), s))
     parts = F.concat(
         one("scheme:", F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]{0,20})://", 1)),
         F.when(host != "", many("host:", labels)).otherwise(F.array().cast("array<string>")),
@@ -60,30 +62,39 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> list[tuple]:
     """(tokens, verdict, confidence, support) from a table (tokens, verdict); none from an empty one.
 
-    The list has at most max_rules rules, those of the greatest confidence and support, so that it may go
-    to every task.
+    Rules that a shorter one of the same verdict and no less confidence covers are pruned first. The list
+    goes to every task, so more than max_rules of the others are an error, not cut.
     """
     verdict = "verdict:"
     items = labelled.where("verdict IS NOT NULL").select(F.array_append("tokens", F.concat(F.lit(verdict), "verdict")).alias("items"))
     if items.isEmpty():
         return []
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    found = (
+    rules = checkpointed(
         model.associationRules.where(F.element_at("consequent", 1).startswith(verdict) & (F.size("antecedent") <= max_tokens))
         .where(~F.exists("antecedent", lambda t: t.startswith(verdict)))
-        .select(F.sort_array("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), len(verdict) + 1, 100).alias("verdict"), "confidence", "support")
+        .select(F.sort_array("antecedent").alias("tokens"), F.expr(f"substring(consequent[0], {len(verdict) + 1})").alias("verdict"), "confidence", "support")
+    )
+    # the proper subsets of at most max_tokens tokens, as bit masks over their places
+    subsets = F.expr("transform(sequence(1, shiftleft(1, size(tokens)) - 2), m -> filter(tokens, (t, i) -> (shiftright(m, i) & 1) = 1))")
+    shorter = rules.select(F.col("tokens").alias("covering"), "verdict", F.col("confidence").alias("least"))
+    covered = (
+        rules.where(F.size("tokens") > 1)
+        .select("tokens", "verdict", "confidence", F.explode(subsets).alias("covering"))
+        .join(shorter, ["covering", "verdict"])
+        .where("least >= confidence")
+        .select("tokens", "verdict")
+        .distinct()
+    )
+    found = (
+        rules.join(covered, ["tokens", "verdict"], "left_anti")
         .orderBy(F.desc("confidence"), F.size("tokens"), F.desc("support"), F.col("tokens").cast("string"), "verdict")
-        .limit(max_rules)
+        .limit(max_rules + 1)
         .collect()
     )
-    kept: list[tuple] = []
-    by_token = defaultdict(list)
-    for r in found:  # shorter rules of equal confidence come first
-        have = set(r.tokens)
-        if not any(s <= have and v == r.verdict for t in r.tokens for s, v in by_token[t]):
-            kept.append((tuple(r.tokens), r.verdict, r.confidence, r.support))
-            by_token[r.tokens[0]].append((frozenset(have), r.verdict))
-    return kept
+    if len(found) > max_rules:
+        raise ValueError(f"more than max_rules = {max_rules} rules after pruning; raise it, or min_support or min_confidence")
+    return [(tuple(r.tokens), r.verdict, r.confidence, r.support) for r in found]
 
 
 def matcher(rules: list[tuple]):

@@ -231,6 +231,21 @@ def brute_rule(url):
     return host, path, best and best[1] + best[2], best and best[0]
 
 
+def test_url_rules_are_pruned_before_they_are_bounded(spark):
+    # a to d always come together: 15 rules of confidence 1, 11 of them redundant; e is sure by 0.95 only
+    rows = [(["a", "b", "c", "d"], "block")] * 100 + [(["e"], "allow")] * 95 + [(["e"], "block")] * 5
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = U.mined_rules(labelled, max_rules=5)
+    assert {(t, v) for t, v, *_ in rules} == {(("a",), "block"), (("b",), "block"), (("c",), "block"), (("d",), "block"), (("e",), "allow")}
+    assert {r[2] for r in rules if r[0] == ("e",)} == {0.95}
+    with pytest.raises(ValueError, match="max_rules"):
+        U.mined_rules(labelled, max_rules=4)
+    long = "x" * 70
+    page = spark.createDataFrame([(f"http://{long}.com/{long}1/{long}2",)], "url string")
+    tokens = page.select(U.tokens_of(F.col("url"), U.host_of(F.col("url")), U.path_of(F.col("url")))).first()[0]
+    assert {f"host:{long}", f"path:{long}1", f"path:{long}2"} <= set(tokens)
+
+
 def test_url_rules_and_mining(spark, sf_dir):
     odd = ["http://NET/", "https://a.b.net", "x://evilnet/", "https://Example.Com/de/1?x=//", "nothing", None, "", "://example.net/en/", "https://shop.org/fr/a.html#z", "a://b://net/", "http://É.net/x"]
     urls = [r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()] + odd + odd[:3]
