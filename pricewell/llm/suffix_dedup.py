@@ -1,13 +1,15 @@
-"""Removal of byte strings that an earlier document holds, by prefix doubling over chosen positions.
+"""Removal of byte strings that an earlier document holds, by winnowed hash names in two rounds.
 
 Names of 2, 4, 8, 16 and 32 bytes come from pairs of names at offsets 1, 2, 4, 8 and 16. A suffix array of every
 position would sort as many rows as there are bytes, at each offset; so the positions are thinned first:
 of the 32-byte names within each 50-byte string the least stands for it, the same in each document. A
-maximal run of strings that it stands for is a segment. Spark sorts the pairs (32-byte name, name of the
-segment) and ranks them by document: names that one document alone has are unique and leave; a segment
-that an earlier document has too is a repeat; the segments still open go on to offset 50, where Spark
-sorts the pairs (32-byte name, 50-byte name) of each of their positions. The result is that of the
-full array, since equal 50-byte strings have equal names at every step.
+maximal run of strings that it stands for is a segment. Pairs (32-byte name, name of the segment) are dealt
+to tasks by the exchange, and numpy sorts and groups them inside mapInArrow: names that one document alone
+has are unique and leave; a segment that an earlier document has too is a repeat; the segments still open
+go on to offset 50, where the pairs (32-byte name, 50-byte name) of each of their positions are sorted the
+same way. This replaces the plain method, in which Spark sorts pairs of position and rank at growing
+offsets and ranks them again: names are hashes, no rank is carried on, and there is no Spark sort.
+The result is that of the full array, since equal 50-byte strings have equal names at every step.
 """
 
 from __future__ import annotations
