@@ -224,7 +224,7 @@ def block_links(members: DataFrame, percent: int) -> DataFrame:
 def _links(rep, label, n, tokens, sizes, percent) -> list[tuple[int, int]]:
     _, column = np.unique(tokens, return_inverse=True)
     row = np.repeat(np.arange(len(rep)), sizes)
-    common = np.zeros((len(rep), len(rep)), np.float32)
+    common = np.zeros((len(rep), len(rep)))  # 100 times a count must stay exact
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):  # some shingles at a time

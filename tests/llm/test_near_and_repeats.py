@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from pricewell.llm import exchange, ngram_join
@@ -161,3 +162,15 @@ def test_queries_equal_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op4_ngram_join(spark, sf_dir).collect()} == brute_components(rows)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op10_suffix_dedup(spark, sf_dir).collect()} == brute_repeats([(d, t.encode()) for d, t in rows])
+
+
+def test_links_at_the_threshold_of_long_texts():
+    # 100 * common is no float32 here: it would be rounded under the exact threshold
+    k = next(k for k in range(671_100, 700_000, 3) if int(np.float32(100 * k)) < 100 * k)
+    total = 7 * k // 3
+    size = np.array([total // 2, total - total // 2])
+    assert 100 * k == 75 * (total - k)
+    tokens = np.concatenate([np.arange(size[0]), np.arange(size[0] - k, total - k)])
+    args = np.array([4, 9]), np.array([4, 9])
+    assert ngram_join._links(*args, size, tokens, size, 75) == [(4, 9)]
+    assert ngram_join._links(*args, size + 1, tokens, size, 75) == []
