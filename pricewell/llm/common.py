@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType, NullType
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,10 +22,15 @@ def tokenizer_path(name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in spark.checkpoint.dir; a temporary one only where the cluster names none (tests)."""
+    """Use the shared folder in spark.checkpoint.dir. Without one there is an error, since a folder of this machine
+    would be missed by executors on others; only a local master, which has no others, falls back to its own.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pricewell-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pricewell-"))
 
 
 #: Shuffle files of a query go when it ends.
@@ -47,6 +58,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_ids(df: DataFrame, id_col: str) -> None:
+    """TypeError before any job starts if the ids are not whole numbers: these operators compare and order ids as such."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{id_col} must be a column of whole numbers, not {kind.simpleString()}")
+
+
+def text_slices(batches, column: int = 0, most: int = 600_000) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, so many bytes of text at a time, or one row if that has more."""
+    for b in batches:
+        c = b.column(column)
+        end = np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + most, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run):
+    """A function of mapInArrow that gives freed memory back when its partition ends: Spark keeps idle Python
+    workers, and what one stage has used would else stand beside the needs of the next."""
+
+    def trimmed(batches, *args, **more):
+        try:
+            yield from run(batches, *args, **more)
+        finally:
+            _trim()
+
+    return trimmed
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

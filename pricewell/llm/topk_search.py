@@ -5,23 +5,28 @@ are those of the greatest inner product. Each vector is keyed by its nearest piv
 it; equal shares of a pivot's vectors in order of distance form its annuli, and large annuli are cut into
 chunks. A query starts with the annuli around its own distance, which gives it a k-th score to beat, and
 then goes to those annuli only that the triangle inequality does not exclude.
+
+Vectors and queries of a chunk meet by one shuffle on (annulus, chunk), sorted so that a task reads a chunk's
+vectors first and then its queries in batches: neither is collected into a row, and nothing that grows with
+the table is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, whole_ids, shuffle_partitions
 
-#: At most this many pivots, and annuli of one pivot: a bound of the table of annuli at any size.
-PIVOTS, ANNULI = 16, 8
-#: Vectors in a chunk, queries in a block.
-CHUNK, BLOCK = 4096, 512
+#: At least and at most so many pivots, and annuli of one pivot. Between these they grow with the table; at most
+#: PIVOTS[1] * ANNULI[1] annuli are known to the driver and to each task.
+PIVOTS, ANNULI = (16, 256), (2, 64)
+#: Numbers in a chunk of vectors, at least and at most; between these a partition gets about two chunks.
+CHUNK_NUMBERS = (1 << 17, 1 << 20)
+#: Cells of a matrix of scores or distances that a task makes at once.
+CELLS = 1 << 22
 #: Inner products of integers up to this size are exact in 64-bit floats.
 EXACT = 2.0**53
 LONG = (1 << 63) - 1
@@ -73,49 +78,58 @@ class Index:
         return np.sqrt(np.maximum(d, 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS, annuli: int = ANNULI) -> DataFrame:
+def _between(x: int, bounds: tuple[int, int]) -> int:
+    return max(bounds[0], min(bounds[1], x))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", pivots: tuple[int, int] = PIVOTS, annuli: tuple[int, int] = ANNULI, chunk_numbers: tuple[int, int] = CHUNK_NUMBERS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k greatest scores among the vectors of other ids, ties to
     the smaller id; all, if there are fewer.
 
     The score is the inner product of floor(scale * x). Rows whose vector or id is null, or with a component
     that is null or not finite, take no part. Vectors of different lengths are compared as if filled with
-    zeros. Ids are taken to be unique: rows of one id count as that many vectors, and a query with a repeated
-    id is answered once. No vectors or no queries: no rows.
+    zeros. Ids must be whole numbers, else TypeError; they are taken to be unique: rows of one id count as
+    that many vectors, and a query with a repeated id is answered once, by its smallest vector. No vectors or
+    no queries: no rows. Other columns are not read.
     """
+    spark = vectors.sparkSession
+    whole_ids(vectors, id_col)
+    whole_ids(queries, id_col)
     table = checkpointed(quantized(vectors, scale, id_col, vec_col))
-    asked = checkpointed(quantized(queries, scale, id_col, vec_col).dropDuplicates(["id"]))
+    asked = checkpointed(quantized(queries, scale, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     stats = table.unionByName(asked).agg(F.max(F.size("v")), F.max(length)).first()
-    schema = "query_id long, rank int, vec_id long, score long"
-    if stats[0] is None:
-        return vectors.sparkSession.createDataFrame([], schema)
+    n = table.count()
+    if not n or stats[0] is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width, longest = max(1, stats[0]), stats[1] * (1 + 1e-9) + 1
-    sample = table.orderBy(F.xxhash64("id", "v"), "id").limit(pivots)  # a fixed number
-    chosen = sample.toArrow()
+    parts = shuffle_partitions(spark)
+    per_chunk = max(1, _between(n * width // (2 * parts), chunk_numbers) // width)
+    n_pivots = _between(int((n / per_chunk) ** 0.5) * 4, pivots)
+    n_annuli = _between(-(-n // (n_pivots * per_chunk)), annuli)
+    chosen = table.orderBy(F.xxhash64("id", "v"), "id").limit(n_pivots).toArrow()  # at most pivots[1] vectors
     index = Index(np.zeros((1, width + 1)), width, longest)
-    index.pivots = index.raised(_matrix(chosen["v"].combine_chunks(), width)) if chosen.num_rows else index.pivots
+    index.pivots = index.raised(_matrix(chosen["v"].combine_chunks(), width))
 
     def place(batches):
-        for b in batches:
-            d = index.distances(index.raised(_matrix(b.column(1), width)))
-            near = d.argmin(1)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(near, pa.int32()), pa.array(d[np.arange(len(near)), near], pa.float64())], names=["id", "v", "pivot", "dist"])
+        for batch in batches:
+            for b in _slices(batch, n_pivots + width):
+                d = index.distances(index.raised(_matrix(b.column(1), width)))
+                near = d.argmin(1)
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(near, pa.int32()), pa.array(d[np.arange(len(near)), near], pa.float64())], names=["id", "v", "pivot", "dist"])
 
     placed = checkpointed(table.mapInArrow(place, "id long, v array<double>, pivot int, dist double"))
-    cuts = placed.groupBy("pivot").agg(F.percentile_approx("dist", [i / annuli for i in range(1, annuli)], 1000).alias("cuts"))
+    cuts = placed.groupBy("pivot").agg(F.percentile_approx("dist", [i / n_annuli for i in range(1, n_annuli)] or [0.5], 1000).alias("cuts"))
     # one row for each pivot
-    ringed = placed.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("dist"))))
-    ringed = ringed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(1 << 16)))
-    rings = ringed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("m")).toArrow()  # at most pivots * annuli rows
-    ring_pivot, ring_no = rings["pivot"].to_numpy(), rings["ring"].to_numpy()
-    lo, hi, size = rings["lo"].to_numpy(), rings["hi"].to_numpy(), rings["m"].to_numpy()
-    # a large annulus is split by a hash into chunks of about CHUNK vectors
-    parts = np.maximum(1, -(-size // CHUNK))
-    count = F.create_map(*[x for p, r, n in zip(ring_pivot, ring_no, parts, strict=True) if n > 1 for x in (F.lit(int(p) * annuli + int(r)), F.lit(int(n)))]) if (parts > 1).any() else None
-    number = F.col("pivot") * annuli + F.col("ring")
-    of = F.coalesce(F.element_at(count, number), F.lit(1)) if count is not None else F.lit(1)
-    chunks = checkpointed(ringed.select(number.alias("ring"), F.pmod("chunk", of).alias("chunk"), "id", "v").groupBy("ring", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows")))
-    ring_id = ring_pivot.astype(np.int64) * annuli + ring_no
+    number = F.col("pivot").cast("long") * (n_annuli + 1) + F.size(F.filter("cuts", lambda c: c < F.col("dist")))
+    ringed = placed.join(F.broadcast(cuts), "pivot").select(number.alias("ring"), "id", "v", "dist")
+    rings = ringed.groupBy("ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count("*").alias("m")).toArrow()  # at most pivots[1] * (annuli[1] + 1) rows
+    ring_id, lo, hi, size = (rings[c].to_numpy() for c in ("ring", "lo", "hi", "m"))
+    ring_pivot = ring_id // (n_annuli + 1)
+    # a large annulus, such as one of equal vectors, is split by a hash of the id
+    cut = np.maximum(1, -(-size // per_chunk))
+    chunks = F.broadcast(spark.createDataFrame(pa.table({"ring": ring_id, "chunks": cut})))
+    celled = ringed.join(chunks, "ring").select("ring", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.lit(0).alias("side"), "id", "v", F.lit(None).cast("long").alias("floor"))
 
     def bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each query and annulus: the least distance there can be, and the greatest score that goes with it."""
@@ -126,56 +140,81 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         return gap, ((q * q).sum(1)[:, None] + longest - gap * gap) / 2 * (1 + 1e-9) + 1
 
     def first(batches):
-        for b in batches:
-            q = _matrix(b.column(1), width)
-            gap, _ = bounds(q)
-            order = np.argsort(gap, 1, kind="stable")
-            # the nearest annuli that hold more than k vectors in all
-            filled = np.cumsum(size[order], 1)
-            take = (filled <= k).sum(1) + 1
-            yield _expanded(b, [ring_id[o[:t]] for o, t in zip(order, take, strict=True)], None)
+        for batch in batches:
+            for b in _slices(batch, len(ring_id) + n_pivots):
+                gap, _ = bounds(_matrix(b.column(1), width))
+                order = np.argsort(gap, 1, kind="stable")
+                # the nearest annuli that hold more than k vectors in all
+                filled = np.cumsum(size[order], 1)
+                take = (filled <= k).sum(1) + 1
+                yield from sent(b, [o[:t] for o, t in zip(order, take, strict=True)])
 
     def rest(batches):
-        for b in batches:
-            q = _matrix(b.column(1), width)
-            gap, most = bounds(q)
-            floor = np.array([-LONG - 1 if x is None else x for x in b.column(2).to_pylist()], np.float64)
-            yield _expanded(b, [ring_id[m >= f] for m, f in zip(most, floor, strict=True)], b.column(2))
-
-    def _expanded(b, rings_, floor):
-        n = np.array([len(r) for r in rings_])
-        at = pa.array(np.repeat(np.arange(len(n)), n))
-        ring = pa.array(np.concatenate([*rings_, np.zeros(0, np.int64)]).astype(np.int64), pa.int64())
-        return pa.record_batch([b.column(0).take(at), b.column(1).take(at), (floor if floor is not None else pa.nulls(len(n), pa.int64())).take(at), ring], names=["id", "v", "floor", "ring"])
-
-    expanded = "id long, v array<double>, floor long, ring long"
-
-    def scores(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                row = b.slice(r, 1)
-                qs, vs = (row.column(c).flatten() for c in ("asks", "rows"))
-                qid, vid = qs.field("id").to_numpy(), vs.field("id").to_numpy()
-                s = products(_matrix(qs.field("v"), width), _matrix(vs.field("v"), width))
-                floor = np.array([-LONG - 1 if x is None else x for x in qs.field("floor").to_pylist()], np.int64)
-                out = []
-                for i in range(len(qid)):
-                    at = np.flatnonzero((s[i] >= floor[i]) & (vid != qid[i]))
-                    if len(at) > k:  # ids ascend, so equal scores stay in their order
-                        at = at[np.argsort(~s[i][at], kind="stable")[:k]]
-                    out.append((np.full(len(at), qid[i]), vid[at], s[i][at]))
-                yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+        for batch in batches:
+            for b in _slices(batch, len(ring_id) + n_pivots):
+                _, most = bounds(_matrix(b.column(1), width))
+                yield from sent(b, [np.flatnonzero(m >= f) for m, f in zip(most, _floors(b.column(2)).astype(np.float64), strict=True)])
+
+    def sent(b, to):
+        """Each query once for every chunk of the annuli it goes to."""
+        for i in range(b.num_rows):
+            ring, times = ring_id[to[i]], cut[to[i]]
+            at = np.repeat(ring, times)
+            chunk = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            row = pa.array(np.full(len(at), i))
+            yield pa.record_batch([pa.array(at, pa.int64()), pa.array(chunk, pa.int64()), pa.array(np.ones(len(at), np.int32)), *[b.column(c).take(row) for c in range(3)]], names=["ring", "chunk", "side", "id", "v", "floor"])
+
+    def scores(batches):
+        key, ids, rows, waiting = None, None, None, []
+        for batch in batches:
+            ring, chunk, side = (batch.column(c).to_numpy() for c in range(3))
+            edge = np.flatnonzero((np.diff(ring) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
+            for i, j in zip([0, *edge], [*edge, batch.num_rows], strict=True):
+                if i == j:
+                    continue
+                part = batch.slice(i, j - i)
+                if key != (ring[i], chunk[i]):
+                    key, waiting, ids = (ring[i], chunk[i]), [], None
+                if side[i] == 0:
+                    waiting.append((part.column(3).to_numpy(), _matrix(part.column(4), width)))
+                    continue
+                if waiting:
+                    ids, rows, waiting = np.concatenate([x for x, _ in waiting]), np.concatenate([x for _, x in waiting]), []
+                if ids is not None:
+                    for b in _slices(part, len(ids)):
+                        yield _best_of(b, ids, rows, k, width)
 
     def scored(asks: DataFrame) -> DataFrame:
-        # blocks of queries of one annulus against each of its chunks
-        blocks = asks.groupBy("ring", F.expr(f"pmod(xxhash64(id), {max(1, n_asked // BLOCK)})").alias("block")).agg(F.collect_list(F.struct("id", "v", "floor")).alias("asks"))
-        return blocks.join(chunks, "ring").select("asks", "rows").mapInArrow(scores, "query_id long, vec_id long, score long")
-
-    n_asked = asked.count()
-    start = scored(asked.mapInArrow(first, expanded))
-    kth = _best(start, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    floors = asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left").select("id", "v", "floor")
-    return _best(scored(checkpointed(floors).mapInArrow(rest, expanded)), k).select("query_id", "rank", "vec_id", "score")
+        met = celled.unionByName(asks).repartition(parts, "ring", "chunk").sortWithinPartitions("ring", "chunk", "side", "id")
+        return met.mapInArrow(scores, "query_id long, vec_id long, score long")
+
+    asking = "ring long, chunk long, side int, id long, v array<double>, floor long"
+    start = scored(asked.withColumn("floor", F.lit(None).cast("long")).repartition(parts, "id").mapInArrow(first, asking))
+    kth = _best(start, k).groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    floors = checkpointed(asked.join(kth, "id", "left").select("id", "v", "floor"))
+    return _best(scored(floors.repartition(parts, "id").mapInArrow(rest, asking)), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _slices(b: pa.RecordBatch, cells: int) -> list[pa.RecordBatch]:
+    """Parts of a batch, so that a matrix with so many cells for a row stays small."""
+    step = max(1, CELLS // max(1, cells))
+    return [b.slice(i, step) for i in range(0, b.num_rows, step)]
+
+
+def _floors(column: pa.Array) -> np.ndarray:
+    return np.array([-LONG - 1 if x is None else x for x in column.to_pylist()], np.int64)
+
+
+def _best_of(asks: pa.RecordBatch, ids: np.ndarray, rows: np.ndarray, k: int, width: int) -> pa.RecordBatch:
+    """The k best of one chunk for each query that reach its floor; ids ascend, so equal scores stay in their order."""
+    qid, s, floor = asks.column(3).to_numpy(), products(_matrix(asks.column(4), width), rows), _floors(asks.column(5))
+    out = []
+    for i in range(len(qid)):
+        at = np.flatnonzero((s[i] >= floor[i]) & (ids != qid[i]))
+        if len(at) > k:
+            at = at[np.argsort(~s[i][at], kind="stable")[:k]]
+        out.append((np.full(len(at), qid[i]), ids[at], s[i][at]))
+    return pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

@@ -212,8 +212,30 @@ def test_search_equals_brute_force(spark, shape):
         "huge": [(i, (rng.normal(0, 1e7, 3)).tolist()) for i in range(40)],
     }[shape]
     table = spark.createDataFrame([(i, v, 1) for i, v in rows] + [(-1, None, 1), (None, [1.0], 1), (-2, [1.0, float("nan")], 1), (-3, [None, 1.0], 1), (-4, [float("inf")], 1)], "vec_id long, embedding array<double>, score int")
-    got = {tuple(r) for r in K.search(table, table.where("vec_id % 20 = 0")).collect()}
-    assert got == brute_top(rows, {i for i, _ in rows if i % 20 == 0})
+    for sizes in ({}, {"pivots": (3, 5), "annuli": (2, 3), "chunk_numbers": (40, 40)}):  # one chunk an annulus, and several
+        got = {tuple(r) for r in K.search(table, table.where("vec_id % 20 = 0"), **sizes).collect()}
+        assert got == brute_top(rows, {i for i, _ in rows if i % 20 == 0})
+
+
+def test_search_repeated_and_text_ids(spark):
+    table = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (3, [1.0]), (3, [1.0]), (4, [-1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in K.search(table, table.where("vec_id = 20")).orderBy("rank").collect()]
+    assert got == [(20, 1, 3, 4096), (20, 2, 3, 4096), (20, 3, 4, -4096)]
+    text = table.selectExpr("cast(vec_id AS string) AS vec_id", "embedding")
+    with pytest.raises(TypeError, match="whole numbers"):
+        K.search(text, text)
+
+
+def test_search_broadcasts_only_tables_of_bounded_size(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = queries.op7_topk_search(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = [y for x, y in zip(plan.splitlines(), plan.splitlines()[1:]) if "BroadcastExchange" in x]
+    # the cuts of the pivots, and the numbers of chunks of the annuli
+    assert len(below) <= 2 and all("cuts#" in x or "chunks#" in x for x in below)
+
 
 
 def test_search_empty(spark, sf_dir):
