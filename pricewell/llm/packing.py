@@ -9,55 +9,97 @@ from __future__ import annotations
 
 import struct
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import tokenizer_path
+from .common import lean, text_slices, tokenizer_path
 
 VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
+#: Windows that a task keeps open at most, and so the tokens that it holds: CAPACITY times as many.
+MOST_OPEN = 1024
 
 
 class WordIds(dict):
     """word -> its ids as little-endian 32-bit integers, as the tokenizers library gives them.
 
     The vocabulary lower-cases, drops white space, and starts a new pre-token where punctuation follows a
-    letter, so words between blanks, and the marks at a word's end, are encoded by themselves. At most `cap`
-    words are kept.
+    letter, so words between blanks, and the marks at a word's end, are encoded by themselves. A text with
+    one of the vocabulary's special strings goes through the library whole: those are found before words are.
+    At most `cap` words are kept, about 200 bytes each; others are encoded anew in each slice.
     """
 
     #: Marks that may end a word. The apostrophe starts pre-tokens of its own.
     ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Longest word kept; words encoded in one call.
+    LONGEST, TOGETHER = 60, 256
 
-    def __init__(self, path: str, cap: int = 900_000):
+    def __init__(self, path: str, cap: int = 400_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.cap, self.tokenizer = cap, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.encode_one = self.tokenizer.encode
-        self[""] = b""
-
-    def __missing__(self, word: str) -> bytes:
-        stem = word.rstrip(self.ENDS)
-        if stem != word and stem and (stem[-1].isalpha() and stem.isascii()):
-            out = self[stem] + self[word[len(stem) :]]
-        else:
-            ids = self.encode_one(word, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < self.cap and len(word) < 60:
-            self[word] = out
-        return out
+        self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: ids that end a pre-token; the ids of many words in one call are told apart by them
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def encode_one(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. Words that are not kept yet are encoded together, once for all the texts."""
+        whole = [self.whole(x) for x in texts]
+        words = [() if w else self.words(x) for x, w in zip(texts, whole, strict=True)]
+        known = self.learnt({w for some in words for w in some} - self.keys())
+        found = self.__getitem__ if not known else lambda w: self.get(w) or known.get(w, b"")
+        return [self.encode_one(x) if w else b"".join(map(found, some)) for x, w, some in zip(texts, whole, words, strict=True)]
 
     def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
+    def whole(self, text: str | None) -> bool:
+        return bool(text) and "|>" in text and any(x in text.lower() for x in self.special)
+
+    @staticmethod
+    def words(text: str | None) -> list[str]:
         text = (text or "").replace("\n", " ")
         if "Σ" not in text:  # a final sigma depends on its word, which the library does not look at
             text = text.lower()
-        return b"".join(map(self.__getitem__, text.split(" ")))
+        return text.split(" ")
+
+    def learnt(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of new words. Those that there is room for are kept, and left out if all are."""
+        stems = {}
+        for w in words:
+            stem = w.rstrip(self.ENDS)
+            stems[w] = len(stem) if stem != w and stem and stem[-1].isalpha() and stem.isascii() else len(w)
+        parts = {w[:n] for w, n in stems.items()} | {w[n:] for w, n in stems.items()}
+        ids = {x: self[x] for x in parts & self.keys()}
+        ids |= self.encoded([x for x in parts if x not in ids])
+        out = {w: ids[w[:n]] + ids[w[n:]] if n < len(w) else ids[w] for w, n in stems.items()}
+        fit = [x for x in (*(p for p in parts if p not in words), *out) if len(x) < self.LONGEST]
+        room = self.cap - len(self)
+        self.update((x, out[x] if x in out else ids[x]) for x in fit[:room])
+        return out
+
+    def encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts of words: of those that are letters only, and so one pre-token each, many in a call."""
+        plain = [x for x in parts if x.isalpha() and (x.isascii() or is_normalized("NFC", x)) and "Σ" not in x]
+        out = {}
+        for i in range(0, len(plain), self.TOGETHER):
+            some = plain[i : i + self.TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) == len(some):
+                out |= {x: ids[j:k].tobytes() for x, j, k in zip(some, [0, *end[:-1]], end, strict=True)}
+        return out | {x: self.encode_one(x) for x in parts if x not in out}
 
 
 @lru_cache(maxsize=2)
@@ -69,7 +111,7 @@ def shared_words(path: str) -> WordIds:
 class Packer:
     """Open windows by fill level; windows that are full leave at once."""
 
-    def __init__(self, capacity: int = CAPACITY, most_open: int = 1024):
+    def __init__(self, capacity: int = CAPACITY, most_open: int = MOST_OPEN):
         self.capacity, self.most_open = capacity, most_open
         self.count = np.zeros(capacity + 1, np.int64)
         self.at: dict[int, list[list]] = {}
@@ -126,19 +168,23 @@ class Packer:
         return out
 
 
-def packed(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", most_open: int = MOST_OPEN) -> DataFrame:
     """One row per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is its tokens and then end_id; null and empty texts are end_id alone. Documents longer than
     a window are cut into whole windows and a rest, and the rest is packed. Rows with null or repeated ids
-    are packed each. Other columns are not read. sequence_id is unique over all tasks.
+    are packed each. Other columns are not read. sequence_id is unique over all tasks. The ids are those that
+    the library gives by default: special strings in a text become their ids. A task that has more than
+    most_open windows open cuts and joins what is in them, as at its end: no token is lost, but up to one
+    document a window is cut that the rule alone would leave whole.
     """
     path = vocabulary_path or tokenizer_path(VOCABULARY)
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
+    @lean
     def run(batches):
-        coder, packer = shared_words(path), Packer(capacity)
+        coder, packer = shared_words(path), Packer(capacity, most_open)
         number = TaskContext.get().partitionId() << 32
 
         def rows(windows):
@@ -155,17 +201,15 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
         key_type, end = None, struct.pack("<I", end_id)
-        for b in batches:
-            key_type = b.schema.field(0).type
-            for at in range(0, b.num_rows, 500):
-                part, done = b.slice(at, 500), []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = coder.encode(text) + end
-                    n = len(ids) // 4
-                    for start in range(0, n, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        done += packer.add((key, start, piece, n), len(piece) // 4)
-                yield rows(done)
+        for part in text_slices(batches, 1):
+            key_type, done = part.schema.field(0).type, []
+            for key, ids in zip(part.column(0).to_pylist(), coder.encode_all(part.column(1).to_pylist()), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start in range(0, n, capacity):
+                    piece = ids[4 * start : 4 * (start + capacity)]
+                    done += packer.add((key, start, piece, n), len(piece) // 4)
+            yield rows(done)
         if key_type is not None:
             yield rows(packer.joined(True))
 

@@ -16,7 +16,7 @@ from pricewell.llm.common import tokenizer_path
 from pricewell.llm.prefix_bpe import PrefixBpe
 from pricewell.llm.queries import op2_token_counts, op5_byte_bpe, op8_packing
 
-TEXTS = ["", " ", "  two  spaces ", "a\nb\n\n c", "Hello, world! 12,345.6", "é ñ ß ﬁ", "日本語 テキスト", "a\tb  \r\n c", "▁x ▁▁y", "don't we'll 'tis", "x" * 300, "word " * 200, "<|endoftext|> <s> <unk>", "\x00\x01 z", "🙂🙃 ok", "ΣΑΣ Σ. ΟΔΟΣ", "w*** x&&& y$$$", "  　 y", "end. \n \n"]
+TEXTS = ["", " ", "  two  spaces ", "a\nb\n\n c", "Hello, world! 12,345.6", "é ñ ß ﬁ", "日本語 テキスト", "a\tb  \r\n c", "▁x ▁▁y", "don't we'll 'tis", "x" * 300, "word " * 200, "<|endoftext|> <s> <unk>", "hello <|endoftext|> world", "<|startoftext|>x", "hello<|endoftext|>", "a<|endoftext|>,<|startoftext|>!", "<|EndOfText|> <|endoftext|", "<|endof\ntext|>", "\x00\x01 z", "🙂🙃 ok", "ΣΑΣ Σ. ΟΔΟΣ", "w*** x&&& y$$$", "  　 y", "end. \n \n"]
 ROWS = [(i, t, f"s{i}", "clash") for i, t in enumerate(TEXTS)] + [(90, None, "s", "clash"), (91, "same", "s", "c"), (91, "same", "s", "c"), (None, "null id", "s", "c")]
 
 
@@ -38,9 +38,7 @@ def tik():
 def hf():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path(K.VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(K.VOCABULARY))
 
 
 @pytest.fixture(scope="module")
@@ -74,12 +72,21 @@ def test_ids_of_any_text(tik, text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
+@given(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "word,", " ", "'s", "café", "e\u0301", "ΑΣ", "12"]))).map("".join))
 def test_word_ids_of_any_text(hf, text):
     words = K.shared_words(tokenizer_path(K.VOCABULARY))
     assert np.frombuffer(words.encode(text), "<u4").tolist() == hf.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_with_and_without_room(hf):
+    for cap in (0, 5, 10_000):
+        words = K.WordIds(tokenizer_path(K.VOCABULARY), cap)
+        for _ in range(2):
+            got = words.encode_all([*TEXTS, None])
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [hf.encode(t, add_special_tokens=False).ids for t in [*TEXTS, ""]]
+        assert len(words) <= cap
+
+
 def test_appends_and_edits_keep_the_table():
     bpe = PrefixBpe({b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"abab": 4, b"aa": 5, b"bb": 6, b"abb": 7})
     rng = random.Random(3)
