@@ -15,14 +15,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .common import lean, shuffle_partitions
 from .word_hash import mixed
 
 #: Names kept until they are packed; owners in one task from which a name is hot.
-FLUSH, HOT = 1_500_000, 256
+FLUSH, HOT = 750_000, 256
 NAMES, REPLY, HOT_NAMES = 0, 1, 2
 PACKED = "bucket int, kind int, n int, a binary, b binary, owner binary, owners binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("a", "b", "owner", "owners")]])
+#: Names that a task sorts at once, about: 24 bytes each, and their copies while they are sorted.
+NAMES_IN_BUCKET = 1_500_000
 #: Replies on their way: those of many owners in a row. to: where the owners' replies meet; sizes in bytes.
 SENT = "to int, owners binary, open binary, sizes binary, data binary"
 _SENT = pa.schema([("to", pa.int32()), *[(x, pa.binary()) for x in ("owners", "open", "sizes", "data")]])
@@ -162,16 +166,16 @@ def replies(owner: np.ndarray, records: np.ndarray, is_open: np.ndarray, buckets
     if not len(owner):
         return
     to = (mixed(owner.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-    order = np.lexsort((is_open, owner, to))
-    to, owner, records, is_open = to[order], owner[order], np.ascontiguousarray(records[order]), is_open[order]
-    starts = _starts(to, owner, is_open)
-    sizes = (np.diff(np.append(starts, len(owner))) * records.dtype.itemsize).astype("<u4")
-    owner, is_open, place = owner[starts].astype("<i8"), is_open[starts].astype(np.uint8), to[starts]
-    cuts = _starts(place)
+    by_place = np.argsort(to, kind="stable")
+    cuts = np.append(_starts(to[by_place]), len(to))
     rows = []
-    for i, j in zip(cuts, np.append(cuts[1:], len(place)), strict=True):
-        x, y = starts[i], starts[j] if j < len(starts) else len(records)
-        rows.append((int(place[i]), owner[i:j].tobytes(), is_open[i:j].tobytes(), sizes[i:j].tobytes(), records[x:y].tobytes()))
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):  # one place at a time, so that copies stay small
+        at = by_place[x:y]
+        at = at[np.lexsort((is_open[at], owner[at]))]
+        some, flag = owner[at], is_open[at]
+        starts = _starts(some, flag)
+        sizes = (np.diff(np.append(starts, len(at))) * records.dtype.itemsize).astype("<u4")
+        rows.append((int(to[at[0]]), some[starts].astype("<i8").tobytes(), flag[starts].astype(np.uint8).tobytes(), sizes.tobytes(), records[at].tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
@@ -201,17 +205,27 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(batches: list[pa.RecordBatch], kind: int):
-    a, b, owner = [], [], []
-    for batch in batches:
-        for r in batch.filter(pc.equal(batch.column(1), kind)).to_pylist():
+    """The names of this kind, of which the batches are given up as they are read."""
+    a, b, owner, rest = [], [], [], []
+    while batches:
+        batch = batches.pop()
+        of_kind = pc.equal(batch.column(1), kind)
+        rest.append(batch.filter(pc.invert(of_kind)))
+        for r in batch.filter(of_kind).to_pylist():
             table = np.frombuffer(r["owners"], "<i8")
             index = np.frombuffer(r["owner"], "<u2" if len(table) < 1 << 16 else "<u4")
             a.append(unplanes(r["a"], r["n"]))
             owner.append(table[index])
             if r["b"] is not None:
                 b.append(unplanes(r["b"], r["n"]))
-    join = lambda x: np.concatenate(x) if x else None
-    return join(a), join(b), join(owner)
+    batches += [x for x in rest if x.num_rows]
+    return _joined(a), _joined(b), _joined(owner)
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray | None:
+    out = np.concatenate(arrays) if arrays else None
+    arrays.clear()
+    return out
 
 
 def _passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -273,8 +287,40 @@ def count_owners(batches: Iterator[pa.RecordBatch], width: int, buckets: int) ->
     yield from replies(owner[keep], counted_names(a[keep], count[keep]), np.ones(int(keep.sum()), bool), buckets)
 
 
+def one_by_one(rank):
+    """rank() on each run of rows with the same first column, so that a task holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, at = [], None
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            edges = (np.flatnonzero(np.diff(key)) + 1).tolist()
+            for i, j in zip([0, *edges], [*edges, len(key)], strict=True):
+                if i < j:
+                    if waiting and key[i] != at:
+                        yield from rank(iter(waiting))
+                        waiting = []
+                    at = key[i]
+                    waiting.append(batch.slice(i, j - i))
+        if waiting:
+            yield from rank(iter(waiting))
+
+    return lean(run)
+
+
 def exchanged(packed: DataFrame, buckets: int, width: int, rank) -> DataFrame:
-    """Deal the packed rows by bucket, one bucket to a partition, and rank each: one row (owner, taken, open)
-    for each owner that shares a name. Replies travel packed too, so that rows stay few."""
-    sent = packed.repartitionById(buckets, "bucket").mapInArrow(partial(rank, width=width, buckets=buckets), SENT)
-    return sent.repartitionById(buckets, "to").mapInArrow(gathered, REPLIES)
+    """Deal the packed rows by bucket and rank each: one row (owner, taken, open) for each owner that shares a
+    name. Replies travel packed too, so that rows stay few. A partition may have many buckets; Spark sorts them,
+    spilling where it must, and the task then holds one of them at a time."""
+    parts = min(buckets, shuffle_partitions(packed.sparkSession))
+
+    def dealt(df: DataFrame, key: str) -> DataFrame:
+        return df.repartitionById(parts, F.pmod(key, F.lit(parts))).sortWithinPartitions(key)
+
+    sent = dealt(packed, "bucket").mapInArrow(one_by_one(partial(rank, width=width, buckets=buckets)), SENT)
+    return dealt(sent, "to").mapInArrow(one_by_one(gathered), REPLIES)
+
+
+def buckets_for(names: int, least: int) -> int:
+    """So many buckets that none of them, which a task sorts at once, holds more than about NAMES_IN_BUCKET names."""
+    return max(least, -(-names // NAMES_IN_BUCKET))

@@ -22,34 +22,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, lean, shuffle_partitions, text_slices, whole_ids
 from .word_hash import BYTE, STEP, joined, mixed
 
 LENGTH, FIRST = 50, 32
 #: Bytes of a name that are sent.
 WIDTH = 5
-SLICE = 1_500_000
 LAST = (1 << 63) - 1
 _BACK = np.uint64(pow(int(STEP), -1, 1 << 64))
 _OFFSET_STEPS = tuple(np.uint64(x) for x in np.random.default_rng(5).integers(0, 1 << 62, 5) * 2 + 1)
 
 
+def _power_list(step: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, step, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = {int(x): _power_list(x, 1 << 20) for x in (STEP, _BACK)}
+
+
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    """The first n powers; those of a very long text are made for it alone."""
+    return _POWERS[int(step)][:n] if n <= 1 << 20 else _power_list(step, n)
+
+
 class Names:
     """Names of the strings of some documents. Document d has the bytes bounds[d] : bounds[d + 1] - 1."""
 
-    forward = backward = np.ones(1, np.uint64)
-
     def __init__(self, parts: list[bytes], length: int = LENGTH):
         self.length = length
         self.data, self.bounds = joined(parts)
         n = len(self.data)
-        if len(Names.forward) <= n:
-            for name, step in (("forward", STEP), ("backward", _BACK)):
-                powers = np.full(n + 1, step, np.uint64)
-                powers[0] = 1
-                setattr(Names, name, np.multiply.accumulate(powers))
         value = BYTE[self.data]
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value * Names.forward[:n])])
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value * _powers(STEP, n))])
         self.first = FIRST if length >= FIRST else 1 << (length.bit_length() - 1)
         width = length - self.first + 1  # names in a string
         strings = n - length + 1
@@ -85,23 +91,12 @@ class Names:
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A name of each string data[start:end]."""
-        return mixed((self.sums[end] - self.sums[start]) * Names.backward[start] + (end - start).astype(np.uint64))
+        return mixed((self.sums[end] - self.sums[start]) * _powers(_BACK, len(self.data))[start] + (end - start).astype(np.uint64))
 
     def segments(self) -> np.ndarray:
         return self.span(self.start, self.end + self.length - 1)
 
 
-def _slices(texts: list[bytes]):
-    i, size = 0, 0
-    for j, x in enumerate(texts):
-        if j > i and size + len(x) > SLICE:
-            yield i, j
-            i, size = j, 0
-        size += len(x)
-    if texts:
-        yield i, len(texts)
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
@@ -127,46 +122,45 @@ def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> Da
     `length` bytes that also starts in a document with a smaller id, as names of strings and packed ranges.
 
     Both joins take the same columns of docs, so that Spark shuffles the texts once."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    whole_ids(docs, id_col)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    # a window of 19 names holds two chosen ones on average, so about a tenth of the bytes start a segment
+    buckets = exchange.buckets_for(size // 10, shuffle_partitions(docs.sparkSession))
     columns, at_text, at_owner = docs.columns, docs.columns.index(text_col), len(docs.columns)
     rows = docs.withColumn("_owner", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)))
 
     def name_segments(batches):
         out = exchange.Flushed(buckets, WIDTH, with_b=True)
-        for batch in batches:
-            texts, ids = _bytes(batch.column(0)), batch.column(1).to_numpy()
-            for i, j in _slices(texts):
-                names = Names(texts[i:j], length)
-                yield from out.add(names.name, names.segments(), ids[i:j][names.doc])
+        for batch in text_slices(batches):
+            names = Names(_bytes(batch.column(0)), length)
+            yield from out.add(names.name, names.segments(), batch.column(1).to_numpy()[names.doc])
         yield from out.flush()
 
     def name_strings(batches):
         """The strings of the open segments; what the first step has found goes on as it is."""
         out = exchange.Flushed(buckets, WIDTH, with_b=True)
-        for batch in batches:
+        for batch in text_slices(batches, at_text):
             texts, ids = _bytes(batch.column(at_text)), batch.column(at_owner).to_numpy()
-            taken, opened = batch.column(at_owner + 1).to_pylist(), batch.column(at_owner + 2).to_pylist()
-            for i, j in _slices(texts):
-                names = Names(texts[i:j], length)
-                if not len(names.start):
-                    continue
-                check = np.array([zlib.crc32(x) for x in texts[i:j]], np.int64)
-                have = _of_doc(names.doc, exchange.both_names(names.name, names.segments(), WIDTH))
-                gone, still = np.isin(have, _found(taken[i:j])), np.isin(have, _found(opened[i:j]))
-                still &= ~gone
-                at, doc = names.bounds[:-1], names.doc
-                ranges = np.zeros(int(gone.sum()), RANGE)
-                ranges["start"], ranges["end"], ranges["text"] = (names.start - at[doc])[gone], (names.end + length - 1 - at[doc])[gone], check[doc[gone]]
-                yield from map(out._passed, exchange.replies(ids[i:j][doc[gone]], ranges, np.ones(len(ranges), bool), buckets))
-                doc, string, name, other = _strings(names, still)
-                yield from out.add(name, other, ids[i:j][doc])
+            names = Names(texts, length)
+            if not len(names.start):
+                continue
+            check = np.array([zlib.crc32(x) for x in texts], np.int64)
+            have = _of_doc(names.doc, exchange.both_names(names.name, names.segments(), WIDTH))
+            gone, still = (np.isin(have, _found(batch.column(at_owner + c).to_pylist())) for c in (1, 2))
+            still &= ~gone
+            at, doc = names.bounds[:-1], names.doc
+            ranges = np.zeros(int(gone.sum()), RANGE)
+            ranges["start"], ranges["end"], ranges["text"] = (names.start - at[doc])[gone], (names.end + length - 1 - at[doc])[gone], check[doc[gone]]
+            yield from map(out._passed, exchange.replies(ids[doc[gone]], ranges, np.ones(len(ranges), bool), buckets))
+            doc, string, name, other = _strings(names, still)
+            yield from out.add(name, other, ids[doc])
         yield from out.flush()
 
     one = lambda c, name: F.array(c).alias(name)  # noqa: E731  at most the names of one document
-    first = checkpointed(exchange.exchanged(rows.select(text_col, "_owner").mapInArrow(name_segments, exchange.PACKED), buckets, WIDTH, exchange.rank_first))
+    first = checkpointed(exchange.exchanged(rows.select(text_col, "_owner").mapInArrow(lean(name_segments), exchange.PACKED), buckets, WIDTH, exchange.rank_first))
     first = first.select(F.col("owner").alias("_owner"), one("taken", "_taken"), one("open", "_open"))
     touched = rows.join(first, "_owner").select(*columns, "_owner", "_taken", "_open")
-    second = exchange.exchanged(touched.mapInArrow(name_strings, exchange.PACKED), buckets, WIDTH, exchange.rank_taken)
+    second = exchange.exchanged(touched.mapInArrow(lean(name_strings), exchange.PACKED), buckets, WIDTH, exchange.rank_taken)
     second = second.select(F.col("owner").alias("_owner"), one("taken", "_names"), one("open", "_ranges"))
     return rows.join(second, "_owner", "left").select(*columns, "_owner", "_names", "_ranges")
 
@@ -181,30 +175,27 @@ def _strings(names: Names, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _spans(texts: list[bytes], told: list, ranges: list, length: int) -> list[list[tuple[int, int]]]:
     """Maximal removed runs of each text."""
-    out: list[list[tuple[int, int]]] = []
-    for i, j in _slices(texts):
-        part = [x if t or r else b"" for x, t, r in zip(texts[i:j], told[i:j], ranges[i:j], strict=True)]
-        names = Names(part, length)
-        step = np.zeros(len(names.data) + 1, np.int32)
-        if len(names.start):
-            doc, string, name, other = _strings(names, np.array([bool(t and t[0]) for t in told[i:j]])[names.doc])
-            gone = np.isin(_of_doc(doc, exchange.both_names(name, other, WIDTH)), _found([t or [] for t in told[i:j]]))
-            np.add.at(step, string[gone], 1)
-            np.add.at(step, string[gone] + length, -1)
-        for k, (x, r) in enumerate(zip(part, ranges[i:j], strict=True)):
-            found = np.frombuffer(b"".join(r or []), RANGE)
-            found = found[found["text"] == zlib.crc32(x)]
-            np.add.at(step, names.bounds[k] + found["start"], 1)
-            np.add.at(step, names.bounds[k] + found["end"], -1)
-        covered = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
-        edges = np.flatnonzero(covered[1:] != covered[:-1])
-        begin, end = edges[::2], edges[1::2]
-        where = np.searchsorted(names.bounds, begin, "right") - 1
-        runs: list[list[tuple[int, int]]] = [[] for _ in part]
-        for k, a, b in zip(where.tolist(), begin.tolist(), end.tolist(), strict=True):
-            runs[k].append((a - int(names.bounds[k]), b - int(names.bounds[k])))
-        out += runs
-    return out
+    part = [x if t or r else b"" for x, t, r in zip(texts, told, ranges, strict=True)]
+    names = Names(part, length)
+    step = np.zeros(len(names.data) + 1, np.int32)
+    if len(names.start):
+        doc, string, name, other = _strings(names, np.array([bool(t and t[0]) for t in told])[names.doc])
+        gone = np.isin(_of_doc(doc, exchange.both_names(name, other, WIDTH)), _found([t or [] for t in told]))
+        np.add.at(step, string[gone], 1)
+        np.add.at(step, string[gone] + length, -1)
+    for k, (x, r) in enumerate(zip(part, ranges, strict=True)):
+        found = np.frombuffer(b"".join(r or []), RANGE)
+        found = found[found["text"] == zlib.crc32(x)]
+        np.add.at(step, names.bounds[k] + found["start"], 1)
+        np.add.at(step, names.bounds[k] + found["end"], -1)
+    covered = np.concatenate([[False], np.cumsum(step[:-1]) > 0, [False]])
+    edges = np.flatnonzero(covered[1:] != covered[:-1])
+    begin, end = edges[::2], edges[1::2]
+    where = np.searchsorted(names.bounds, begin, "right") - 1
+    runs: list[list[tuple[int, int]]] = [[] for _ in part]
+    for k, a, b in zip(where.tolist(), begin.tolist(), end.tolist(), strict=True):
+        runs[k].append((a - int(names.bounds[k]), b - int(names.bounds[k])))
+    return runs
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,24 +203,23 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     Bytes go that lie in a string of `length` bytes that also starts in a document with a smaller id; strings
     are judged on the input. Null, empty and short texts lose nothing. Rows whose id is null come after all
-    others; rows of one id, equal or not, aren't earlier than each other. Other columns are not read.
+    others; rows of one id, equal or not, aren't earlier than each other. Ids must be whole numbers, else
+    TypeError. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                texts = _bytes(part.column(1))
-                spans = _spans(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), length)
-                kept = [_without(t, s) for t, s in zip(texts, spans, strict=True)]
-                as_spans = [[{"start": x, "end": y} for x, y in s] for s in spans]
-                yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(as_spans, span_type)], names=[id_col, "n_bytes", "kept", "spans"])
+        for part in text_slices(batches, 1):
+            texts = _bytes(part.column(1))
+            spans = _spans(texts, part.column(2).to_pylist(), part.column(3).to_pylist(), length)
+            kept = [_without(t, s) for t, s in zip(texts, spans, strict=True)]
+            as_spans = [[{"start": x, "end": y} for x, y in s] for s in spans]
+            yield pa.record_batch([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(as_spans, span_type)], names=[id_col, "n_bytes", "kept", "spans"])
 
     plain = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     rows = with_repeats(plain, length, id_col, "text").select(id_col, "text", "_names", "_ranges")
-    return rows.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
+    return rows.mapInArrow(lean(cut), f"`{id_col}` {kind}, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -246,12 +236,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     rows = with_repeats(docs, length, id_col, text_col).select(*columns, "_names", "_ranges")
 
     def cut(batches):
-        for b in batches:
-            at = b.schema.get_field_index(text_col)
+        at = columns.index(text_col)
+        for b in text_slices(batches, at):
             texts = _bytes(b.column(at))
             spans = _spans(texts, b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), length)
             null = b.column(at).is_null().to_pylist()
             new = [None if z else _without(t, s).decode("utf-8", "ignore") for z, t, s in zip(null, texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(columns)])], names=columns)
 
-    return rows.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(lean(cut), docs.schema)
