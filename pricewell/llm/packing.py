@@ -23,19 +23,26 @@ VOCABULARY, END_ID, CAPACITY = "word_bpe_49k.json", 2, 4096
 MOST_OPEN = 1024
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, then others."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordIds(dict):
     """word -> its ids as little-endian 32-bit integers, as the tokenizers library gives them.
 
     The vocabulary lower-cases, drops white space, and starts a new pre-token where punctuation follows a
-    letter, so words between blanks, and the marks at a word's end, are encoded by themselves. A text with
-    one of the vocabulary's special strings goes through the library whole: those are found before words are.
-    At most `cap` words are kept, about 200 bytes each; others are encoded anew in each slice.
+    letter, so words between blanks, and the marks at a word's end, are encoded by themselves. A word of Latin
+    letters is one pre-token and goes to the merges at once. A text with one of the vocabulary's special
+    strings goes through the library whole: those are found before words are. At most `cap` words are kept,
+    under 200 bytes each; others are encoded anew.
     """
 
     #: Marks that may end a word. The apostrophe starts pre-tokens of its own.
     ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    #: Longest word kept; words encoded in one call.
-    LONGEST, TOGETHER = 60, 256
+    BYTES, LATIN_END = _byte_letters(), "\u0250"
 
     def __init__(self, path: str, cap: int = 400_000):
         from tokenizers import Tokenizer
@@ -45,61 +52,34 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values()]
-        #: ids that end a pre-token; the ids of many words in one call are told apart by them
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.merge = self.tokenizer.model.tokenize
+        self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word.rstrip(self.ENDS)
+        if stem and len(stem) < len(word) and stem[-1].isalpha() and stem.isascii():
+            out = self[stem] + self[word[len(stem) :]]
+        elif word.isalpha() and max(word) < self.LATIN_END and word == word.lower() and (word.isascii() or is_normalized("NFC", word)):
+            ids = [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.BYTES))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        else:
+            out = self.encode_one(word)
+        if len(self) < self.cap and len(word) < 60:
+            self[word] = out
+        return out
 
     def encode_one(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text. Words that are not kept yet are encoded together, once for all the texts."""
-        whole = [self.whole(x) for x in texts]
-        words = [() if w else self.words(x) for x, w in zip(texts, whole, strict=True)]
-        known = self.learnt({w for some in words for w in some} - self.keys())
-        found = self.__getitem__ if not known else lambda w: self.get(w) or known.get(w, b"")
-        return [self.encode_one(x) if w else b"".join(map(found, some)) for x, w, some in zip(texts, whole, words, strict=True)]
-
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
-
-    def whole(self, text: str | None) -> bool:
-        return bool(text) and "|>" in text and any(x in text.lower() for x in self.special)
-
-    @staticmethod
-    def words(text: str | None) -> list[str]:
-        text = (text or "").replace("\n", " ")
+        text = text or ""
+        if "|>" in text and any(x in text.lower() for x in self.special):
+            return self.encode_one(text)
+        text = text.replace("\n", " ")
         if "Σ" not in text:  # a final sigma depends on its word, which the library does not look at
             text = text.lower()
-        return text.split(" ")
-
-    def learnt(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of new words. Those that there is room for are kept, and left out if all are."""
-        stems = {}
-        for w in words:
-            stem = w.rstrip(self.ENDS)
-            stems[w] = len(stem) if stem != w and stem and stem[-1].isalpha() and stem.isascii() else len(w)
-        parts = {w[:n] for w, n in stems.items()} | {w[n:] for w, n in stems.items()}
-        ids = {x: self[x] for x in parts & self.keys()}
-        ids |= self.encoded([x for x in parts if x not in ids])
-        out = {w: ids[w[:n]] + ids[w[n:]] if n < len(w) else ids[w] for w, n in stems.items()}
-        fit = [x for x in (*(p for p in parts if p not in words), *out) if len(x) < self.LONGEST]
-        room = self.cap - len(self)
-        self.update((x, out[x] if x in out else ids[x]) for x in fit[:room])
-        return out
-
-    def encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of parts of words: of those that are letters only, and so one pre-token each, many in a call."""
-        plain = [x for x in parts if x.isalpha() and (x.isascii() or is_normalized("NFC", x)) and "Σ" not in x]
-        out = {}
-        for i in range(0, len(plain), self.TOGETHER):
-            some = plain[i : i + self.TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            end = np.flatnonzero(self.ends[ids]) + 1
-            if len(end) == len(some):
-                out |= {x: ids[j:k].tobytes() for x, j, k in zip(some, [0, *end[:-1]], end, strict=True)}
-        return out | {x: self.encode_one(x) for x in parts if x not in out}
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 @lru_cache(maxsize=2)
@@ -203,7 +183,7 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, capacity: int =
         key_type, end = None, struct.pack("<I", end_id)
         for part in text_slices(batches, 1):
             key_type, done = part.schema.field(0).type, []
-            for key, ids in zip(part.column(0).to_pylist(), coder.encode_all(part.column(1).to_pylist()), strict=True):
+            for key, ids in zip(part.column(0).to_pylist(), map(coder.encode, part.column(1).to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
