@@ -1,30 +1,29 @@
 """Jaccard join of documents on their 5-word shingles, with prefix filters under several token orders.
 
 Equal sets are one class, found by a name of the set. Of the others, two can only be similar if under every
-order of all shingles their prefixes share one: a set of n loses n - ceil(t n) shingles at most, so the
-first n - ceil(t n) + 1 can't all be missing. All orders begin with the number of sets a shingle is in,
-rarest first, and break ties by different hashes. Shingles of one set alone come first, so a set whose
-prefix holds only those is similar to none and leaves. Candidates meet in a prefix shingle of the first
-order, must meet in those of the others, and are then verified exactly.
+order of the shingles their prefixes share one: a set of n loses n - ceil(t n) shingles at most. Those of one
+set alone are always lost, so of the m that other sets have too, the first m - ceil(t n) + 1 can't all be
+missing; a set for which that is less than one is similar to none and leaves. The first order is rarest
+first; each other order is that of a hash of its own, and has nothing to do with the first. Candidates meet in
+a prefix shingle of the first order, must meet in those of the others, and are then verified exactly.
 
 Similar sets are joined to classes without listing the pairs of a group: the sets that share a shingle are
-compared with one of them, the pivot; sets already in one class need no more comparison; rounds go on until
-no two sets of different classes are left together uncompared.
+compared with a few of them, the pivots; sets already in one class need no more comparison; what is left
+together uncompared after the rounds is compared in blocks, again under all the filters.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, lean, shuffle_partitions, text_slices, whole_ids
 from .word_hash import PLACES, hashes, joined, mixed, words_of
 
 WORDS, PERCENT, ORDERS = 5, 75, 2
-SLICE = 1_500_000
 #: Bytes of a shingle's name that sets are compared by.
 NAME_BYTES = 7
 LOWER = np.arange(256, dtype=np.uint8)
@@ -61,54 +60,38 @@ def set_name(s: np.ndarray) -> int:
     return int(mixed(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def _slices(texts):
-    i, size = 0, 0
-    for j, x in enumerate(texts):
-        if j > i and size + len(x or "") > SLICE:
-            yield i, j
-            i, size = j, 0
-        size += len(x or "")
-    if texts:
-        yield i, len(texts)
-
-
 def named_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, set, n): each document's set by name, and its size; the set is null if it is empty."""
+    """(id, text_name, set, n): each document's set by name, and its size; the set is null if it is empty."""
 
     def run(batches):
-        for b in batches:
-            texts, names, sizes = b.column(1).to_pylist(), [], []
-            for i, j in _slices(texts):
-                for s in shingles(texts[i:j], words):
-                    names.append(set_name(s) if len(s) else None)
-                    sizes.append(len(s))
-            yield pa.record_batch([b.column(0), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "set", "n"])
+        for b in text_slices(batches, 1):
+            sets = shingles(b.column(1).to_pylist(), words)
+            names, sizes = [set_name(s) if len(s) else None for s in sets], [len(s) for s in sets]
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "text_name", "set", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, set long, n long")
+    return docs.select(id_col, text_col, text_name(text_col)).mapInArrow(lean(run), f"id {kind}, text_name long, set long, n long")
 
 
-def shared_shingles(docs: DataFrame, words: int, text_col: str) -> DataFrame:
+def shared_shingles(docs: DataFrame, words: int, text_col: str, buckets: int | None = None) -> DataFrame:
     """(set, shared): for each set the shingles that other sets have too, as packed (name, number of sets)."""
-    buckets = shuffle_partitions(docs.sparkSession)
+    buckets = buckets or shuffle_partitions(docs.sparkSession)
 
     def run(batches):
         out = exchange.Flushed(buckets, NAME_BYTES, with_b=False)
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in _slices(texts):
-                sets = [s for s in shingles(texts[i:j], words) if len(s)]
-                if sets:
-                    yield from out.add(np.concatenate(sets), None, np.repeat([set_name(s) for s in sets], [len(s) for s in sets]))
+        for b in text_slices(batches):
+            sets = [s for s in shingles(b.column(0).to_pylist(), words) if len(s)]
+            if sets:
+                yield from out.add(np.concatenate(sets), None, np.repeat([set_name(s) for s in sets], [len(s) for s in sets]))
         yield from out.flush()
 
-    found = exchange.exchanged(docs.select(text_col).mapInArrow(run, exchange.PACKED), buckets, NAME_BYTES, exchange.count_owners)
+    found = exchange.exchanged(docs.select(text_col).mapInArrow(lean(run), exchange.PACKED), buckets, NAME_BYTES, exchange.count_owners)
     return found.select(F.col("owner").alias("set"), F.array("open").alias("shared"))
 
 
 def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """(rep, n, tokens, p0, p1, ...): the shared shingles of each set that may be similar to another one, and
-    those in its prefix under each order. sets: (rep, n, shared)."""
+    """(rep, n, tokens, hot, p0, p1, ...): the shared shingles of each set that may be similar to another one, and
+    those in its prefix under each order; hot: those of p0 that very many sets have. sets: (rep, n, shared)."""
 
     def run(batches):
         for b in batches:
@@ -121,18 +104,19 @@ def prefixes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> D
                 length = n - -(-percent * n // 100) + 1 - (n - len(token))
                 if length < 1:
                     continue
-                keys = [np.lexsort((mixed(token * PLACES[20 + k]), count))[:length] for k in range(orders)]
-                rows.append((rep, n, token.astype(np.int64), *[token[k].astype(np.int64) for k in keys]))
-            columns = list(zip(*rows, strict=True)) or [()] * (3 + orders)
-            types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (1 + orders)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rep", "n", "tokens", *[f"p{k}" for k in range(orders)]])
+                first = np.lexsort((mixed(token * PLACES[20]), count))[:length]
+                others = [np.argsort(mixed(token * PLACES[20 + k]), kind="stable")[:length] for k in range(1, orders)]
+                rows.append((rep, n, token.astype(np.int64), token[first[count[first] >= exchange.HOT]].astype(np.int64), *[token[k].astype(np.int64) for k in (first, *others)]))
+            columns = list(zip(*rows, strict=True)) or [()] * (4 + orders)
+            types = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * (2 + orders)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["rep", "n", "tokens", "hot", *[f"p{k}" for k in range(orders)]])
 
-    return sets.select("rep", "n", "shared").mapInArrow(run, "rep long, n long, tokens array<long>, " + ", ".join(f"p{k} array<long>" for k in range(orders)))
+    return sets.select("rep", "n", "shared").mapInArrow(lean(run), "rep long, n long, tokens array<long>, hot array<long>, " + ", ".join(f"p{k} array<long>" for k in range(orders)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """The pairs (a, b) whose sets are similar. The size and the other orders' prefixes are tried first."""
-    side = lambda x: sets.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in sets.columns if c not in ("rep", "p0")])
+    side = lambda x: sets.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in sets.columns if c not in ("rep", "p0", "hot")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
     for k in range(1, orders):
@@ -164,27 +148,29 @@ def set_classes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, t
     A round looks at the groups of sets that share a prefix shingle and are not yet one class, and compares
     all with a few pivots, which then leave the group: they have met all others. The pivots are the sets
     with the least of their own, since edited copies are nearer to what they were copied from than to each
-    other. What is left together after these rounds is compared in blocks (`block_links`).
+    other. What is left together after these rounds is compared in blocks (`block_links`). Rows of a hot
+    shingle are salted, so that no join has them all in one task.
     """
     sets = checkpointed(sets)
-    members = sets.select(F.explode("p0").alias("token"), "rep", (F.size("tokens") / F.col("n")).alias("common"))
+    hot = F.array_contains("hot", F.col("token"))
+    members = sets.select(F.explode("p0").alias("token"), "rep", "hot", (F.size("tokens") / F.col("n")).alias("common")).select("token", "rep", "common", F.when(hot, F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(-1)).alias("salt"))
     labels = checkpointed(sets.select("rep", F.col("rep").alias("label")))
     first = Window.partitionBy("token").orderBy(F.desc("common"), "rep")
     for turn in range(turns + 1):
-        known = members.join(labels, "rep").select("token", "rep", "common", "label")
-        several = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("hub")).where("lo < hi")  # the others are one class
-        known = checkpointed(known.join(several.select("token", "hub"), "token"))
+        known = members.join(labels, "rep").select("token", "salt", "rep", "common", "label")
+        several = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("rep").alias("hub"), F.max("salt").alias("salt")).where("lo < hi")  # the others are one class
+        known = checkpointed(known.join(_at_each_salt(several.select("token", "salt", "hub")), ["token", "salt"]))
         if known.isEmpty():
             return labels
         if turn < turns:
             chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= pivots)
-            chosen = checkpointed(chosen.select("token", F.col("rep").alias("b"), F.col("label").alias("b_label")))
-            pairs = known.join(chosen, "token").where("label <> b_label").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
+            chosen = checkpointed(chosen.select("token", "salt", F.col("rep").alias("b"), F.col("label").alias("b_label")))
+            pairs = known.join(_at_each_salt(chosen), ["token", "salt"]).where("label <> b_label").select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
             found = verified(pairs, sets, percent, orders)
-            members = known.join(chosen.select("token", F.col("b").alias("rep")), ["token", "rep"], "left_anti").select("token", "rep", "common")
+            members = known.join(chosen.select("token", F.col("b").alias("rep")), ["token", "rep"], "left_anti").select("token", "salt", "rep", "common")
         else:
-            families = components(known.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select("rep", F.col("label").alias("family"))
-            found = block_links(families.join(labels, "rep").join(sets.select("rep", "n", "tokens"), "rep"), percent)
+            groups = remaining_groups(known).join(labels, "rep").join(sets.select("rep", "n", "tokens", *[f"p{k}" for k in range(orders)]), "rep")
+            found = block_links(groups, percent, orders)
         by_label = lambda c: labels.select(F.col("rep").alias(c), F.col("label").alias(f"l{c}"))
         joined_ = found.join(by_label("a"), "a").join(by_label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         roots = components(joined_).select(F.col("rep").alias("label"), F.col("label").alias("root"))
@@ -192,47 +178,89 @@ def set_classes(sets: DataFrame, percent: int = PERCENT, orders: int = ORDERS, t
     return labels
 
 
-BLOCK = 128
+#: Sets in a block; tasks that the rows of a hot shingle are dealt to.
+BLOCK, SALTS = 128, 64
+
+
+def _at_each_salt(rows: DataFrame) -> DataFrame:
+    """Rows of a hot shingle, which have a salt, once for each."""
+    return rows.withColumn("salt", F.explode(F.when(F.col("salt") >= 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1))).cast("array<bigint>")))
+
+
+def remaining_groups(known: DataFrame) -> DataFrame:
+    """(group_id, rep): groups within which each two sets of known that share a prefix shingle are together.
+    known: (token, rep, hub), where hub is one of the token's sets.
+
+    Either each shingle's sets are a group, or a family is: all sets that shingles chain together. In a family
+    of copies, whose sets share many shingles, one group of the family costs less; in a long chain, whose
+    sets share a few with their neighbours, groups by shingle do. The cost is that of the blocks to be sent.
+    """
+    families = checkpointed(components(known.select(F.col("rep").alias("a"), F.col("hub").alias("b"))).select("rep", F.col("label").alias("family")))
+    placed = checkpointed(known.select("token", "rep").join(families, "rep"))
+    cost = lambda n: F.col(n) * F.ceil(F.col(n) / BLOCK)
+    by_token = placed.groupBy("family", "token").agg(F.count("*").alias("m")).groupBy("family").agg(F.sum(cost("m")).alias("apart"))
+    whole = families.groupBy("family").agg(F.count("*").alias("m")).select("family", cost("m").alias("together"))
+    sparse = checkpointed(by_token.join(whole, "family").where("apart < together").select("family"))
+    group = lambda kind, c: F.xxhash64(F.lit(kind), c).alias("group_id")  # noqa: E731  two groups of one id only meet once more
+    return placed.join(sparse, "family", "left_semi").select(group(0, "token"), "rep").unionByName(families.join(sparse, "family", "left_anti").select(group(1, "family"), "rep")).distinct()
 
 
-def block_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join the classes of each family. members: (rep, family, label, n, tokens).
+def block_links(members: DataFrame, percent: int, orders: int = ORDERS) -> DataFrame:
+    """(a, b): links that join the classes of each group. members: (rep, group_id, label, n, tokens, p0, p1, ...).
 
-    A family, sets that prefix shingles chain together, is cut into blocks of about BLOCK sets, and each two
-    blocks meet in one row. A row's links are thinned to those that join classes within it, so that no more
-    leave it than it holds sets.
+    A group is cut into blocks of about BLOCK sets, and each two blocks meet in one row. A row's links are
+    thinned to those that join classes within it, so that no more leave it than it holds sets.
     """
-    count = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(count, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    blocks = cut.groupBy("family", "blocks", "block").agg(F.collect_list(F.struct("rep", "label", "n", "tokens")).alias("sets"))
+    columns = ["rep", "label", "n", "tokens", *[f"p{k}" for k in range(orders)]]
+    count = members.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    cut = members.join(count, "group_id").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    blocks = cut.groupBy("group_id", "blocks", "block").agg(F.collect_list(F.struct(*columns)).alias("sets"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = blocks.select("family", "block", "sets", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sets")
-    met = sent.groupBy("family", "i", "j").agg(F.flatten(F.collect_list("sets")).alias("sets")).select("sets")
+    sent = blocks.select("group_id", "block", "sets", other).select("group_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sets")
+    met = sent.groupBy("group_id", "i", "j").agg(F.flatten(F.collect_list("sets")).alias("sets")).select("sets")
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
                 s = b.column(0).slice(k, 1).flatten()
                 rep, label, n = (s.field(c).to_numpy() for c in ("rep", "label", "n"))
-                tokens = s.field("tokens")
-                links = _links(rep, label, n, tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy()), percent)
+                lists = [(c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())) for c in (s.field(x) for x in columns[3:])]
+                links = _links(rep, label, n, lists[0], lists[1:], percent)
                 yield pa.record_batch([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(lean(run), "a long, b long").distinct()
 
 
-def _links(rep, label, n, tokens, sizes, percent) -> list[tuple[int, int]]:
-    _, column = np.unique(tokens, return_inverse=True)
-    row = np.repeat(np.arange(len(rep)), sizes)
-    common = np.zeros((len(rep), len(rep)))  # 100 times a count must stay exact
+def _common(names: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many names each two of the lists share; list k has sizes[k] of the names."""
+    n = len(sizes)
+    _, column = np.unique(names, return_inverse=True)
+    row = np.repeat(np.arange(n), sizes)
+    common = np.zeros((n, n))  # 100 times a count must stay exact
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):  # some shingles at a time
         i, j = np.searchsorted(column, (start, start + 4096))
-        dense = np.zeros((len(rep), 4096), np.float32)
+        dense = np.zeros((n, 4096), np.float32)
         dense[row[i:j], column[i:j] - start] = 1
         common += dense @ dense.T
-    near = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (label[:, None] != label[None, :])
+    return common
+
+
+def _links(rep, label, n, tokens, prefixes_, percent) -> list[tuple[int, int]]:
+    """Links that join classes: of sets near in size whose prefixes meet under every order, those that verify."""
+    able = (label[:, None] != label[None, :]) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+    for names, sizes in prefixes_:
+        if able.any():
+            able &= _common(names, sizes) > 0
+    some = np.flatnonzero(able.any(1))
+    if not len(some):
+        return []
+    ends = np.cumsum(tokens[1])
+    names = np.concatenate([tokens[0][ends[k] - tokens[1][k] : ends[k]] for k in some])
+    common = _common(names, tokens[1][some])
+    rep, label, n = rep[some], label[some], n[some]
+    near = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & able[np.ix_(some, some)]
     up = {x: x for x in label.tolist()}
 
     def find(x):
@@ -255,18 +283,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     Words are runs of characters other than ASCII white space, A-Z lower-cased. A set is the distinct shingles
     of `words` words; fewer words are one shingle. Documents link if percent of the union is shared at least.
     Null and empty texts have no shingle and no link. A null id takes no part: its component is null. Rows of
-    one id are judged each by its own text. Other columns are not read.
+    one id are judged each by its own text. Ids must be whole numbers, else TypeError. Other columns are not read.
     """
+    found = judged(docs, words, percent, orders, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def judged(docs: DataFrame, words: int, percent: int, orders: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_name, n, component) of each row; text_name tells the texts of one id apart."""
+    whole_ids(docs, id_col)
     found = checkpointed(named_sets(docs, words, id_col, text_col))
     kept = found.where("id IS NOT NULL AND set IS NOT NULL")
     reps = checkpointed(kept.groupBy("set").agg(F.min(F.col("id").cast("long")).alias("rep"), F.max("n").alias("n")))
-    shared = shared_shingles(docs.where(F.col(id_col).isNotNull()), words, text_col).join(reps, "set")
+    buckets = exchange.buckets_for(kept.agg(F.sum("n")).first()[0] or 0, shuffle_partitions(docs.sparkSession))
+    shared = shared_shingles(docs.where(F.col(id_col).isNotNull()), words, text_col, buckets).join(reps, "set")
     labels = set_classes(prefixes(shared, percent, orders), percent, orders)
     classes = checkpointed(reps.join(labels, "rep", "left").select("set", F.coalesce("label", "rep").alias("component")))
-    return found.join(classes, "set", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("long"))).alias("component_id"))
+    return found.join(classes, "set", "left").select("id", "text_name", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("long"))).alias("component"))
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
+    """docs with one document of each component, that with the least id. Rows with a null id stay.
+
+    Rows of one id are judged each by its own text: only those whose text is a copy go. Of a component's least
+    id all rows stay.
+    """
+    found = judged(docs, words, percent, orders, id_col, text_col).where("component <> id")
+    gone = found.select(F.col("id").alias("_id"), "text_name").distinct()
+    mine = (F.col(id_col) == F.col("_id")) & (text_name(text_col) == F.col("text_name"))
+    return docs.join(gone, mine, "left_anti").select(*docs.columns)
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that with the least id. Rows with a null id stay."""
-    own = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(own, id_col, "left_anti").select(*docs.columns)
+def text_name(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

@@ -67,9 +67,52 @@ def test_join_equals_brute_force(spark, monkeypatch):
     rows, docs = as_table(spark, EDGES + near_texts())
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
     assert got == brute_components(rows)
-    monkeypatch.setattr(exchange, "HOT", 3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
-    assert got == brute_components(rows)
+
+
+def test_hot_shingles_and_chains_equal_brute_force(spark, monkeypatch):
+    N = ngram_join
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rng = random.Random(3)
+    boiler = [f"b{i}" for i in range(30)]
+    # over 256 sets share all of the boilerplate; some pairs of them are similar
+    hot = [" ".join(boiler + [f"u{i}x{k}" for k in range(rng.randrange(1, 9))]) for i in range(320)]
+    words = [f"c{i}" for i in range(9 * 150 + 60)]
+    chain = [" ".join(words[9 * i : 9 * i + 60]) for i in range(150)]  # neighbours share 47 of 65 shingles: under the threshold
+    rows, docs = as_table(spark, hot + chain)
+    want = brute_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == want
+    ids = [3 * i + 1 for i in range(len(hot), len(rows))]
+    assert all(want[i][1] == i for i in ids)
+    found = N.named_sets(docs, 5, "doc_id", "text").groupBy("set").agg({"id": "min", "n": "max"}).toDF("set", "rep", "n")
+    sets = N.prefixes(N.shared_shingles(docs, 5, "text").join(found, "set")).cache()
+    assert {r.rep for r in sets.where("size(hot) > 0").select("rep").collect()} <= {3 * i + 1 for i in range(len(hot))} and sets.where("size(hot) > 0").count()
+    known = sets.where(f"rep >= {ids[0]}").selectExpr("explode(p0) AS token", "rep")
+    known = known.join(known.groupBy("token").agg({"rep": "min"}).toDF("token", "hub"), "token")
+    sizes = [r[1] for r in N.remaining_groups(known).groupBy("group_id").count().collect()]
+    assert max(sizes) <= 8  # the chain, one family, is not compared as a whole
+
+
+def test_block_filters_lose_no_pair():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 60, 60).astype(np.int64)
+    lists = [np.unique(np.concatenate([rng.choice(base, rng.integers(38, 60), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 6))])) for _ in range(40)]
+    n = np.array([len(x) for x in lists])
+    shorter = [len(x) - -(-75 * len(x) // 100) + 1 for x in lists]
+    by_hash = lambda x, k: x[np.argsort(ngram_join.mixed(x.view(np.uint64) * ngram_join.PLACES[k]), kind="stable")]
+    flat = lambda parts: (np.concatenate(parts), np.array([len(p) for p in parts]))
+    prefixes = [flat([by_hash(x, k)[:m] for x, m in zip(lists, shorter, strict=True)]) for k in (20, 21)]
+    links = ngram_join._links(np.arange(40), np.arange(40), n, flat(lists), prefixes, 75)
+    up = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            k = len(set(lists[i]) & set(lists[j]))
+            if 100 * k >= 75 * (n[i] + n[j] - k):
+                up = [up[j] if x == up[i] else x for x in up]
+    got = list(range(40))
+    for i, j in links:
+        got = [got[j] if x == got[i] else x for x in got]
+    same = lambda g: {(i, j) for i in range(40) for j in range(i) if g[i] == g[j]}
+    assert same(got) == same(up) and len(same(up)) > 20
 
 
 @pytest.mark.parametrize("turns", [0, 1, 3])
@@ -94,6 +137,10 @@ def test_join_edge_tables(spark):
     assert len(got) == 5 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (4, 1), (7, 1), (None, None)}
     kept = first_of_each(odd)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+    twice = docs.limit(1).union(spark.createDataFrame([(5, "a b c d e f", "x", "y"), (5, "all of its own words here", "x", "y"), (5, None, "x", "y")], docs.schema))
+    assert sorted((r.doc_id, r.text or "") for r in first_of_each(twice).collect()) == [(1, "a b c d e f"), (5, ""), (5, "all of its own words here")]
+    with pytest.raises(TypeError, match="whole numbers"):
+        near_duplicates(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"))
 
 
 def test_components_of_a_chain(spark):
