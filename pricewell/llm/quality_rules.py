@@ -5,7 +5,9 @@ from labelled holdouts: going from the loosest cut to the strictest, a cut stand
 tail P(at most the false rejections seen | share ALPHA) stays under the level, and the first that fails
 ends the walk (fixed-sequence testing, so the cuts of a rule need no correction among themselves). The
 level is DELTA divided by the number of strata times rules (Bonferroni). With probability 1 - DELTA at
-least, in every stratum at once, each rule then rejects at most a share ALPHA of the good documents.
+least, in every stratum at once, each rule then rejects at most a share ALPHA of the good documents, and all
+rules together at most the number of rules times ALPHA. All cuts that stand are certified at once, so any may
+be taken: of those that reject the most labelled bad documents, the loosest is.
 
 A stratum with fewer than least_labels() good labels can't certify any cut, so its part of DELTA is never
 spent. With pooled=True one such part pays for the same walk over the labels of all strata together, and
@@ -27,7 +29,7 @@ from .common import checkpointed
 STRATA = ("en", "de", "fr", "es")
 OTHER = "other"
 #: Share of good documents that a rule may reject, and the risk of missing that anywhere.
-ALPHA, DELTA = 0.004, 0.05
+ALPHA, DELTA = 0.02, 0.05
 #: Least words, and the share of repeated words in percent that fails a document whatever its labels say.
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: rule -> (measure, cuts from the loosest to the strictest); measures are whole numbers.
@@ -123,40 +125,41 @@ def binomial_tail(x: Column, n: Column, share: float) -> Column:
 
 
 def least_labels(alpha: float = ALPHA, delta: float = DELTA) -> int:
-    """How many good labels, none of them rejected, certify a cut: 1551 by default."""
+    """How many good labels, none of them rejected, certify a cut: 308 by default."""
     return math.ceil(math.log(delta / ((len(STRATA) + 1) * len(RULES))) / math.log1p(-alpha))
 
 
 def cuts(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id", label_col: str = "quality", pooled: bool = False) -> DataFrame:
-    """For each stratum and rule with a certified cut: stratum, rule, cut, false_rejections, n_good, tail, pooled.
+    """For each stratum and rule with a certified cut: stratum, rule, cut, false_rejections, n_good, tail, true_rejections, pooled.
 
-    Counts run over all good labelled documents (label 1) that pass the base rules. Null labels or ids
+    Counts run over all labelled documents (label 1: good, 0: bad) that pass the base rules. Null labels or ids
     are not used; an id labelled twice counts as good only if each label says so. With pooled=True strata
     without a cut of their own take that of all strata together, and the counts are those of all strata.
     """
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good")).where("good = 1")
-    seen = measured.where(~base_failed()).join(good, "id")
-    over = [(rule, k, F.count_if(F.expr(f"{m} > {c}"))) for rule, (m, cs) in RULES.items() for k, c in enumerate(cs)]
-    total = seen.groupBy("stratum").agg(F.count("*").alias("n"), *[f.alias(f"{r}_{k}") for r, k, f in over])
+    label = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("good"))
+    seen = measured.where(~base_failed()).join(label, "id")
+    over = [(rule, k, good, F.count_if(F.expr(f"good = {good} AND {m} > {c}"))) for rule, (m, cs) in RULES.items() for k, c in enumerate(cs) for good in (1, 0)]
+    total = seen.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n"), *[f.alias(f"{r}_{k}_{good}") for r, k, good, f in over])
     # strata without good labels too: they may take a pooled cut
     every = measured.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in (*STRATA, OTHER)])).alias("stratum"))
     total = every.join(total, "stratum", "left").na.fill(0)
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(RULES[r][1][k]).cast("long").alias("cut"), F.col(f"{r}_{k}").alias("x")) for r, k, _ in over])
+    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("k"), F.lit(RULES[r][1][k]).cast("long").alias("cut"), F.col(f"{r}_{k}_1").alias("x"), F.col(f"{r}_{k}_0").alias("y")) for r, k, good, _ in over if good])
     level = delta / ((len(STRATA) + 1) * len(RULES))
     walk, all_strata = Window.partitionBy("stratum", "rule").orderBy("k"), Window.partitionBy("rule", "k")
     # the pooled walk needs the unspent part of a stratum with too few labels
     unspent = F.count_if(F.col("n") < least_labels(alpha, delta)).over(all_strata) > 0
     allowed = F.lit(pooled) & (F.col("all_tail") <= level) & F.col("unspent") & (F.col("x") <= F.col("n") * alpha)
-    best = lambda stands, x, n, tail: F.max_by(F.struct("cut", F.col(x).alias("false_rejections"), F.col(n).alias("n_good"), F.col(tail).alias("tail"), F.lit(x == "all_x").alias("pooled")), F.when(F.col(stands), F.col("k")))
+    told = lambda p: F.struct("cut", F.col(f"{p}x").alias("false_rejections"), F.col(f"{p}n").alias("n_good"), F.col(f"{p}tail").alias("tail"), F.col(f"{p}y").alias("true_rejections"), F.lit(p != "").alias("pooled"))
+    best = lambda p: F.max_by(told(p), F.when(F.col(f"{p}stands"), F.struct(f"{p}y", -F.col("k"))))
     return (
         total.select("stratum", "n", F.explode(tests).alias("t"))
         .select("stratum", "n", "t.*")
-        .withColumns({"all_n": F.sum("n").over(all_strata), "all_x": F.sum("x").over(all_strata), "unspent": unspent})
+        .withColumns({f"all_{c}": F.sum(c).over(all_strata) for c in ("n", "x", "y")} | {"unspent": unspent})
         .withColumns({"tail": binomial_tail(F.col("x"), F.col("n"), alpha), "all_tail": binomial_tail(F.col("all_x"), F.col("all_n"), alpha)})
         .withColumns({"stands": F.min(F.col("tail") <= level).over(walk), "all_stands": F.min(allowed).over(walk)})
         .where("stands OR all_stands")
         .groupBy("stratum", "rule")
-        .agg(F.coalesce(best("stands", "x", "n", "tail"), best("all_stands", "all_x", "all_n", "all_tail")).alias("b"))
+        .agg(F.coalesce(best(""), best("all_")).alias("b"))
         .select("stratum", "rule", "b.*")
     )
 

@@ -10,7 +10,7 @@ from .common import load
 from .ngram_join import near_duplicates
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
-from .quality_rules import ALPHA, DELTA, MAX_REPEATED, MIN_WORDS, OTHER, RULES, STRATA, quality_rules
+from .quality_rules import ALPHA, DELTA, MAX_REPEATED, MIN_WORDS, OTHER, RULES, STRATA, least_labels, quality_rules
 from .suffix_dedup import deduplicated
 from .token_counts import token_counts
 from .topk_search import search
@@ -84,12 +84,15 @@ def _cuts_sql() -> str:
     values = " UNION ALL ".join(f"SELECT doc_id, stratum, base_failed, '{r}' AS rule, {m} AS v FROM b WHERE n_words > 0" for r, m in measures.items())
     level = DELTA / ((len(STRATA) + 1) * len(RULES))
     a = f"CAST({ALPHA} AS DOUBLE)"
-    tail = f"list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a})) FOR j IN range(0, x + 1)])"
-    return f"""v AS ({values}), good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1), t(rule, k, cut) AS (VALUES {tests}),
-  c AS (SELECT stratum, rule, k, cut, count(*) AS n, count(*) FILTER (v > cut) AS x FROM v JOIN good USING (doc_id) JOIN t USING (rule) WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
-  p AS (SELECT *, CASE WHEN x >= n * {a} THEN 1 ELSE {tail} END <= {level} AS ok FROM c),
-  s AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY k) AS stands FROM p),
-  cuts AS (SELECT stratum, rule, arg_max(cut, k) AS cut FROM s WHERE stands GROUP BY 1, 2),
+    tail = lambda x, n: f"list_sum([exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({a}) + ({n} - j) * ln(1 - {a})) FOR j IN range(0, {x} + 1)])"
+    strata = ", ".join(f"('{s}')" for s in (*STRATA, OTHER))
+    return f"""v AS ({values}), label AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY 1), t(rule, k, cut) AS (VALUES {tests}), strata(stratum) AS (VALUES {strata}),
+  seen AS (SELECT stratum, rule, k, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND v > cut) AS x, count(*) FILTER (good = 0 AND v > cut) AS y FROM v JOIN label USING (doc_id) JOIN t USING (rule) WHERE NOT base_failed GROUP BY 1, 2, 3),
+  c AS (SELECT stratum, rule, k, cut, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(x, 0) AS BIGINT) AS x, CAST(coalesce(y, 0) AS BIGINT) AS y FROM strata CROSS JOIN t LEFT JOIN seen USING (stratum, rule, k)),
+  w AS (SELECT *, CAST(sum(n) OVER a AS BIGINT) AS all_n, CAST(sum(x) OVER a AS BIGINT) AS all_x, CAST(sum(y) OVER a AS BIGINT) AS all_y, bool_or(n < {least_labels()}) OVER a AS unspent FROM c WINDOW a AS (PARTITION BY rule, k)),
+  p AS (SELECT *, CASE WHEN x >= n * {a} THEN 1 ELSE {tail('x', 'n')} END <= {level} AS ok, CASE WHEN all_x >= all_n * {a} THEN 1 ELSE {tail('all_x', 'all_n')} END <= {level} AND unspent AND x <= n * {a} AS all_ok FROM w),
+  s AS (SELECT *, bool_and(ok) OVER q AS stands, bool_and(all_ok) OVER q AS all_stands FROM p WINDOW q AS (PARTITION BY stratum, rule ORDER BY k)),
+  cuts AS (SELECT stratum, rule, coalesce(arg_max(cut, y * 100 - k) FILTER (stands), arg_max(cut, all_y * 100 - k) FILTER (all_stands)) AS cut FROM s WHERE stands OR all_stands GROUP BY 1, 2),
   bad AS (SELECT DISTINCT doc_id FROM v JOIN cuts USING (stratum, rule) WHERE v > cut)"""
 
 

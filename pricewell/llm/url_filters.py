@@ -1,14 +1,16 @@
 """URL filters: host and path rules first, then association rules mined with FP-growth.
 
-URLs that a host and path rule judges are the labelled transactions: their items are URL tokens and the
-verdict. Spark's FP-growth finds the frequent item sets; rules `tokens -> verdict` that reach the support
-and confidence wanted, and that no shorter rule of equal confidence covers, judge the other URLs through
-an inverted index from token to rules.
+The labelled URLs are the transactions: their items are URL tokens and the verdict. Labels come from a table,
+or else from the host and path rules themselves; then the tokens that define those rules are left out, so
+that what is mined does not restate the rules where they don't hold. Spark's FP-growth finds the frequent
+item sets; rules `tokens -> verdict` that reach the support and confidence wanted, and that no shorter rule
+of equal confidence covers, judge the other URLs through an inverted index from token to rules.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -59,6 +61,15 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_distinct(parts), F.array().cast("array<string>"))
 
 
+def defining_tokens(rules) -> list[str]:
+    """The tokens that tell whether a host and path rule fits: its host's labels and suffix, its path's segments."""
+    out = set()
+    for _, host, path in rules:
+        labels = host.split(".")
+        out |= {f"suffix:{labels[-1]}", *(f"host:{x}" for x in labels), *(f"path:{x}" for x in path.split("/") if x)}
+    return sorted(out)
+
+
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> list[tuple]:
     """(tokens, verdict, confidence, support) from a table (tokens, verdict); none from an empty one.
 
@@ -118,21 +129,31 @@ def matcher(rules: list[tuple]):
     return judge
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES, labels: DataFrame | None = None) -> DataFrame:
     """One row per page: id, host, path, rule (null where none fits), verdict, mined (true if a mined rule decided).
 
-    A null url, or one without `://`, has an empty host and path and no tokens, and gets the default.
-    With no judged URL nothing is mined. Ids may be null or repeat; other columns are not read.
+    labels: (url, verdict) of URLs to learn from, with any verdicts. Without it the URLs that `rules` judge are
+    learnt from, less the tokens that define those rules. A null url, or one without `://`, has an empty host
+    and path and no tokens, and gets the default. With no rules, no labelled URL, or no token combination of
+    the support and confidence wanted, nothing is mined. Rules of more than max_tokens tokens are not used;
+    more than max_rules others are an error. Ids may be null or repeat; other columns are not read.
     """
     url = F.col(url_col)
     page = pages.select(F.col(id_col), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
     page = page.select("*", _ruled(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]).alias("rule"), _ruled(F.col("host"), F.col("path"), rules, lambda r: r[0]).alias("ruled"), tokens_of(F.col("_url"), F.col("host"), F.col("path")).alias("tokens"))
-    found = mined_rules(page.where("ruled IS NOT NULL").select("tokens", F.col("ruled").alias("verdict")), min_support, min_confidence)
+    if labels is None:
+        taken = F.array(*[F.lit(t) for t in defining_tokens(rules)]).cast("array<string>")
+        labelled = page.where("ruled IS NOT NULL").select(F.array_except("tokens", taken).alias("tokens"), F.col("ruled").alias("verdict"))
+    else:
+        at = F.col("url")
+        labelled = labels.select(tokens_of(at, host_of(at), path_of(at)).alias("tokens"), "verdict")
+    found = mined_rules(labelled, min_support, min_confidence, max_tokens, max_rules)
 
     @F.pandas_udf("string")
-    def mined(tokens: pd.Series) -> pd.Series:
-        judge = matcher(found)
-        return tokens.map(judge)
+    def mined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = matcher(found)  # once a task
+        for tokens in batches:
+            yield tokens.map(judge)
 
     guess = mined("tokens") if found else F.lit(None).cast("string")
     page = page.withColumn("guess", guess)
