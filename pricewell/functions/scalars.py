@@ -23,7 +23,28 @@ def normalize_header(x: Column) -> Column:
 
 
 def finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < INFINITY)
+    """Never null. NaN is greater than infinity in Spark, so one comparison, with one mention of x, tells all."""
+    return F.coalesce(F.abs(x) < INFINITY, F.lit(False))
+
+
+def trimmed(x: Column) -> Column:
+    """Null to '', no white space of any kind at the ends."""
+    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A finite number with so many places, rounded half up on its decimal digits; other values are null."""
+    return F.when(finite(x), x).try_cast(f"decimal(38,{places})").cast("string")
+
+
+def signed(x: Column, places: int) -> Column:
+    text = fixed(x, places)
+    return F.concat(F.when(text.startswith("-"), "").otherwise("+"), text)
+
+
+def plain_number(x: Column, places: int = 6) -> Column:
+    """The shortest text of a number rounded to so many places: `35`, not `35.000000`; '' if it is not finite."""
+    return F.coalesce(F.regexp_replace(fixed(x, places), r"\.?0+$", ""), F.when(finite(x), x.cast("string")), F.lit(""))
 
 
 def strict_number(text: Column) -> Column:
@@ -43,12 +64,12 @@ def primary_number(x: Column) -> Column:
 
 def comparison_number(x: Column) -> Column:
     """A finite positive number of the comparison source; inner spaces aren't joined; else null."""
-    return _positive(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", ""), COMPARISON_MISSING)
+    return _positive(trimmed(x), COMPARISON_MISSING)
 
 
 def form_number(x: Column) -> Column:
     """A form field: blank is 0; null where it isn't a finite number."""
-    text = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    text = trimmed(x)
     number = strict_number(text)
     return F.when(text == "", 0.0).when(finite(number), number)
 
@@ -60,8 +81,9 @@ def grid_period(x: Column) -> Column:
 
 
 def date_period(x: Column) -> Column:
-    """The month of `2024-02-31` by its form alone; else null."""
-    return F.when(x.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])-([0-2][0-9]|3[01])$"), F.substring(x, 1, 7))
+    """The month of `2024-02-31` by its form alone, days 01 to 31, white space at the ends left out; else null."""
+    text = trimmed(x)
+    return F.when(text.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])$"), F.substring(text, 1, 7))
 
 
 def updated_on(x: Column) -> Column:
@@ -80,8 +102,7 @@ def carried_rate(x: Column) -> Column:
 
 
 def filename_part(x: Column, fallback: str) -> Column:
-    text = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|]+', "_"), r"(?U)\s+", "_")
+    text = F.regexp_replace(F.regexp_replace(trimmed(x), r'[\\/:*?"<>|]+', "_"), r"(?U)\s+", "_")
     return F.coalesce(F.nullif(F.substring(text, 1, 40), F.lit("")), F.lit(fallback))
 
 
@@ -94,14 +115,15 @@ def csv_text(x: Column, guard: bool = True) -> Column:
 
 
 def csv_number(x: Column, places: int = 4) -> Column:
-    return F.when(finite(x), F.format_string(f"%.{places}f", x)).otherwise("")
+    return F.coalesce(fixed(x, places), F.lit(""))
 
 
 def signed_percent(x: Column, places: int = 2) -> Column:
     """`▲ +1.20%`, `▼ -1.20%` or `— 0.00%`; the sign is that of the rounded value."""
-    r = F.round(x, places)
-    text = lambda mark: F.format_string(mark + f"%.{places}f%%", r)
-    return F.when(r > 0, text("▲ +")).when(r < 0, text("▼ ")).when(r.isNotNull(), F.format_string(f"— %.{places}f%%", F.lit(0.0)))
+    text = fixed(x, places)
+    zero = f"{0:.{places}f}"
+    mark = F.when(text == zero, "— ").when(text.startswith("-"), "▼ ").otherwise("▲ +")
+    return F.concat(mark, text, F.lit("%"))
 
 
 def number_text(x: Column, small: int = 2, large: int = 0) -> Column:
@@ -119,6 +141,19 @@ def local_minute(x: Column, zone: str = "Asia/Taipei") -> Column:
     return F.coalesce(F.date_format(F.convert_timezone(F.current_timezone(), F.lit(zone), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm"), x)
 
 
+def utc_second(at: Column | None = None) -> Column:
+    """A time as ISO text in UTC to the second, `2026-07-02T08:00:00Z`. Give the run's time, so that a run can
+    be repeated with the same result; by default it is the time at which the query starts."""
+    at = F.current_timestamp() if at is None else at
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def date_stamps(at: Column) -> Column:
+    """The stamps of file labels: compact `20260702`, day `2026-07-02`, minute `2026/07/02 08:00`."""
+    form = lambda name, pattern: F.date_format(at, pattern).alias(name)
+    return F.struct(form("compact", "yyyyMMdd"), form("day", "yyyy-MM-dd"), form("minute", "yyyy/MM/dd HH:mm"))
+
+
 def safe_message(x: Column, length: int = 500) -> Column:
     """Text without control characters, cut to `length` code points."""
     return F.substring(F.regexp_replace(F.coalesce(x, F.lit("")), r"[\x00-\x1F\x7F]", ""), 1, length)

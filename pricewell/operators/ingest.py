@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import comparison_number, date_period, grid_period, normalize_header, normalize_text, primary_number
+from ..functions.scalars import comparison_number, date_period, finite, grid_period, normalize_header, normalize_text, primary_number
 
 
 def resolve_columns(cells: DataFrame, aliases: DataFrame, header_row: int = 5) -> DataFrame:
@@ -35,11 +35,12 @@ def unit_row(cells: DataFrame, columns: DataFrame, row: int = 6) -> DataFrame:
 
 
 def api_observations(rows: DataFrame) -> DataFrame:
-    """(series_id, period, value, bad_date) of items (series_id, date, value).
+    """(series_id, period, value, bad_date) of rows (series_id, item struct<date, value>).
 
-    A missing value is skipped, but a bad date is reported even then. Null items are skipped.
+    A missing value is skipped, but a bad date is reported even then, and so is that of an item without
+    fields. Null items, which were no objects, are skipped.
     """
-    out = rows.where("date IS NOT NULL OR value IS NOT NULL").select("series_id", date_period(F.col("date")).alias("period"), comparison_number(F.col("value")).alias("value"))
+    out = rows.where("item IS NOT NULL").select("series_id", date_period(F.col("item.date")).alias("period"), comparison_number(F.col("item.value")).alias("value"))
     out = out.withColumn("bad_date", F.col("period").isNull())
     return out.where("bad_date OR value IS NOT NULL")
 
@@ -67,6 +68,18 @@ def series_header(obs: DataFrame, materials: DataFrame) -> DataFrame:
     return counts.join(materials, "material_id").select("material_id", F.coalesce("currency", F.lit("USD")).alias("currency"), "display_unit", "n_obs", "first_period", "latest_period")
 
 
-def typed_cell(value: Column) -> Column:
-    """A cell as text for profiling: numbers that aren't finite become null."""
-    return F.when(value.rlike(r"(?i)^[+-]?(nan|inf|infinity)$"), F.lit(None)).otherwise(value)
+def profile_cells(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with these columns as text for profiling: dates and times in ISO form, numbers that aren't finite
+    null, everything else as it is printed."""
+
+    def text(name: str) -> Column:
+        c, kind = F.col(name), rows.schema[name].dataType.typeName()
+        if kind in ("float", "double"):
+            return F.when(finite(c), c.cast("string"))
+        if kind == "date":
+            return F.date_format(c, "yyyy-MM-dd")
+        if kind.startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return c.cast("string")
+
+    return rows.withColumns({c: text(c) for c in columns})

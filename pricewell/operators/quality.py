@@ -76,10 +76,19 @@ def incomplete_signals(signals: DataFrame) -> DataFrame:
     return _violations(signals.where(~F.coalesce(ok, F.lit(False))).withColumn("source", F.lit("signals")), "completeness", F.col("period"))
 
 
-def policy_violations(status: DataFrame) -> DataFrame:
-    """Documents that aren't real data, or whose source falls back by itself. status: (source, is_real, automatic_fallback)."""
-    bad = status.where(~F.coalesce(F.col("is_real") & ~F.col("automatic_fallback"), F.lit(False)))
-    return _violations(bad.withColumn("material_id", F.lit("*")), "policy", F.when(F.coalesce("is_real", F.lit(False)), "fallback").otherwise("not real"))
+def policy_violations(documents: DataFrame, primary: str) -> DataFrame:
+    """Documents that break the policy: no real data, an automatic fallback, a primary document under another
+    name than `primary`, or any document that names another primary source.
+
+    documents: (source, material_id, source_name, primary_source, is_real, automatic_fallback); the sample is
+    what is wrong, and a document can be wrong in several ways. A missing flag or name counts as wrong.
+    """
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    named = (F.col("source") != "primary") | (F.col("source_name") == primary)
+    wrong = [("not real", ~sure(F.col("is_real"))), ("fallback", ~sure(~F.col("automatic_fallback"))), ("source name", ~sure(named)), ("primary source", ~sure(F.col("primary_source") == primary))]
+    bad = documents.select("source", "material_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(x)) for x, c in wrong]), lambda x: x.isNotNull())).alias("wrong"))
+    each = bad.groupBy("source", "material_id", "wrong").agg(F.count("*").alias("n_bad"))
+    return each.select(F.lit("policy").alias("rule_id"), "source", F.col("material_id").alias("series_id"), "n_bad", F.col("wrong").alias("sample"))
 
 
 def freshness_mismatch(signals: DataFrame, status: DataFrame, source: str = "primary") -> DataFrame:

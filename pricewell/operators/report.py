@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shouldcost import COMPONENTS
+from ..functions.scalars import finite, plain_number, signed, trimmed
+from .shouldcost import COMPONENTS, valid_target
 
 LABELS = {"mat": "material", "fx": "currency", "proc": "processing", "energy": "energy", "other": "other"}
-HEADER_FIELDS = ("supplier", "product", "quote_ref", "quote_date", "buyer", "price_unit", "supplier_reason", "evidence_received", "conclusion", "note")
+CASE_FIELDS = ("supplier", "product", "quote_ref", "quote_date", "buyer", "price_unit")
+HEADER_FIELDS = (*CASE_FIELDS, "supplier_reason", "evidence_received", "conclusion", "note")
 #: Fields that people fill in: their text is guarded against formulas.
 FREE_TEXT = tuple(f for f in HEADER_FIELDS if f != "quote_date")
+#: What a reader sees for an empty field; all others show EMPTY.
+EMPTY, DEFAULTS = "not given", {"price_unit": "calculator unit", "conclusion": "waiting for the supplier's documents"}
+NO_CONTEXT = "not linked to a signal"
 
 
-def or_default(x: Column, default: str = "not given") -> Column:
-    return F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit(default))
+def or_default(x: Column, default: str = EMPTY) -> Column:
+    return F.coalesce(F.nullif(trimmed(x), F.lit("")), F.lit(default))
 
 
 def cost_rows(reviews: DataFrame, *keys: str) -> DataFrame:
@@ -23,27 +28,54 @@ def cost_rows(reviews: DataFrame, *keys: str) -> DataFrame:
     return reviews.select(*keys, F.explode(F.array(*map(row, COMPONENTS))).alias("r")).select(*keys, "r.*")
 
 
-def report_long(reviews: DataFrame, *keys: str, places: int = 4) -> DataFrame:
-    """Key/value rows (pos, section, field, value, unit, free) of each valid quote: 17 head rows with the
-    header, three for each cost component, ten at the tail. Missing header columns count as empty."""
+def snapshots(reviews: DataFrame, *keys: str) -> DataFrame:
+    """One row for each quote: what its report is made of.
+
+    valid and reason (null if valid: neither an invalid quote nor a target rate that is no rate), the header
+    fields as trimmed texts ('' where a column is missing), target_rate, values, impacts, estimate, gap, the
+    prices, verdict with tone, gap_text and evidence, and market_context.
+    """
     have = set(reviews.columns)
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
-    number = lambda c: F.format_string(f"%.{places}f", F.col(c).cast("double")) if c in have else F.lit("")
-    unit = or_default(text("price_unit"), "calculator unit")
+    text = lambda c, default="": trimmed(F.col(c).cast("string")) if c in have else F.lit(default)
+    target = F.col("target_rate").cast("double") if "target_rate" in have else F.lit(None).cast("double")
+    reason = F.coalesce("invalid_reason", F.when(~valid_target(target), "target_rate"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    context = F.coalesce(F.nullif(text("market_context"), F.lit("")), F.lit(NO_CONTEXT))
+    return reviews.select(
+        *keys,
+        reason.alias("reason"),
+        text("generated_at").alias("generated_at"),
+        *[text(f).alias(f) for f in HEADER_FIELDS],
+        target.alias("target_rate"),
+        *[number(c) for c in ("price", "supplier_ask", "estimate", "gap", "unexplained", "new_price", "requested_price")],
+        *[number(f"{c}_{x}") for c in COMPONENTS for x in ("ratio", "rate", "impact")],
+        "verdict",
+        "tone",
+        *[(F.col(c) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in (("gap_text", "string"), ("evidence", "array<string>"))],
+        context.alias("market_context"),
+    ).withColumn("valid", F.col("reason").isNull())
+
+
+def shown(snapshots_: DataFrame) -> DataFrame:
+    """snapshots() as a reader sees them: defaults for empty fields, and the target rate as a signed percentage."""
+    target = F.when(F.col("target_rate").isNull(), EMPTY).otherwise(F.concat(signed(F.col("target_rate"), 2), F.lit("%")))
+    return snapshots_.withColumns({f: or_default(F.col(f), DEFAULTS.get(f, EMPTY)) for f in HEADER_FIELDS} | {"target_rate": target})
+
+
+def report_cells(places: int = 6) -> Column:
+    """The 42 rows (section, field, value, unit, free) of a snapshot: 17 head rows with the header, three for each
+    cost component, ten at the tail. Empty fields stay empty but for the price unit; so does a missing target."""
+    text, number = lambda c: F.coalesce(F.col(c), F.lit("")), lambda c: plain_number(F.col(c), places)
+    unit = or_default(F.col("price_unit"), DEFAULTS["price_unit"])
     rows: list[tuple] = [("section", "field", F.lit("value"), F.lit("unit"))]
     add = lambda section, field, value, u="": rows.append((section, field, value, F.lit(u) if isinstance(u, str) else u))
     add("document", "name", F.lit("supplier price review"))
     add("document", "generated_at", text("generated_at"))
-    for f in ("supplier", "product", "quote_ref", "quote_date", "buyer", "price_unit"):
+    for f in CASE_FIELDS:
         add("case", f, text(f))
     add("market", "context", text("market_context"), "primary source; second source is a cross-check")
-    add("result", "price", number("price"), unit)
-    add("result", "supplier_ask", number("supplier_ask"), "%")
-    add("result", "estimate", number("estimate"), "%")
-    add("result", "gap", number("gap"), "points")
-    add("result", "unexplained", number("unexplained"), unit)
-    add("result", "new_price", number("new_price"), unit)
-    add("result", "requested_price", number("requested_price"), unit)
+    for c, u in (("price", unit), ("supplier_ask", "%"), ("estimate", "%"), ("gap", "points"), ("unexplained", unit), ("new_price", unit), ("requested_price", unit)):
+        add("result", c, number(c), u)
     for c in COMPONENTS:
         add("cost", f"{LABELS[c]} ratio", number(f"{c}_ratio"), "%")
         add("cost", f"{LABELS[c]} rate", number(f"{c}_rate"), "%")
@@ -51,11 +83,16 @@ def report_long(reviews: DataFrame, *keys: str, places: int = 4) -> DataFrame:
     add("verdict", "code", text("verdict"), "decision support")
     add("verdict", "tone", text("tone"))
     add("verdict", "gap_text", text("gap_text"))
-    add("verdict", "evidence", F.array_join("evidence", "; ") if "evidence" in have else F.lit(""))
+    add("verdict", "evidence", F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), "; "))
     for section, f in (("supplier", "supplier_reason"), ("supplier", "evidence_received"), ("purchase", "conclusion")):
         add(section, f, text(f))
-    add("purchase", "target_rate", number("target_rate"), "%")
+    add("purchase", "target_rate", F.when(finite(F.col("target_rate")), number("target_rate")).otherwise(""), "%")
     add("purchase", "note", text("note"))
     add("policy", "automatic decision", F.lit("no"), "a material's rise is not the product's")
-    cells = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"), F.coalesce(v, F.lit("")).alias("value"), u.alias("unit"), F.lit(f in FREE_TEXT).alias("free")) for s, f, v, u in rows])
-    return reviews.where("verdict <> 'INVALID'").select(*keys, F.posexplode(cells).alias("pos", "r")).select(*keys, "pos", "r.*")
+    return F.array(*[F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"), v.alias("value"), u.alias("unit"), F.lit(f in FREE_TEXT).alias("free")) for s, f, v, u in rows])
+
+
+def report_long(reviews: DataFrame, *keys: str, places: int = 6) -> DataFrame:
+    """Key/value rows (pos, section, field, value, unit, free) of each quote with a valid snapshot."""
+    rows = snapshots(reviews, *keys).where("reason IS NULL")
+    return rows.select(*keys, F.posexplode(report_cells(places)).alias("pos", "r")).select(*keys, "pos", "r.*")

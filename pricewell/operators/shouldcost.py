@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import carried_rate, finite
+from ..functions.scalars import carried_rate, finite, fixed, signed, strict_number, trimmed
 
 COMPONENTS = ("mat", "fx", "proc", "energy", "other")
 #: Components whose shares add up to the product; currency exposure cuts across them.
@@ -18,20 +18,51 @@ RATES = tuple(f"{c}_rate" for c in COMPONENTS)
 NUMBERS = ("price", *RATIOS, *RATES, "supplier_ask")
 
 
+#: Fixed value: the one role that the second source may have.
+SECOND_SOURCE_ROLE = "CORROBORATION_ONLY"
+
+
 @dataclass(frozen=True)
 class CostRules:
-    """Fixed values, in percentage points."""
+    """Fixed values; the thresholds are in percentage points."""
 
     match: float = 0.5
     evidence: float = 1.5
     challenge: float = 3.0
+    version: int = 1
+    decision_support_only: bool = True
+    automatic_acceptance: bool = False
+    automatic_rejection: bool = False
+    material_equals_product: bool = False
+    second_source_role: str = SECOND_SOURCE_ROLE
 
     def problems(self) -> list[str]:
+        """What rule_problem() finds in a table of rules, for these."""
         values = (self.match, self.evidence, self.challenge)
-        out = [] if all(v == v and abs(v) != float("inf") for v in values) else ["not finite"]
-        return out if out or 0 <= self.match < self.evidence < self.challenge else ["0 <= match < evidence < challenge does not hold"]
+        out = []
+        if self.version != 1 or self.decision_support_only is not True:
+            out.append("version or purpose")
+        if not all(v == v and abs(v) != float("inf") for v in values) or not 0 <= self.match < self.evidence < self.challenge:
+            out.append("thresholds")
+        if any(x is not False for x in (self.automatic_acceptance, self.automatic_rejection, self.material_equals_product)) or self.second_source_role != SECOND_SOURCE_ROLE:
+            out.append("policy")
+        return out
+
+
+def rule_problem() -> Column:
+    """The first thing wrong with a row of rules that has the fields of CostRules as columns; null if none is."""
+    yes = lambda c, value: F.coalesce(F.col(c) == F.lit(value), F.lit(False))
+    m, e, h = F.col("match"), F.col("evidence"), F.col("challenge")
+    ordered = finite(m) & finite(e) & finite(h) & (m >= 0) & (m < e) & (e < h)
+    policy = reduce(lambda a, b: a & b, [yes(c, False) for c in ("automatic_acceptance", "automatic_rejection", "material_equals_product")])
+    return (
+        F.when(~(yes("version", 1) & yes("decision_support_only", True)), "version or purpose")
+        .when(~F.coalesce(ordered, F.lit(False)), "thresholds")
+        .when(~(policy & yes("second_source_role", SECOND_SOURCE_ROLE)), "policy")
+    )
 
 
+#: Verdicts with one tone; the other depends on the gap.
 TONES = {"REQUEST_REDUCTION": "high", "CHALLENGE_INCREASE": "high", "HIGH_CHALLENGE": "high", "REQUEST_EVIDENCE": "medium", "CLARIFY_SMALL_GAP": "medium", "CONDITIONAL_REVIEW": "balanced", "SUPPLIER_BELOW_MODEL": "favorable"}
 
 
@@ -49,7 +80,11 @@ def estimates(quotes: DataFrame) -> DataFrame:
 
 
 def invalid_reason() -> Column:
-    """The first reason that holds, over the columns of estimates(); null for a valid quote."""
+    """The first reason that holds, over the columns of estimates(); null for a valid quote.
+
+    Each column is mentioned once for a test, so that the expression stays small when Spark puts the formulas
+    of estimates() in their places.
+    """
     any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
     results = ("estimate", "gap", "new_price", "requested_price", "unexplained")
     return (
@@ -75,6 +110,13 @@ def valid_target(x: Column) -> Column:
     return x.isNull() | (finite(x) & (x >= -100))
 
 
+def valid_target_field(x: Column) -> Column:
+    """The same of a form field: blank is missing."""
+    text = trimmed(x)
+    number = strict_number(text)
+    return (text == "") | (finite(number) & F.coalesce(number >= -100, F.lit(False)))
+
+
 def verdict(rules: CostRules = CostRules()) -> Column:
     est, ask, gap, mat = (F.col(c) for c in ("estimate", "supplier_ask", "gap", "mat_impact"))
     m, e, h = rules.match, rules.evidence, rules.challenge
@@ -91,25 +133,35 @@ def verdict(rules: CostRules = CostRules()) -> Column:
 
 
 def tone(rules: CostRules = CostRules()) -> Column:
-    out = F.when(F.col("verdict") == "REQUEST_DEEPER_REDUCTION", F.when(F.col("gap") >= rules.challenge, "high").otherwise("medium"))
-    for code, name in TONES.items():
-        out = out.when(F.col("verdict") == code, name)
-    return out
+    """Over verdict and invalid_reason; null for invalid quotes. One look-up, so that the verdict is mentioned once."""
+    names = F.create_map(*[F.lit(x) for pair in TONES.items() for x in pair])
+    by_gap = F.when(F.col("gap") >= rules.challenge, "high").otherwise("medium")
+    return F.when(F.col("invalid_reason").isNull(), F.coalesce(F.try_element_at(names, F.col("verdict")), by_gap))
 
 
 def gap_text() -> Column:
     gap = F.col("gap")
-    return F.when(F.abs(gap) < 0.005, "0.00 points (supplier equals the model)").when(gap > 0, F.format_string("+%.2f points (supplier above the model)", gap)).otherwise(F.format_string("%.2f points (supplier below the model)", gap))
+    side = F.when(F.abs(gap) < 0.005, "equals").when(gap > 0, "above").otherwise("below")
+    return F.when(side == "equals", "0.00 points (supplier equals the model)").otherwise(F.concat(signed(gap, 2), F.lit(" points (supplier "), side, F.lit(" the model)")))
 
 
 def formula_text() -> Column:
-    terms = F.concat_ws(" + ", *[F.format_string("(%.2f%% x %.2f%%)", F.col(f"{c}_ratio"), F.col(f"{c}_rate")) for c in COMPONENTS])
-    return F.concat(F.lit("estimate = "), terms, F.format_string(" = %.2f%%", F.col("estimate")), F.format_string("; new price = %.2f x (1 + %.4f) = %.2f", F.col("price"), F.col("estimate") / 100, F.col("new_price")))
+    """The estimate, the new price and the sum of the base ratios as sums with their figures put in."""
+    two = lambda c: fixed(F.col(c), 2)
+    term = lambda c: F.concat(F.lit("("), two(f"{c}_ratio"), F.lit("% x "), two(f"{c}_rate"), F.lit("%)"))
+    base = F.concat_ws(" + ", *[F.concat(two(f"{c}_ratio"), F.lit("%")) for c in BASE])
+    return F.concat(
+        *[F.lit("estimate = "), F.concat_ws(" + ", *map(term, COMPONENTS)), F.lit(" = "), two("estimate"), F.lit("%; new price = "), two("price"), F.lit(" x (1 + "), fixed(F.col("estimate") / 100, 4)],
+        *[F.lit(") = "), two("new_price"), F.lit("; base ratios = "), base, F.lit(" = "), fixed(F.col("base_ratio_sum"), 1), F.lit("%")],
+    )
 
 
 def verdict_evidence() -> Column:
     """Three lines of figures for any verdict."""
-    return F.array(F.format_string("model %+.2f%%, supplier %+.2f%%", F.col("estimate"), F.col("supplier_ask")), F.format_string("gap %+.2f points", F.col("gap")), F.format_string("material explains %+.2f points, other inputs %+.2f", F.col("mat_impact"), F.col("other_inputs")))
+    x = lambda c: signed(F.col(c), 2)
+    model = F.concat(F.lit("model "), x("estimate"), F.lit("%, supplier "), x("supplier_ask"), F.lit("%"))
+    parts = F.concat(F.lit("material explains "), x("mat_impact"), F.lit(" points, other inputs "), x("other_inputs"))
+    return F.array(model, F.concat(F.lit("gap "), x("gap"), F.lit(" points")), parts)
 
 
 def reviewed(quotes: DataFrame, rules: CostRules = CostRules()) -> DataFrame:
@@ -126,7 +178,8 @@ def with_carried_rate(quotes: DataFrame, signals: DataFrame, window: str = "c6",
     """Put the material's market change of `window` in the place of mat_rate, and say where it is from.
 
     edited: the rate as the user left it; a difference of over 1e-6 from the carried one marks an override.
-    Quotes of materials without a signal keep their rate.
+    Quotes of materials without a signal keep their rate. The signals are one row a series, which Spark's
+    adaptive execution broadcasts when their size at run time allows, and joins by sorting when it does not.
     """
     market = signals.select("material_id", carried_rate(F.col(window)).alias("carried"), F.col("period").alias("carried_period"))
     rows = quotes.join(market, "material_id", "left")
@@ -134,13 +187,17 @@ def with_carried_rate(quotes: DataFrame, signals: DataFrame, window: str = "c6",
     rows = rows.withColumn("mat_rate", rate)
     override = F.col("carried").isNotNull() & (~finite(F.col("mat_rate")) | (F.abs(F.col("mat_rate") - F.col("carried")) > 1e-6))
     rows = rows.withColumn("overridden", override)
-    where = F.concat_ws(" | ", "material_id", F.lit(window), F.format_string("%.2f%%", F.col("carried")), "carried_period")
+    where = F.concat_ws(" | ", "material_id", F.lit(window), F.concat(fixed(F.col("carried"), 2), F.lit("%")), "carried_period")
     context = F.when(F.col("carried").isNull(), "rate entered by hand, not linked to a signal").when(F.col("overridden"), F.concat(F.lit("market record: "), where, F.lit("; rate edited since"))).otherwise(F.concat(F.lit("market data: "), where))
     return rows.withColumn("market_context", context)
 
 
 def verdict_rollup(reviews: DataFrame, *by: str) -> DataFrame:
-    """Counts, unexplained amounts and mean gap over the cube of `by`, invalid quotes apart."""
-    money = F.sum(F.col("unexplained").cast("decimal(28,6)")).cast("double")
-    gap = F.sum(F.col("gap").cast("decimal(28,6)")).cast("double") / F.count("gap")
-    return reviews.where("verdict <> 'INVALID'").cube(*by).agg(F.count("*").alias("n"), F.round(money, 2).alias("unexplained"), gap.alias("mean_gap"))
+    """Counts, unexplained amounts and mean gap over the cube of `by`, invalid quotes apart.
+
+    The quotes are added up by all of `by` once; the cube is then taken over those sums.
+    """
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,6)"))
+    cells = reviews.where("invalid_reason IS NULL").groupBy(*by).agg(F.count("*").alias("_n"), exact("unexplained").alias("_money"), exact("gap").alias("_gap"))
+    gap = F.sum("_gap").cast("double") / F.sum("_n")
+    return cells.cube(*by).agg(F.sum("_n").alias("n"), F.round(F.sum("_money").cast("double"), 2).alias("unexplained"), gap.alias("mean_gap"))

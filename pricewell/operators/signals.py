@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fixed, signed
 from . import series
 
 
@@ -31,6 +32,7 @@ class Thresholds:
 
 PRIORITIES = {"NEGOTIATE_REDUCTION": "HIGH", "CHALLENGE_INCREASE": "MEDIUM", "VERIFY_STRONG_INCREASE": "HIGH", "VERIFY_INCREASE": "MEDIUM", "MONITOR_AND_HOLD": "LOW"}
 GROUPS = {"NEGOTIATE_REDUCTION": "DOWN", "CHALLENGE_INCREASE": "DOWN", "VERIFY_STRONG_INCREASE": "UP", "VERIFY_INCREASE": "UP", "MONITOR_AND_HOLD": "MONITOR"}
+PRIORITY_LABELS = {"HIGH": "high priority", "MEDIUM": "medium priority"}
 #: code -> label and advice in this library's words; callers may join a table of their own.
 ADVICE = {
     "NEGOTIATE_REDUCTION": ("Opening for a reduction", "Ask for a recalculation on the same material, unit and month."),
@@ -90,14 +92,17 @@ def latest_signals(obs: DataFrame, least: int = 13, t: Thresholds = Thresholds()
 
 
 def with_advice(signals: DataFrame) -> DataFrame:
+    """The label and advice of each signal, and the label of its priority (any but HIGH and MEDIUM: routine watch)."""
     code = F.col("signal")
-    return signals.select("*", coded(code, {k: v[0] for k, v in ADVICE.items()}).alias("label"), coded(code, {k: v[1] for k, v in ADVICE.items()}).alias("action"))
+    priority = F.coalesce(coded(F.col("priority"), PRIORITY_LABELS), F.lit("routine watch"))
+    return signals.select("*", priority.alias("priority_label"), coded(code, {k: v[0] for k, v in ADVICE.items()}).alias("label"), coded(code, {k: v[1] for k, v in ADVICE.items()}).alias("action"))
 
 
 def evidence() -> Column:
     """Four lines of figures and two constant limits of what they say."""
-    line = lambda form, c: F.format_string(form, F.col(c))
-    return F.array(line("3-month change %+.2f%%", "c3"), line("6-month change %+.2f%%", "c6"), line("latest against the 12-month average %+.2f%%", "vs_avg12"), line("at %.1f%% of the 12-month range", "range_position"), F.lit("Market prices only, not the cost of a finished product."), F.lit("Check the material share, purchase lag, stock, currency and freight as well."))
+    line = lambda head, c: F.concat(F.lit(head + " "), signed(F.col(c), 2), F.lit("%"))
+    place = F.concat(F.lit("at "), fixed(F.col("range_position"), 1), F.lit("% of the 12-month range"))
+    return F.array(line("3-month change", "c3"), line("6-month change", "c6"), line("latest against the 12-month average", "vs_avg12"), place, F.lit("Market prices only, not the cost of a finished product."), F.lit("Check the material share, purchase lag, stock, currency and freight as well."))
 
 
 def corroboration(signals: DataFrame, summary: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIELDS = ("source", "status", "latest_period", "is_stale", "warnings")
+STATUS = "source string, status string, last_attempt_at string, last_success_at string, latest_period string, updated_on string, sha256 string, url string, is_stale boolean, warnings array<string>"
+FIELDS = tuple(x.split(" ")[0] for x in STATUS.split(", "))
+RUN = ("latest_period", "at", "updated_on", "sha256", "url")
 
 
 def upsert(previous: DataFrame, new: DataFrame, key: str = "source") -> DataFrame:
@@ -13,33 +17,70 @@ def upsert(previous: DataFrame, new: DataFrame, key: str = "source") -> DataFram
     return new.unionByName(previous.join(new, key, "left_anti"))
 
 
-def primary_refreshed(previous: DataFrame, latest_period: str) -> DataFrame:
-    """The primary source succeeded: its row is reset; the other's stays or is NOT_CONFIGURED."""
-    spark = previous.sparkSession
-    shape = "source string, status string, latest_period string, is_stale boolean, warnings array<string>"
-    new = spark.createDataFrame([("primary", "SUCCESS", latest_period, False, [])], shape)
-    default = spark.createDataFrame([("comparison", "NOT_CONFIGURED", None, False, [])], shape)
-    return upsert(upsert(default, previous), new)
+def run_record(runs: DataFrame, at: str) -> DataFrame:
+    """runs with `at`, the time of the run, and with nulls for the fields of RUN that it lacks."""
+    have = runs.withColumn("at", F.lit(at))
+    return have.select(*[c for c in runs.columns if c not in RUN], *[(F.col(c) if c in have.columns else F.lit(None)).cast("string").alias(c) for c in RUN])
+
+
+def _success(source: str, run: DataFrame) -> DataFrame:
+    at = F.col("at")
+    return run.select(F.lit(source).alias("source"), F.lit("SUCCESS").alias("status"), at.alias("last_attempt_at"), at.alias("last_success_at"), "latest_period", "updated_on", "sha256", "url")
 
 
-def comparison_refreshed(previous: DataFrame, latest_period: str) -> DataFrame:
+def primary_refreshed(previous: DataFrame, run: DataFrame) -> DataFrame:
+    """The primary source succeeded: its row is that of the run, not stale and without warnings; the other's
+    stays or is NOT_CONFIGURED. run: one row with the fields of RUN (run_record())."""
+    new = _success("primary", run).withColumns({"is_stale": F.lit(False), "warnings": F.array().cast("array<string>")})
+    default = previous.sparkSession.createDataFrame([("comparison", "NOT_CONFIGURED")], "source string, status string")
+    default = default.select("source", "status", *[F.lit(None).cast("string").alias(c) for c in FIELDS[2:8]], F.lit(False).alias("is_stale"), F.array().cast("array<string>").alias("warnings"))
+    return upsert(upsert(default, previous.select(*FIELDS)), new)
+
+
+def comparison_refreshed(previous: DataFrame, run: DataFrame) -> DataFrame:
     """The comparison source succeeded. Needs a successful primary; stale mark and warnings are kept."""
     if previous.where("source = 'primary' AND status = 'SUCCESS'").isEmpty():
         raise ValueError("the primary source has not succeeded")
-    kept = previous.where("source = 'comparison'").select("is_stale", "warnings")
-    new = previous.sparkSession.createDataFrame([("comparison", "SUCCESS", latest_period)], "source string, status string, latest_period string")
-    row = new.join(kept, F.lit(True), "left").select("source", "status", "latest_period", F.coalesce("is_stale", F.lit(False)).alias("is_stale"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"))  # one row each
-    return upsert(previous.select(*FIELDS), row)
+    kept = previous.where("source = 'comparison'").select("source", "is_stale", "warnings")
+    row = _success("comparison", run).join(kept, "source", "left")
+    row = row.withColumns({"is_stale": F.coalesce("is_stale", F.lit(False)), "warnings": F.coalesce("warnings", F.array().cast("array<string>"))})
+    return upsert(previous.select(*FIELDS), row.select(*FIELDS))
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def publish(obs: DataFrame, violations: DataFrame, path: str) -> bool:
-    """Write the table only if no rule is violated; else leave what was published before."""
+    """Write the table only if no rule is violated; else leave what was published before.
+
+    The table is written as a version of its own beside the others. Readers (published()) take the last version
+    that Spark has marked as complete, so a job that fails on its way changes nothing for them.
+    """
     if not violations.isEmpty():
         return False
-    obs.write.mode("overwrite").parquet(path)
+    number = max(versions(obs.sparkSession, path), default=0) + 1
+    obs.write.parquet(f"{path}/version={number:010d}-{uuid.uuid4().hex[:8]}")
     return True
 
 
+def versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """number -> folder of the complete versions in `path`; of equal numbers the first by name."""
+    where, files = _files(spark, path)
+    if not files.exists(where):
+        return {}
+    names = sorted((s.getPath().getName() for s in files.listStatus(where)), reverse=True)
+    done = [n for n in names if n.startswith("version=") and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return {int(n.split("=")[1].split("-")[0]): f"{path}/{n}" for n in done}
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last complete version, or None."""
+    found = versions(spark, path)
+    return spark.read.parquet(found[max(found)]) if found else None
+
+
 def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose content hash the manifest lacks."""
     return files.join(manifest.select("sha256"), "sha256", "left_anti")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.compare import unit_rules
@@ -95,6 +98,62 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(*QUOTE_KEYS, *columns)
 
 
+def broken_quotes(q: DataFrame) -> DataFrame:
+    """Quotes of which some are invalid, each for one of the reasons there are."""
+    k = (F.col("l_orderkey") + F.col("l_linenumber")) % 50
+    put = {
+        "price": [(1, -F.col("price")), (6, None), (8, 1.7e308)],
+        "mat_ratio": [(2, 101.0), (7, 100.0)],
+        "fx_ratio": [(2, -1.0), (7, 100.0)],
+        "proc_ratio": [(7, 0.0)],
+        "energy_ratio": [(7, 0.0)],
+        "other_ratio": [(4, 100.0), (7, 0.0)],
+        "mat_rate": [(5, float("nan")), (7, -100.0)],
+        "fx_rate": [(7, -50.0)],
+        "energy_rate": [(3, -101.0)],
+        "supplier_ask": [(8, 300.0), (9, float("inf"))],
+    }
+
+    def changed(name: str) -> Column:
+        out = F.col(name)
+        for at, value in put[name]:
+            out = F.when(k == at, value).otherwise(out)
+        return out.cast("double").alias(name)
+
+    return q.select(*[changed(c) if c in put else c for c in q.columns])
+
+
+def cases(reviews: DataFrame) -> DataFrame:
+    """Reviewed quotes with the texts that people add to them."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey")
+    return reviews.withColumns(
+        {
+            "supplier": F.concat(F.lit("  Supplier "), F.col("l_suppkey"), F.lit(" ")),
+            "product": F.when(line == 2, "").otherwise(F.concat(F.lit('part "'), part, F.lit('"'))),
+            "quote_ref": F.concat(F.lit("-"), F.col("l_orderkey")),
+            "quote_date": F.lit("2026-07-02"),
+            "buyer": F.lit(None).cast("string"),
+            "price_unit": F.when(part % 3 == 0, " USD/kg ").when(part % 3 == 1, "  "),
+            "supplier_reason": F.when(line == 1, "=SUM(A1)").otherwise("material"),
+            "note": F.lit("none"),
+            "target_rate": F.when(line % 4 == 1, None).when(line % 4 == 2, -101.0).otherwise(-2.5),
+        }
+    )
+
+
+CASE_SQL = """'Supplier ' || l_suppkey AS supplier, CASE WHEN l_linenumber = 2 THEN '' ELSE 'part "' || l_partkey || '"' END AS product, '-' || l_orderkey AS quote_ref, '2026-07-02' AS quote_date, '' AS buyer,
+  CASE WHEN l_partkey % 3 = 0 THEN 'USD/kg' ELSE '' END AS price_unit, CASE WHEN l_linenumber = 1 THEN '=SUM(A1)' ELSE 'material' END AS supplier_reason, 'none' AS note,
+  CASE WHEN l_linenumber % 4 = 1 THEN NULL WHEN l_linenumber % 4 = 2 THEN CAST(-101 AS DOUBLE) ELSE CAST(-2.5 AS DOUBLE) END AS target_rate"""
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a query's own tables, below the one that the cluster shares."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='pricewell-')}/tables/{uuid.uuid4().hex}"
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly prices as a wide grid of cells (doc, sheet, row, col, value): title, headers in row 5, units in
     row 6, periods in column 1 from row 7. Every 17th value is missing."""

@@ -27,6 +27,24 @@ def query(sql: str | None = None):
     return add
 
 
+def _fixed(x: str, places: int) -> str:
+    """SQL of a number as text with so many places, half up on its decimal digits."""
+    return f"CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,{places})) AS VARCHAR)"
+
+
+def _signed(x: str, places: int) -> str:
+    return f"CASE WHEN starts_with({_fixed(x, places)}, '-') THEN '' ELSE '+' END || {_fixed(x, places)}"
+
+
+def _plain(x: str) -> str:
+    return rf"regexp_replace({_fixed(x, 6)}, '\.?0+$', '')"
+
+
+def _percent(x: str) -> str:
+    f = _fixed(x, 2)
+    return f"CASE WHEN {f} = '0.00' THEN '— ' WHEN starts_with({f}, '-') THEN '▼ ' ELSE '▲ +' END || {f} || '%'"
+
+
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -80,6 +98,8 @@ reviewed AS (SELECT *, CASE WHEN invalid_reason IS NOT NULL THEN 'INVALID' WHEN
   WHEN gap >= 3 THEN 'HIGH_CHALLENGE' WHEN gap >= 1.5 THEN 'REQUEST_EVIDENCE' WHEN gap > 0.5 THEN 'CLARIFY_SMALL_GAP' WHEN abs(gap) <= 0.5 THEN 'CONDITIONAL_REVIEW' ELSE 'SUPPLIER_BELOW_MODEL' END AS verdict FROM reviewed4)"""
 REVIEW_PARTS = (X.FX4, REVIEWED)
 KEYS = ", ".join(X.QUOTE_KEYS)
+GAP_TEXT = f"CASE WHEN abs(gap) < 0.005 THEN '0.00 points (supplier equals the model)' ELSE {_signed('gap', 2)} || ' points (supplier ' || CASE WHEN gap > 0 THEN 'above' ELSE 'below' END || ' the model)' END"
+EVIDENCE = f"'model ' || {_signed('estimate', 2)} || '%, supplier ' || {_signed('supplier_ask', 2)} || '%; gap ' || {_signed('gap', 2)} || ' points; material explains ' || {_signed('mat_impact', 2)} || ' points, other inputs ' || {_signed('other_inputs', 2)}"
 
 
 def _history(spark, d):
@@ -186,15 +206,15 @@ def _case(column: str, names: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " END"
 
 
-@query(X.sql(f"SELECT material_id, signal, {_case('signal', {k: v[0] for k, v in signals.ADVICE.items()})} AS label, {_case('signal', {k: v[1] for k, v in signals.ADVICE.items()})} AS action FROM latest", *SIGNAL_PARTS))
+@query(X.sql(f"SELECT material_id, signal, {_case('signal', {k: v[0] for k, v in signals.ADVICE.items()})} AS label, {_case('signal', {k: v[1] for k, v in signals.ADVICE.items()})} AS action, CASE priority WHEN 'HIGH' THEN 'high priority' WHEN 'MEDIUM' THEN 'medium priority' ELSE 'routine watch' END AS priority_label FROM latest", *SIGNAL_PARTS))
 def signal_advice(spark: SparkSession, d: str) -> DataFrame:
-    return signals.with_advice(_latest(spark, d)).select("material_id", "signal", "label", "action")
+    return signals.with_advice(_latest(spark, d)).select("material_id", "signal", "label", "action", "priority_label")
 
 
-@query(X.sql("SELECT material_id, printf('3-month change %+.2f%%', c3) AS line1, printf('6-month change %+.2f%%', c6) AS line2, 6 AS n_lines FROM latest", *SIGNAL_PARTS))
+@query(X.sql(f"""SELECT material_id, concat_ws(chr(10), '3-month change ' || {_signed("c3", 2)} || '%', '6-month change ' || {_signed("c6", 2)} || '%', 'latest against the 12-month average ' || {_signed("vs_avg12", 2)} || '%',
+  'at ' || {_fixed("range_position", 1)} || '% of the 12-month range', 'Market prices only, not the cost of a finished product.', 'Check the material share, purchase lag, stock, currency and freight as well.') AS lines FROM latest""", *SIGNAL_PARTS))
 def signal_evidence(spark: SparkSession, d: str) -> DataFrame:
-    lines = _latest(spark, d).select("material_id", signals.evidence().alias("e"))
-    return lines.select("material_id", F.get("e", 0).alias("line1"), F.get("e", 1).alias("line2"), F.size("e").alias("n_lines"))
+    return _latest(spark, d).select("material_id", F.array_join(signals.evidence(), "\n").alias("lines"))
 
 
 @query(X.sql("SELECT p AS priority, (SELECT count(*) FROM latest WHERE priority = p) AS n, (SELECT count(*) FROM latest) AS n_series FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW')) t(p)", *SIGNAL_PARTS))
@@ -219,9 +239,9 @@ def filtered_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(X.sql("""SELECT material_id, replace(period, '-', '/') AS period_text, round(greatest(0, least(100, range_position)), 6) AS position, signal_group,
-  CASE WHEN round(c3, 2) > 0 THEN printf('▲ +%.2f%%', round(c3, 2)) WHEN round(c3, 2) < 0 THEN printf('▼ %.2f%%', round(c3, 2)) ELSE '— 0.00%' END AS c3_text FROM latest""", *SIGNAL_PARTS))
+  CASE WHEN value < 10 THEN printf('%.2f', value) ELSE format('{:,}', CAST(round(value) AS BIGINT)) END AS value_text, """ + ", ".join(f"{_percent(c)} AS {c}_text" for c in ("c1", "c3", "c6", "c12")) + " FROM latest", *SIGNAL_PARTS))
 def signal_cards(spark: SparkSession, d: str) -> DataFrame:
-    return signals.cards(_latest(spark, d)).select("material_id", "period_text", "position", "signal_group", "c3_text")
+    return signals.cards(_latest(spark, d)).select("material_id", "period_text", "position", "signal_group", "value_text", "c1_text", "c3_text", "c6_text", "c12_text")
 
 
 # two sources
@@ -283,9 +303,14 @@ def source_rollup(spark: SparkSession, d: str) -> DataFrame:
 # quotes
 
 
-@query(X.sql(f"SELECT {KEYS}, invalid_reason, 0 AS n_invalid_fields FROM reviewed", *REVIEW_PARTS))
+@query(X.sql(f"""SELECT {KEYS}, CASE k WHEN 1 THEN 'negative_price' WHEN 2 THEN 'ratio_out_of_range' WHEN 3 THEN 'rate_below_minus_100' WHEN 4 THEN 'base_ratios_over_100' WHEN 5 THEN 'not_numeric' WHEN 6 THEN 'not_numeric'
+    WHEN 7 THEN 'negative_result_price' WHEN 8 THEN CASE WHEN base_ratio_sum > 100 THEN 'base_ratios_over_100' ELSE 'result_not_finite' END WHEN 9 THEN 'not_numeric' ELSE invalid_reason END AS invalid_reason,
+  CASE k WHEN 1 THEN 'price' WHEN 2 THEN 'mat_ratio,fx_ratio' WHEN 3 THEN 'energy_rate' WHEN 5 THEN 'mat_rate' WHEN 6 THEN 'price' WHEN 9 THEN 'supplier_ask' ELSE '' END AS invalid_fields
+  FROM (SELECT *, (l_orderkey + l_linenumber) % 50 AS k FROM reviewed)""", *REVIEW_PARTS))
 def quote_validity(spark: SparkSession, d: str) -> DataFrame:
-    return _reviewed(spark, d).select(*X.QUOTE_KEYS, "invalid_reason", F.size(shouldcost.invalid_fields()).alias("n_invalid_fields"))
+    """Some quotes are made invalid, in each way there is."""
+    q = X.broken_quotes(X.quotes(spark, d))
+    return shouldcost.reviewed(q).select(*X.QUOTE_KEYS, "invalid_reason", F.array_join(shouldcost.invalid_fields(), ",").alias("invalid_fields"))
 
 
 @query(X.sql(f"SELECT {KEYS}, round(estimate, 6) AS estimate, round(other_inputs, 6) AS other_inputs, round(gap, 6) AS gap, new_price, requested_price, unexplained FROM reviewed", *REVIEW_PARTS))
@@ -296,10 +321,15 @@ def should_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query(X.sql(f"""SELECT {KEYS}, verdict, CASE WHEN verdict = 'INVALID' THEN NULL WHEN verdict = 'REQUEST_DEEPER_REDUCTION' THEN CASE WHEN gap >= 3 THEN 'high' ELSE 'medium' END WHEN verdict IN ('REQUEST_REDUCTION', 'CHALLENGE_INCREASE', 'HIGH_CHALLENGE') THEN 'high'
   WHEN verdict IN ('REQUEST_EVIDENCE', 'CLARIFY_SMALL_GAP') THEN 'medium' WHEN verdict = 'CONDITIONAL_REVIEW' THEN 'balanced' ELSE 'favorable' END AS tone,
-  CASE WHEN abs(gap) < 0.005 THEN 'equal' WHEN gap > 0 THEN 'above' ELSE 'below' END AS side FROM reviewed""", *REVIEW_PARTS))
+  {GAP_TEXT} AS gap_text, {EVIDENCE} AS evidence FROM reviewed""", *REVIEW_PARTS))
 def quote_verdict(spark: SparkSession, d: str) -> DataFrame:
-    side = F.when(F.contains("gap_text", F.lit("equals")), "equal").when(F.contains("gap_text", F.lit("above")), "above").otherwise("below")
-    return _reviewed(spark, d).withColumn("gap_text", shouldcost.gap_text()).select(*X.QUOTE_KEYS, "verdict", "tone", side.alias("side"))
+    return _reviewed(spark, d).select(*X.QUOTE_KEYS, "verdict", "tone", shouldcost.gap_text().alias("gap_text"), F.array_join(shouldcost.verdict_evidence(), "; ").alias("evidence"))
+
+
+@query(X.sql(f"""SELECT {KEYS}, 'estimate = ' || {" || ' + ' || ".join(f"'(' || {_fixed(c + '_ratio', 2)} || '% x ' || {_fixed(c + '_rate', 2)} || '%)'" for c in shouldcost.COMPONENTS)} || ' = ' || {_fixed("estimate", 2)} || '%; new price = ' || {_fixed("price", 2)}
+  || ' x (1 + ' || {_fixed("estimate / 100", 4)} || ') = ' || {_fixed("new_price", 2)} || '; base ratios = ' || {" || ' + ' || ".join(f"{_fixed(c + '_ratio', 2)} || '%'" for c in shouldcost.BASE)} || ' = ' || {_fixed("base_ratio_sum", 1)} || '%' AS formula FROM reviewed""", *REVIEW_PARTS))
+def quote_formula(spark: SparkSession, d: str) -> DataFrame:
+    return shouldcost.estimates(X.quotes(spark, d)).select(*X.QUOTE_KEYS, shouldcost.formula_text().alias("formula"))
 
 
 @query(X.sql("SELECT l_suppkey, verdict, count(*) AS n, round(CAST(sum(CAST(unexplained AS DECIMAL(28,6))) AS DOUBLE), 2) AS unexplained, CAST(sum(CAST(gap AS DECIMAL(28,6))) AS DOUBLE) / count(gap) AS mean_gap FROM reviewed WHERE verdict <> 'INVALID' GROUP BY CUBE (l_suppkey, verdict)", *REVIEW_PARTS))
@@ -307,7 +337,9 @@ def verdict_rollup(spark: SparkSession, d: str) -> DataFrame:
     return shouldcost.verdict_rollup(_reviewed(spark, d), "l_suppkey", "verdict")
 
 
-@query(X.sql(f"""SELECT {KEYS}, material_id, carried, carried_period, carried IS NOT NULL AND abs(mat_rate - carried) > 1e-6 AS overridden, round(mat_ratio * mat_rate / 100, 6) AS mat_impact
+@query(X.sql(f"""SELECT {KEYS}, material_id, carried, carried_period, carried IS NOT NULL AND abs(mat_rate - carried) > 1e-6 AS overridden, round(mat_ratio * mat_rate / 100, 6) AS mat_impact,
+  CASE WHEN carried IS NULL THEN 'rate entered by hand, not linked to a signal' WHEN abs(mat_rate - carried) > 1e-6 THEN 'market record: ' || material_id || ' | c6 | ' || {_fixed("carried", 2)} || '% | ' || carried_period || '; rate edited since'
+    ELSE 'market data: ' || material_id || ' | c6 | ' || {_fixed("carried", 2)} || '% | ' || carried_period END AS market_context
   FROM (SELECT q.*, material_id, floor(c6 * 100 + 0.5) / 100 AS carried, period AS carried_period, CASE WHEN l_linenumber = 1 OR c6 IS NULL THEN mat_rate0 ELSE floor(c6 * 100 + 0.5) / 100 END AS mat_rate
     FROM (SELECT * EXCLUDE (mat_rate), mat_rate AS mat_rate0 FROM quotes) q JOIN (SELECT p_partkey, p_brand AS material_id FROM part) ON l_partkey = p_partkey LEFT JOIN latest USING (material_id))""", X.FX4, *SIGNAL_PARTS))
 def carry_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -315,7 +347,7 @@ def carry_rate(spark: SparkSession, d: str) -> DataFrame:
     quotes = X.quotes(spark, d).join(brand, "l_partkey")
     edited = F.when(F.col("l_linenumber") == 1, F.col("mat_rate")).otherwise(F.coalesce("carried", "mat_rate"))
     rows = shouldcost.with_carried_rate(quotes, _latest(spark, d), "c6", edited)
-    return rows.select(*X.QUOTE_KEYS, "material_id", "carried", "carried_period", "overridden", F.round(F.col("mat_ratio") * F.col("mat_rate") / 100, 6).alias("mat_impact"))
+    return rows.select(*X.QUOTE_KEYS, "material_id", "carried", "carried_period", "overridden", F.round(F.col("mat_ratio") * F.col("mat_rate") / 100, 6).alias("mat_impact"), "market_context")
 
 
 @query(X.sql(f"SELECT {KEYS}, component, ratio, rate, round(impact, 6) AS impact FROM (" + " UNION ALL ".join(f"SELECT {KEYS}, '{report.LABELS[c]}' AS component, {c}_ratio AS ratio, {c}_rate AS rate, {c}_impact AS impact FROM reviewed" for c in shouldcost.COMPONENTS) + ")", *REVIEW_PARTS))
@@ -323,36 +355,73 @@ def cost_rows(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(report.cost_rows(_reviewed(spark, d), *X.QUOTE_KEYS), "impact")
 
 
-@query(X.sql("SELECT CAST(pos AS BIGINT) AS pos, n FROM (SELECT unnest(range(42)) AS pos), (SELECT count(*) AS n FROM reviewed WHERE verdict <> 'INVALID')", *REVIEW_PARTS))
+#: Of the report's rows: section, field, value and unit, in SQL.
+UNIT = "coalesce(nullif(price_unit, ''), 'calculator unit')"
+REPORT_ROWS = [("section", "field", "'value'", "'unit'"), ("document", "name", "'supplier price review'", "''"), ("document", "generated_at", "''", "''")]
+REPORT_ROWS += [("case", c, c, "''") for c in ("supplier", "product", "quote_ref", "quote_date", "buyer", "price_unit")]
+REPORT_ROWS += [("market", "context", "'not linked to a signal'", "'primary source; second source is a cross-check'")]
+REPORT_ROWS += [("result", c, _plain(c), u) for c, u in (("price", UNIT), ("supplier_ask", "'%'"), ("estimate", "'%'"), ("gap", "'points'"), ("unexplained", UNIT), ("new_price", UNIT), ("requested_price", UNIT))]
+REPORT_ROWS += [("cost", f"{n} {x}", _plain(f"{c}_{x}"), "'points'" if x == "impact" else "'%'") for c, n in report.LABELS.items() for x in ("ratio", "rate", "impact")]
+REPORT_ROWS += [("verdict", "code", "verdict", "'decision support'"), ("verdict", "tone", "tone", "''"), ("verdict", "gap_text", GAP_TEXT, "''"), ("verdict", "evidence", EVIDENCE, "''")]
+REPORT_ROWS += [("supplier", "supplier_reason", "supplier_reason", "''"), ("supplier", "evidence_received", "''", "''"), ("purchase", "conclusion", "''", "''"), ("purchase", "target_rate", f"coalesce({_plain('target_rate')}, '')", "'%'"), ("purchase", "note", "note", "''")]
+REPORT_ROWS += [("policy", "automatic decision", "'no'", "'a material''s rise is not the product''s'")]
+CASES = f"""cases AS (SELECT *, {X.CASE_SQL} FROM reviewed), valid_cases AS (SELECT *, CASE WHEN verdict = 'REQUEST_DEEPER_REDUCTION' THEN CASE WHEN gap >= 3 THEN 'high' ELSE 'medium' END WHEN verdict IN ('REQUEST_REDUCTION', 'CHALLENGE_INCREASE', 'HIGH_CHALLENGE') THEN 'high'
+  WHEN verdict IN ('REQUEST_EVIDENCE', 'CLARIFY_SMALL_GAP') THEN 'medium' WHEN verdict = 'CONDITIONAL_REVIEW' THEN 'balanced' ELSE 'favorable' END AS tone FROM cases WHERE verdict <> 'INVALID' AND coalesce(target_rate, 0) >= -100)"""
+
+
+def _cases(spark, d):
+    return X.cases(_reviewed(spark, d)).withColumns({"evidence": shouldcost.verdict_evidence(), "gap_text": shouldcost.gap_text()})
+
+
+@query(X.sql(f"SELECT {KEYS}, md5(concat_ws(chr(10), " + ", ".join(f"'{s}|{f}|' || {v} || '|' || {u}" for s, f, v, u in REPORT_ROWS) + ")) AS report_md5 FROM valid_cases", *REVIEW_PARTS, CASES))
 def report_long(spark: SparkSession, d: str) -> DataFrame:
-    """How many valid quotes have each of the 42 report rows."""
-    rows = report.report_long(_reviewed(spark, d).withColumn("evidence", shouldcost.verdict_evidence()), *X.QUOTE_KEYS)
-    return rows.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"))
+    """All 42 report rows of each valid quote, as a digest of their cells."""
+    rows = report.snapshots(_cases(spark, d), *X.QUOTE_KEYS).where("valid")
+    lines = F.transform(report.report_cells(), lambda r: F.concat_ws("|", r["section"], r["field"], r["value"], r["unit"]))
+    return rows.select(*X.QUOTE_KEYS, F.md5(F.array_join(lines, "\n").cast("binary")).alias("report_md5"))
+
+
+@query(X.sql(f"SELECT {KEYS}, CASE WHEN verdict = 'INVALID' THEN invalid_reason WHEN target_rate < -100 THEN 'target_rate' END AS reason, coalesce(nullif(supplier, ''), 'not given') AS supplier, coalesce(nullif(product, ''), 'not given') AS product, 'not given' AS evidence_received, 'waiting for the supplier''s documents' AS conclusion, {UNIT} AS price_unit, CASE WHEN target_rate IS NULL THEN 'not given' ELSE {_signed('target_rate', 2)} || '%' END AS target_rate, 'not linked to a signal' AS market_context FROM cases", *REVIEW_PARTS, CASES))
+def report_shown(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader of each quote's report sees in its header fields, with the reason if there is none to export."""
+    return report.shown(report.snapshots(_cases(spark, d), *X.QUOTE_KEYS)).select(*X.QUOTE_KEYS, "reason", "supplier", "product", "evidence_received", "conclusion", "price_unit", "target_rate", "market_context")
 
 
 # exports
 
 
-@query(X.sql("""SELECT material_id, period, concat_ws(',', '"' || material_id || '"', '"' || material_id || '"', '"' || period || '"', printf('%.4f', shown), CASE WHEN index_mode THEN '"index (first = 100)"' ELSE '"price"' END,
+@query(X.sql("""SELECT material_id, period, concat_ws(',', '"' || material_id || '"', '"' || material_id || '"', '"' || period || '"', {shown}, CASE WHEN index_mode THEN '"index (first = 100)"' ELSE '"price"' END,
   CASE WHEN index_mode THEN '"—"' ELSE '"USD"' END, CASE WHEN index_mode THEN '"index points"' ELSE '"' || display_unit || '"' END, '"' || primary_unit || '"', '"primary"', '"no"', '"monthly"', '"latest"', '"-"') AS line
-  FROM view_ JOIN materials USING (material_id)""", X.FX1, X.FX3, SLICE).replace("'\"-\"'", "'\"''-\"'"))
+  FROM view_ JOIN materials USING (material_id)""", X.FX1, X.FX3, SLICE).replace("'\"-\"'", "'\"''-\"'").replace("{shown}", _fixed("shown", 4)))
 def csv_price_lines(spark: SparkSession, d: str) -> DataFrame:
     return csv_export.price_lines(_view(spark, d).drop("mno"), X.materials(spark, d), "primary", "latest", "-")
 
 
-@query(X.sql("""SELECT material_id, period, concat_ws(',', '"' || material_id || '"', '"' || material_id || '"', '"' || period || '"', printf('%.6f', round(primary_value, 4)), printf('%.6f', diff_pct), '"' || primary_unit || '"') AS line
-  FROM (SELECT * FROM compared QUALIFY row_number() OVER (PARTITION BY material_id ORDER BY period DESC) <= 12) JOIN materials USING (material_id)""", *COMPARE_PARTS))
+@query(X.sql("""SELECT material_id, period, concat_ws(',', '"' || material_id || '"', '"' || material_id || '"', '"' || period || '"', {numbers}, '"' || primary_unit || '"', '"' || comparison_unit || '"', '""', '"primary"', '"comparison"', '"no"') AS line
+  FROM (SELECT * FROM compared QUALIFY row_number() OVER (PARTITION BY material_id ORDER BY period DESC) <= 12) JOIN materials USING (material_id)""", *COMPARE_PARTS).replace("{numbers}", ", ".join(_fixed(c, 6) for c in ("primary_value", "comparison_value", "diff", "diff_pct"))))
 def csv_compare_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = compare.last_rows(compare.compared(*_two_sources(spark, d)))
-    lines = csv_export.compare_lines(_rounded(rows, "primary_value", digits=4), X.materials(spark, d))
-    part = lambda k: F.get(F.split("line", ","), k)
-    return lines.select("material_id", "period", F.concat_ws(",", *[part(k) for k in (0, 1, 2, 3, 6, 7)]).alias("line"))
+    return csv_export.compare_lines(rows, X.materials(spark, d)).select("material_id", "period", "line")
+
+
+def _csv_cell(section: str, field: str, value: str) -> str:
+    if section in ("result", "cost") or field == "target_rate":
+        return f"CASE WHEN {value} = '' THEN '\"\"' ELSE {value} END"
+    guarded = f"CASE WHEN regexp_matches({value}, '^[=+\\-@]') THEN '''' || {value} ELSE {value} END" if field in report.FREE_TEXT else value
+    return f"'\"' || replace({guarded}, '\"', '\"\"') || '\"'"
+
+
+@query(X.sql("SELECT pos, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM (" + " UNION ALL ".join(f"SELECT {k} AS pos, '\"{s}\",\"{f}\",' || {_csv_cell(s, f, v)} || ',\"' || {u} || '\"' AS line FROM valid_cases" for k, (s, f, v, u) in enumerate(REPORT_ROWS)) + ") GROUP BY 1", *REVIEW_PARTS, CASES))
+def csv_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first and last of each of the 42 CSV lines over all valid quotes."""
+    lines = csv_export.report_lines(report.report_long(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
+    return lines.groupBy("pos").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
 @query(X.sql("SELECT material_id, period, value FROM obs_primary", X.FX1))
 def json_document(spark: SparkSession, d: str) -> DataFrame:
-    """The observations after a round through one nested JSON document."""
-    doc = documents.document(X.obs_primary(spark, d), "primary")
+    """The observations after a round through nested JSON documents."""
+    doc = documents.document(X.obs_primary(spark, d), "primary", parts=4)
     parsed = doc.select(F.from_json("value", documents.DOCUMENT).alias("j"))
     rows = parsed.select(F.explode("j.series").alias("material_id", "s")).select("material_id", F.explode("s.observations").alias("o"))
     return rows.select("material_id", "o.period", "o.value")
@@ -428,12 +497,61 @@ def dq_idset(spark: SparkSession, d: str) -> DataFrame:
     return quality.all_violations(quality.id_set_difference(rows, m, "comparison"), quality.missing_series(rows, m, "comparison"))
 
 
-@query(X.sql("SELECT 'signals_behind' AS rule_id, 'primary' AS source, '*' AS series_id, CAST(1 AS BIGINT) AS n_bad, (SELECT max(period) FROM obs_primary WHERE mi < 23980) || '/' || (SELECT max(period) FROM obs_primary) AS sample", X.FX1))
+@query(X.sql("""SELECT 'signals_behind' AS rule_id, 'primary' AS source, '*' AS series_id, CAST(1 AS BIGINT) AS n_bad, (SELECT max(period) FROM obs_primary WHERE mi < 23980) || '/' || (SELECT max(period) FROM obs_primary) AS sample
+  UNION ALL SELECT 'policy', source, material_id, CAST(1 AS BIGINT), sample FROM (SELECT *, CASE WHEN mno % 2 = 0 THEN 'primary' ELSE 'comparison' END AS source FROM materials) JOIN (VALUES ('not real'), ('fallback'), ('source name'), ('primary source')) t(sample)
+    ON CASE sample WHEN 'not real' THEN mno % 3 = 0 WHEN 'fallback' THEN mno % 5 = 0 WHEN 'source name' THEN mno % 2 = 0 AND mno % 4 = 0 ELSE mno % 7 = 0 END""", X.FX1, X.FX3))
 def dq_policy(spark: SparkSession, d: str) -> DataFrame:
-    """Signals older than the status table says, and a status that keeps to the policy."""
+    """Signals older than the status table says, and documents that break the policy in each way."""
+    p, mno = X.obs_primary(spark, d), F.col("mno")
+    state = p.agg(F.lit("primary").alias("source"), F.max("period").alias("latest_period"))
+    papers = X.materials(spark, d).select(
+        F.when(mno % 2 == 0, "primary").otherwise("comparison").alias("source"),
+        "material_id",
+        F.when(mno % 4 == 0, "another").otherwise("OFFICIAL").alias("source_name"),
+        F.when(mno % 7 == 0, None).otherwise("OFFICIAL").alias("primary_source"),
+        (mno % 3 != 0).alias("is_real"),
+        F.when(mno % 5 != 0, False).alias("automatic_fallback"),
+    )
+    return quality.all_violations(quality.freshness_mismatch(p.where("mi < 23980"), state), quality.policy_violations(papers, "OFFICIAL"))
+
+
+@query(X.sql("""SELECT 'no_overlap' AS rule_id, 'comparison' AS source, material_id AS series_id, CAST(1 AS BIGINT) AS n_bad, material_id AS sample FROM (SELECT DISTINCT material_id FROM obs_comparison WHERE mno % 8 = 3)
+  UNION ALL SELECT 'zero_base', 'primary', material_id, count(*), min(period) FROM obs_primary JOIN obs_comparison c USING (material_id, period) WHERE obs_primary.mno % 8 <> 3 AND mi % 30 = 0 GROUP BY material_id""", X.FX1, X.FX2))
+def dq_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Some series of the comparison source are of other years; some primary values are 0."""
     p = X.obs_primary(spark, d)
-    state = p.agg(F.lit("primary").alias("source"), F.max("period").alias("latest_period"), F.lit(True).alias("is_real"), F.lit(False).alias("automatic_fallback"))
-    return quality.all_violations(quality.freshness_mismatch(p.where("mi < 23980"), state), quality.policy_violations(state))
+    c = X.obs_comparison(p).withColumns({"source": F.lit("comparison"), "period": F.when(F.col("mno") % 8 == 3, F.concat(F.lit("3"), F.substring("period", 2, 6))).otherwise(F.col("period"))})
+    return quality.overlap_gate(p.withColumn("value", F.when(F.col("mi") % 30 == 0, 0.0).otherwise(F.col("value"))), c)
+
+
+@query("""SELECT p_brand AS material_id, CASE WHEN m % 7 = 0 OR m % 5 = 1 THEN 'version or purpose' WHEN m % 4 = 0 OR m % 9 = 2 THEN 'thresholds' WHEN m % 3 = 0 OR m % 10 = 5 THEN 'policy' END AS problem
+  FROM (SELECT DISTINCT p_brand, CAST(replace(p_brand, 'Brand#', '') AS INT) AS m FROM part)""")
+def cost_rule_problems(spark: SparkSession, d: str) -> DataFrame:
+    """A set of cost rules for each brand, many of them wrong."""
+    mno, no = F.col("mno"), F.lit(False)
+    rules = X.materials(spark, d).select(
+        "material_id",
+        F.when(mno % 7 == 0, 2).otherwise(1).alias("version"),
+        F.when(mno % 5 == 1, None).otherwise(True).alias("decision_support_only"),
+        F.when(mno % 9 == 2, float("nan")).otherwise(0.5).alias("match"),
+        F.when(mno % 4 == 0, 0.5).otherwise(1.5).alias("evidence"),
+        F.lit(3.0).alias("challenge"),
+        no.alias("automatic_acceptance"),
+        (mno % 3 == 0).alias("automatic_rejection"),
+        no.alias("material_equals_product"),
+        F.when(mno % 10 == 5, "PRIMARY").otherwise(shouldcost.SECOND_SOURCE_ROLE).alias("second_source_role"),
+    )
+    return rules.select("material_id", shouldcost.rule_problem().alias("problem"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN -o_orderkey WHEN 2 THEN o_orderkey + CAST(0.5 AS DOUBLE) END AS number, o_orderkey % 6 < 3 AND (o_orderkey % 6 <> 1 OR o_orderkey <= 100) OR o_orderkey % 6 = 5 AS valid_target FROM orders""")
+def form_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers as people type them, and whether they may be target rates (a field that is missing may)."""
+    key = F.col("o_orderkey")
+    text = key.cast("string")
+    raw = F.when(key % 6 == 0, "  ").when(key % 6 == 1, F.concat(F.lit(" -"), text)).when(key % 6 == 2, F.concat(text, F.lit(".5 "))).when(key % 6 == 3, F.concat(text, F.lit("abc"))).when(key % 6 == 4, "Infinity")
+    rows = X.table(spark, d, "orders").select("o_orderkey", raw.alias("raw"), F.when(raw.isNotNull(), S.form_number(raw)).alias("number"))
+    return rows.select("o_orderkey", "number", (F.when(F.col("raw").isNull(), shouldcost.valid_target(F.col("number"))).otherwise(F.col("number").isNotNull() & shouldcost.valid_target(F.col("number")))).alias("valid_target"))
 
 
 @query(X.sql("SELECT material_id, count(*) AS n_rows FROM faulty WHERE material_id NOT IN ('Brand#3', 'Brand#4', 'Brand#5') GROUP BY 1", *FAULT_PARTS))
@@ -510,15 +628,19 @@ def series_metadata(spark: SparkSession, d: str) -> DataFrame:
     return ingest.series_metadata(rows).select("wanted_id", "problem")
 
 
-@query(X.sql("SELECT material_id AS series_id, period, CASE WHEN (mi + mno) % 9 <> 0 THEN value END AS value, false AS bad_date FROM obs_primary WHERE (mi + mno) % 9 <> 0 AND mi % 25 <> 0 UNION ALL SELECT material_id, NULL, CASE WHEN (mi + mno) % 9 <> 0 THEN value END, true FROM obs_primary WHERE mi % 25 = 0", X.FX1))
+@query(X.sql("""SELECT material_id AS series_id, CASE WHEN NOT bad THEN period END AS period, CASE WHEN given THEN value END AS value, bad AS bad_date
+  FROM (SELECT *, mi % 25 = 0 OR mi % 29 = 0 OR mi % 31 = 0 AS bad, (mi + mno) % 9 <> 0 AND mi % 31 <> 0 AS given FROM obs_primary WHERE mi % 37 <> 0) WHERE bad OR given""", X.FX1))
 def api_observations(spark: SparkSession, d: str) -> DataFrame:
-    """Observation lists in JSON, where some values are missing and some dates are bad."""
-    p = X.obs_primary(spark, d)
-    value = F.when((F.col("mi") + F.col("mno")) % 9 == 0, ".").otherwise(F.col("value").cast("string"))
-    date = F.when(F.col("mi") % 25 == 0, F.concat(F.lit("x"), "period")).otherwise(F.concat("period", F.lit("-31")))
-    payload = p.groupBy("material_id").agg(F.to_json(F.struct(F.collect_list(F.struct(date.alias("date"), value.alias("value"))).alias("observations"))).alias("j"))
-    items = payload.select(F.col("material_id").alias("series_id"), F.explode(F.from_json("j", "observations array<struct<date:string,value:string>>")["observations"]).alias("o"))
-    return ingest.api_observations(items.select("series_id", "o.date", "o.value"))
+    """Observation lists in JSON, where some values are missing, some dates are bad, and some items are empty or null."""
+    p, mi = X.obs_primary(spark, d), F.col("mi")
+    value = F.when((mi + F.col("mno")) % 9 == 0, ".").otherwise(F.col("value").cast("string"))
+    date = F.when(mi % 25 == 0, F.concat(F.lit("x"), "period")).when(mi % 29 == 0, F.concat("period", F.lit("-00"))).when(mi % 2 == 0, F.concat(F.lit(" "), "period", F.lit("-31 "))).otherwise(F.concat("period", F.lit("-01")))
+    given = mi % 31 != 0
+    item = F.when(mi % 37 != 0, F.struct(F.when(given, date).alias("date"), F.when(given, value).alias("value")))
+    text = F.to_json(F.struct(F.collect_list(F.coalesce(F.to_json(item), F.lit("null"))).alias("observations")))
+    payload = p.groupBy("material_id").agg(text.alias("j"))
+    items = payload.select(F.col("material_id").alias("series_id"), F.explode(F.from_json("j", "observations array<string>")["observations"]).alias("o"))
+    return ingest.api_observations(items.select("series_id", F.when(F.col("o") != "null", F.from_json("o", "date string, value string")).alias("item")))
 
 
 @query("SELECT page_id, coalesce(regexp_matches(url, '^https://') AND lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) IN ('tionsh.example.net', 'm.ththth.example.org'), false) AS allowed FROM pages")
@@ -537,23 +659,29 @@ def link_discovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def file_admission(spark: SparkSession, d: str) -> DataFrame:
-    """The files of one given table as landed files; those under the least size are refused."""
-    files = documents.landed_files(spark, f"{d}/supplier.parquet")
-    return documents.admitted(files, 5_000, documents.MAX_BYTES, b"PAR1").select("length", "sha256", "problem")
+    """The files of all given tables as landed files."""
+    return documents.admitted(documents.landed_files(spark, d, "*.parquet"), magic=b"PAR1").select("length", "sha256", "problem")
 
 
 # status, versions, profiles
 
 
-@query(X.sql("""SELECT 'comparison' AS source, 'SUCCESS' AS status, (SELECT max(period) FROM obs_comparison) AS latest_period, true AS is_stale, 1 AS n_warnings
-  UNION ALL SELECT 'primary', 'SUCCESS', (SELECT max(period) FROM obs_primary), false, 0""", X.FX1, X.FX2))
+@query(X.sql("""SELECT 'comparison' AS source, 'SUCCESS' AS status, '2026-07-02T08:00:00Z' AS last_attempt_at, '2026-07-02T08:00:00Z' AS last_success_at, (SELECT max(period) FROM obs_comparison) AS latest_period, CAST(NULL AS VARCHAR) AS updated_on,
+    sha256((SELECT max(period) FROM obs_comparison)) AS sha256, 'https://data.example.org/comparison' AS url, true AS is_stale, 1 AS n_warnings
+  UNION ALL SELECT 'primary', 'SUCCESS', '2026-07-02T08:00:00Z', '2026-07-02T08:00:00Z', (SELECT max(period) FROM obs_primary), '2026-07-01', sha256((SELECT max(period) FROM obs_primary)), 'https://data.example.org/primary', false, 0""", X.FX1, X.FX2))
 def status_upsert(spark: SparkSession, d: str) -> DataFrame:
     """Both sources refreshed after a status with a stale comparison source."""
     rows = _sourced(spark, d)
-    last = {r.source: r.latest for r in rows.groupBy("source").agg(F.max("period").alias("latest")).collect()}  # two rows
-    before = rows.groupBy("source").agg(F.lit("FAILED").alias("status"), F.min("period").alias("latest_period"), F.lit(True).alias("is_stale"), F.array(F.lit("old")).alias("warnings"))
-    after = status.comparison_refreshed(status.primary_refreshed(before, last["primary"]), last["comparison"])
-    return after.select("source", "status", "latest_period", "is_stale", F.size("warnings").alias("n_warnings"))
+    none = {c: F.lit(None).cast("string") for c in ("last_attempt_at", "last_success_at", "updated_on", "sha256", "url")}
+    before = rows.groupBy("source").agg(F.min("period").alias("latest_period")).withColumns(none | {"status": F.lit("FAILED"), "is_stale": F.lit(True), "warnings": F.array(F.lit("old"))})
+
+    def run(source: str, **more: str) -> DataFrame:
+        last = rows.where(F.col("source") == source).agg(F.max("period").alias("latest_period"))
+        told = {"sha256": F.sha2(F.col("latest_period").cast("binary"), 256), "url": F.lit(f"https://data.example.org/{source}")}
+        return status.run_record(last.withColumns(told | {k: F.lit(v) for k, v in more.items()}), "2026-07-02T08:00:00Z")
+
+    after = status.comparison_refreshed(status.primary_refreshed(before, run("primary", updated_on="2026-07-01")), run("comparison"))
+    return after.select(*[c for c in status.FIELDS if c != "warnings"], F.size("warnings").alias("n_warnings"))
 
 
 @query(X.sql("""SELECT material_id, period, o.value AS old_value, n.value AS new_value, CASE WHEN o.value IS NULL THEN 'inserted' WHEN n.value IS NULL THEN 'removed' WHEN o.value = n.value THEN 'same' ELSE 'revised' END AS change
@@ -563,11 +691,11 @@ def version_revisions(spark: SparkSession, d: str) -> DataFrame:
     return status.revisions(p, X.obs_comparison(p))
 
 
-@query(X.sql("SELECT material_id, period FROM obs_primary EXCEPT SELECT material_id, period FROM obs_comparison", X.FX1, X.FX2))
+@query(X.sql("SELECT material_id, period FROM (SELECT material_id, period, value FROM obs_primary EXCEPT SELECT material_id, period, value FROM obs_comparison)", X.FX1, X.FX2))
 def unchanged_skipped(spark: SparkSession, d: str) -> DataFrame:
-    """Rows whose content hash an earlier version lacks (hash of series and period here)."""
+    """Rows whose content hash (of series, period and value) an earlier version lacks."""
     p = X.obs_primary(spark, d)
-    hashed = lambda df: df.select("material_id", "period", F.sha2(F.concat_ws("|", "material_id", "period"), 256).alias("sha256"))
+    hashed = lambda df: df.select("material_id", "period", F.sha2(F.concat_ws("|", "material_id", "period", F.col("value").cast("string")).cast("binary"), 256).alias("sha256"))
     return status.new_files(hashed(p), hashed(X.obs_comparison(p))).select("material_id", "period")
 
 
@@ -597,3 +725,65 @@ def sheet_shape(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def daily_event_values(spark: SparkSession, d: str) -> DataFrame:
     return refresh.daily_event_values(X.table(spark, d, "events"))
+
+
+# links, files, cells and texts
+
+
+LINKED = r"""WITH clean AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '<!--.*?-->|<script\b.*?</script>', '', 'gsi') AS html FROM pages),
+roots AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1, 'i') AS all_hrefs FROM clean),
+hrefs AS (SELECT page_id, root, unnest(all_hrefs) AS href, unnest(range(len(all_hrefs))) AS pos FROM roots)"""
+
+
+@query(
+    LINKED
+    + r""" SELECT page_id, coalesce(found, 'none') AS found FROM pages LEFT JOIN (SELECT page_id, arg_min(root || href, pos) AS found FROM hrefs
+  WHERE starts_with(href, '/') AND lower(regexp_extract(href, '([^/?#]*)$', 1)) = 'the' AND regexp_matches(root, '^https://.*[.](org|net)$') GROUP BY 1) USING (page_id)"""
+)
+def link_target(spark: SparkSession, d: str) -> DataFrame:
+    """The first link of each page to a target of this name on an allowed host, else a fallback."""
+    pages = X.table(spark, d, "pages")
+    hosts = pages.select(F.regexp_extract("url", r"^https://([^/?#]*\.(?:org|net))(?:[/?#]|$)", 1).alias("host")).where("host <> ''").distinct()
+    return documents.discovered(pages, "The", hosts, "none")
+
+
+@query("""SELECT doc_id, n AS length, sha256(c) AS sha256, CASE WHEN n < 50000 THEN 'too small' WHEN n > 52428800 THEN 'too large' WHEN doc_id % 3 = 0 THEN 'not the expected format' END AS problem
+  FROM (SELECT doc_id, c, CAST(strlen(c) AS BIGINT) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'XX' ELSE 'PK' END || repeat(coalesce(text, ''), 12) AS c FROM documents))""")
+def landed_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, repeated to the size of a file, as the content of a landed file; some lack the format's mark."""
+    content = F.concat(F.when(F.col("doc_id") % 3 == 0, "XX").otherwise("PK"), F.repeat(F.coalesce("text", F.lit("")), F.lit(12))).cast("binary")
+    files = X.table(spark, d, "documents").select(F.col("doc_id").alias("path"), content.alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    return documents.admitted(files).withColumnRenamed("path", "doc_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS VARCHAR) END AS price, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderstatus AS state FROM orders")
+def profile_values(spark: SparkSession, d: str) -> DataFrame:
+    price = F.when(F.col("o_orderkey") % 14 == 0, float("nan")).when(F.col("o_orderkey") % 7 == 0, float("-inf")).otherwise(F.col("o_totalprice"))
+    rows = X.table(spark, d, "orders").select("o_orderkey", price.alias("price"), F.col("o_orderdate").alias("at"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("state"))
+    return ingest.profile_cells(rows, "price", "at", "day", "state")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS run_time, CASE WHEN event_id % 5 = 0 THEN 'no time' ELSE strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') END AS local_minute,
+  strftime(ts, '%Y%m%d') AS compact, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y/%m/%d %H:%M') AS minute FROM events""")
+def time_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of times in UTC, whatever the session's time zone, and in the zone of the readers."""
+    at = F.col("ts").cast("timestamp_ntz")
+    in_zone = F.convert_timezone(F.lit("UTC"), F.current_timezone(), at).cast("timestamp")
+    rows = X.table(spark, d, "events").select("event_id", S.utc_second(in_zone).alias("run_time"), S.date_stamps(at).alias("s"))
+    text = F.when(F.col("event_id") % 5 == 0, "no time").otherwise(F.col("run_time"))
+    return rows.select("event_id", "run_time", S.local_minute(text).alias("local_minute"), "s.*")
+
+
+@query(r"SELECT doc_id, left(regexp_replace(coalesce(text, ''), '[\x00-\x1F\x7F]', '', 'g'), 500) AS message FROM documents")
+def safe_texts(spark: SparkSession, d: str) -> DataFrame:
+    return X.table(spark, d, "documents").select("doc_id", S.safe_message(F.col("text")).alias("message"))
+
+
+@query("SELECT event_type AS material_id, strftime(ts, '%Y-%m-%d %H') AS period, max(struct_pack(t := ts, v := value)).v AS value FROM events GROUP BY 1, 2")
+def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream that is upserted, batch by batch, into a table of the last value of each type and hour."""
+    source = spark.readStream.schema(X.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events*.parquet")
+    rows = source.select(F.col("event_type").alias("material_id"), F.date_format("ts", "yyyy-MM-dd HH").alias("period"), "value", F.col("ts").cast("timestamp").alias("loaded_at"))
+    place = X.scratch(spark)
+    refresh.refresh(rows, f"{place}/table", f"{place}/state").awaitTermination()
+    return refresh.current(spark, f"{place}/table").select("material_id", "period", "value")

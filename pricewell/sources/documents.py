@@ -16,17 +16,19 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return series.select("source", "material_id", F.posexplode("s.observations").alias("ingest_ord", "o")).select("source", "material_id", "o.period", "o.value", "ingest_ord")
 
 
-def document(obs: DataFrame, source: str) -> DataFrame:
-    """One row `value`: the JSON text of all series, as read_document() reads it. One document holds all
-    series by definition; large tables are better written as they are."""
+def document(obs: DataFrame, source: str, parts: int = 1) -> DataFrame:
+    """Rows `value`: JSON documents, as read_document() reads them, that together hold all series, dealt over
+    `parts` of them by a hash of the id. One document is one row of one task, so give enough parts."""
     each = obs.groupBy("material_id").agg(F.sort_array(F.collect_list(F.struct("period", "value"))).alias("observations"), F.max("period").alias("latest"))
     body = F.map_from_entries(F.sort_array(F.collect_list(F.struct("material_id", F.struct("observations").alias("s")))))
-    whole = each.agg(F.max("latest").alias("latest"), body.alias("series"))
+    top = each.agg(F.max("latest").alias("latest"))  # one row
+    dealt = each.groupBy(F.pmod(F.xxhash64("material_id"), F.lit(parts)).alias("part")).agg(body.alias("series"))
+    whole = dealt.crossJoin(F.broadcast(top))
     return whole.select(F.to_json(F.struct(F.struct(F.lit(source).alias("source"), F.col("latest").alias("latestPeriod")).alias("dataset"), "series")).alias("value"))
 
 
-def write_document(obs: DataFrame, source: str, path: str) -> None:
-    document(obs, source).coalesce(1).write.mode("overwrite").text(path)
+def write_document(obs: DataFrame, source: str, path: str, parts: int = 1) -> None:
+    document(obs, source, parts).write.mode("overwrite").text(path)
 
 
 def landed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -40,10 +42,14 @@ def admitted(files: DataFrame, least: int = MIN_BYTES, most: int = MAX_BYTES, ma
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
+def secure_host(url: Column) -> Column:
+    """The lower-cased host of an https URL; null for any other."""
+    return F.when(F.try_parse_url(url, F.lit("PROTOCOL")) == "https", F.lower(F.try_parse_url(url, F.lit("HOST"))))
+
+
 def allowed_url(url: Column, hosts: list[str]) -> Column:
     """https, and one of the hosts."""
-    scheme, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.try_parse_url(url, F.lit("HOST"))
-    return F.coalesce((scheme == "https") & F.lower(host).isin(*hosts), F.lit(False))
+    return F.coalesce(secure_host(url).isin(*hosts), F.lit(False))
 
 
 def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -58,9 +64,16 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return rows.select(id_col, "pos", "href", absolute.alias("absolute"))
 
 
-def discovered(pages: DataFrame, target: str, hosts: list[str], fallback: str, id_col: str = "page_id") -> DataFrame:
-    """(page_id, found): the first allowed link of each page whose last path part is `target`, else the fallback."""
+def discovered(pages: DataFrame, target: str, hosts: list[str] | DataFrame, fallback: str, id_col: str = "page_id") -> DataFrame:
+    """(page_id, found): the first allowed link of each page whose last path part is `target`, else the fallback.
+
+    hosts: a short list, or a table with a column `host` of any size.
+    """
     base = F.lower(F.regexp_extract("absolute", r"([^/?#]*)(?:[?#].*)?$", 1))
-    hits = links(pages, id_col).where((base == target.lower()) & allowed_url(F.col("absolute"), hosts))
+    hits = links(pages, id_col).where(base == target.lower())
+    if isinstance(hosts, DataFrame):
+        hits = hits.withColumn("host", secure_host(F.col("absolute"))).join(hosts.select("host"), "host", "left_semi")
+    else:
+        hits = hits.where(allowed_url(F.col("absolute"), hosts))
     first = hits.groupBy(id_col).agg(F.min_by("absolute", "pos").alias("found"))
     return pages.select(id_col).join(first, id_col, "left").select(id_col, F.coalesce("found", F.lit(fallback)).alias("found"))

@@ -6,40 +6,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.status import versions
+
 OBSERVATIONS = "material_id string, period string, value double, loaded_at timestamp"
 
 
 def latest_version(rows: DataFrame) -> DataFrame:
-    """The row loaded last of each (material_id, period)."""
-    best = F.max_by(F.struct("value", "loaded_at"), "loaded_at").alias("v")
-    return rows.groupBy("material_id", "period").agg(best).select("material_id", "period", "v.value", "v.loaded_at")
+    """The row loaded last of each (material_id, period); of rows loaded at one time that of the greatest value."""
+    last = F.max(F.struct("loaded_at", "value")).alias("v")
+    return rows.groupBy("material_id", "period").agg(last).select("material_id", "period", "v.value", "v.loaded_at")
+
+
+def landed(spark: SparkSession, landing: str) -> DataFrame:
+    """The stream of JSON lines in the files of a folder."""
+    return spark.readStream.schema(OBSERVATIONS).json(landing)
 
 
-def refresh(spark: SparkSession, landing: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Take the files that are new in `landing` (JSON lines) and upsert them into the parquet folder `table`.
+def refresh(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Take what is new in a stream of OBSERVATIONS and upsert it into the parquet folder `table`.
 
-    Each batch writes a new version folder; readers take the greatest. A repeated batch writes the same folder.
+    Each batch writes only its own rows, the last of each (material_id, period), as a version of its own;
+    current() merges the versions, so a batch costs no more than what it brings. A batch that is repeated
+    after a failure writes the same version again, and an incomplete one is not read.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        before = current(spark, table, number)
-        rows = batch if before is None else before.unionByName(batch)
-        latest_version(rows).write.mode("overwrite").parquet(f"{table}/version={number:010d}")
+        latest_version(batch).write.mode("overwrite").parquet(f"{table}/version={number:010d}")
 
-    stream = spark.readStream.schema(OBSERVATIONS).json(landing)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
-    """The newest version (older than batch `before`), or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    versions = sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-    versions = [v for v in versions if before is None or v < before]
-    return spark.read.schema(OBSERVATIONS).parquet(f"{table}/version={versions[-1]:010d}") if versions else None
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table as of its complete versions, or None if it has none."""
+    folders = list(versions(spark, table).values())
+    return latest_version(spark.read.schema(OBSERVATIONS).parquet(*folders)) if folders else None
+
+
+def compacted(spark: SparkSession, table: str, path: str) -> DataFrame | None:
+    """current(), written to the folder `path` as the first version of a table that later batches add to."""
+    rows = current(spark, table)
+    if rows is not None:
+        last = max(versions(spark, table))
+        rows.write.mode("overwrite").parquet(f"{path}/version={last:010d}")
+    return current(spark, path)
 
 
 def daily_event_values(events: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -59,14 +59,29 @@ def test_carried_rate_and_override(spark):
 def test_report_and_csv(spark, tmp_path):
     r = C.reviewed(quotes(spark, {})).withColumn("evidence", C.verdict_evidence()).withColumn("supplier", F.lit('=A "x"')).withColumn("gap_text", C.gap_text())
     rows = report.report_long(r, "quote_id")
-    assert rows.count() == 42 and rows.where("field = 'gap'").first().value == "4.4500" and report.cost_rows(r, "quote_id").count() == 5
+    assert rows.count() == 42 and rows.where("field = 'gap'").first().value == "4.45" and report.cost_rows(r, "quote_id").count() == 5
     lines = csv_export.report_lines(rows, "quote_id")
     out = str(tmp_path / "report")
     csv_export.write_lines(lines.where("pos > 0"), csv_export.REPORT_HEADER, out, ["pos"], "\r\n")
     raw = next((tmp_path / "report").glob("part-*")).read_bytes()
     assert raw.startswith(b"\xef\xbb\xbf") and raw.count(b"\r\n") == 42 and '"\'=A ""x"""'.encode() in raw
     back = spark.read.option("escape", '"').csv(out, header=True)
-    assert back.where("field = 'price'").first().value == "1000.0000"
+    assert back.where("field = 'price'").first().value == "1000"
+
+
+def test_snapshot_and_defaults(spark):
+    r = C.reviewed(quotes(spark, {}, {"price": -1.0}, {})).withColumns({"target_rate": F.when(F.col("quote_id") == 2, -101.0), "buyer": F.lit("  B "), "price_unit": F.lit("")})
+    got = {x.quote_id: x for x in report.snapshots(r, "quote_id").collect()}
+    assert [(got[i].valid, got[i].reason) for i in range(3)] == [(True, None), (False, "negative_price"), (False, "target_rate")]
+    assert got[0].buyer == "B" and got[0].supplier == "" and got[0].market_context == report.NO_CONTEXT and got[0].verdict == "HIGH_CHALLENGE"
+    seen = report.shown(report.snapshots(r, "quote_id")).where("quote_id = 0").first()
+    assert (seen.buyer, seen.supplier, seen.price_unit, seen.target_rate) == ("B", report.EMPTY, report.DEFAULTS["price_unit"], report.EMPTY)
+    assert {x.quote_id for x in report.report_long(r, "quote_id").collect()} == {0}
+
+
+def test_review_plan_stays_small(spark):
+    r = C.reviewed(quotes(spark, {})).where("verdict <> 'INVALID'").select("quote_id", "verdict", "tone")
+    assert len(r._jdf.queryExecution().optimizedPlan().toString()) < 12_000
 
 
 def test_document_round_trip(spark, tmp_path):
@@ -103,17 +118,23 @@ def test_columns_and_profiles(spark):
 
 
 def test_status_and_versions(spark, tmp_path):
-    shape = "source string, status string, latest_period string, is_stale boolean, warnings array<string>"
-    none = spark.createDataFrame([], shape)
+    none = spark.createDataFrame([], status.STATUS)
+    run = status.run_record(spark.createDataFrame([("2024-01", "u")], "latest_period string, url string"), "2026-07-02T08:00:00Z")
     with pytest.raises(ValueError):
-        status.comparison_refreshed(none, "2024-01")
-    first = status.primary_refreshed(none, "2024-01")
-    again = status.primary_refreshed(first, "2024-01")
-    assert {tuple(r)[:3] for r in first.collect()} == {tuple(r)[:3] for r in again.collect()} == {("primary", "SUCCESS", "2024-01"), ("comparison", "NOT_CONFIGURED", None)}
+        status.comparison_refreshed(none, run)
+    first = status.primary_refreshed(none, run)
+    again = status.primary_refreshed(first, run)
+    row = ("primary", "SUCCESS", "2026-07-02T08:00:00Z", "2026-07-02T08:00:00Z", "2024-01", None, None, "u", False, [])
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect())) == [("comparison", "NOT_CONFIGURED", None, None, None, None, None, None, False, []), row]
+    stale = first.withColumns({"is_stale": F.lit(True), "warnings": F.array(F.lit("w"))})
+    assert tuple(status.comparison_refreshed(stale, run).where("source = 'comparison'").first())[1:] == ("SUCCESS", *row[2:8], True, ["w"])
     rows = spark.createDataFrame([("a", "2024-01", 1.0)], "material_id string, period string, value double")
     bad = spark.createDataFrame([("x",)], "rule_id string")
     out = str(tmp_path / "published")
-    assert status.publish(rows, bad.limit(0), out) and not status.publish(rows.limit(0), bad, out) and spark.read.parquet(out).count() == 1
+    assert status.published(spark, out) is None
+    assert status.publish(rows, bad.limit(0), out) and not status.publish(rows.limit(0), bad, out) and status.published(spark, out).count() == 1
+    (tmp_path / "published" / "version=0000000009-torn").mkdir()  # a job that died
+    assert status.publish(rows.union(rows), bad.limit(0), out) and status.published(spark, out).count() == 2
 
 
 def test_refresh(spark, tmp_path):
@@ -122,8 +143,22 @@ def test_refresh(spark, tmp_path):
 
     def land(name, *rows):
         (landing / name).write_text("".join(json.dumps(dict(zip(("material_id", "period", "value", "loaded_at"), r, strict=True))) + "\n" for r in rows))
-        refresh.refresh(spark, str(landing), table, state).awaitTermination()
+        refresh.refresh(refresh.landed(spark, str(landing)), table, state).awaitTermination()
         return {(r.material_id, r.period): r.value for r in refresh.current(spark, table).collect()}
 
     assert land("1.json", ("a", "2024-01", 1.0, "2024-02-01T00:00:00"), ("a", "2024-02", 2.0, "2024-03-01T00:00:00")) == {("a", "2024-01"): 1.0, ("a", "2024-02"): 2.0}
     assert land("2.json", ("a", "2024-01", 1.5, "2024-04-01T00:00:00"), ("a", "2024-02", 9.0, "2024-01-01T00:00:00")) == {("a", "2024-01"): 1.5, ("a", "2024-02"): 2.0}
+    (tmp_path / "table" / "version=0000000007").mkdir()  # a batch that died
+    whole = refresh.compacted(spark, table, str(tmp_path / "compact"))
+    assert {(r.material_id, r.period): r.value for r in whole.collect()} == {("a", "2024-01"): 1.5, ("a", "2024-02"): 2.0}
+
+
+def test_api_items(spark):
+    rows = spark.createDataFrame([("a", (" 2024-02-31 ", "1.5")), ("a", ("2024-02-00", None)), ("a", ("2024-03-01", ".")), ("a", (None, None)), ("a", None)], "series_id string, item struct<date:string,value:string>")
+    assert sorted(map(tuple, ingest.api_observations(rows).collect()), key=str) == [("a", "2024-02", 1.5, False), ("a", None, None, True), ("a", None, None, True)]
+
+
+def test_cost_rules(spark):
+    rules = spark.createDataFrame([(1, True, 0.5, 1.5, 3.0, False, False, False, C.SECOND_SOURCE_ROLE), (1, True, 0.5, 0.5, 3.0, False, False, False, C.SECOND_SOURCE_ROLE), (1, None, 0.5, 1.5, 3.0, False, False, False, "x"), (1, True, 0.5, 1.5, 3.0, False, True, False, None)], "version int, decision_support_only boolean, match double, evidence double, challenge double, automatic_acceptance boolean, automatic_rejection boolean, material_equals_product boolean, second_source_role string")
+    assert [r.p for r in rules.select(C.rule_problem().alias("p")).collect()] == [None, "thresholds", "version or purpose", "policy"]
+    assert C.CostRules(automatic_rejection=True).problems() == ["policy"] and C.CostRules(version=2).problems() == ["version or purpose"]

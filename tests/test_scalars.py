@@ -23,11 +23,25 @@ def test_grid_periods(spark, text, grid):
     assert one(spark, S.grid_period(F.lit(text))) == grid
 
 
-@pytest.mark.parametrize("text,period", [("2024-02-31", "2024-02"), ("2024-13-01", None), ("2024-1-1", None), (None, None)])
+@pytest.mark.parametrize("text,period", [("2024-02-31", "2024-02"), (" 2024-02-01\n", "2024-02"), ("2024-02-00", None), ("2024-13-01", None), ("2024-1-1", None), (None, None)])
 def test_date_periods(spark, text, period):
     assert one(spark, S.date_period(F.lit(text))) == period
 
 
+def test_number_texts(spark):
+    cases = [(35.0, "35", "35.00", "+35.00"), (-0.005, "-0.005", "-0.01", "-0.01"), (0.0000001, "0", "0.00", "+0.00"), (1234567.125, "1234567.125", "1234567.13", "+1234567.13"), (2.00025, "2.00025", "2.00", "+2.00")]
+    for x, plain, two, sign in cases:
+        assert (one(spark, S.plain_number(F.lit(x))), one(spark, S.fixed(F.lit(x), 2)), one(spark, S.signed(F.lit(x), 2))) == (plain, two, sign)
+    assert one(spark, S.fixed(F.lit(float("nan")), 2)) is None and one(spark, S.plain_number(F.lit(None).cast("double"))) == "" and one(spark, S.plain_number(F.lit(1e300))) == "1.0E300"
+    assert [one(spark, S.finite(F.lit(x))) for x in (1.0, float("nan"), float("inf"), float("-inf"))] == [True, False, False, False] and one(spark, S.finite(F.lit(None).cast("double"))) is False
+
+
+def test_times(spark):
+    at = F.lit("2026-07-02 08:09:10.5").cast("timestamp")
+    assert one(spark, S.utc_second(at)) == "2026-07-02T08:09:10Z" and one(spark, F.length(S.utc_second())) == 20
+    assert tuple(one(spark, S.date_stamps(at))) == ("20260702", "2026-07-02", "2026/07/02 08:09")
+
+
 def test_texts(spark):
     assert one(spark, S.normalize_text(F.lit(" a \t b\n"))) == "a b" and one(spark, S.normalize_text(F.lit(None).cast("string"))) == ""
     assert one(spark, S.updated_on(F.lit("Updated on July 02, 2026"))) == "2026-07-02" and one(spark, S.updated_on(F.lit("Updated on February 31, 2026"))) is None

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pricewell.operators import compare, quality, series, signals
 
-FALL = [120, 119, 118, 117, 116, 114, 112, 110, 108, 105, 102, 98, 94]
-RISE = [90, 91, 92, 93, 94, 96, 98, 100, 103, 106, 110, 114, 120]
-FLAT = [100, 101, 99, 100, 101, 100, 99.5, 100, 100.5, 100, 100.4, 100.2, 100.1]
+FALL = [50 * 0.97**i for i in range(13)]
+RISE = [50 * 1.03**i for i in range(13)]
+FLAT = [50 + i % 2 / 4 for i in range(13)]
 
 
 def obs(spark, **values):
@@ -28,6 +28,7 @@ def test_short_history_has_no_signal(spark):
     assert signals.latest_signals(obs(spark, a=FALL[:12])).count() == 0
 
 
+#: Published market figures of seven materials, and the labels that the rules must give them.
 GOLDEN = [
     ("zinc", 1.695394, 6.985731, 12.013694, 10.960382, 100.0, -0.145179, 0.09451, "BROAD_UPTREND", "VERIFY_STRONG_INCREASE", "HIGH_AGREEMENT"),
     ("copper", -0.066411, 4.571076, 4.080848, 12.024374, 99.768161, -0.001323, 0.089511, "MIXED", "VERIFY_INCREASE", "HIGH_AGREEMENT"),
