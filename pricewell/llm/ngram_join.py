@@ -212,8 +212,11 @@ def block_links(members: DataFrame, percent: int, orders: int = ORDERS) -> DataF
     thinned to those that join classes within it, so that no more leave it than it holds sets.
     """
     columns = ["rep", "label", "n", "tokens", *[f"p{k}" for k in range(orders)]]
-    count = members.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(count, "group_id").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    count = members.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    # the sets of a large group are dealt by a salt, so that no task has them all
+    large = count.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    cut = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(large, ["group_id", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     blocks = cut.groupBy("group_id", "blocks", "block").agg(F.collect_list(F.struct(*columns)).alias("sets"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sent = blocks.select("group_id", "block", "sets", other).select("group_id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sets")
