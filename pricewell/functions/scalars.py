@@ -38,8 +38,7 @@ def fixed(x: Column, places: int) -> Column:
 
 
 def signed(x: Column, places: int) -> Column:
-    text = fixed(x, places)
-    return F.concat(F.when(text.startswith("-"), "").otherwise("+"), text)
+    return F.regexp_replace(fixed(x, places), "^(?=[0-9])", "+")
 
 
 def plain_number(x: Column, places: int = 6) -> Column:

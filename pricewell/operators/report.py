@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, plain_number, signed, trimmed
+from ..functions.scalars import plain_number, signed, trimmed
 from .shouldcost import COMPONENTS, valid_target
 
 LABELS = {"mat": "material", "fx": "currency", "proc": "processing", "energy": "energy", "other": "other"}
@@ -36,7 +36,10 @@ def snapshots(reviews: DataFrame, *keys: str) -> DataFrame:
     prices, verdict with tone, gap_text and evidence, and market_context.
     """
     have = set(reviews.columns)
-    text = lambda c, default="": trimmed(F.col(c).cast("string")) if c in have else F.lit(default)
+    # one expression for all texts: as many copies of it would be too much code for the JVM to compile
+    given = [c for c in ("generated_at", *HEADER_FIELDS, "market_context") if c in have]
+    reviews = reviews.withColumn("_texts", F.transform(F.array(*[F.col(c).cast("string") for c in given]).cast("array<string>"), trimmed))
+    text = lambda c: F.get("_texts", given.index(c)) if c in have else F.lit("")
     target = F.col("target_rate").cast("double") if "target_rate" in have else F.lit(None).cast("double")
     reason = F.coalesce("invalid_reason", F.when(~valid_target(target), "target_rate"))
     number = lambda c: F.col(c).cast("double").alias(c)
@@ -62,10 +65,19 @@ def shown(snapshots_: DataFrame) -> DataFrame:
     return snapshots_.withColumns({f: or_default(F.col(f), DEFAULTS.get(f, EMPTY)) for f in HEADER_FIELDS} | {"target_rate": target})
 
 
-def report_cells(places: int = 6) -> Column:
-    """The 42 rows (section, field, value, unit, free) of a snapshot: 17 head rows with the header, three for each
-    cost component, ten at the tail. Empty fields stay empty but for the price unit; so does a missing target."""
-    text, number = lambda c: F.coalesce(F.col(c), F.lit("")), lambda c: plain_number(F.col(c), places)
+NUMBERS = ("price", "supplier_ask", "estimate", "gap", "unexplained", "new_price", "requested_price", *[f"{c}_{x}" for c in COMPONENTS for x in ("ratio", "rate", "impact")], "target_rate")
+
+
+def report_cells(snapshots_: DataFrame, *keys: str, places: int = 6) -> DataFrame:
+    """(keys, cells) of valid snapshots: `cells` are the 42 rows (section, field, value, unit, free) of the report,
+    17 head rows with the header, three for each cost component, ten at the tail. Empty fields stay empty but
+    for the price unit; so does a missing target."""
+    texts = F.transform(F.array(*[F.col(c) for c in NUMBERS]), lambda x: plain_number(x, places))
+    return snapshots_.where("reason IS NULL").withColumn("_numbers", texts).select(*keys, _cells().alias("cells"))
+
+
+def _cells() -> Column:
+    text, number = lambda c: F.coalesce(F.col(c), F.lit("")), lambda c: F.get("_numbers", NUMBERS.index(c))
     unit = or_default(F.col("price_unit"), DEFAULTS["price_unit"])
     rows: list[tuple] = [("section", "field", F.lit("value"), F.lit("unit"))]
     add = lambda section, field, value, u="": rows.append((section, field, value, F.lit(u) if isinstance(u, str) else u))
@@ -86,7 +98,7 @@ def report_cells(places: int = 6) -> Column:
     add("verdict", "evidence", F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), "; "))
     for section, f in (("supplier", "supplier_reason"), ("supplier", "evidence_received"), ("purchase", "conclusion")):
         add(section, f, text(f))
-    add("purchase", "target_rate", F.when(finite(F.col("target_rate")), number("target_rate")).otherwise(""), "%")
+    add("purchase", "target_rate", number("target_rate"), "%")
     add("purchase", "note", text("note"))
     add("policy", "automatic decision", F.lit("no"), "a material's rise is not the product's")
     return F.array(*[F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"), v.alias("value"), u.alias("unit"), F.lit(f in FREE_TEXT).alias("free")) for s, f, v, u in rows])
@@ -94,5 +106,5 @@ def report_cells(places: int = 6) -> Column:
 
 def report_long(reviews: DataFrame, *keys: str, places: int = 6) -> DataFrame:
     """Key/value rows (pos, section, field, value, unit, free) of each quote with a valid snapshot."""
-    rows = snapshots(reviews, *keys).where("reason IS NULL")
-    return rows.select(*keys, F.posexplode(report_cells(places)).alias("pos", "r")).select(*keys, "pos", "r.*")
+    rows = report_cells(snapshots(reviews, *keys), *keys, places=places)
+    return rows.select(*keys, F.posexplode("cells").alias("pos", "r")).select(*keys, "pos", "r.*")

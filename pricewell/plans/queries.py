@@ -376,8 +376,8 @@ def _cases(spark, d):
 @query(X.sql(f"SELECT {KEYS}, md5(concat_ws(chr(10), " + ", ".join(f"'{s}|{f}|' || {v} || '|' || {u}" for s, f, v, u in REPORT_ROWS) + ")) AS report_md5 FROM valid_cases", *REVIEW_PARTS, CASES))
 def report_long(spark: SparkSession, d: str) -> DataFrame:
     """All 42 report rows of each valid quote, as a digest of their cells."""
-    rows = report.snapshots(_cases(spark, d), *X.QUOTE_KEYS).where("valid")
-    lines = F.transform(report.report_cells(), lambda r: F.concat_ws("|", r["section"], r["field"], r["value"], r["unit"]))
+    rows = report.report_cells(report.snapshots(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
+    lines = F.transform("cells", lambda r: F.concat_ws("|", r["section"], r["field"], r["value"], r["unit"]))
     return rows.select(*X.QUOTE_KEYS, F.md5(F.array_join(lines, "\n").cast("binary")).alias("report_md5"))
 
 
@@ -411,11 +411,11 @@ def _csv_cell(section: str, field: str, value: str) -> str:
     return f"'\"' || replace({guarded}, '\"', '\"\"') || '\"'"
 
 
-@query(X.sql("SELECT pos, count(*) AS n, min(line) AS first_line, max(line) AS last_line FROM (" + " UNION ALL ".join(f"SELECT {k} AS pos, '\"{s}\",\"{f}\",' || {_csv_cell(s, f, v)} || ',\"' || {u} || '\"' AS line FROM valid_cases" for k, (s, f, v, u) in enumerate(REPORT_ROWS)) + ") GROUP BY 1", *REVIEW_PARTS, CASES))
+@query(X.sql(f"SELECT {KEYS}, md5(concat_ws(chr(13) || chr(10), " + ", ".join(f"'\"{s}\",\"{f}\",' || {_csv_cell(s, f, v)} || ',\"' || {u} || '\"'" for s, f, v, u in REPORT_ROWS) + ")) AS file_md5 FROM valid_cases", *REVIEW_PARTS, CASES))
 def csv_report_lines(spark: SparkSession, d: str) -> DataFrame:
-    """The first and last of each of the 42 CSV lines over all valid quotes."""
-    lines = csv_export.report_lines(report.report_long(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
-    return lines.groupBy("pos").agg(F.count("*").alias("n"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
+    """The CSV file of each valid quote's report, as a digest."""
+    rows = report.report_cells(report.snapshots(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
+    return rows.select(*X.QUOTE_KEYS, F.md5(csv_export.report_text(F.col("cells")).cast("binary")).alias("file_md5"))
 
 
 @query(X.sql("SELECT material_id, period, value FROM obs_primary", X.FX1))

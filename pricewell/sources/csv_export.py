@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_number, csv_text
@@ -47,12 +47,25 @@ def compare_lines(rows: DataFrame, materials: DataFrame, comparison_series: str
     return out.select("material_id", "period", F.concat_ws(",", *cells).alias("line"))
 
 
+def report_line(section: Column, field: Column, value: Column, unit: Column, free: Column) -> Column:
+    """The line of a report row: numbers bare, text quoted, what people typed guarded."""
+    quoted = F.when(free, csv_text(value)).otherwise(csv_text(value, guard=False))
+    cell = F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$") & ~free, value).otherwise(quoted)
+    plain = lambda c: csv_text(c, guard=False)
+    return F.concat_ws(",", plain(section), plain(field), cell, plain(unit))
+
+
+CELL = ("section", "field", "value", "unit", "free")
+
+
 def report_lines(report: DataFrame, *keys: str) -> DataFrame:
-    """(keys, pos, line) of a key/value report: numbers bare, text quoted, what people typed guarded."""
-    number = F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?$") & ~F.col("free")
-    value = F.when(number, F.col("value")).otherwise(F.when(F.col("free"), csv_text(F.col("value"))).otherwise(csv_text(F.col("value"), guard=False)))
-    plain = lambda c: csv_text(F.col(c), guard=False)
-    return report.select(*keys, "pos", F.concat_ws(",", plain("section"), plain("field"), value, plain("unit")).alias("line"))
+    """(keys, pos, line) of a key/value report."""
+    return report.select(*keys, "pos", report_line(*[F.col(c) for c in CELL]).alias("line"))
+
+
+def report_text(cells: Column) -> Column:
+    """The lines of one report's cells as the text of its file, without the mark at the start."""
+    return F.array_join(F.transform(cells, lambda r: report_line(*[r[c] for c in CELL])), "\r\n")
 
 
 def write_lines(lines: DataFrame, names, path: str, order: list[str], line_end: str = "\n") -> None:
