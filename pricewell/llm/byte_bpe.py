@@ -89,7 +89,7 @@ class Editable:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        self.last = self.bpe.last_lengths(self.data, self.last)
+        self.bpe.extend(self.data, self.last, len(self.data))
 
     def replace(self, start: int, end: int, new: bytes) -> None:
         """Put `new` in place of bytes start:end. Entries before the edit stay. After it, once a stretch
@@ -98,7 +98,7 @@ class Editable:
         self.data = self.data[:start] + new + self.data[end:]
         last, same, i = old[: start + 1], 0, start + 1
         while i <= len(self.data):
-            last = self._step(last)
+            self.bpe.extend(self.data, last, i)
             settled = i - self.bpe.longest > start + len(new)
             same = same + 1 if settled and last[i] == old[i - shift] else 0
             if same > 2 * self.bpe.longest:
@@ -107,9 +107,6 @@ class Editable:
             i += 1
         self.last = last
 
-    def _step(self, last: list[int]) -> list[int]:
-        return self.bpe.last_lengths(self.data[: len(last)], last)
-
     def tokens(self) -> list[bytes]:
         return self.bpe.tokens(self.data, self.last)
 

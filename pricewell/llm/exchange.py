@@ -27,6 +27,8 @@ PACKED = "bucket int, kind int, n int, a binary, b binary, owner binary, owners
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("a", "b", "owner", "owners")]])
 #: Names that a task sorts at once, about: 24 bytes each, and their copies while they are sorted.
 NAMES_IN_BUCKET = 1_500_000
+#: Buckets have a partition each up to so many.
+MOST_PARTITIONS = 10_000
 #: Replies on their way: those of many owners in a row. to: where the owners' replies meet; sizes in bytes.
 SENT = "to int, owners binary, open binary, sizes binary, data binary"
 _SENT = pa.schema([("to", pa.int32()), *[(x, pa.binary()) for x in ("owners", "open", "sizes", "data")]])
@@ -312,7 +314,7 @@ def exchanged(packed: DataFrame, buckets: int, width: int, rank) -> DataFrame:
     """Deal the packed rows by bucket and rank each: one row (owner, taken, open) for each owner that shares a
     name. Replies travel packed too, so that rows stay few. A partition may have many buckets; Spark sorts them,
     spilling where it must, and the task then holds one of them at a time."""
-    parts = min(buckets, shuffle_partitions(packed.sparkSession))
+    parts = min(buckets, max(MOST_PARTITIONS, shuffle_partitions(packed.sparkSession)))
 
     def dealt(df: DataFrame, key: str) -> DataFrame:
         return df.repartitionById(parts, F.pmod(key, F.lit(parts))).sortWithinPartitions(key)
@@ -322,5 +324,7 @@ def exchanged(packed: DataFrame, buckets: int, width: int, rank) -> DataFrame:
 
 
 def buckets_for(names: int, least: int) -> int:
-    """So many buckets that none of them, which a task sorts at once, holds more than about NAMES_IN_BUCKET names."""
-    return max(least, -(-names // NAMES_IN_BUCKET))
+    """So many buckets that none of them, which a task sorts at once, holds more than about NAMES_IN_BUCKET names;
+    at least one for each shuffle partition, and equally many in each partition where there are more buckets."""
+    wanted, most = max(least, -(-names // NAMES_IN_BUCKET)), max(MOST_PARTITIONS, least)
+    return wanted if wanted <= most else -(-wanted // most) * most

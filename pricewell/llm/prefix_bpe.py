@@ -90,8 +90,13 @@ class PrefixBpe:
         `last` may hold the values for a prefix of s; only the rest is computed (an append).
         """
         last = [0] if last is None else list(last)
+        self.extend(s, last, len(s))
+        return last
+
+    def extend(self, s, last: list[int], end: int) -> None:
+        """Append to `last`, which has the values for a prefix of s, those up to s[:end]."""
         ranks, ends, apart = self.ranks, self.ends, self.apart
-        for i in range(len(last), len(s) + 1):
+        for i in range(len(last), end + 1):
             for n in ends.get(s[i - 2 : i], (1,)) if i > 1 else (1,):
                 j = i - n
                 if j < 0 or n > 1 and (t := s[j:i]) not in ranks:
@@ -108,7 +113,6 @@ class PrefixBpe:
             else:
                 raise ValueError(f"no token ends at {i}")
             last.append(n)
-        return last
 
     @staticmethod
     def tokens(s, last: list[int], end: int | None = None) -> list:

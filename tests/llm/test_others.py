@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewell.llm import pii, quality_rules as Q, queries, topk_search as K, toxicity as X, url_filters as U
+from pricewell.llm.word_hash import hashes
 
 
 def split_labels(spark, d):
@@ -71,6 +72,35 @@ def test_toxicity_gradient_learns_word_pairs():
     assert ((z > X.best_cut(z, np.array(label))) == label).mean() > 0.95
 
 
+def brute_score(model, text):
+    """Embedding, convolution, pooling and the logistic unit, word by word."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode())
+    row = lambda w, bits, first: max(1, int(hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), first)[0] >> np.uint64(64 - bits)))
+    x = [model.word[row(w, X.WORD_BITS, None)].astype(float) + model.head[row(w, X.HEAD_BITS, X.HEAD_BYTES)] for w in words] + [np.zeros(X.DIM)] * X.PAD
+    pooled = []
+    for w in model.filters:
+        for f in range(w.shape[2]):
+            pooled.append(max(sum(float(x[i + j] @ w[j][:, f]) for j in range(len(w))) for i in range(len(words) + 1)))
+    hidden = np.maximum(np.array(pooled) + model.bias, 0)
+    z = float(hidden @ model.out[:-1] + model.out[-1])
+    return 1 / (1 + math.exp(-(model.scale * (z - model.shift) + math.log(X.DECISION / (1 - X.DECISION)))))
+
+
+def test_scores_equal_brute_force_whatever_the_batch(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    texts = ["good " + " ".join(rng.choice(["day", "night", "été", "x1"], 9)) for _ in range(40)] + ["bad " * 3 + "day", "", None, "!!", "Bad", "bad evil " * 300]
+    label = np.array(["bad" in (t or "").lower() for t in texts]).astype(int)
+    model = X.train(*X.features(texts), label, epochs=2)
+    model.shift, model.scale = 0.1, 1.7
+    want = [brute_score(model, t) for t in texts]
+    assert np.allclose(model.scores(texts), want, atol=1e-5)
+    assert np.allclose([model.scores([t])[0] for t in texts], want, atol=1e-5) and np.allclose(model.scores(texts[::-1])[::-1], want, atol=1e-5)
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None, "x") for i, t in enumerate(texts)], "doc_id int, text string, lang string, toxic string")
+    model.thresholds = {"en": 0.9}
+    for r in X.scored(docs, model, ["doc_id"]).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-5 and r.toxic == (want[r.doc_id] >= (0.9 if r.doc_id % 2 else X.DECISION))
+
+
 def brute_measures(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -411,3 +441,76 @@ def test_pipeline_stages(spark, sf_dir):
     pieces = P.STAGES[-1][1](spark, before, sf_dir).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in before.collect()}
     assert not before.where(F.col("text").rlike(r"[A-Za-z0-9]@[a-z0-9]+\.e")).count()
+
+
+def without_earlier_strings(rows, n=50):
+    """(id, text) with the bytes cut that lie in a string of n bytes that also starts under a smaller id; null ids are last."""
+    at = lambda i: math.inf if i is None else i
+    first, out = {}, []
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - n + 1):
+            first[b[k : k + n]] = min(at(i), first.get(b[k : k + n], math.inf))
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - n + 1):
+            if first[b[k : k + n]] < at(i):
+                gone[k : k + n] = b"\1" * n
+        out.append((i, None if t is None else bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")))
+    return out
+
+
+def firsts_of_groups(rows):
+    """Rows whose id is the least of all that links of 75 % of 5-word shingles reach."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    least = [i for i, _ in rows]
+    for _ in rows:  # more than enough rounds
+        for a, b in itertools.combinations(range(len(rows)), 2):
+            if least[a] is not None and least[b] is not None and sets[a] and sets[b] and least[a] != least[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    return [r for r, m in zip(rows, least, strict=True) if r[0] is None or m == r[0]]
+
+
+def test_pipeline_run_equals_brute_force(spark, tmp_path):
+    import base64
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as P
+    from pricewell.llm.common import tokenizer_path
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 8)))
+    passage = " ".join(word() for _ in range(60))
+    plain = [" ".join(word() for _ in range(rng.randrange(30, 60))) for _ in range(120)]
+    texts = [("you scum " if i % 4 == 0 else "kind words ") + t for i, t in enumerate(plain)]
+    texts[5] += " " + passage
+    texts[7] = texts[3] + " new"
+    texts[9] = "start " + passage + " mail a.b@mail.example.com end"
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1]), (None, texts[5]), (7, texts[11]), (200, None), (201, ""), (202, texts[13]), (13, texts[13])]
+    table = spark.createDataFrame([(i, t, "en" if (i or 0) % 3 else None, "s", len(t or ""), "x", 0.5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, toxic string, score double")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = X.fit(table, spark.read.parquet(f"{tmp_path}/labels.parquet").where(~queries.held_out()))
+    clean = [(r.doc_id, r.text) for r in X.scored(table, model, ["doc_id", "text"]).where("NOT toxic").collect()]
+    assert 80 < len(clean) < len(rows) - 20
+    want = [(i, pii.redact(t)) for i, t in without_earlier_strings(firsts_of_groups(clean))]
+    coder = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = [(i, [*coder.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in want]
+    pieces = P.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == Counter((i, len(x)) for i, x in ids)
+    assert sum(r.length for r in pieces) == sum(len(x) for _, x in ids)
+    times = Counter(i for i, _ in ids)
+    for i, x in ids:
+        if times[i] == 1:
+            own = sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start)
+            assert b"".join(base64.b64decode(r.ids) for r in own) == np.array(x, "<u4").tobytes()
+            assert all(zlib.crc32(base64.b64decode(r.ids)) == r.ids_crc32 for r in own)
+    assert any("[EMAIL]" in (t or "") for _, t in want) and len(want) < len(clean)
+    table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert P.run(spark, f"{tmp_path}/none").count() == 0
