@@ -297,11 +297,15 @@ def judged(docs: DataFrame, words: int, percent: int, orders: int, id_col: str,
     whole_ids(docs, id_col)
     found = checkpointed(named_sets(docs, words, id_col, text_col))
     kept = found.where("id IS NOT NULL AND set IS NOT NULL")
-    reps = checkpointed(kept.groupBy("set").agg(F.min(F.col("id").cast("long")).alias("rep"), F.max("n").alias("n")))
+    # sets are nodes by their names: one id may have several, and is then in several classes
+    reps = checkpointed(kept.groupBy(F.col("set").alias("rep")).agg(F.min(F.col("id").cast("long")).alias("least"), F.max("n").alias("n")))
     buckets = exchange.buckets_for(kept.agg(F.sum("n")).first()[0] or 0, shuffle_partitions(docs.sparkSession))
-    shared = shared_shingles(docs.where(F.col(id_col).isNotNull()), words, text_col, buckets).join(reps, "set")
+    shared = shared_shingles(docs.where(F.col(id_col).isNotNull()), words, text_col, buckets).withColumnRenamed("set", "rep").join(reps.select("rep", "n"), "rep")
     labels = set_classes(prefixes(shared, percent, orders), percent, orders)
-    classes = checkpointed(reps.join(labels, "rep", "left").select("set", F.coalesce("label", "rep").alias("component")))
+    classed = checkpointed(reps.join(labels, "rep"))  # the other sets are classes of their own
+    of_class = classed.groupBy("label").agg(F.min("least").alias("component"))
+    several = classed.join(of_class, "label").select("rep", "component")
+    classes = checkpointed(reps.join(several, "rep", "left").select(F.col("rep").alias("set"), F.coalesce("component", "least").alias("component")))
     return found.join(classes, "set", "left").select("id", "text_name", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", F.col("id").cast("long"))).alias("component"))
 
 
