@@ -38,12 +38,13 @@ def fixed(x: Column, places: int) -> Column:
 
 
 def signed(x: Column, places: int) -> Column:
-    return F.regexp_replace(fixed(x, places), "^(?=[0-9])", "+")
+    return F.replace(F.concat(F.lit("+"), fixed(x, places)), F.lit("+-"), F.lit("-"))
 
 
 def plain_number(x: Column, places: int = 6) -> Column:
     """The shortest text of a number rounded to so many places: `35`, not `35.000000`; '' if it is not finite."""
-    return F.coalesce(F.regexp_replace(fixed(x, places), r"\.?0+$", ""), F.when(finite(x), x.cast("string")), F.lit(""))
+    short = F.rtrim(F.rtrim(fixed(x, places), F.lit("0")), F.lit("."))  # places > 0, so there is a point
+    return F.coalesce(short, F.when(finite(x), x.cast("string")), F.lit(""))
 
 
 def strict_number(text: Column) -> Column:
