@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INFINITY = float("inf")
+#: The characters that Unicode calls white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 PERIOD = r"^[0-9]{4}-(0[1-9]|1[0-2])$"
 #: What the two sources write for a missing number.
 PRIMARY_MISSING = ("", "...", "…", "..", ".", "-", "na", "n/a", "null")
@@ -29,7 +31,7 @@ def finite(x: Column) -> Column:
 
 def trimmed(x: Column) -> Column:
     """Null to '', no white space of any kind at the ends."""
-    return F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(x, F.lit("")), F.lit(WHITE_SPACE))
 
 
 def fixed(x: Column, places: int) -> Column:
