@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 INFINITY = float("inf")
 #: The characters that Unicode calls white space.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PERIOD = r"^[0-9]{4}-(0[1-9]|1[0-2])$"
 #: What the two sources write for a missing number.
 PRIMARY_MISSING = ("", "...", "…", "..", ".", "-", "na", "n/a", "null")
