@@ -316,8 +316,8 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id all rows stay.
     """
     found = judged(docs, words, percent, orders, id_col, text_col).where("component <> id")
-    gone = found.select(F.col("id").alias("_id"), "text_name").distinct()
-    mine = (F.col(id_col) == F.col("_id")) & (text_name(text_col) == F.col("text_name"))
+    gone = found.select(F.col("id").alias("_copied_id"), F.col("text_name").alias("_copied_text")).distinct()
+    mine = (F.col(id_col) == F.col("_copied_id")) & (text_name(text_col) == F.col("_copied_text"))
     return docs.join(gone, mine, "left_anti").select(*docs.columns)
 
 

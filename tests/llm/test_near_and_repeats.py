@@ -137,6 +137,8 @@ def test_join_edge_tables(spark):
     assert len(got) == 5 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (4, 1), (7, 1), (None, None)}
     kept = first_of_each(odd)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
+    clash = docs.toDF("doc_id", "text", "text_name", "_id")
+    assert first_of_each(clash).count() == 1 and first_of_each(clash).columns == clash.columns
     twice = docs.limit(1).union(spark.createDataFrame([(5, "a b c d e f", "x", "y"), (5, "all of its own words here", "x", "y"), (5, None, "x", "y")], docs.schema))
     assert sorted((r.doc_id, r.text or "") for r in first_of_each(twice).collect()) == [(1, "a b c d e f"), (5, ""), (5, "all of its own words here")]
     with pytest.raises(TypeError, match="whole numbers"):
