@@ -11,6 +11,7 @@ from .ngram_join import near_duplicates
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
 from .quality_rules import ALPHA, DELTA, MAX_REPEATED, MIN_WORDS, OTHER, RULES, STRATA, least_labels, quality_rules
+from .resampling import resampled
 from .suffix_dedup import deduplicated
 from .token_counts import token_counts
 from .topk_search import search
@@ -73,7 +74,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup)}
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), max_n=1)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup, op13_importance_resampling)}
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -96,6 +102,11 @@ def _cuts_sql() -> str:
   bad AS (SELECT DISTINCT doc_id FROM v JOIN cuts USING (stratum, rule) WHERE v > cut)"""
 
 
+#: CRC-32 of each text w of a table named `distinct_words`, as a table crc(w, c): the byte table by its rule, then bytes one by one.
+CRC_SQL = """tab AS (SELECT [list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS t),
+  byte AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS b FROM distinct_words),
+  crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS c FROM byte, tab)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
   lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, {WORD}) GROUP BY 1),
@@ -127,4 +138,17 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
   k AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS h FROM z JOIN d USING (doc_id) GROUP BY 1),
   t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS c FROM r GROUP BY 1)
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256 FROM d JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op13_importance_resampling": rf"""WITH w AS (SELECT doc_id, 0 AS target, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+    UNION ALL SELECT item_id, 1, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+  n AS (SELECT doc_id, target, w, count(*) AS n FROM w GROUP BY ALL),
+  distinct_words AS (SELECT DISTINCT w FROM n), {CRC_SQL},
+  f AS (SELECT doc_id, target, c % 10000 AS bucket, n FROM n JOIN crc USING (w)),
+  g AS (SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target = 1), 0)::DOUBLE AS t FROM f GROUP BY 1),
+  a AS (SELECT coalesce(sum(n) FILTER (target = 0), 0)::DOUBLE AS s_all, coalesce(sum(n) FILTER (target = 1), 0)::DOUBLE AS t_all FROM f),
+  gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM g, a),
+  x AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN gain USING (bucket) WHERE target = 0 GROUP BY 1),
+  y AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT)::DOUBLE AS h FROM documents d LEFT JOIN x USING (doc_id)),
+  z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM y),
+  r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * able // 100 THEN r END AS rank FROM r""",
 }

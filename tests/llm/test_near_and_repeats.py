@@ -221,5 +221,8 @@ def test_links_at_the_threshold_of_long_texts():
     assert 100 * k == 75 * (total - k)
     tokens = np.concatenate([np.arange(size[0]), np.arange(size[0] - k, total - k)])
     args = np.array([4, 9]), np.array([4, 9])
-    assert ngram_join._links(*args, size, tokens, size, 75) == [(4, 9)]
-    assert ngram_join._links(*args, size + 1, tokens, size, 75) == []
+    sets = (tokens, size)
+    assert ngram_join._links(*args, size, sets, [sets, sets], 75) == [(4, 9)]
+    assert ngram_join._links(*args, size + 1, sets, [sets, sets], 75) == []
+    # no link without a token in common under each order, whatever the sets hold
+    assert ngram_join._links(*args, size, sets, [sets, (np.array([1, 2]), np.array([1, 1]))], 75) == []
