@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
 from .common import load
+from .conversation_repair import damaged, repair_report
 from .ngram_join import near_duplicates
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
@@ -74,12 +75,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(load(spark, sf_dir, "conversations")))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), max_n=1)
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup, op12_conversation_repair, op13_importance_resampling)}
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -107,6 +112,28 @@ CRC_SQL = """tab AS (SELECT [list_reduce([i] || range(8), lambda c, k: CASE WHEN
   byte AS (SELECT w, list_transform(range(0, strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS b FROM distinct_words),
   crc AS (SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS c FROM byte, tab)"""
 
+
+
+def _repair_sql() -> str:
+    """Conversations by dynamic programming over the last role put: n (none yet), s, u, a, each with its least (cost, audit) and lines."""
+    add = lambda x, cost, edit, line: f"CASE WHEN {x} IS NOT NULL THEN {{'cost': {x}.cost + {cost}, 'audit': {x}.audit || {edit}, 'line': {x}.line || {line}}} END"
+    least = lambda *xs: f"list_sort([{', '.join(xs)}], 'ASC', 'NULLS LAST')[1]"
+    new = lambda name: f"chr(10) || '{NAMES_OF[name]}:'"
+    put_u = least("u", *[add(x, 3, "'I'", new("u")) for x in "nsa"])
+    put_a = least("a", add("pu", 3, "'I'", new("a")))
+    gone = lambda x: add(x, 4, "'D'", "''")
+    keep = lambda x, name: f"CASE WHEN NOT must_go AND initial = '{name}' THEN {add(x, '3 * short::INT', repr('K'), 'chr(10) || role || chr(58) || text')} END"
+    rerole = lambda x, name: f"CASE WHEN NOT must_go THEN {add(x, '3 + 3 * short::INT', repr('R'), new(name) + ' || text')} END"
+    to_u = [f(x, "u") for x in ("n", "s", "pa") for f in (keep, rerole)]
+    to_a = [f("pu", "a") for f in (keep, rerole)]
+    return f"""steps(conv_id, i, n, s, u, a) AS (SELECT conv_id, 0::BIGINT, {{'cost': 0, 'audit': '', 'line': ''}}, NULL::{STATE}, NULL::{STATE}, NULL::{STATE} FROM convs
+    UNION ALL SELECT conv_id, i, {gone('n')}, {least(gone('s'), keep('n', 's'))}, {least(gone('pu'), *to_u)}, {least(gone('pa'), *to_a)}
+    FROM (SELECT *, {put_a} AS pa FROM (SELECT g.*, n, s, u, a, {put_u} AS pu FROM steps r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1))),
+  ends AS (SELECT conv_id, i, {least('n', put_a)} AS best FROM (SELECT *, {put_u} AS pu FROM steps))"""
+
+
+NAMES_OF, STATE = {"u": "user", "a": "assistant"}, "STRUCT(cost INTEGER, audit VARCHAR, line VARCHAR)"
+
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS ws FROM documents),
   lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, {WORD}) GROUP BY 1),
@@ -151,4 +178,18 @@ SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS
   z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM y),
   r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * able // 100 THEN r END AS rank FROM r""",
+    "op12_conversation_repair": rf"""WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS w FROM conversations),
+  distinct_words AS (SELECT DISTINCT w FROM k), {CRC_SQL},
+  d AS (SELECT conv_id, turn, c % 20 AS harm, CASE WHEN harm = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE harm WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text FROM k JOIN crc USING (w)),
+  e AS (SELECT *, unnest(range(CASE harm WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+  f AS (SELECT *, left(role, 1) AS initial, row_number() OVER c AS i, lag(left(role, 1)) OVER c || left(role, 1) AS two, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS stopped FROM e WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+  g AS (SELECT *, blank OR again AS must_go, NOT (blank OR again OR stopped) AS short FROM f),
+  counted AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (short) AS truncated,
+    count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1),
+  convs AS (SELECT DISTINCT conv_id FROM conversations),
+  {_repair_sql()}
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.cost::BIGINT AS cost, best.audit AS audit, sha256(substr(best.line, 2)) AS repaired_sha256 FROM ends LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ends.conv_id WHERE i = coalesce(rows, 0)""",
 }
