@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_bpe
 from .common import load
 from .conversation_repair import damaged, repair_report
+from .hamming_search import nearest
 from .ngram_join import near_duplicates
 from .packing import packed
 from .pii import BASE, pii_spans, span_text
@@ -75,6 +76,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(load(spark, sf_dir, "conversations")))
 
@@ -84,7 +90,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup, op12_conversation_repair, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_quality_rules, op4_ngram_join, op5_byte_bpe, op6_pii, op7_topk_search, op8_packing, op9_url_filters, op10_suffix_dedup, op11_hamming_search, op12_conversation_repair, op13_importance_resampling)}
 
 WORD = r"'[^\x20\x09-\x0D]+'"
 
