@@ -88,8 +88,22 @@ class Head:
         return np.concatenate(texts), np.concatenate(found)
 
 
+def _most_frequent(parts: DataFrame, name: str, most: int) -> list:
+    """Values of a table (value, n) with the greatest sums over 1, at most so many: all those over the least bar that
+    leaves no more. The bars are 64 to a doubling, so their histogram is small, and no task sends more than it keeps."""
+    bar = F.floor(F.log2("n") * 64)
+    counts = checkpointed(parts.groupBy(name).agg(F.sum("n").alias("n")).where("n > 1").withColumn("bar", bar))
+    least, room = None, most
+    for r in counts.groupBy("bar").count().orderBy(F.desc("bar")).collect():  # at most 64 * 64 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.bar
+    return [] if least is None else [r[0] for r in counts.where(F.col("bar") >= least).select(name).collect()]
+
+
 def head_of(texts: DataFrame, max_n: int, n_words: int = HEAD_WORDS, n_pairs: int = HEAD_PAIRS) -> Head:
-    """The most frequent words of a table (text), and pairs of them; all texts are counted, ties go to the lesser."""
+    """The most frequent words of a table (text), and pairs of them; all texts are counted."""
 
     @lean
     def counted(batches):
@@ -99,8 +113,7 @@ def head_of(texts: DataFrame, max_n: int, n_words: int = HEAD_WORDS, n_pairs: in
             n = short.value_counts()
             yield pa.record_batch([n.field(0).cast(pa.binary()), n.field(1).cast(pa.int64())], names=["word", "n"])
 
-    top = texts.mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(n_words)
-    words = sorted(bytes(r.word) for r in top.collect())  # at most n_words of HEAD_BYTES bytes
+    words = sorted(bytes(x) for x in _most_frequent(texts.mapInArrow(counted, "word binary, n long"), "word", n_words))
     if max_n < 2 or not words or not n_pairs:
         return Head(words)
     head = Head(words)
@@ -113,8 +126,7 @@ def head_of(texts: DataFrame, max_n: int, n_words: int = HEAD_WORDS, n_pairs: in
             pair, n = np.unique(keys[(keys >= 0) & (text[:-1] == text[1:])], return_counts=True)
             yield pa.record_batch([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    top = texts.mapInArrow(paired, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "pair").limit(n_pairs)
-    return Head(words, np.array([r.pair for r in top.collect()], np.int64))  # at most n_pairs numbers
+    return Head(words, np.array(_most_frequent(texts.mapInArrow(paired, "pair long, n long"), "pair", n_pairs), np.int64))
 
 
 def featured(table: DataFrame, head: Head, max_n: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
