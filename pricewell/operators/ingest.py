@@ -62,8 +62,35 @@ def series_metadata(rows: DataFrame) -> DataFrame:
     return one.select("wanted_id", *[clean(c).alias(c) for c in first[1:]], problem.alias("problem"))
 
 
+#: What a configuration may say of a material, and what stands where it does not.
+CONFIGURED = {"name": None, "local_name": None, "currency": "USD", "display_unit": None, "source_column": None, "source_unit": None, "is_derived": False, "attribution": None, "series_id": None, "ord": None}
+
+
+def configured(materials: DataFrame) -> DataFrame:
+    """material_id and all of CONFIGURED: texts trimmed and null where empty; the name is the id, and the source's
+    unit and column are the display unit and the name, where nothing else is given. Other columns are left out."""
+    have = set(materials.columns)
+
+    def given(name: str, default) -> Column:
+        kind = "boolean" if name == "is_derived" else "int" if name == "ord" else "string"
+        c = F.col(name) if name in have else F.lit(None)
+        c = c.cast(kind) if kind != "string" else F.nullif(F.trim(c.cast("string")), F.lit(""))
+        return (F.coalesce(c, F.lit(default)) if default is not None else c).alias(name)
+
+    m = materials.select("material_id", *[given(k, v) for k, v in CONFIGURED.items()])
+    name = F.coalesce("name", "material_id")
+    return m.withColumns({"name": name, "source_column": F.coalesce("source_column", name), "source_unit": F.coalesce("source_unit", "display_unit")})
+
+
+def full_header(obs: DataFrame, materials: DataFrame) -> DataFrame:
+    """One row for every configured material: names, currency, units, column, flag, attribution and order of the
+    configuration, with its count (0 if it has no observations), first and latest period."""
+    counts = obs.groupBy("material_id").agg(F.count("*").alias("n_obs"), F.min("period").alias("first_period"), F.max("period").alias("latest_period"))
+    return configured(materials).join(counts, "material_id", "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))
+
+
 def series_header(obs: DataFrame, materials: DataFrame) -> DataFrame:
-    """Names, currency and unit of each series with its count, first and latest period."""
+    """Currency and unit of each configured series with observations, its count, first and latest period."""
     counts = obs.groupBy("material_id").agg(F.count("*").alias("n_obs"), F.min("period").alias("first_period"), F.max("period").alias("latest_period"))
     return counts.join(materials, "material_id").select("material_id", F.coalesce("currency", F.lit("USD")).alias("currency"), "display_unit", "n_obs", "first_period", "latest_period")
 

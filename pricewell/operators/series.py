@@ -104,3 +104,12 @@ def aligned(obs: DataFrame, ids: list[str], n: int, key: str = "material_id") ->
     wide = rows.groupBy("pos").pivot(key, ids).agg(F.first("value"))
     label = rows.where(F.col(key) == ids[0]).select("pos", F.col("period").alias("label"))
     return label.join(wide, "pos").select("pos", "label", *[f"`{i}`" for i in ids])
+
+
+def in_order(rows: DataFrame, by: str = "ord", key: str = "material_id") -> DataFrame:
+    """Rows of the configuration, or joined with it, sorted as it orders them, with `place` (from 1; equal for rows of
+    one series). Materials without an order come last, by id. The configuration is one row a series; the places are
+    taken from its distinct ids."""
+    ids = rows.select(by, key).distinct()
+    places = ids.select(F.col(key).alias("_key"), F.row_number().over(Window.orderBy(F.asc_nulls_last(by), key)).alias("place"))
+    return rows.join(places, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").orderBy("place")

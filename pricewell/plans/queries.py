@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import compare, ingest, profile, quality, report, series, shouldcost, signals, status
-from ..sources import csv_export, documents
+from ..operators import compare, incremental, ingest, intervals, profile, quality, report, series, shouldcost, signals, status
+from ..sources import csv_export, documents, nested, snapshots
 from ..streaming import refresh
 from . import fixtures as X
 
@@ -427,6 +427,88 @@ def json_document(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("material_id", "o.period", "o.value")
 
 
+# nested documents of three kinds, written as files and read back
+
+CONFIG = """config AS (SELECT *, CASE WHEN mno % 6 <> 0 THEN 'Brand ' || mno END AS name, 'Marke ' || mno AS local_name, mno % 2 = 0 AS is_derived, CASE WHEN mno % 4 = 0 THEN 'by license' END AS attribution, 'S' || mno AS series_id, 100 - mno AS ord FROM materials)"""
+
+
+def _config(spark, d):
+    """Materials with the names, flags and order that a configuration gives them; some are left out or empty."""
+    mno = F.col("mno")
+    return X.materials(spark, d).withColumns(
+        {
+            "name": F.when(mno % 6 == 0, " ").otherwise(F.concat(F.lit(" Brand "), mno)),
+            "local_name": F.concat(F.lit("Marke "), mno),
+            "source_unit": F.col("primary_unit"),
+            "is_derived": F.when(mno % 2 == 0, True),
+            "attribution": F.when(mno % 4 == 0, "by license"),
+            "series_id": F.concat(F.lit("S"), mno),
+            "ord": 100 - mno,
+        }
+    )
+
+
+def _through_files(spark, kind, entries, head, parts):
+    """The documents of a run, read back from its files."""
+    place = X.scratch(spark)
+    return nested.read_run(kind, spark, place, nested.write_run(kind, nested.documents(kind, entries, head, "2026-07-02T08:00:00Z", parts), place))
+
+
+@query(X.sql("""SELECT material_id, coalesce(name, material_id) AS name, local_name, currency, display_unit, coalesce(name, material_id) AS source_column, primary_unit AS source_unit, is_derived, attribution, count(*) OVER s AS n_obs,
+  min(period) OVER s AS first_period, max(period) OVER s AS latest_period, period, value, max(period) OVER () AS top_latest, count(*) OVER () AS n_all, (SELECT count(DISTINCT material_id) FROM obs_primary) AS n_series, 'primary' AS source
+  FROM obs_primary JOIN config USING (material_id) WINDOW s AS (PARTITION BY material_id)""", X.FX1, X.FX3, CONFIG))
+def source_document(spark: SparkSession, d: str) -> DataFrame:
+    obs = X.obs_primary(spark, d)
+    entries = nested.source_entries(obs, _config(spark, d))
+    docs = _through_files(spark, nested.SOURCE, entries, nested.source_head(entries, "primary"), 4)
+    rows = docs.select("source", F.col("dataset.latestPeriod").alias("top_latest"), F.col("dataset.observationCount").alias("n_all"), F.col("dataset.seriesCount").alias("n_series"), F.explode("series").alias("material_id", "e"))
+    names = {"name": "name", "local_name": "localName", "currency": "currency", "display_unit": "displayUnit", "source_column": "sourceColumn", "source_unit": "sourceUnit", "is_derived": "isDerived", "attribution": "attribution", "n_obs": "observationCount", "first_period": "firstPeriod", "latest_period": "latestPeriod"}
+    return rows.select("source", "top_latest", "n_all", "n_series", "material_id", *[F.col(f"e.{v}").alias(k) for k, v in names.items()], F.explode("e.observations").alias("o")).select("*", "o.period", "o.value").drop("o")
+
+
+@query(X.sql("""SELECT material_id, coalesce(name, material_id) AS name, primary_latest, display_unit, primary_unit, series_id, comparison_latest, comparison_unit, n_common, first_common, last_common, comparable, reason, latest_primary, latest_comparison,
+  latest_diff_pct, mean_abs_pct, max_abs_pct, period, primary_value, comparison_value, diff, diff_pct, count(*) FILTER (first_row) OVER () AS n_materials, count(*) FILTER (first_row AND comparable) OVER () AS n_comparable
+  FROM (SELECT *, row_number() OVER (PARTITION BY material_id ORDER BY period) = 1 AS first_row FROM (SELECT p.material_id, min(period) AS first_common, max(period) AS last_common, count(*) AS n_common, arg_max(p.value, period) AS latest_primary, arg_max(c.value, period) AS latest_comparison FROM obs_primary p JOIN obs_comparison c USING (material_id, period) GROUP BY 1)
+  JOIN compatible USING (material_id) JOIN config USING (material_id) JOIN (SELECT material_id, max(period) AS primary_latest FROM obs_primary GROUP BY 1) USING (material_id) JOIN (SELECT material_id, max(period) AS comparison_latest FROM obs_comparison GROUP BY 1) USING (material_id)
+  LEFT JOIN (SELECT material_id, latest_diff_pct, mean_abs_pct, max_abs_pct FROM summary) USING (material_id) LEFT JOIN compared USING (material_id))""", *COMPARE_PARTS, CONFIG))
+def comparison_document(spark: SparkSession, d: str) -> DataFrame:
+    p, c, compatible = _two_sources(spark, d)
+    entries = nested.comparison_entries(p, c, compatible, _config(spark, d))
+    docs = _through_files(spark, nested.COMPARISON, entries, nested.comparison_head(entries, "primary", "comparison"), 3)
+    rows = docs.select(F.col("summary.materialCount").alias("n_materials"), F.col("summary.comparableCount").alias("n_comparable"), F.explode("materials").alias("material_id", "e"))
+    names = {"name": "name", "primary_latest": "primary.latestPeriod", "display_unit": "primary.displayUnit", "primary_unit": "primary.sourceUnit", "series_id": "comparison.seriesId", "comparison_latest": "comparison.latestPeriod", "comparison_unit": "comparison.sourceUnit", "n_common": "overlapCount", "first_common": "firstOverlapPeriod", "last_common": "latestOverlapPeriod", "comparable": "comparisonAvailable", "reason": "comparisonReason", "latest_primary": "latestPrimaryValue", "latest_comparison": "latestComparisonValue", "latest_diff_pct": "latestDifferencePercent", "mean_abs_pct": "meanAbsolutePercent", "max_abs_pct": "maxAbsolutePercent"}
+    rows = rows.select("n_materials", "n_comparable", "material_id", *[F.col(f"e.{v}").alias(k) for k, v in names.items()], F.explode_outer("e.observations").alias("o"))
+    return rows.select("*", "o.period", F.col("o.primaryValue").alias("primary_value"), F.col("o.comparisonValue").alias("comparison_value"), F.col("o.difference").alias("diff"), F.col("o.differencePercent").alias("diff_pct")).drop("o")
+
+
+@query(X.sql(f"""SELECT material_id, coalesce(g.name, material_id) AS name, g.display_unit, g.primary_unit AS source_unit, period, round(value, 6) AS value, c1, c3, c6, c12, round(avg12, 6) AS avg12, round(high12, 6) AS high12, round(low12, 6) AS low12, round(vs_avg12, 6) AS vs_avg12,
+  round(range_position, 6) AS range_position, range_label, round(volatility, 6) AS volatility, trend, signal, priority, signal_group, {_case('signal', {k: v[1] for k, v in signals.ADVICE.items()})} AS action,
+  CASE WHEN c.comparable IS NULL THEN 'NOT_AVAILABLE' WHEN NOT c.comparable THEN 'UNIT_NOT_COMPARABLE' WHEN mean_abs_pct <= 1 AND abs(latest_diff_pct) <= 1 THEN 'HIGH_AGREEMENT' WHEN mean_abs_pct <= 3 AND abs(latest_diff_pct) <= 3 THEN 'MEDIUM_AGREEMENT' ELSE 'REVIEW_REQUIRED' END AS corroboration,
+  latest_diff_pct, mean_abs_pct, concat_ws(chr(10), '3-month change ' || {_signed("c3", 2)} || '%', '6-month change ' || {_signed("c6", 2)} || '%', 'latest against the 12-month average ' || {_signed("vs_avg12", 2)} || '%', 'at ' || {_fixed("range_position", 1)} || '% of the 12-month range') AS lines,
+  2 AS n_limitations, max(period) OVER () AS top_latest, count(*) FILTER (priority = 'HIGH') OVER () AS n_high, count(*) OVER () AS n_materials, count(*) OVER (PARTITION BY signal) AS n_same_signal
+  FROM latest JOIN config g USING (material_id) LEFT JOIN (SELECT material_id, comparable FROM compatible WHERE material_id IN (SELECT material_id FROM obs_comparison)) c USING (material_id) LEFT JOIN (SELECT material_id, latest_diff_pct, mean_abs_pct FROM summary) s USING (material_id)""", X.FX1, X.FX2, X.FX3, CHANGES, STATS, SIGNALS, COMPATIBLE, COMPARED, CONFIG))
+def signals_document(spark: SparkSession, d: str) -> DataFrame:
+    entries = nested.signal_entries(_latest(spark, d), compare.full_summary(*_two_sources(spark, d)), _config(spark, d))
+    docs = _through_files(spark, nested.SIGNALS, entries, nested.signals_head(entries, "primary", "comparison"), 3)
+    rows = docs.select("latestPeriod", "summary", F.explode("materials").alias("material_id", "e"))
+    c = lambda path, name: F.col(path).alias(name)
+    return rows.select(
+        *["material_id", c("e.name", "name"), c("e.displayUnit", "display_unit"), c("e.sourceUnit", "source_unit"), c("e.latestPeriod", "period"), c("e.latestValue", "value")],
+        *[c(f"e.changes.{a}MonthPercent", b) for a, b in (("one", "c1"), ("three", "c3"), ("six", "c6"), ("twelve", "c12"))],
+        *[c(f"e.statistics.{a}", b) for a, b in (("average", "avg12"), ("high", "high12"), ("low", "low12"), ("latestVsAveragePercent", "vs_avg12"), ("rangePositionPercent", "range_position"), ("positionLabel", "range_label"), ("volatilityPercent", "volatility"))],
+        *[c("e.trend", "trend"), c("e.signal.code", "signal"), c("e.signal.priority", "priority"), c("e.signal.group", "signal_group"), c("e.signal.action", "action")],
+        *[c("e.corroboration.status", "corroboration"), c("e.corroboration.latestDifferencePercent", "latest_diff_pct"), c("e.corroboration.meanAbsolutePercent", "mean_abs_pct")],
+        *[F.array_join("e.evidence", "\n").alias("lines"), F.size("e.limitations").alias("n_limitations"), c("latestPeriod", "top_latest"), F.col("summary.priorityCounts")["HIGH"].alias("n_high"), c("summary.materialCount", "n_materials"), F.col("summary.signalCounts")[F.col("e.signal.code")].alias("n_same_signal")],
+    )
+
+
+@query(X.sql("SELECT material_id, coalesce(name, material_id) AS name, is_derived, attribution, ord, CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS place, latest_period, n_obs FROM config JOIN (SELECT material_id, max(period) AS latest_period, count(*) AS n_obs FROM obs_primary GROUP BY 1) USING (material_id)", X.FX1, X.FX3, CONFIG))
+def configured_order(spark: SparkSession, d: str) -> DataFrame:
+    """The headers of all series in the order of the configuration, with their place in it."""
+    listed = series.in_order(ingest.full_header(X.obs_primary(spark, d), _config(spark, d)))
+    return listed.select("material_id", "name", "is_derived", "attribution", "ord", "place", "latest_period", "n_obs")
+
+
 # data quality
 
 
@@ -699,6 +781,75 @@ def unchanged_skipped(spark: SparkSession, d: str) -> DataFrame:
     return status.new_files(hashed(p), hashed(X.obs_comparison(p))).select("material_id", "period")
 
 
+# versions and what is kept up to date by them
+
+#: The months as they stood in four versions: some not yet there, some revised later, some taken out again.
+VERSIONED = """versioned AS (SELECT v AS version, material_id, period, CASE WHEN (mi + mno) % 5 = 0 AND v < 4 THEN value * 2 WHEN (mi + mno) % 7 = 0 AND v = 2 THEN NULL ELSE value END AS value FROM obs_primary, (VALUES (1), (2), (4), (7)) t(v)
+  WHERE (mi < 23960 OR v >= 4) AND NOT ((mi * 3 + mno) % 11 = 0 AND v IN (2, 7)) AND NOT (mno = 25 AND v = 7))"""
+
+
+def _versioned(spark, d):
+    mi, mno, v = F.col("mi"), F.col("mno"), F.col("version")
+    rows = X.obs_primary(spark, d).withColumn("version", F.explode(F.array(*map(F.lit, (1, 2, 4, 7)))))
+    kept = rows.where(((mi < 23960) | (v >= 4)) & ~(((mi * 3 + mno) % 11 == 0) & v.isin(2, 7)) & ~((mno == 25) & (v == 7)))
+    value = F.when(((mi + mno) % 5 == 0) & (v < 4), F.col("value") * 2).when(((mi + mno) % 7 == 0) & (v == 2), None).otherwise(F.col("value"))
+    return kept.select("version", "material_id", "period", value.alias("value"))
+
+
+@query(X.sql("SELECT version, material_id, period, value FROM versioned", X.FX1, VERSIONED))
+def version_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Every version, looked up in the table of intervals that one pass over all of them made."""
+    rows = _versioned(spark, d)
+    history = intervals.intervals(rows)
+    return intervals.numbered(rows).select("version").join(history, (F.col("valid_from") <= F.col("version")) & (F.col("valid_to").isNull() | (F.col("version") < F.col("valid_to")))).select("version", "material_id", "period", "value")
+
+
+@query(X.sql("""SELECT material_id, period, arg_max(value, version) AS value, min(version) AS valid_from, max(coalesce(next_version, 99)) AS valid_to
+  FROM (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY material_id, period ORDER BY version) AS run FROM (SELECT *, coalesce(lag(next_version) OVER w = version AND lag(val) OVER w = val, false) AS same
+    FROM (SELECT version, material_id, period, value, coalesce(value, -1) AS val, CASE version WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 4 THEN 7 END AS next_version FROM versioned) WINDOW w AS (PARTITION BY material_id, period ORDER BY version))) GROUP BY 1, 2, run""", X.FX1, VERSIONED).replace("arg_max(value, version)", "nullif(max(val), -1)"))
+def version_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The intervals, made of the first two versions and extended by the others one by one."""
+    rows = _versioned(spark, d)
+    out = intervals.intervals(rows.where("version <= 2"))
+    for v in (4, 7):
+        out = intervals.extended(out, rows.where(F.col("version") == v).select("material_id", "period", "value"), v)
+    return out.withColumn("valid_to", F.coalesce("valid_to", F.lit(99)))
+
+
+def _refreshes(spark, d):
+    """A log of observations: an earlier state, and two refreshes that insert, revise and remove months, so that the last
+    is the primary source as it is."""
+    now = X.obs_primary(spark, d)
+    mi, mno = F.col("mi"), F.col("mno")
+    at = lambda n: F.lit(f"2026-07-0{n} 00:00:00").cast("timestamp").alias("loaded_at")
+    late, wrong, extra = (mno % 4 == 1) & (mi > 23985), (mno % 4 == 2) & (mi % 40 == 0), (mno % 5 == 3) & (mi % 50 == 7)
+    first = now.where(~late).select("material_id", "period", F.when(wrong, F.col("value") * 3).otherwise(F.col("value")).alias("value"), at(1))
+    more = now.where(extra).select("material_id", F.concat("period", F.lit("b")).alias("period"), F.col("value") * 0 + 5, at(1)).toDF(*first.columns)
+    log = snapshots.Log(spark, X.scratch(spark))
+    log.replace(first.unionByName(more))
+    log.append(now.where(late | wrong).select("material_id", "period", "value", at(2)))
+    log.append(more.select("material_id", "period", "value", at(3), F.lit(True).alias("removed")))
+    return log
+
+
+@query(X.sql("SELECT material_id, period, value FROM obs_primary", X.FX1))
+def snapshot_log(spark: SparkSession, d: str) -> DataFrame:
+    """The table after its refreshes and a compaction in place."""
+    log = _refreshes(spark, d)
+    log.compact()
+    return log.read().select("material_id", "period", "value")
+
+
+@query(X.sql(f"SELECT {', '.join(SIGNAL_COLUMNS)}, CAST(n_obs AS BIGINT) AS n_obs, round(vs_avg12, 6) AS vs_avg12, round(volatility, 6) AS volatility FROM signals", *SIGNAL_PARTS))
+def incremental_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The signals of an earlier state, kept up to date through refreshes by the changed series alone."""
+    log = _refreshes(spark, d)
+    kept = snapshots.Log(spark, X.scratch(spark), order=("made_at",))
+    for n in (1, 2, 3):
+        incremental.maintain(log, kept, n)
+    return _rounded(kept.read(), "vs_avg12", "volatility").select(*SIGNAL_COLUMNS, F.col("n_obs").cast("long").alias("n_obs"), "vs_avg12", "volatility")
+
+
 FILLED = "filled AS (SELECT doc, sheet, \"row\", count(*) AS n_cells FROM cells WHERE trim(value) <> '' GROUP BY 1, 2, 3)"
 
 
