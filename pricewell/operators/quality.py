@@ -98,6 +98,36 @@ def freshness_mismatch(signals: DataFrame, status: DataFrame, source: str = "pri
     return _violations(both, "signals_behind", F.concat_ws("/", "have", "want"))
 
 
+def scan(obs: DataFrame, least: int = MIN_INGEST) -> DataFrame:
+    """The violations of min_observations(), out_of_order(), duplicates(), bad_format(), bad_value() and stale_series()
+    from one scan: one exchange by series, in which both orders are sorted and all rules are counted at once."""
+    by_series = Window.partitionBy("source", "material_id")
+    before = F.lag("period").over(by_series.orderBy("ingest_ord"))
+    again = F.row_number().over(Window.partitionBy("source", "material_id", "period").orderBy("ingest_ord")) == 2
+    period, v, sure = F.col("period"), F.col("value"), lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "order": (F.col("_order"), period),
+        "duplicate_period": (F.col("_again"), period),
+        "period_format": (~sure(period.rlike(PERIOD)), F.coalesce(period, F.lit("null"))),
+        "value": (~sure(finite(v) & (v > 0)), F.coalesce(period, F.lit("null"))),
+    }
+    rows = obs.withColumn("_order", sure(before > period)).withColumn("_again", again)
+    counts = [x for k, (bad, sample) in rules.items() for x in (F.count_if(bad).alias(f"n_{k}"), F.min(F.when(bad, sample.cast("string"))).alias(f"s_{k}"))]
+    each = rows.groupBy("source", "material_id").agg(F.count("*").alias("n"), F.max("period").alias("latest"), *counts)
+    each = each.withColumn("top", F.max("latest").over(Window.partitionBy("source")))
+    one = lambda rule, n, sample: F.struct(F.lit(rule).alias("rule_id"), n.cast("long").alias("n_bad"), sample.cast("string").alias("sample"))
+    found = [one(k, F.col(f"n_{k}"), F.col(f"s_{k}")) for k in rules]
+    found += [one("min_observations", sure(F.col("n") < least).cast("int"), F.col("n")), one("freshness", sure(F.col("latest") < F.col("top")).cast("int"), F.col("latest"))]
+    bad = each.select("source", F.col("material_id").alias("series_id"), F.explode(F.filter(F.array(*found), lambda r: r["n_bad"] > 0)).alias("r"))
+    return bad.select("r.rule_id", "source", "series_id", "r.n_bad", "r.sample")
+
+
+def row_gate() -> dict[str, Column]:
+    """What a row of observations must not be, by rule: the gate of a publication, which is counted while it is written."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return {"period_format": ~sure(F.col("period").rlike(PERIOD)), "value": ~sure(finite(F.col("value")) & (F.col("value") > 0))}
+
+
 def all_violations(*tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.snapshots import Log
+
 STATUS = "source string, status string, last_attempt_at string, last_success_at string, latest_period string, updated_on string, sha256 string, url string, is_stale boolean, warnings array<string>"
 FIELDS = tuple(x.split(" ")[0] for x in STATUS.split(", "))
 RUN = ("latest_period", "at", "updated_on", "sha256", "url")
@@ -47,38 +47,28 @@ def comparison_refreshed(previous: DataFrame, run: DataFrame) -> DataFrame:
     return upsert(previous.select(*FIELDS), row.select(*FIELDS))
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+def _published(spark: SparkSession, path: str) -> Log:
+    return Log(spark, path, order=())
 
 
 def publish(obs: DataFrame, violations: DataFrame, path: str) -> bool:
-    """Write the table only if no rule is violated; else leave what was published before.
-
-    The table is written as a version of its own beside the others. Readers (published()) take the last version
-    that Spark has marked as complete, so a job that fails on its way changes nothing for them.
-    """
+    """Publish the table as a snapshot of the log in `path` only if no rule is violated; else leave what was published
+    before. Readers (published()) see whole snapshots, so a job that fails on its way changes nothing for them."""
     if not violations.isEmpty():
         return False
-    number = max(versions(obs.sparkSession, path), default=0) + 1
-    obs.write.parquet(f"{path}/version={number:010d}-{uuid.uuid4().hex[:8]}")
+    _published(obs.sparkSession, path).replace(obs)
     return True
 
 
-def versions(spark: SparkSession, path: str) -> dict[int, str]:
-    """number -> folder of the complete versions in `path`; of equal numbers the first by name."""
-    where, files = _files(spark, path)
-    if not files.exists(where):
-        return {}
-    names = sorted((s.getPath().getName() for s in files.listStatus(where)), reverse=True)
-    done = [n for n in names if n.startswith("version=") and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[0])]
-    return {int(n.split("=")[1].split("-")[0]): f"{path}/{n}" for n in done}
+def publish_gated(obs: DataFrame, gate: dict[str, Column], path: str) -> bool:
+    """The same with conditions that no row may meet (quality.row_gate()): they are counted while the rows are written,
+    so that obs is made once, and what was written becomes a snapshot only if the counts are zero."""
+    return _published(obs.sparkSession, path).replace(obs, gate) is not None
 
 
 def published(spark: SparkSession, path: str) -> DataFrame | None:
-    """The last complete version, or None."""
-    found = versions(spark, path)
-    return spark.read.parquet(found[max(found)]) if found else None
+    """The last snapshot, or None."""
+    return _published(spark, path).read()
 
 
 def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:

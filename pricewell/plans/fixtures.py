@@ -17,19 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def obs_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly unit price by brand: (material_id, mno, period, mi, value). Money adds up as decimals."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", F.trunc("l_shipdate", "month").alias("month"), "l_extendedprice", "l_quantity")
+    # by part and month first: fewer rows meet the parts than there are line items
+    each = li.groupBy("l_partkey", "month").agg(exact("l_extendedprice").alias("amount"), exact("l_quantity").alias("quantity"))
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-    rows = li.join(part, li.l_partkey == part.p_partkey).select(
-        F.col("p_brand").alias("material_id"),
-        F.replace("p_brand", F.lit("Brand#"), F.lit("")).cast("int").alias("mno"),
-        F.date_format("l_shipdate", "yyyy-MM").alias("period"),
-        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("mi"),
-        "l_extendedprice",
-        "l_quantity",
+    rows = each.join(part, each.l_partkey == part.p_partkey).groupBy(F.col("p_brand").alias("material_id"), "month").agg(F.sum("amount").cast("double").alias("amount"), F.sum("quantity").cast("double").alias("quantity"))
+    return rows.select(
+        "material_id",
+        F.replace("material_id", F.lit("Brand#"), F.lit("")).cast("int").alias("mno"),
+        F.date_format("month", "yyyy-MM").alias("period"),
+        (F.year("month") * 12 + F.month("month")).cast("long").alias("mi"),
+        (F.col("amount") / F.col("quantity")).alias("value"),
     )
-    g = rows.groupBy("material_id", "mno", "period", "mi").agg(money("l_extendedprice").alias("amount"), money("l_quantity").alias("quantity"))
-    return g.select("material_id", "mno", "period", "mi", (F.col("amount") / F.col("quantity")).alias("value"))
 
 
 FX1 = """obs_primary AS (
@@ -154,6 +154,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{folder or tempfile.mkdtemp(prefix='pricewell-')}/tables/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in a folder of its own: made once, however often a query reads it."""
+    place = scratch(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly prices as a wide grid of cells (doc, sheet, row, col, value): title, headers in row 5, units in
     row 6, periods in column 1 from row 7. Every 17th value is missing."""

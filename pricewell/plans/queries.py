@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import compare, incremental, ingest, intervals, profile, quality, report, series, shouldcost, signals, status
 from ..sources import csv_export, documents, nested, snapshots
-from ..streaming import refresh
+from ..streaming import gates, refresh
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,8 +110,8 @@ def _latest(spark, d):
     return signals.latest_signals(X.obs_primary(spark, d))
 
 
-def _two_sources(spark, d):
-    p, m = X.obs_primary(spark, d), X.materials(spark, d)
+def _two_sources(spark, d, p=None):
+    p, m = X.obs_primary(spark, d) if p is None else p, X.materials(spark, d)
     return p, X.obs_comparison(p), compare.unit_compatibility(m, X.rules(m))
 
 
@@ -451,16 +451,15 @@ def _config(spark, d):
 def _through_files(spark, kind, entries, head, parts):
     """The documents of a run, read back from its files."""
     place = X.scratch(spark)
-    return nested.read_run(kind, spark, place, nested.write_run(kind, nested.documents(kind, entries, head, "2026-07-02T08:00:00Z", parts), place))
+    return nested.read_run(kind, spark, place, nested.publish(kind, entries, head, "2026-07-02T08:00:00Z", place, parts))
 
 
 @query(X.sql("""SELECT material_id, coalesce(name, material_id) AS name, local_name, currency, display_unit, coalesce(name, material_id) AS source_column, primary_unit AS source_unit, is_derived, attribution, count(*) OVER s AS n_obs,
   min(period) OVER s AS first_period, max(period) OVER s AS latest_period, period, value, max(period) OVER () AS top_latest, count(*) OVER () AS n_all, (SELECT count(DISTINCT material_id) FROM obs_primary) AS n_series, 'primary' AS source
   FROM obs_primary JOIN config USING (material_id) WINDOW s AS (PARTITION BY material_id)""", X.FX1, X.FX3, CONFIG))
 def source_document(spark: SparkSession, d: str) -> DataFrame:
-    obs = X.obs_primary(spark, d)
-    entries = nested.source_entries(obs, _config(spark, d))
-    docs = _through_files(spark, nested.SOURCE, entries, nested.source_head(entries, "primary"), 4)
+    entries = nested.source_entries(X.stored(X.obs_primary(spark, d)), _config(spark, d))
+    docs = _through_files(spark, nested.SOURCE, entries, lambda e: nested.source_head(e, "primary"), 4)
     rows = docs.select("source", F.col("dataset.latestPeriod").alias("top_latest"), F.col("dataset.observationCount").alias("n_all"), F.col("dataset.seriesCount").alias("n_series"), F.explode("series").alias("material_id", "e"))
     names = {"name": "name", "local_name": "localName", "currency": "currency", "display_unit": "displayUnit", "source_column": "sourceColumn", "source_unit": "sourceUnit", "is_derived": "isDerived", "attribution": "attribution", "n_obs": "observationCount", "first_period": "firstPeriod", "latest_period": "latestPeriod"}
     return rows.select("source", "top_latest", "n_all", "n_series", "material_id", *[F.col(f"e.{v}").alias(k) for k, v in names.items()], F.explode("e.observations").alias("o")).select("*", "o.period", "o.value").drop("o")
@@ -472,9 +471,9 @@ def source_document(spark: SparkSession, d: str) -> DataFrame:
   JOIN compatible USING (material_id) JOIN config USING (material_id) JOIN (SELECT material_id, max(period) AS primary_latest FROM obs_primary GROUP BY 1) USING (material_id) JOIN (SELECT material_id, max(period) AS comparison_latest FROM obs_comparison GROUP BY 1) USING (material_id)
   LEFT JOIN (SELECT material_id, latest_diff_pct, mean_abs_pct, max_abs_pct FROM summary) USING (material_id) LEFT JOIN compared USING (material_id))""", *COMPARE_PARTS, CONFIG))
 def comparison_document(spark: SparkSession, d: str) -> DataFrame:
-    p, c, compatible = _two_sources(spark, d)
+    p, c, compatible = _two_sources(spark, d, X.stored(X.obs_primary(spark, d)))
     entries = nested.comparison_entries(p, c, compatible, _config(spark, d))
-    docs = _through_files(spark, nested.COMPARISON, entries, nested.comparison_head(entries, "primary", "comparison"), 3)
+    docs = _through_files(spark, nested.COMPARISON, entries, lambda e: nested.comparison_head(e, "primary", "comparison"), 3)
     rows = docs.select(F.col("summary.materialCount").alias("n_materials"), F.col("summary.comparableCount").alias("n_comparable"), F.explode("materials").alias("material_id", "e"))
     names = {"name": "name", "primary_latest": "primary.latestPeriod", "display_unit": "primary.displayUnit", "primary_unit": "primary.sourceUnit", "series_id": "comparison.seriesId", "comparison_latest": "comparison.latestPeriod", "comparison_unit": "comparison.sourceUnit", "n_common": "overlapCount", "first_common": "firstOverlapPeriod", "last_common": "latestOverlapPeriod", "comparable": "comparisonAvailable", "reason": "comparisonReason", "latest_primary": "latestPrimaryValue", "latest_comparison": "latestComparisonValue", "latest_diff_pct": "latestDifferencePercent", "mean_abs_pct": "meanAbsolutePercent", "max_abs_pct": "maxAbsolutePercent"}
     rows = rows.select("n_materials", "n_comparable", "material_id", *[F.col(f"e.{v}").alias(k) for k, v in names.items()], F.explode_outer("e.observations").alias("o"))
@@ -488,8 +487,9 @@ def comparison_document(spark: SparkSession, d: str) -> DataFrame:
   2 AS n_limitations, max(period) OVER () AS top_latest, count(*) FILTER (priority = 'HIGH') OVER () AS n_high, count(*) OVER () AS n_materials, count(*) OVER (PARTITION BY signal) AS n_same_signal
   FROM latest JOIN config g USING (material_id) LEFT JOIN (SELECT material_id, comparable FROM compatible WHERE material_id IN (SELECT material_id FROM obs_comparison)) c USING (material_id) LEFT JOIN (SELECT material_id, latest_diff_pct, mean_abs_pct FROM summary) s USING (material_id)""", X.FX1, X.FX2, X.FX3, CHANGES, STATS, SIGNALS, COMPATIBLE, COMPARED, CONFIG))
 def signals_document(spark: SparkSession, d: str) -> DataFrame:
-    entries = nested.signal_entries(_latest(spark, d), compare.full_summary(*_two_sources(spark, d)), _config(spark, d))
-    docs = _through_files(spark, nested.SIGNALS, entries, nested.signals_head(entries, "primary", "comparison"), 3)
+    p = X.stored(X.obs_primary(spark, d))
+    entries = nested.signal_entries(signals.latest_signals(p), compare.full_summary(*_two_sources(spark, d, p)), _config(spark, d))
+    docs = _through_files(spark, nested.SIGNALS, entries, lambda e: nested.signals_head(e, "primary", "comparison"), 3)
     rows = docs.select("latestPeriod", "summary", F.explode("materials").alias("material_id", "e"))
     c = lambda path, name: F.col(path).alias(name)
     return rows.select(
@@ -636,6 +636,44 @@ def form_fields(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", "number", (F.when(F.col("raw").isNull(), shouldcost.valid_target(F.col("number"))).otherwise(F.col("number").isNotNull() & shouldcost.valid_target(F.col("number")))).alias("valid_target"))
 
 
+@query(X.sql(" UNION ALL ".join([
+    _violation_sql("order", "period", "SELECT *, lag(period) OVER (PARTITION BY source, material_id ORDER BY ingest_ord) AS before FROM faulty QUALIFY before > period"),
+    _violation_sql("duplicate_period", "period", "SELECT source, material_id, period FROM faulty GROUP BY 1, 2, 3 HAVING count(*) > 1"),
+    _violation_sql("period_format", "period", "SELECT * FROM faulty WHERE NOT regexp_matches(period, '^[0-9]{4}-(0[1-9]|1[0-2])$')"),
+    _violation_sql("value", "period", "SELECT * FROM faulty WHERE NOT (isfinite(value) AND value > 0)"),
+    _violation_sql("min_observations", "n", "SELECT source, material_id, count(*) AS n FROM faulty GROUP BY 1, 2 HAVING count(*) < 84"),
+    _violation_sql("freshness", "latest", "SELECT *, max(latest) OVER (PARTITION BY source) AS top FROM (SELECT source, material_id, max(period) AS latest FROM faulty GROUP BY 1, 2) QUALIFY latest < top"),
+]), *FAULT_PARTS))
+def dq_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All rules of single series from one scan."""
+    return quality.scan(_faulty(spark, d), 84)
+
+
+@query(X.sql(" UNION ALL ".join([
+    _violation_sql("order", "period", "SELECT *, lag(period) OVER (PARTITION BY source, material_id ORDER BY ingest_ord) AS before FROM faulty QUALIFY before > period"),
+    _violation_sql("duplicate_period", "period", "SELECT source, material_id, period FROM faulty GROUP BY 1, 2, 3 HAVING count(*) > 1"),
+    _violation_sql("period_format", "period", "SELECT * FROM faulty WHERE NOT regexp_matches(period, '^[0-9]{4}-(0[1-9]|1[0-2])$')"),
+    _violation_sql("value", "period", "SELECT * FROM faulty WHERE NOT (isfinite(value) AND value > 0)"),
+]), *FAULT_PARTS))
+def stream_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The gates over a stream of files that land in three lots, each taken up by a run that goes on where the last ended."""
+    place, rows = X.scratch(spark), X.stored(_faulty(spark, d))
+    for low, high in ((0, 23940), (23940, 23970), (23970, 1 << 30)):
+        rows.where((F.col("ingest_ord") >= low) & (F.col("ingest_ord") < high)).write.mode("append").parquet(f"{place}/landing")
+        gates.run(spark, f"{place}/landing", f"{place}/violations", f"{place}/state").awaitTermination()
+    return gates.totals(spark, f"{place}/violations")
+
+
+@query(X.sql("SELECT material_id, period, value FROM obs_primary", X.FX1))
+def gated_publish(spark: SparkSession, d: str) -> DataFrame:
+    """What is published after a clean table and then a faulty one were handed in."""
+    place = X.scratch(spark)
+    clean = X.stored(X.obs_primary(spark, d).select("material_id", "period", "value"))
+    if not status.publish_gated(clean, quality.row_gate(), place) or status.publish_gated(clean.withColumn("value", -F.col("value")), quality.row_gate(), place):
+        raise RuntimeError("the gate let the wrong table through")
+    return status.published(spark, place)
+
+
 @query(X.sql("SELECT material_id, count(*) AS n_rows FROM faulty WHERE material_id NOT IN ('Brand#3', 'Brand#4', 'Brand#5') GROUP BY 1", *FAULT_PARTS))
 def dq_quarantine(spark: SparkSession, d: str) -> DataFrame:
     rows = _faulty(spark, d)
@@ -799,7 +837,7 @@ def _versioned(spark, d):
 @query(X.sql("SELECT version, material_id, period, value FROM versioned", X.FX1, VERSIONED))
 def version_as_of(spark: SparkSession, d: str) -> DataFrame:
     """Every version, looked up in the table of intervals that one pass over all of them made."""
-    rows = _versioned(spark, d)
+    rows = X.stored(_versioned(spark, d))
     history = intervals.intervals(rows)
     return intervals.numbered(rows).select("version").join(history, (F.col("valid_from") <= F.col("version")) & (F.col("valid_to").isNull() | (F.col("version") < F.col("valid_to")))).select("version", "material_id", "period", "value")
 
@@ -809,7 +847,7 @@ def version_as_of(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT version, material_id, period, value, coalesce(value, -1) AS val, CASE version WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 4 THEN 7 END AS next_version FROM versioned) WINDOW w AS (PARTITION BY material_id, period ORDER BY version))) GROUP BY 1, 2, run""", X.FX1, VERSIONED).replace("arg_max(value, version)", "nullif(max(val), -1)"))
 def version_intervals(spark: SparkSession, d: str) -> DataFrame:
     """The intervals, made of the first two versions and extended by the others one by one."""
-    rows = _versioned(spark, d)
+    rows = X.stored(_versioned(spark, d))
     out = intervals.intervals(rows.where("version <= 2"))
     for v in (4, 7):
         out = intervals.extended(out, rows.where(F.col("version") == v).select("material_id", "period", "value"), v)
@@ -819,7 +857,7 @@ def version_intervals(spark: SparkSession, d: str) -> DataFrame:
 def _refreshes(spark, d):
     """A log of observations: an earlier state, and two refreshes that insert, revise and remove months, so that the last
     is the primary source as it is."""
-    now = X.obs_primary(spark, d)
+    now = X.stored(X.obs_primary(spark, d))
     mi, mno = F.col("mi"), F.col("mno")
     at = lambda n: F.lit(f"2026-07-0{n} 00:00:00").cast("timestamp").alias("loaded_at")
     late, wrong, extra = (mno % 4 == 1) & (mi > 23985), (mno % 4 == 2) & (mi % 40 == 0), (mno % 5 == 3) & (mi % 50 == 7)

@@ -9,6 +9,7 @@ as they went, nulls and empty lists included.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,6 +182,15 @@ def _struct(fields: str) -> str:
     return ",".join(out)
 
 
+def publish(kind: Kind, entries: DataFrame, head: Callable[[DataFrame], DataFrame], generated_at: str, path: str, parts: int | None = None) -> str:
+    """Write entries as a run of documents with the head that `head` makes of them; gives the run's name. The entries
+    are made once: they are stored beside the documents as a typed table, from which head and documents are taken."""
+    place = f"{path}/{kind.name}_entries/{uuid.uuid4().hex}"
+    entries.write.parquet(place)
+    stored = entries.sparkSession.read.schema(entries.schema).parquet(place)
+    return write_run(kind, documents(kind, stored, head(stored), generated_at, parts), path)
+
+
 def write_run(kind: Kind, docs: DataFrame, path: str) -> str:
     """Write a run of documents below the folder `path`, one file each, then its manifest; gives the run's name.
 

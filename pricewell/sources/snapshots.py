@@ -139,7 +139,7 @@ class Log:
         """A new data folder with the rows, one part for each bucket that a task has rows of."""
         name = f"data/commit={uuid.uuid4().hex}"
         rows = rows if "removed" in rows.columns else rows.withColumn("removed", F.lit(False))
-        self._bucketed(rows).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self._bucketed(rows).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         return name
 
     def append(self, rows: DataFrame, stream: str | None = None, batch: int = 0) -> Snapshot:

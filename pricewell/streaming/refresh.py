@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.status import versions
+from ..sources.snapshots import Log
 
 OBSERVATIONS = "material_id string, period string, value double, loaded_at timestamp"
 
@@ -22,33 +22,34 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
     return spark.readStream.schema(OBSERVATIONS).json(landing)
 
 
+def log(spark: SparkSession, table: str) -> Log:
+    """The snapshots of the table in a folder."""
+    return Log(spark, table)
+
+
 def refresh(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Take what is new in a stream of OBSERVATIONS and upsert it into the parquet folder `table`.
+    """Take what is new in a stream of OBSERVATIONS and upsert it into the table in the folder `table`.
 
-    Each batch writes only its own rows, the last of each (material_id, period), as a version of its own;
-    current() merges the versions, so a batch costs no more than what it brings. A batch that is repeated
-    after a failure writes the same version again, and an incomplete one is not read.
+    Each batch appends its own rows, the last of each (material_id, period), as a snapshot, and the log merges its
+    folders when they are many. A batch that is repeated after a failure is in the log already and changes nothing.
     """
+    spark, name = stream.sparkSession, checkpoint.rstrip("/").rsplit("/", 1)[-1]
 
     def upsert(batch: DataFrame, number: int) -> None:
-        latest_version(batch).write.mode("overwrite").parquet(f"{table}/version={number:010d}")
+        log(spark, table).append(latest_version(batch), name, number)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The table as of its complete versions, or None if it has none."""
-    folders = list(versions(spark, table).values())
-    return latest_version(spark.read.schema(OBSERVATIONS).parquet(*folders)) if folders else None
-
-
-def compacted(spark: SparkSession, table: str, path: str) -> DataFrame | None:
-    """current(), written to the folder `path` as the first version of a table that later batches add to."""
-    rows = current(spark, table)
-    if rows is not None:
-        last = max(versions(spark, table))
-        rows.write.mode("overwrite").parquet(f"{path}/version={last:010d}")
-    return current(spark, path)
+    """The table as of its last snapshot, or None if it has none."""
+    return log(spark, table).read()
+
+
+def compacted(spark: SparkSession, table: str) -> DataFrame | None:
+    """current(), after its folders were merged in place."""
+    log(spark, table).compact()
+    return current(spark, table)
 
 
 def daily_event_values(events: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pricewell.operators import ingest, profile, report, shouldcost as C, status
+from pricewell.operators import ingest, profile, quality, report, shouldcost as C, status
 from pricewell.sources import csv_export, documents
 from pricewell.streaming import refresh
 
@@ -133,8 +133,11 @@ def test_status_and_versions(spark, tmp_path):
     out = str(tmp_path / "published")
     assert status.published(spark, out) is None
     assert status.publish(rows, bad.limit(0), out) and not status.publish(rows.limit(0), bad, out) and status.published(spark, out).count() == 1
-    (tmp_path / "published" / "version=0000000009-torn").mkdir()  # a job that died
+    (tmp_path / "published" / "data" / "commit=torn").mkdir()  # a job that died
     assert status.publish(rows.union(rows), bad.limit(0), out) and status.published(spark, out).count() == 2
+    wrong = rows.withColumn("value", F.lit(-1.0))
+    assert not status.publish_gated(rows.union(wrong), quality.row_gate(), out) and status.published(spark, out).count() == 2
+    assert status.publish_gated(rows, quality.row_gate(), out) and status.published(spark, out).count() == 1
 
 
 def test_refresh(spark, tmp_path):
@@ -148,8 +151,9 @@ def test_refresh(spark, tmp_path):
 
     assert land("1.json", ("a", "2024-01", 1.0, "2024-02-01T00:00:00"), ("a", "2024-02", 2.0, "2024-03-01T00:00:00")) == {("a", "2024-01"): 1.0, ("a", "2024-02"): 2.0}
     assert land("2.json", ("a", "2024-01", 1.5, "2024-04-01T00:00:00"), ("a", "2024-02", 9.0, "2024-01-01T00:00:00")) == {("a", "2024-01"): 1.5, ("a", "2024-02"): 2.0}
-    (tmp_path / "table" / "version=0000000007").mkdir()  # a batch that died
-    whole = refresh.compacted(spark, table, str(tmp_path / "compact"))
+    (tmp_path / "table" / "data" / "commit=torn").mkdir()  # a batch that died
+    whole = refresh.compacted(spark, table)
+    assert len(refresh.log(spark, table).last().folders) == 1
     assert {(r.material_id, r.period): r.value for r in whole.collect()} == {("a", "2024-01"): 1.5, ("a", "2024-02"): 2.0}
 
 
