@@ -97,6 +97,12 @@ def lean(run):
     return trimmed
 
 
+def place_names(columns: list[str]) -> list[str]:
+    """Names by place, for operators that keep all columns of a table: with these, columns of the table may have any
+    names, those that an operator uses itself and those with dots included; toDF() puts the names back."""
+    return [f"c{i}" for i in range(len(columns))]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import checkpointed, lean, shuffle_partitions, text_slices, whole_ids
+from .common import checkpointed, lean, place_names, shuffle_partitions, text_slices, whole_ids
 from .word_hash import PLACES, hashes, joined, mixed, words_of
 
 WORDS, PERCENT, ORDERS = 5, 75, 2
@@ -313,12 +313,16 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with one document of each component, that with the least id. Rows with a null id stay.
 
     Rows of one id are judged each by its own text: only those whose text is a copy go. Of a component's least
-    id all rows stay.
+    id all rows stay. Columns may have any names.
     """
-    found = judged(docs, words, percent, orders, id_col, text_col).where("component <> id")
-    gone = found.select(F.col("id").alias("_copied_id"), F.col("text_name").alias("_copied_text")).distinct()
-    mine = (F.col(id_col) == F.col("_copied_id")) & (text_name(text_col) == F.col("_copied_text"))
-    return docs.join(gone, mine, "left_anti").select(*docs.columns)
+    whole_ids(docs, id_col)
+    columns = place_names(docs.columns)
+    plain = docs.toDF(*columns)
+    key, text = columns[docs.columns.index(id_col)], columns[docs.columns.index(text_col)]
+    found = judged(plain, words, percent, orders, key, text).where("component <> id")
+    gone = found.select(F.col("id").alias("copied_id"), F.col("text_name").alias("copied_text")).distinct()
+    mine = (F.col(key) == F.col("copied_id")) & (text_name(text) == F.col("copied_text"))
+    return plain.join(gone, mine, "left_anti").toDF(*docs.columns)
 
 
 def text_name(text_col: str) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, text_slices
+from .common import lean, place_names, text_slices
 
 #: The kinds in their order. The first four are the base: their spans stay whatever the score.
 BASE = ("email", "ip", "card", "phone")
@@ -189,8 +189,8 @@ def redact(text: str | None) -> str | None:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with personal data in text_col masked; every row and column stays, null texts stay null."""
-
+    """docs with personal data in text_col masked; every row and column stays, null texts stay null. Columns may have
+    any names."""
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -198,4 +198,5 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([redact(x) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    plain = docs.toDF(*place_names(docs.columns))
+    return plain.mapInArrow(lean(run), plain.schema).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import checkpointed, lean, shuffle_partitions, text_slices, whole_ids
+from .common import checkpointed, lean, place_names, shuffle_partitions, text_slices, whole_ids
 from .word_hash import BYTE, STEP, joined, mixed
 
 LENGTH, FIRST = 50, 32
@@ -118,7 +118,7 @@ RANGE = np.dtype([("start", "<i4"), ("end", "<i4"), ("text", "<u4")])
 
 
 def with_repeats(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with _owner, _names, _ranges: by document the bytes of text_col (UTF-8) that lie in a string of
+    """docs, whose columns must not be named so, with _owner, _names, _ranges: by document the bytes of text_col (UTF-8) that lie in a string of
     `length` bytes that also starts in a document with a smaller id, as names of strings and packed ranges.
 
     Both joins take the same columns of docs, so that Spark shuffles the texts once."""
@@ -231,12 +231,14 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeated bytes cut from text_col; a character of which bytes are cut goes whole. Null texts stay null."""
-    columns = docs.columns
-    rows = with_repeats(docs, length, id_col, text_col).select(*columns, "_names", "_ranges")
+    """docs with the repeated bytes cut from text_col; a character of which bytes are cut goes whole. Null texts
+    stay null; other columns stay as they are, whatever their names."""
+    columns = place_names(docs.columns)
+    plain = docs.toDF(*columns)
+    id_at, at = docs.columns.index(id_col), docs.columns.index(text_col)
+    rows = with_repeats(plain, length, columns[id_at], columns[at]).select(*columns, "_names", "_ranges")
 
     def cut(batches):
-        at = columns.index(text_col)
         for b in text_slices(batches, at):
             texts = _bytes(b.column(at))
             spans = _spans(texts, b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist(), length)
@@ -244,4 +246,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             new = [None if z else _without(t, s).decode("utf-8", "ignore") for z, t, s in zip(null, texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns[: len(columns)])], names=columns)
 
-    return rows.mapInArrow(lean(cut), docs.schema)
+    return rows.mapInArrow(lean(cut), plain.schema).toDF(*docs.columns)

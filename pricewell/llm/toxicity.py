@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, text_slices
+from .common import checkpointed, lean, place_names, text_slices
 from .word_hash import hashes, joined, words_of
 
 #: Bounds of the sample that training may see: documents of either label, and characters in all.
@@ -22,7 +22,7 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 3000, 6000, 30_000_000
 DECISION = 0.3
 #: A cut may reject a share of the clean documents only to find that many times the share of the toxic ones.
 ALARM = 3
-WIDTHS, FILTERS, DIM, WORD_BITS, HEAD_BITS, HEAD_BYTES = (1, 2, 3), 8, 16, 16, 14, 5
+WIDTHS, FILTERS, DIM, WORD_BITS, HEAD_BITS, HEAD_BYTES = (1, 2, 3), 16, 16, 16, 14, 5
 #: Empty rows after each text: windows that begin in it, or just after it, meet no word of the next text.
 PAD = max(WIDTHS)
 INSIDE = np.zeros(256, bool)
@@ -248,18 +248,32 @@ def scored(docs: DataFrame, model: Model | None, keep: list[str] | None = None,
     score: 0 to 1, from the text alone. toxic: score at or over the threshold of the row's language, or
     DECISION for languages without one. Null and empty texts are scored as texts without words. Without a
     model every score is 0. Rows with null or repeated ids are scored each. Columns named score or toxic
-    in docs are replaced.
+    in docs are left out, so that these names are this operator's; others may have any names.
     """
-    keep = [c for c in (keep or docs.columns) if c not in ("score", "toxic")]
-    sent = [*keep, *[c for c in dict.fromkeys((text_col, lang_col)) if c not in keep]]  # each column once
-    at_text, at_lang = sent.index(text_col), sent.index(lang_col)
-    schema = docs.select(*keep).schema
+    at = [i for i, c in enumerate(docs.columns) if c not in ("score", "toxic") and (keep is None or c in keep)]
+    return _scored(docs, model, at, text_col, lang_col).toDF(*[docs.columns[i] for i in at], "score", "toxic")
+
+
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that scored() doesn't call toxic, with all columns as they are, whatever their names."""
+    found = _scored(docs, model, range(len(docs.columns)), text_col, lang_col)
+    return found.where("NOT toxic").drop("score", "toxic").toDF(*docs.columns)
+
+
+def _scored(docs: DataFrame, model: Model | None, keep, text_col: str, lang_col: str) -> DataFrame:
+    """The columns at the places `keep`, named by place, then score and toxic."""
+    names = place_names(docs.columns)
+    kept, text, lang = [names[i] for i in keep], *(names[docs.columns.index(c)] for c in (text_col, lang_col))
+    sent = [*kept, *[c for c in dict.fromkeys((text, lang)) if c not in kept]]  # each column once
+    at_text, at_lang = sent.index(text), sent.index(lang)
+    plain = docs.toDF(*names)
+    schema = plain.select(*kept).schema
 
     def run(batches):
         for b in text_slices(batches, at_text):
             texts, langs = b.column(at_text).to_pylist(), b.column(at_lang).to_pylist()
             s = model.scores(texts) if model else np.zeros(len(texts))
             cuts = np.array([model.thresholds.get(x, DECISION) if model else DECISION for x in langs])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array(s >= cuts, pa.bool_())], names=[*keep, "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(s, pa.float64()), pa.array(s >= cuts, pa.bool_())], names=[*kept, "score", "toxic"])
 
-    return docs.select(*sent).mapInArrow(lean(run), schema.add("score", "double").add("toxic", "boolean"))
+    return plain.select(*sent).mapInArrow(lean(run), schema.add("score", "double").add("toxic", "boolean"))

@@ -1,8 +1,8 @@
 """URL filters: host and path rules first, then association rules mined with FP-growth.
 
 The labelled URLs are the transactions: their items are URL tokens and the verdict. Labels come from a table,
-or else from the host and path rules themselves; then the tokens that define those rules are left out, so
-that what is mined does not restate the rules where they don't hold. Spark's FP-growth finds the frequent
+or else from the host and path rules themselves; then all that stands where those rules look is left out, and a
+mined rule must hold under several host suffixes, so that what is mined does not restate the rules where they don't hold. Spark's FP-growth finds the frequent
 item sets; rules `tokens -> verdict` that reach the support and confidence wanted, and that no shorter rule
 of equal confidence covers, judge the other URLs through an inverted index from token to rules.
 """
@@ -61,13 +61,38 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_distinct(parts), F.array().cast("array<string>"))
 
 
-def defining_tokens(rules) -> list[str]:
-    """The tokens that tell whether a host and path rule fits: its host's labels and suffix, its path's segments."""
-    out = set()
-    for _, host, path in rules:
-        labels = host.split(".")
-        out |= {f"suffix:{labels[-1]}", *(f"host:{x}" for x in labels), *(f"path:{x}" for x in path.split("/") if x)}
-    return sorted(out)
+def untested(host: Column, path: Column, rules) -> tuple[Column, Column]:
+    """(host, path) without what host and path rules look at: as many labels at the end of the host, and segments at the
+    start of the path, as the longest rule has. Not only a rule's own words go: where one rule tests `/de/`, `/es/` in
+    its place tells no more than which rules could not fit."""
+    labels = max([len([x for x in h.split(".") if x]) for _, h, _ in rules], default=0)
+    segments = max([len([x for x in p.split("/") if x]) for _, _, p in rules], default=0)
+    parts, places = F.split(host, r"\."), F.split(path, "/")
+    kept = F.when(F.size(parts) > labels, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - labels, F.lit(0))), ".")).otherwise("")
+    return kept, F.array_join(F.slice(places, segments + 2, F.greatest(F.size(places), F.lit(0))), "/")
+
+
+def free_tokens(url: Column, host: Column, path: Column, rules) -> Column:
+    """tokens_of() less all that stands where the rules look."""
+    labels, rest = untested(host, path, rules)
+    return F.filter(tokens_of(url, labels, rest), lambda t: ~t.startswith("suffix:"))
+
+
+def widespread(rules: list[tuple], labelled: DataFrame, least: int) -> list[tuple]:
+    """The rules whose tokens occur together under at least so many suffixes. labelled: (tokens, suffix). A rule that one
+    suffix alone supports has learnt that suffix, not its tokens."""
+    if not rules or least < 2:
+        return rules
+
+    @F.pandas_udf("array<int>")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        all_ = holding(rules)
+        for tokens in batches:
+            yield tokens.map(all_)
+
+    seen = labelled.where("suffix IS NOT NULL").select("suffix", F.explode(held("tokens")).alias("k")).distinct()
+    kept = {r.k for r in seen.groupBy("k").count().where(F.col("count") >= least).collect()}  # at most one row a rule
+    return [r for k, r in enumerate(rules) if k in kept]
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> list[tuple]:
@@ -108,8 +133,8 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     return [(tuple(r.tokens), r.verdict, r.confidence, r.support) for r in found]
 
 
-def matcher(rules: list[tuple]):
-    """A function from a URL's tokens to the verdict of the best rule that holds, or None.
+def holding(rules: list[tuple]):
+    """A function from a URL's tokens to the numbers of the rules that hold.
 
     Inverted index: each rule stands under its rarest token, so that few are tried.
     """
@@ -118,36 +143,50 @@ def matcher(rules: list[tuple]):
         for t in tokens:
             uses[t] += 1
     index = defaultdict(list)
-    for k, (tokens, verdict, confidence, support) in enumerate(rules):
-        index[min(tokens, key=lambda t: (uses[t], t))].append(((-confidence, -support, -len(tokens), k), frozenset(tokens), verdict))
+    for k, (tokens, *_) in enumerate(rules):
+        index[min(tokens, key=lambda t: (uses[t], t))].append((k, frozenset(tokens)))
 
-    def judge(tokens):
+    def hold(tokens) -> list[int]:
         have = set(tokens)
-        fits = [(key, verdict) for t in have for key, need, verdict in index.get(t, ()) if need <= have]
-        return min(fits)[1] if fits else None
+        return [k for t in have for k, need in index.get(t, ()) if need <= have]
+
+    return hold
+
+
+def matcher(rules: list[tuple]):
+    """A function from a URL's tokens to the verdict of the best rule that holds, or None: that of the greatest
+    confidence, then support, then number of tokens, then the first."""
+    hold = holding(rules)
+    rank = [(-confidence, -support, -len(tokens), k) for k, (tokens, _, confidence, support) in enumerate(rules)]
+
+    def judge(tokens):
+        fits = hold(tokens)
+        return rules[min(fits, key=rank.__getitem__)][1] if fits else None
 
     return judge
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES, labels: DataFrame | None = None) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES, labels: DataFrame | None = None, min_suffixes: int = 2) -> DataFrame:
     """One row per page: id, host, path, rule (null where none fits), verdict, mined (true if a mined rule decided).
 
     labels: (url, verdict) of URLs to learn from, with any verdicts. Without it the URLs that `rules` judge are
-    learnt from, less the tokens that define those rules. A null url, or one without `://`, has an empty host
+    learnt from, less all that stands where those rules look (free_tokens()), and a mined rule must hold under
+    min_suffixes host suffixes at least. A null url, or one without `://`, has an empty host
     and path and no tokens, and gets the default. With no rules, no labelled URL, or no token combination of
     the support and confidence wanted, nothing is mined. Rules of more than max_tokens tokens are not used;
     more than max_rules others are an error. Ids may be null or repeat; other columns are not read.
     """
     url = F.col(url_col)
     page = pages.select(F.col(id_col), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    page = page.select("*", _ruled(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]).alias("rule"), _ruled(F.col("host"), F.col("path"), rules, lambda r: r[0]).alias("ruled"), tokens_of(F.col("_url"), F.col("host"), F.col("path")).alias("tokens"))
+    tokens = free_tokens(F.col("_url"), F.col("host"), F.col("path"), rules) if labels is None else tokens_of(F.col("_url"), F.col("host"), F.col("path"))
+    page = page.select("*", _ruled(F.col("host"), F.col("path"), rules, lambda r: r[1] + r[2]).alias("rule"), _ruled(F.col("host"), F.col("path"), rules, lambda r: r[0]).alias("ruled"), tokens.alias("tokens"))
     if labels is None:
-        taken = F.array(*[F.lit(t) for t in defining_tokens(rules)]).cast("array<string>")
-        labelled = page.where("ruled IS NOT NULL").select(F.array_except("tokens", taken).alias("tokens"), F.col("ruled").alias("verdict"))
+        suffix = F.element_at(F.split("host", r"\."), -1)
+        labelled = page.where("ruled IS NOT NULL").select("tokens", F.col("ruled").alias("verdict"), suffix.alias("suffix"))
+        found = widespread(mined_rules(labelled.select("tokens", "verdict"), min_support, min_confidence, max_tokens, max_rules), labelled, min_suffixes)
     else:
         at = F.col("url")
-        labelled = labels.select(tokens_of(at, host_of(at), path_of(at)).alias("tokens"), "verdict")
-    found = mined_rules(labelled, min_support, min_confidence, max_tokens, max_rules)
+        found = mined_rules(labels.select(tokens_of(at, host_of(at), path_of(at)).alias("tokens"), "verdict"), min_support, min_confidence, max_tokens, max_rules)
 
     @F.pandas_udf("string")
     def mined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

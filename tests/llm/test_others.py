@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tempfile
 import zlib
 from collections import Counter
 
@@ -361,7 +362,16 @@ def test_url_rules_and_mining(spark, sf_dir):
     assert U.url_verdicts(pages.limit(0)).count() == 0 and {r.verdict for r in U.url_verdicts(pages.where("url IS NULL")).collect()} == {"allow"}
 
 
-def brute_mined(labelled, min_support, min_confidence, max_tokens=U.MAX_TOKENS):
+def free_tokens(url, host, path):
+    """Tokens that the rules don't look at: they test two labels at the end of the host and one segment of the path."""
+    segments = [x for x in path.split("/")[2:] if x and not re.match(r"[0-9]+(\.|$)", x)]
+    out = [("host:", x) for x in host.split(".")[:-2]] + [("path:", x) for x in segments] + [("key:", x) for x in re.findall(r"[?&]([^=&#]+)=", url or "")]
+    out += [("scheme:", m[1]) for m in [re.match(r"([A-Za-z][A-Za-z0-9+.-]{0,20})://", url or "")] if m]
+    out += [("ending:", m[1]) for m in [re.search(r"\.([A-Za-z0-9]{1,8})$", "/".join(path.split("/")[2:]))] if m]
+    return sorted({a + b for a, b in out})
+
+
+def brute_mined(labelled, min_support, min_confidence, max_tokens=U.MAX_TOKENS, of=lambda c: True):
     """A function from tokens to the verdicts that the best rules that hold give, by counting all combinations."""
     seen, with_verdict = Counter(), Counter()
     for tokens, verdict in labelled:
@@ -374,7 +384,7 @@ def brute_mined(labelled, min_support, min_confidence, max_tokens=U.MAX_TOKENS):
     kept = {(c, v): x for (c, v), x in rules.items() if not any((s, v) in rules and rules[s, v][0] >= x[0] for s in subsets(c))}
 
     def judge(tokens):
-        keys = [((-x[0], -x[1], -len(c)), v) for (c, v), x in kept.items() if set(c) <= set(tokens)]
+        keys = [((-x[0], -x[1], -len(c)), v) for (c, v), x in kept.items() if set(c) <= set(tokens) and of(c)]
         return {v for k, v in keys if k == min(keys)[0]}
 
     return judge
@@ -407,9 +417,10 @@ def test_mined_verdicts_equal_counting(spark):
 def test_registered_url_query_equals_counting(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     out = {r.page_id: r for r in queries.op9_url_filters(spark, sf_dir).collect()}
-    tokens, taken = tokens_by_url(spark, [r.url for r in rows]), set(U.defining_tokens(U.RULES))
     judged = {r.page_id: brute_rule(r.url) for r in rows}
-    judge = brute_mined([([t for t in tokens[r.url] if t not in taken], judged[r.page_id][3]) for r in rows if judged[r.page_id][3]], U.MIN_SUPPORT, U.MIN_CONFIDENCE)
+    tokens = {r.url: free_tokens(r.url, *judged[r.page_id][:2]) for r in rows}
+    labelled = [(tokens[r.url], judged[r.page_id][3], judged[r.page_id][0].split(".")[-1]) for r in rows if judged[r.page_id][3]]
+    judge = brute_mined([x[:2] for x in labelled], U.MIN_SUPPORT, U.MIN_CONFIDENCE, of=lambda c: len({s for t, _, s in labelled if set(c) <= set(t)}) > 1)
     for r in rows:
         host, path, rule, ruled = judged[r.page_id]
         found = judge(tokens[r.url])
@@ -417,6 +428,29 @@ def test_registered_url_query_equals_counting(spark, sf_dir):
         assert out[r.page_id].verdict in ({ruled} if ruled else found or {"allow"})
 
 
+def test_rules_that_one_suffix_supports_are_none(spark):
+    """Spanish pages and the names of hosts that only ever met the block of one suffix are no reason to block."""
+    urls = [f"http://{'abc'[i % 3]}.example.net/es/{i}" for i in range(60)] + [f"http://x.example.org/fr/{i}" for i in range(30)]
+    urls += [f"http://spam.y.{'net' if i % 2 else 'example.com'}/de/win/{i}?bet={i}" for i in range(30)]
+    asked = ["http://a.other.com/es/1", "http://q.other.com/es/1", "http://spam.other.com/fr/win/2?bet=1", "http://spam.other.com/fr/x"]
+    pages = spark.createDataFrame(list(enumerate(urls + asked)), "page_id int, url string")
+    out = {r.url: (r.verdict, r.mined) for r in U.url_verdicts(pages).join(pages, "page_id").collect()}
+    assert [out[u] for u in asked] == [("allow", False), ("allow", False), ("block", True), ("block", True)]
+    assert out["http://a.example.net/es/0"] == ("block", False)
+
+
+def test_combinations_decide_where_no_token_does(spark):
+    """With labels of their own: two tokens block together, each alone is not sure enough; a third allows again."""
+    site = lambda *parts: "http://h.info/" + "/".join(parts) + "/9"
+    labels = [(site("free"), "allow")] * 20 + [(site("bets"), "allow")] * 20 + [(site("free", "bets"), "block")] * 60 + [(site("free", "bets", "news"), "allow")] * 10
+    rules = U.mined_rules(spark.createDataFrame(labels, "url string, verdict string").select(U.tokens_of(F.col("url"), U.host_of(F.col("url")), U.path_of(F.col("url"))).alias("tokens"), "verdict"), min_confidence=0.8)
+    assert {(set(t) & {"path:bets", "path:free"} == {"path:bets", "path:free"}) for t, v, *_ in rules if v == "block"} == {True}
+    asked = [site("bets", "free"), site("free"), site("news", "free", "bets"), site("other")]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id int, url string")
+    out = {r.page_id: r.verdict for r in U.url_verdicts(pages, labels=spark.createDataFrame(labels, "url string, verdict string"), min_confidence=0.8).collect()}
+    assert out == {0: "block", 1: "allow", 2: "allow", 3: "allow"}
+
+
 def test_mined_rules_equal_counting(spark):
     rows = [(["a", "b", "c"], "block")] * 8 + [(["a", "c"], "allow")] * 5 + [(["b"], "block")] * 4 + [(["d"], None)]
     table = spark.createDataFrame(rows, "tokens array<string>, verdict string")
@@ -475,6 +509,35 @@ def firsts_of_groups(rows):
     return [r for r, m in zip(rows, least, strict=True) if r[0] is None or m == r[0]]
 
 
+def test_columns_of_any_name_stay_as_they_are(spark, sf_dir):
+    """Names that the operators use themselves, names of scores, and names with dots, through every stage and run()."""
+    import corpus_pipeline as P
+    from pricewell.llm.ngram_join import first_of_each
+    from pricewell.llm.suffix_dedup import without_repeats
+
+    odd = ["_owner", "_names", "_ranges", "_taken", "_open", "_copied_id", "_copied_text", "copied_id", "score", "toxic", "a.b", "c0", "c1", "bucket", "rep"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = docs.columns
+    wide = docs.select("*", *[(F.col("doc_id") * 10 + i).alias(c) for i, c in enumerate(odd)])
+    model = X.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    before = wide
+    stages = {"toxic": lambda d: X.without_toxic(d, model), "near": first_of_each, "repeats": without_repeats, "pii": pii.redacted}
+    for name, stage in stages.items():
+        got, without = stage(before), stage(before.select(*plain))
+        assert got.columns == before.columns, name
+        rows = spark.createDataFrame(got.toPandas(), before.schema)
+        assert sorted(map(str, rows.select(*plain).collect())) == sorted(map(str, without.collect())), name
+        assert all(r[len(plain) + i] == r.doc_id * 10 + i for r in rows.collect() for i in range(len(odd))), name
+        before = rows
+    told = X.scored(wide, model)
+    assert told.columns == [*[c for c in wide.columns if c not in ("score", "toxic")], "score", "toxic"] and told.schema["score"].dataType.typeName() == "double"
+    place = tempfile.mkdtemp(dir="/tmp", prefix="spark-")
+    wide.write.parquet(f"{place}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{place}/labels.parquet")
+    key = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
+    assert key(P.run(spark, place)) == key(P.run(spark, sf_dir))
+
+
 def test_pipeline_run_equals_brute_force(spark, tmp_path):
     import base64
 
