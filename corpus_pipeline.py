@@ -12,18 +12,20 @@ from pricewell.llm.packing import packed
 from pricewell.llm.pii import redacted
 from pricewell.llm.queries import held_out
 from pricewell.llm.suffix_dedup import without_repeats
-from pricewell.llm.toxicity import fit, scored
+from pricewell.llm.toxicity import fit, without_toxic
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
-    """n_chars of the text as it is now."""
+    """n_chars, where documents have it, of the text as it is now."""
+    if "n_chars" not in docs.columns:
+        return docs
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold of their language."""
     model = fit(docs, load(spark, sf_dir, "labels").where(~held_out()))
-    return scored(docs, model).where("NOT toxic").select(*docs.columns)
+    return without_toxic(docs, model)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
