@@ -27,6 +27,8 @@ PACKED = "bucket int, kind int, n int, a binary, b binary, owner binary, owners
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), *[(x, pa.binary()) for x in ("a", "b", "owner", "owners")]])
 #: Names that a task sorts at once, about: 24 bytes each, and their copies while they are sorted.
 NAMES_IN_BUCKET = 1_500_000
+#: Names of a bucket that a task holds before it settles those of many owners.
+HELD = 2 * NAMES_IN_BUCKET
 #: Buckets have a partition each up to so many.
 MOST_PARTITIONS = 10_000
 #: Replies on their way: those of many owners in a row. to: where the owners' replies meet; sizes in bytes.
@@ -236,27 +238,63 @@ def _passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([own.column(k) for k in (0, 6, 4, 5, 3)], schema=_SENT)
 
 
-def _kept(batches, out):
-    """Replies of the tasks pass through; names wait in `out` until the bucket is complete."""
+def _collected(batches: Iterator[pa.RecordBatch], shrink):
+    """The names of a bucket by kind: {kind: (a, b, owner)}. Replies of the tasks pass through.
+
+    A name that many tasks have a few owners of, too few in each to be hot there, comes here with all of them. So
+    whenever HELD names have come, those that can be settled are: shrink() gives their replies, and what must stay
+    of them, which is a few rows a name. A bucket thus holds its different names, not all their owners.
+    """
+    waiting: list[pa.RecordBatch] = []
+    held: dict[int, tuple] = {}
+    n, most = 0, HELD
+
+    def take_in():
+        for kind in (NAMES, HOT_NAMES):
+            new = _read(waiting, kind)
+            if new[0] is not None:
+                held[kind] = tuple(None if x is None else np.concatenate([x, y]) for x, y in zip(held[kind], new, strict=True)) if kind in held else new
+
     for batch in batches:
         yield from _passed_on(batch)
-        out.append(batch.filter(pc.not_equal(batch.column(1), REPLY)))
+        own = batch.filter(pc.not_equal(batch.column(1), REPLY))
+        waiting.append(own)
+        n += int(pc.sum(own.column(2)).as_py() or 0)
+        if n >= most:
+            take_in()
+            for kind in held:
+                rows, held[kind] = shrink(*held[kind])
+                yield from rows
+            n = sum(len(x[0]) for x in held.values())
+            most = max(HELD, 2 * n)
+    take_in()
+    return held
+
+
+def _later(a, b, owner) -> tuple[tuple, np.ndarray]:
+    """Sorted (a, b, owner), and which rows have an owner before them."""
+    order = np.lexsort((owner, b, a))
+    a, b, owner = a[order], b[order], owner[order]
+    full = _starts(a, b)
+    return (a, b, owner), owner > np.repeat(owner[full], np.diff(np.append(full, len(a))))
 
 
 def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int, with_open: bool = True) -> Iterator[pa.RecordBatch]:
     """Sort a bucket's (a, b) by owner. taken: names that an owner before has too. open: names that the owner
     is the first to have, while another owner has a name of the same a and another b. Names whose a has one
-    owner, or one b, are settled with that."""
-    waiting: list[pa.RecordBatch] = []
-    yield from _kept(batches, waiting)
-    for kind in (NAMES, HOT_NAMES):
-        a, b, owner = _read(waiting, kind)
-        if a is None:
-            continue
-        order = np.lexsort((owner, b, a))
-        a, b, owner = a[order], b[order], owner[order]
-        full = _starts(a, b)
-        later = owner > np.repeat(owner[full], np.diff(np.append(full, len(a))))
+    owner, or one b, are settled with that; so are those of an a whose first owners are all one, since all others
+    of its names are taken."""
+
+    def shrink(a, b, owner):
+        (a, b, owner), later = _later(a, b, owner)
+        told = replies(owner[later], both_names(a[later], b[later], width), np.zeros(int(later.sum()), bool), buckets)
+        first = np.zeros(len(a), bool)
+        first[_starts(a, b)] = True
+        return told, (a[first], b[first], owner[first])
+
+    held = yield from _collected(batches, shrink)
+    for kind in sorted(held):
+        (a, b, owner), later = _later(*held.pop(kind))
         heads = _starts(a)
         size = np.diff(np.append(heads, len(a)))
         two = lambda x: np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
@@ -272,21 +310,29 @@ def rank_taken(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> I
 
 def count_owners(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """open: the names that at least two owners have, with the number of owners, HOT standing for that and more."""
-    waiting: list[pa.RecordBatch] = []
-    yield from _kept(batches, waiting)
-    a, _, owner = _read(waiting, NAMES)
-    if a is None:
-        return
-    order = np.lexsort((owner, a))
-    a, owner = a[order], owner[order]
-    first = _starts(a, owner)
-    a, owner = a[first], owner[first]
-    heads = _starts(a)
-    size = np.diff(np.append(heads, len(a)))
-    count = np.where(owner[heads] == NOBODY, HOT, np.minimum(size, HOT))
-    count = np.repeat(count, size).astype(np.uint16)
-    keep = count > 1
-    yield from replies(owner[keep], counted_names(a[keep], count[keep]), np.ones(int(keep.sum()), bool), buckets)
+
+    def counted(a, owner):
+        order = np.lexsort((owner, a))
+        a, owner = a[order], owner[order]
+        first = _starts(a, owner)
+        a, owner = a[first], owner[first]
+        heads = _starts(a)
+        size = np.diff(np.append(heads, len(a)))
+        return a, owner, heads, np.repeat(np.where(owner[heads] == NOBODY, HOT, np.minimum(size, HOT)), size).astype(np.uint16)
+
+    told = lambda a, owner, count: replies(owner, counted_names(a, count), np.ones(len(a), bool), buckets)
+
+    def shrink(a, _, owner):
+        a, owner, heads, count = counted(a, owner)
+        hot = count == HOT
+        marks = a[heads[hot[heads]]]
+        return told(a[hot], owner[hot], count[hot]), (np.concatenate([a[~hot], marks]), None, np.concatenate([owner[~hot], np.full(len(marks), NOBODY)]))
+
+    held = yield from _collected(batches, shrink)
+    if NAMES in held:
+        a, owner, _, count = counted(*held.pop(NAMES)[::2])
+        keep = count > 1
+        yield from told(a[keep], owner[keep], count[keep])
 
 
 def one_by_one(rank):

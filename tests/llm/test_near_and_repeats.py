@@ -226,3 +226,52 @@ def test_links_at_the_threshold_of_long_texts():
     assert ngram_join._links(*args, size + 1, sets, [sets, sets], 75) == []
     # no link without a token in common under each order, whatever the sets hold
     assert ngram_join._links(*args, size, sets, [sets, (np.array([1, 2]), np.array([1, 1]))], 75) == []
+
+
+def _told(rank, packed, buckets):
+    """(owner, open) -> sorted replies of a bucket's rank()."""
+    out = {}
+    for r in exchange.gathered(rank(iter(packed), 7, buckets)):
+        for x in r.to_pylist():
+            for flag in ("taken", "open"):
+                out[x["owner"], flag] = x[flag]
+    return out
+
+
+def test_names_of_few_owners_in_each_of_many_flushes_stay_bounded(monkeypatch):
+    """A name with 100 owners in each of 60 flushes is hot in none of them; a bucket must not hold all 6,000."""
+    rng, flushes = np.random.default_rng(3), []
+    for with_b in (False, True):
+        packed = []
+        for k in range(60):
+            out = exchange.Flushed(1, 7, with_b)
+            a = np.concatenate([np.full(100, 5), rng.integers(10, 1 << 40, 20)]).astype(np.uint64)
+            b = np.concatenate([np.arange(100) % 3, rng.integers(0, 9, 20)]).astype(np.uint64)
+            owner = np.concatenate([np.arange(100) + 100 * k, rng.integers(0, 6000, 20)])
+            packed += [*out.add(a, b, owner.astype(np.int64)), *out.flush()]
+        flushes.append(packed)
+    for packed, ranks in zip(flushes, ((exchange.count_owners,), (exchange.rank_first, exchange.rank_taken)), strict=True):
+        for rank in ranks:
+            monkeypatch.setattr(exchange, "HELD", 1 << 40)
+            want = _told(rank, packed, 1)
+            sizes = []
+            read = exchange._joined
+            monkeypatch.setattr(exchange, "HELD", 1500)
+            monkeypatch.setattr(exchange, "_joined", lambda arrays: sizes.append(sum(map(len, arrays))) or read(arrays))
+            got = _told(rank, packed, 1)
+            monkeypatch.setattr(exchange, "_joined", read)
+            size = exchange.COUNTED.itemsize if rank is exchange.count_owners else 8
+            split = lambda x, size=size: sorted(x[i : i + size] for i in range(0, len(x), size))
+            assert {k: split(v) for k, v in got.items() if v} == {k: split(v) for k, v in want.items() if v}
+            assert max(sizes) <= 2 * 1200 + 120  # twice the other names, and the flush that passed the bound
+
+
+@pytest.mark.parametrize("held", [1, 500])
+def test_settling_on_the_way_finds_the_same(spark, sf_dir, monkeypatch, held):
+    monkeypatch.setattr(exchange, "HELD", held)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 4000")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == brute_components(rows)
+    got = {r.doc_id: bytes(r.kept) for r in deduplicated(docs).collect()}
+    monkeypatch.undo()
+    assert got == {r.doc_id: bytes(r.kept) for r in deduplicated(docs).collect()}
