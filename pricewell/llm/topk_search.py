@@ -6,6 +6,11 @@ it; equal shares of a pivot's vectors in order of distance form its annuli, and
 chunks. A query starts with the annuli around its own distance, which gives it a k-th score to beat, and
 then goes to those annuli only that the triangle inequality does not exclude.
 
+How much that excludes depends on the vectors. In tight clusters it is nearly all of them; where all have about one
+length and no near neighbours, as random directions in many dimensions have, distances to any pivot are nearly
+equal, the triangle inequality says little, and all annuli are visited: the answer stays exact, the work is that of
+comparing all. visited_share() tells which it is.
+
 Vectors and queries of a chunk meet by one shuffle on (annulus, chunk), sorted so that a task reads a chunk's
 vectors first and then its queries in batches: neither is collected into a row, and nothing that grows with
 the table is broadcast.
@@ -92,6 +97,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     that many vectors, and a query with a repeated id is answered once, by its smallest vector. No vectors or
     no queries: no rows. Other columns are not read.
     """
+    return _searched(vectors, queries, k, scale, id_col, vec_col, pivots, annuli, chunk_numbers)[0]
+
+
+def visited_share(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", pivots: tuple[int, int] = PIVOTS, annuli: tuple[int, int] = ANNULI, chunk_numbers: tuple[int, int] = CHUNK_NUMBERS) -> float | None:
+    """The share of the vectors that stand in annuli which the bounds don't exclude, on average over the queries: what
+    the index saves is the rest. Null without vectors or queries."""
+    return _searched(vectors, queries, k, scale, id_col, vec_col, pivots, annuli, chunk_numbers)[1]()
+
+
+def _searched(vectors, queries, k, scale, id_col, vec_col, pivots, annuli, chunk_numbers):
     spark = vectors.sparkSession
     whole_ids(vectors, id_col)
     whole_ids(queries, id_col)
@@ -101,7 +116,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     stats = table.unionByName(asked).agg(F.max(F.size("v")), F.max(length)).first()
     n = table.count()
     if not n or stats[0] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long"), lambda: None
     width, longest = max(1, stats[0]), stats[1] * (1 + 1e-9) + 1
     parts = shuffle_partitions(spark)
     per_chunk = max(1, _between(n * width // (2 * parts), chunk_numbers) // width)
@@ -192,7 +207,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     start = scored(asked.withColumn("floor", F.lit(None).cast("long")).repartition(parts, "id").mapInArrow(first, asking))
     kth = _best(start, k).groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     floors = checkpointed(asked.join(kth, "id", "left").select("id", "v", "floor"))
-    return _best(scored(floors.repartition(parts, "id").mapInArrow(rest, asking)), k).select("query_id", "rank", "vec_id", "score")
+
+    def counted(batches):
+        for batch in batches:
+            for b in _slices(batch, len(ring_id) + n_pivots):
+                _, most = bounds(_matrix(b.column(1), width))
+                seen = (most >= _floors(b.column(2)).astype(np.float64)[:, None]) @ size
+                yield pa.record_batch([pa.array(seen / n, pa.float64())], names=["share"])
+
+    found = _best(scored(floors.repartition(parts, "id").mapInArrow(rest, asking)), k).select("query_id", "rank", "vec_id", "score")
+    return found, lambda: floors.mapInArrow(counted, "share double").agg(F.avg("share")).first()[0]
 
 
 def _slices(b: pa.RecordBatch, cells: int) -> list[pa.RecordBatch]:

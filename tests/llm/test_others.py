@@ -298,6 +298,26 @@ def test_search_equals_brute_force(spark, shape):
         assert got == brute_top(rows, {i for i, _ in rows if i % 20 == 0})
 
 
+def test_search_visits_near_annuli_only(spark, sf_dir):
+    """In clusters the index excludes most vectors; in directions at random, as the given ones are, it can't."""
+    rng = np.random.default_rng(5)
+    v = np.repeat(rng.standard_normal((40, 8)), 50, 0) + 0.02 * rng.standard_normal((2000, 8))
+    v *= 4 / np.linalg.norm(v, axis=1)[:, None]  # inner products are nearness only at one length
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 20 = 0")
+    options = {"pivots": (64, 64), "annuli": (8, 8)}
+    assert K.visited_share(frame, asked, **options) < 1 / 3
+    q = np.floor(64 * v)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in K.search(frame, asked, **options).collect()}
+    for i in range(0, 2000, 20):
+        score = (q[i] * q).sum(1)
+        best = [k for k in np.lexsort((np.arange(2000), -score)) if k != i][:20]
+        assert [got[i, r + 1] for r in range(20)] == [(k, int(score[k])) for k in best]
+    given = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    assert K.visited_share(given, given.where("vec_id % 20 = 0")) > 0.9
+    assert K.visited_share(given.limit(0), given) is None
+
+
 def test_search_repeated_and_text_ids(spark):
     table = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (3, [1.0]), (3, [1.0]), (4, [-1.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in K.search(table, table.where("vec_id = 20")).orderBy("rank").collect()]
