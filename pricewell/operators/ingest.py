@@ -45,6 +45,34 @@ def api_observations(rows: DataFrame) -> DataFrame:
     return out.where("bad_date OR value IS NOT NULL")
 
 
+def api_payloads(rows: DataFrame) -> DataFrame:
+    """(series_id, pos, period, value, problem) of raw payloads (series_id, payload), whatever JSON they hold.
+
+    problem: `no list` (pos null) where the payload is no JSON object with a list of observations; `no object` for an
+    item that is none, which is skipped; `bad date` for one whose date is no day in text, whether it has a value or
+    not; `no value` for one whose value is missing, of another type than text or number, or not a positive finite
+    number. Rows without a problem have both period and value. An empty list gives no rows.
+    """
+    payload = F.try_parse_json("payload")
+    items = F.try_variant_get(payload, "$.observations", "array<variant>")
+    each = rows.select("series_id", F.posexplode_outer(F.coalesce(items, F.array(F.parse_json(F.lit("null"))))).alias("pos", "item"), items.isNull().alias("none"))
+    each = each.where("item IS NOT NULL OR none")  # of an empty list nothing is left
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("item", path, "variant"))
+    text = lambda path: F.try_variant_get("item", path, "string")
+    is_object = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    number = F.when(kind("$.value") == "STRING", comparison_number(text("$.value"))).when(kind("$.value").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get("item", "$.value", "double"))
+    found = each.select(
+        "series_id",
+        F.when(~F.col("none"), F.col("pos")).alias("pos"),
+        F.when(is_object & (kind("$.date") == "STRING"), date_period(text("$.date"))).alias("period"),
+        F.when(is_object & finite(number) & (number > 0), number).alias("value"),
+        "none",
+        is_object.alias("is_object"),
+    )
+    problem = F.when(F.col("none"), "no list").when(~F.col("is_object"), "no object").when(F.col("period").isNull(), "bad date").when(F.col("value").isNull(), "no value")
+    return found.select("series_id", "pos", "period", "value", problem.alias("problem"))
+
+
 def series_metadata(rows: DataFrame) -> DataFrame:
     """One row for each wanted series with `problem` null if its metadata is in order.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import compare, incremental, ingest, intervals, profile, quality, report, series, shouldcost, signals, status
+from ..operators import compare, incremental, ingest, intervals, profile, quality, report, rules, series, shouldcost, signals, status
 from ..sources import csv_export, documents, nested, snapshots
 from ..streaming import gates, refresh
 from . import fixtures as X
@@ -244,6 +244,29 @@ def signal_cards(spark: SparkSession, d: str) -> DataFrame:
     return signals.cards(_latest(spark, d)).select("material_id", "period_text", "position", "signal_group", "value_text", "c1_text", "c3_text", "c6_text", "c12_text")
 
 
+#: A group of materials with limits of its own.
+CALM = signals.Thresholds(reversal=1.5, flat_3=1.0, flat_6=2.0, strong_down_3=-4.0, down_3=-1.0, down_6=-2.0, strong_up_3=4.0, up_3=1.0, up_6=2.0)
+
+
+def _trend_sql(t: signals.Thresholds) -> str:
+    return f"""CASE WHEN c1 >= {t.reversal} AND c3 <= -{t.reversal} THEN 'DOWNTREND_REBOUND' WHEN c1 <= -{t.reversal} AND c3 >= {t.reversal} THEN 'UPTREND_PULLBACK' WHEN c1 < 0 AND c3 < 0 AND c6 < 0 THEN 'BROAD_DOWNTREND'
+    WHEN c1 > 0 AND c3 > 0 AND c6 > 0 THEN 'BROAD_UPTREND' WHEN abs(c3) < {t.flat_3} AND abs(c6) < {t.flat_6} THEN 'RANGE_BOUND' ELSE 'MIXED' END"""
+
+
+def _signal_sql(t: signals.Thresholds) -> str:
+    return f"""CASE WHEN c3 <= {t.strong_down_3} OR (c3 <= {t.down_3} AND c6 <= {t.down_6}) THEN 'NEGOTIATE_REDUCTION' WHEN c3 <= {t.down_3} OR (c6 <= {t.down_6} AND vs_avg12 < 0) THEN 'CHALLENGE_INCREASE'
+    WHEN c3 >= {t.strong_up_3} OR (c3 >= {t.up_3} AND c6 >= {t.up_6}) THEN 'VERIFY_STRONG_INCREASE' WHEN c3 >= {t.up_3} OR c6 >= {t.up_6} THEN 'VERIFY_INCREASE' ELSE 'MONITOR_AND_HOLD' END"""
+
+
+@query(X.sql(f"""SELECT material_id, period, CASE WHEN mno % 3 = 0 THEN {_trend_sql(CALM)} ELSE {_trend_sql(signals.Thresholds())} END AS trend, CASE WHEN mno % 3 = 0 THEN {_signal_sql(CALM)} ELSE {_signal_sql(signals.Thresholds())} END AS signal FROM signals""", *SIGNAL_PARTS))
+def rule_table_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Trends and signals by tables of rules, with a set of its own for one group of materials."""
+    rows = _history(spark, d).drop("trend", "signal").withColumn("group", F.when(F.col("mno") % 3 == 0, "calm").otherwise("default"))
+    table = lambda f: rules.rule_table(spark, default=f(), calm=f(CALM))
+    rows = rules.decided(rows, table(rules.trend_rules), rules.SIGNAL_MEASURES, "trend", "group")
+    return rules.decided(rows, table(rules.signal_rules), rules.SIGNAL_MEASURES, "signal", "group").select("material_id", "period", "trend", "signal")
+
+
 # two sources
 
 
@@ -326,6 +349,19 @@ def quote_verdict(spark: SparkSession, d: str) -> DataFrame:
     return _reviewed(spark, d).select(*X.QUOTE_KEYS, "verdict", "tone", shouldcost.gap_text().alias("gap_text"), F.array_join(shouldcost.verdict_evidence(), "; ").alias("evidence"))
 
 
+STRICT = shouldcost.CostRules(match=0.25, evidence=1.0, challenge=2.0)
+
+
+@query(X.sql(f"""SELECT {KEYS}, CASE WHEN l_linenumber % 2 = 0 AND verdict <> 'INVALID' THEN CASE WHEN estimate < -0.25 AND supplier_ask >= 0 THEN 'REQUEST_REDUCTION' WHEN estimate < -0.25 AND supplier_ask < 0 AND gap > 0.25 THEN 'REQUEST_DEEPER_REDUCTION'
+  WHEN mat_impact < -0.25 AND supplier_ask > 0 AND gap > 0.25 THEN 'CHALLENGE_INCREASE' WHEN gap >= 2 THEN 'HIGH_CHALLENGE' WHEN gap >= 1 THEN 'REQUEST_EVIDENCE' WHEN gap > 0.25 THEN 'CLARIFY_SMALL_GAP' WHEN abs(gap) <= 0.25 THEN 'CONDITIONAL_REVIEW' ELSE 'SUPPLIER_BELOW_MODEL' END ELSE verdict END AS verdict FROM reviewed""", *REVIEW_PARTS))
+def rule_table_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts by tables of rules, stricter ones for every second line."""
+    rows = shouldcost.estimates(X.quotes(spark, d))
+    rows = rows.withColumns({"invalid": shouldcost.invalid_reason().isNotNull().cast("int"), "strictness": F.when(F.col("l_linenumber") % 2 == 0, "strict").otherwise("default")})
+    table = rules.rule_table(spark, default=rules.verdict_rules(), strict=rules.verdict_rules(STRICT))
+    return rules.decided(rows, table, rules.VERDICT_MEASURES, "verdict", "strictness").select(*X.QUOTE_KEYS, "verdict")
+
+
 @query(X.sql(f"""SELECT {KEYS}, 'estimate = ' || {" || ' + ' || ".join(f"'(' || {_fixed(c + '_ratio', 2)} || '% x ' || {_fixed(c + '_rate', 2)} || '%)'" for c in shouldcost.COMPONENTS)} || ' = ' || {_fixed("estimate", 2)} || '%; new price = ' || {_fixed("price", 2)}
   || ' x (1 + ' || {_fixed("estimate / 100", 4)} || ') = ' || {_fixed("new_price", 2)} || '; base ratios = ' || {" || ' + ' || ".join(f"{_fixed(c + '_ratio', 2)} || '%'" for c in shouldcost.BASE)} || ' = ' || {_fixed("base_ratio_sum", 1)} || '%' AS formula FROM reviewed""", *REVIEW_PARTS))
 def quote_formula(spark: SparkSession, d: str) -> DataFrame:
@@ -763,6 +799,25 @@ def api_observations(spark: SparkSession, d: str) -> DataFrame:
     return ingest.api_observations(items.select("series_id", F.when(F.col("o") != "null", F.from_json("o", "date string, value string")).alias("item")))
 
 
+@query(X.sql("""SELECT material_id AS series_id, CASE WHEN mno % 12 <> 11 THEN CAST(k AS INTEGER) END AS pos, CASE WHEN good_date THEN period END AS period, CASE WHEN shape = 0 AND v IN (0, 1, 2) THEN value END AS value,
+  CASE WHEN mno % 12 = 11 THEN 'no list' WHEN shape > 0 THEN 'no object' WHEN NOT good_date THEN 'bad date' WHEN v > 2 THEN 'no value' END AS problem
+  FROM (SELECT *, shape = 0 AND mi % 25 <> 0 AND mi % 29 <> 0 AS good_date FROM (SELECT *, CASE mi % 37 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS shape, (mi + mno) % 11 AS v, row_number() OVER (PARTITION BY material_id ORDER BY mi) - 1 AS k FROM obs_primary))
+  WHERE mno % 12 <> 11 OR k = 0""", X.FX1).replace("WHEN good_date THEN period", "WHEN good_date AND mno % 12 <> 11 THEN period").replace("WHEN shape = 0 AND v IN", "WHEN mno % 12 <> 11 AND shape = 0 AND v IN"))
+def api_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Raw payloads in which some items are texts, numbers, lists or null, some dates are bad or no texts, some values
+    are numbers, flags, lists or missing, and some series have no list at all."""
+    p, mi, v = X.obs_primary(spark, d), F.col("mi"), (F.col("mi") + F.col("mno")) % 11
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    date = F.when(mi % 25 == 0, quoted(F.concat(F.lit("x"), "period"))).when(mi % 29 == 0, "20240101").otherwise(quoted(F.concat(F.lit(" "), "period", F.lit("-31"))))
+    number = F.col("value").cast("string")
+    value = F.when(v == 0, number).when(v == 1, quoted(number)).when(v == 2, quoted(F.concat(F.lit(" "), number))).when(v == 3, "true").when(v == 4, "null").when(v == 5, '"."').when(v == 6, "[1]").when(v == 7, "-2").when(v == 8, '"1 000"').when(v == 9, '{"a": 1}').otherwise('"0"')
+    item = F.when(mi % 37 == 0, quoted(F.lit("text"))).when(mi % 37 == 1, "7.5").when(mi % 37 == 2, "[1, 2]").when(mi % 37 == 3, "null").otherwise(F.concat(F.lit('{"date": '), date, F.lit(', "value": '), value, F.lit("}")))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mi", item.alias("j")))), lambda x: x["j"]), ", ")
+    whole = F.when(F.col("mno") % 24 == 11, F.lit("no JSON")).when(F.col("mno") % 24 == 23, F.lit('{"observations": {"date": 1}}')).otherwise(F.concat(F.lit('{"observations": ['), listed, F.lit("]}")))
+    payload = p.groupBy("material_id", "mno").agg(whole.alias("payload"))
+    return ingest.api_payloads(payload.select(F.col("material_id").alias("series_id"), "payload"))
+
+
 @query("SELECT page_id, coalesce(regexp_matches(url, '^https://') AND lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) IN ('tionsh.example.net', 'm.ththth.example.org'), false) AS allowed FROM pages")
 def url_allowlist(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "pages").select("page_id", documents.allowed_url(F.col("url"), ["tionsh.example.net", "m.ththth.example.org"]).alias("allowed"))
