@@ -15,6 +15,15 @@ COMPARISON_MISSING = ("", ".", "..", "...", "na", "n/a", "null")
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value made once and `use` kept out of the code that Spark generates for the whole stage.
+
+    The JVM does not compile methods of over 8,000 bytes, and a stage with many texts becomes one; what stands in a
+    lambda is evaluated node by node instead, each by a method that is compiled.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def normalize_text(x: Column) -> Column:
     """Null to '', each run of white space to one space, no space at the ends."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "), "^ | $", "")

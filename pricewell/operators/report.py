@@ -101,7 +101,13 @@ def _cells() -> Column:
     add("purchase", "target_rate", number("target_rate"), "%")
     add("purchase", "note", text("note"))
     add("policy", "automatic decision", F.lit("no"), "a material's rise is not the product's")
-    return F.array(*[F.struct(F.lit(s).alias("section"), F.lit(f).alias("field"), v.alias("value"), u.alias("unit"), F.lit(f in FREE_TEXT).alias("free")) for s, f, v, u in rows])
+    # what is the same for all quotes stands in arrays of constants beside the values, and one lambda makes the rows
+    listed = lambda k, kind: F.array(*[F.lit(r[k]) for r in rows]).cast(f"array<{kind}>")
+    sections, fields, free = listed(0, "string"), listed(1, "string"), F.array(*[F.lit(r[1] in FREE_TEXT) for r in rows])
+    units = F.array(*[r[3] for r in rows])
+    values = F.array(*[r[2] for r in rows])
+    row = lambda v, i: F.struct(F.get(sections, i).alias("section"), F.get(fields, i).alias("field"), v["value"].alias("value"), v["unit"].alias("unit"), F.get(free, i).alias("free"))
+    return F.transform(F.arrays_zip(values.alias("value"), units.alias("unit")), row)
 
 
 def report_long(reviews: DataFrame, *keys: str, places: int = 6) -> DataFrame:

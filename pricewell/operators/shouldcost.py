@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import carried_rate, finite, fixed, signed, strict_number, trimmed
+from ..functions.scalars import carried_rate, finite, fixed, let, signed, strict_number, trimmed
 
 COMPONENTS = ("mat", "fx", "proc", "energy", "other")
 #: Components whose shares add up to the product; currency exposure cuts across them.
@@ -79,22 +79,18 @@ def estimates(quotes: DataFrame) -> DataFrame:
     return q.select("*", (price * (1 + F.col("estimate") / 100)).alias("new_price"), (price * (1 + F.col("supplier_ask") / 100)).alias("requested_price"), (price * F.col("gap") / 100).alias("unexplained"))
 
 
-def invalid_reason() -> Column:
-    """The first reason that holds, over the columns of estimates(); null for a valid quote.
-
-    Each column is mentioned once for a test, so that the expression stays small when Spark puts the formulas
-    of estimates() in their places.
-    """
+def invalid_reason(of=F.col) -> Column:
+    """The first reason that holds, over the columns of estimates(); null for a valid quote. of: gives a column by name."""
     any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
     results = ("estimate", "gap", "new_price", "requested_price", "unexplained")
     return (
-        F.when(any_of(~finite(F.col(c)) for c in NUMBERS), "not_numeric")
-        .when(F.col("price") < 0, "negative_price")
-        .when(any_of((F.col(c) < 0) | (F.col(c) > 100) for c in RATIOS), "ratio_out_of_range")
-        .when(any_of(F.col(c) < -100 for c in (*RATES, "supplier_ask")), "rate_below_minus_100")
-        .when(F.col("base_ratio_sum") > 100, "base_ratios_over_100")
-        .when(any_of(~finite(F.col(c)) for c in results), "result_not_finite")
-        .when((F.col("new_price") < 0) | (F.col("requested_price") < 0), "negative_result_price")
+        F.when(any_of(~finite(of(c)) for c in NUMBERS), "not_numeric")
+        .when(of("price") < 0, "negative_price")
+        .when(any_of((of(c) < 0) | (of(c) > 100) for c in RATIOS), "ratio_out_of_range")
+        .when(any_of(of(c) < -100 for c in (*RATES, "supplier_ask")), "rate_below_minus_100")
+        .when(of("base_ratio_sum") > 100, "base_ratios_over_100")
+        .when(any_of(~finite(of(c)) for c in results), "result_not_finite")
+        .when((of("new_price") < 0) | (of("requested_price") < 0), "negative_result_price")
     )
 
 
@@ -117,8 +113,8 @@ def valid_target_field(x: Column) -> Column:
     return (text == "") | (finite(number) & F.coalesce(number >= -100, F.lit(False)))
 
 
-def verdict(rules: CostRules = CostRules()) -> Column:
-    est, ask, gap, mat = (F.col(c) for c in ("estimate", "supplier_ask", "gap", "mat_impact"))
+def verdict(rules: CostRules = CostRules(), of=F.col) -> Column:
+    est, ask, gap, mat = (of(c) for c in ("estimate", "supplier_ask", "gap", "mat_impact"))
     m, e, h = rules.match, rules.evidence, rules.challenge
     return (
         F.when((est < -m) & (ask >= 0), "REQUEST_REDUCTION")
@@ -132,46 +128,82 @@ def verdict(rules: CostRules = CostRules()) -> Column:
     )
 
 
-def tone(rules: CostRules = CostRules()) -> Column:
-    """Over verdict and invalid_reason; null for invalid quotes. One look-up, so that the verdict is mentioned once."""
-    names = F.create_map(*[F.lit(x) for pair in TONES.items() for x in pair])
-    by_gap = F.when(F.col("gap") >= rules.challenge, "high").otherwise("medium")
-    return F.when(F.col("invalid_reason").isNull(), F.coalesce(F.try_element_at(names, F.col("verdict")), by_gap))
+def tone(code: Column, gap: Column, rules: CostRules = CostRules()) -> Column:
+    """The tone of a verdict other than INVALID."""
+    by_gap = F.when(gap >= rules.challenge, "high").otherwise("medium")
+    out = by_gap
+    for name in sorted(set(TONES.values())):
+        out = F.when(code.isin(*[k for k, v in TONES.items() if v == name]), name).otherwise(out)
+    return out
+
+
+def judgement(rules: CostRules = CostRules()) -> Column:
+    """A struct of invalid_reason, verdict (INVALID where a reason holds) and tone (null then).
+
+    It works the estimates out again from the numbers of the quote: a filter on it, which Spark moves below the
+    projection of estimates(), would else take their formulas along, each as often as it is mentioned.
+    """
+
+    def judged(q: Column) -> Column:
+        impact = lambda c: q[f"{c}_ratio"] * q[f"{c}_rate"] / 100
+        sums = F.struct(impact("mat").alias("mat_impact"), _sum(map(impact, COMPONENTS)).alias("estimate"), _sum(q[f"{c}_ratio"] for c in BASE).alias("base_ratio_sum"))
+        return let(sums, lambda e: let(q["supplier_ask"] - e["estimate"], lambda gap: coded(q, e, gap)))
+
+    def coded(q: Column, e: Column, gap: Column) -> Column:
+        price = q["price"]
+        made = {"mat_impact": e["mat_impact"], "estimate": e["estimate"], "base_ratio_sum": e["base_ratio_sum"], "gap": gap}
+        made |= {"new_price": price * (1 + e["estimate"] / 100), "requested_price": price * (1 + q["supplier_ask"] / 100), "unexplained": price * gap / 100}
+        of = lambda name: made[name] if name in made else q[name]
+        reasoned = F.struct(invalid_reason(of).alias("reason"), verdict(rules, of).alias("code"))
+        return let(reasoned, lambda r: F.struct(r["reason"].alias("invalid_reason"), F.when(r["reason"].isNull(), r["code"]).otherwise("INVALID").alias("verdict"), F.when(r["reason"].isNull(), tone(r["code"], gap, rules)).alias("tone")))
+
+    return let(F.struct(*NUMBERS), judged)
 
 
 def gap_text() -> Column:
-    gap = F.col("gap")
-    side = F.when(F.abs(gap) < 0.005, "equals").when(gap > 0, "above").otherwise("below")
-    return F.when(side == "equals", "0.00 points (supplier equals the model)").otherwise(F.concat(signed(gap, 2), F.lit(" points (supplier "), side, F.lit(" the model)")))
+    def text(gap: Column) -> Column:
+        side = F.when(gap > 0, "above").otherwise("below")
+        return F.when(F.abs(gap) < 0.005, "0.00 points (supplier equals the model)").otherwise(F.concat(signed(gap, 2), F.lit(" points (supplier "), side, F.lit(" the model)")))
+
+    return let(F.col("gap"), text)
 
 
 def formula_text() -> Column:
     """The estimate, the new price and the sum of the base ratios as sums with their figures put in."""
-    two = lambda c: fixed(F.col(c), 2)
-    term = lambda c: F.concat(F.lit("("), two(f"{c}_ratio"), F.lit("% x "), two(f"{c}_rate"), F.lit("%)"))
-    base = F.concat_ws(" + ", *[F.concat(two(f"{c}_ratio"), F.lit("%")) for c in BASE])
-    return F.concat(
-        *[F.lit("estimate = "), F.concat_ws(" + ", *map(term, COMPONENTS)), F.lit(" = "), two("estimate"), F.lit("%; new price = "), two("price"), F.lit(" x (1 + "), fixed(F.col("estimate") / 100, 4)],
-        *[F.lit(") = "), two("new_price"), F.lit("; base ratios = "), base, F.lit(" = "), fixed(F.col("base_ratio_sum"), 1), F.lit("%")],
-    )
+    two = (*[f"{c}_{x}" for c in COMPONENTS for x in ("ratio", "rate")], "estimate", "price", "new_price")
+
+    def text(t: Column) -> Column:
+        of = lambda c: F.get(t, two.index(c))
+        term = lambda c: F.concat(F.lit("("), of(f"{c}_ratio"), F.lit("% x "), of(f"{c}_rate"), F.lit("%)"))
+        base = F.concat_ws(" + ", *[F.concat(of(f"{c}_ratio"), F.lit("%")) for c in BASE])
+        return F.concat(
+            *[F.lit("estimate = "), F.concat_ws(" + ", *map(term, COMPONENTS)), F.lit(" = "), of("estimate"), F.lit("%; new price = "), of("price"), F.lit(" x (1 + "), F.get(t, len(two))],
+            *[F.lit(") = "), of("new_price"), F.lit("; base ratios = "), base, F.lit(" = "), F.get(t, len(two) + 1), F.lit("%")],
+        )
+
+    numbers = F.transform(F.array(*[F.col(c).cast("double") for c in two]), lambda x: fixed(x, 2))
+    more = [let(F.col("estimate") / 100, lambda x: fixed(x, 4)), let(F.col("base_ratio_sum"), lambda x: fixed(x, 1))]
+    return let(F.concat(numbers, F.array(*more)), text)
 
 
 def verdict_evidence() -> Column:
     """Three lines of figures for any verdict."""
-    x = lambda c: signed(F.col(c), 2)
-    model = F.concat(F.lit("model "), x("estimate"), F.lit("%, supplier "), x("supplier_ask"), F.lit("%"))
-    parts = F.concat(F.lit("material explains "), x("mat_impact"), F.lit(" points, other inputs "), x("other_inputs"))
-    return F.array(model, F.concat(F.lit("gap "), x("gap"), F.lit(" points")), parts)
+    names = ("estimate", "supplier_ask", "gap", "mat_impact", "other_inputs")
+
+    def lines(t: Column) -> Column:
+        x = lambda c: F.get(t, names.index(c))
+        model = F.concat(F.lit("model "), x("estimate"), F.lit("%, supplier "), x("supplier_ask"), F.lit("%"))
+        parts = F.concat(F.lit("material explains "), x("mat_impact"), F.lit(" points, other inputs "), x("other_inputs"))
+        return F.array(model, F.concat(F.lit("gap "), x("gap"), F.lit(" points")), parts)
+
+    return let(F.transform(F.array(*[F.col(c).cast("double") for c in names]), lambda x: signed(x, 2)), lines)
 
 
 def reviewed(quotes: DataFrame, rules: CostRules = CostRules()) -> DataFrame:
     """Quotes with estimates, invalid_reason, verdict (INVALID where a reason holds) and tone. No shuffle."""
     if rules.problems():
         raise ValueError("; ".join(rules.problems()))
-    q = estimates(quotes)
-    q = q.select("*", invalid_reason().alias("invalid_reason"))
-    q = q.select("*", F.when(F.col("invalid_reason").isNotNull(), "INVALID").otherwise(verdict(rules)).alias("verdict"))
-    return q.select("*", tone(rules).alias("tone"))
+    return estimates(quotes).select("*", judgement(rules).alias("_judged")).select("*", "_judged.*").drop("_judged")
 
 
 def with_carried_rate(quotes: DataFrame, signals: DataFrame, window: str = "c6", edited: Column | None = None) -> DataFrame:
@@ -198,6 +230,8 @@ def verdict_rollup(reviews: DataFrame, *by: str) -> DataFrame:
     The quotes are added up by all of `by` once; the cube is then taken over those sums.
     """
     exact = lambda c: F.sum(F.col(c).cast("decimal(28,6)"))
-    cells = reviews.where("invalid_reason IS NULL").groupBy(*by).agg(F.count("*").alias("_n"), exact("unexplained").alias("_money"), exact("gap").alias("_gap"))
+    valid = F.col("invalid_reason").isNull()  # within the sums: as a filter it would be worked out once more, before them
+    cells = reviews.select(*by, valid.alias("_valid"), *[F.when(valid, F.col(c)).alias(c) for c in ("unexplained", "gap")])
+    cells = cells.groupBy(*by).agg(F.count_if("_valid").alias("_n"), exact("unexplained").alias("_money"), exact("gap").alias("_gap")).where("_n > 0")
     gap = F.sum("_gap").cast("double") / F.sum("_n")
     return cells.cube(*by).agg(F.sum("_n").alias("n"), F.round(F.sum("_money").cast("double"), 2).alias("unexplained"), gap.alias("mean_gap"))
