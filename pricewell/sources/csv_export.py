@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import csv_number, csv_text
+from ..functions.scalars import csv_number, csv_text, filename_part
 
 PRICE_HEADER = ("material", "name", "period", "value", "mode", "currency", "unit", "source_unit", "source", "demo_data", "frequency", "dataset_latest", "synced_at")
 COMPARE_HEADER = ("material", "name", "period", "primary_value", "comparison_value", "diff", "diff_pct", "primary_unit", "comparison_unit", "comparison_series", "primary_source", "comparison_source", "automatic_fallback")
@@ -73,3 +73,23 @@ def write_lines(lines: DataFrame, names, path: str, order: list[str], line_end:
     body = lines.select(F.lit(1).alias("_k"), *order, "line")
     top = lines.sparkSession.range(1).select(F.lit(0).alias("_k"), *[F.lit(None).cast(body.schema[c].dataType).alias(c) for c in order], F.lit(header(names)).alias("line"))
     top.unionByName(body).coalesce(1).sortWithinPartitions("_k", *order).select("line").write.mode("overwrite").option("lineSep", line_end).text(path)
+
+
+def report_labels(product: Column, *keys: Column) -> Column:
+    """A file label for each report: its product as a file name, and its keys, which tell equal products apart."""
+    return F.concat_ws("-", filename_part(product, "report"), *[filename_part(k.cast("string"), "none") for k in keys])
+
+
+def write_reports(reports: DataFrame, path: str, label: str = "label", cells: str = "cells") -> None:
+    """Write each report of a table (label, cells) as one CSV file in a folder `report=<label>`, with the mark at its
+    start and `\r\n` after each line. Tasks write theirs side by side, one file at a time; labels must be unique."""
+    text = F.concat(F.lit(MARK), report_text(F.col(cells)))
+    reports.select(F.col(label).alias("report"), text.alias("value")).write.mode("overwrite").partitionBy("report").option("lineSep", "\r\n").text(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(report, pos, section, field, value, unit) of the files of write_reports(), as texts, guards included."""
+    files = spark.read.schema("value string, report string").text(path, wholetext=True)
+    lines = F.split(F.regexp_replace(F.rtrim("value", F.lit("\r\n")), f"^{MARK}", ""), "\r\n(?=\"(?:document|case|market|result|cost|verdict|supplier|purchase|policy)\",)")
+    rows = files.select("report", F.posexplode(lines).alias("pos", "line"))
+    return rows.select("report", "pos", F.from_csv("line", F.lit("section string, field string, value string, unit string"), {"escape": '"', "multiLine": "true"}).alias("r")).select("report", "pos", "r.*")

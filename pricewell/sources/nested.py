@@ -205,7 +205,7 @@ def write_run(kind: Kind, docs: DataFrame, path: str) -> str:
 
 
 def _texts(spark: SparkSession, place: str) -> DataFrame:
-    return spark.read.schema("value string, part int").option("wholetext", True).text(place).withColumn("value", F.rtrim("value", F.lit("\n")))
+    return spark.read.schema("value string, part int").text(place, wholetext=True).withColumn("value", F.rtrim("value", F.lit("\n")))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
