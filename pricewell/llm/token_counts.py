@@ -2,7 +2,7 @@
 
 `PrefixCounts` keeps, for each stretch of text between two places that no token crosses, the exact
 token count of every prefix. The count of any prefix of a document is then a sum of whole stretches
-plus one table entry, so truncation and budget questions need no second encoding.
+plus one stored count, so truncation and budget questions need no second encoding.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tokenizer_path
+from .common import text_slices, tokenizer_path
 from .prefix_bpe import PrefixBpe
 
 MODEL = "piece_bpe_32k.model"
@@ -26,7 +26,7 @@ TOTAL = itemgetter(-1)
 
 
 class PrefixCounts(dict):
-    """stretch -> for each of its prefixes the length of the last token, and then the stretch's token count.
+    """stretch -> for each of its prefixes the length of its last token, and then for each its token count.
 
     At most `cap` stretches are kept, so a worker's memory is bounded; others are computed anew.
     """
@@ -45,14 +45,13 @@ class PrefixCounts(dict):
 
     def __missing__(self, s: str):
         known = next((x for k in range(1, 7) if len(s) > k and (x := self.get(s[:-k])) is not None), None)
-        last = self.bpe.last_lengths(s, known and [0, *known[:-1]])
-        count = self._counts(s, last)[-1]
-        if len(s) < 100 and count < 256:
-            out = bytes((*last[1:], count))
+        last = self.bpe.last_lengths(s, known and [0, *known[: len(known) // 2]])
+        both = (*last[1:], *self._counts(s, last)[1:])
+        if len(s) < 100 and both[-1] < 256:  # counts ascend
+            both = bytes(both)
             if len(self) < self.cap:
-                self[s] = out
-            return out
-        return (*last[1:], count)
+                self[s] = both
+        return both
 
     def _counts(self, s: str, last: list[int]) -> list[int]:
         ranks, count = self.bpe.ranks, [0]
@@ -64,7 +63,7 @@ class PrefixCounts(dict):
 
     def counts(self, s: str) -> list[int]:
         """counts[i]: tokens of the first i + 1 characters of the stretch."""
-        return self._counts(s, [0, *self[s][:-1]])[1:]
+        return list(self[s][len(s) :])
 
     def stretches(self, text: str) -> list[str]:
         """The model puts one space mark before a text that isn't empty."""
@@ -116,7 +115,7 @@ def token_counts(docs: DataFrame, budget: int = 4096, model_path: str | None = N
 
     def run(batches):
         table = shared_table(path)
-        for b in batches:
+        for b in text_slices(batches, 1):
             texts = [x or "" for x in b.column(1).to_pylist()]
             n = [table.count(x) for x in texts]
             fit = [len(x) if c <= budget else table.longest_prefix(x, budget) for x, c in zip(texts, n, strict=True)]
@@ -135,7 +134,7 @@ def truncated(docs: DataFrame, budget: int = 4096, model_path: str | None = None
 
     def run(batches):
         table = shared_table(path)
-        for b in batches:
+        for b in text_slices(batches, at):
             cut = [x if x is None else x[: table.longest_prefix(x, budget)] for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
