@@ -3,12 +3,15 @@
 In a byte-pair vocabulary a token sequence is the encoding of its text exactly when each token is what
 its own symbols merge to and each neighbouring pair stays apart when merged. So every prefix of a text
 has one valid last token, and that of prefix i follows from those of the shorter prefixes in at most
-`longest` look-ups: time is linear in the text, however long a word is.
+`longest` look-ups: time is linear in the text, however long a word is. An automaton that knows the longest
+end of what is read with which a token can begin names the tokens that end at each place.
 """
 
 from __future__ import annotations
 
 NEVER = float("inf")
+#: Bits of a token's number: vocabulary and code points together are fewer.
+SHIFT = 24
 
 
 class PrefixBpe:
@@ -21,14 +24,14 @@ class PrefixBpe:
     def __init__(self, ranks: dict, memo: int = 1_000_000):
         self.ranks, self.memo = ranks, memo
         self.longest = max(map(len, ranks), default=1)
-        #: last two symbols -> lengths of the tokens that end so, longest first
-        self.ends: dict = {}
-        for t in ranks:
-            if len(t) > 1:
-                self.ends.setdefault(t[-2:], set()).add(len(t))
-        self.ends = {k: (*sorted(v, reverse=True), 1) for k, v in self.ends.items()}
+        #: what tokens begin with, the tokens themselves included
+        self.starts = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
+        self.steps_to: dict = {}
         self.made: dict = {}
-        self.apart: dict = {}
+        #: token -> its number, also of symbols outside ranks once they are met: at most one for each code point more
+        self.number = {t: k for k, t in enumerate(ranks)}
+        #: numbers of two tokens, as one -> whether they stay apart
+        self.apart: dict[int, bool] = {}
 
     def merged(self, s) -> list:
         return self._merge(s)[0]
@@ -61,12 +64,17 @@ class PrefixBpe:
         Both tokens' merges run in order of rank, the left one first when equal, and the parts that
         meet at the border are tried against them.
         """
-        if (ok := self.apart.get((a, b))) is None:
+        key = self._number(a) << SHIFT | self._number(b)
+        if (ok := self.apart.get(key)) is None:
             ok = self._apart(a, b)
             if len(self.apart) < self.memo:
-                self.apart[a, b] = ok
+                self.apart[key] = ok
         return ok
 
+    def _number(self, t) -> int:
+        """Of a token, or of a symbol outside ranks."""
+        return self.number.setdefault(t, len(self.number))
+
     def _apart(self, a, b) -> bool:
         left, right = self.steps(a), self.steps(b)
         if left is None or right is None:
@@ -95,24 +103,45 @@ class PrefixBpe:
 
     def extend(self, s, last: list[int], end: int) -> None:
         """Append to `last`, which has the values for a prefix of s, those up to s[:end]."""
-        ranks, ends, apart = self.ranks, self.ends, self.apart
-        for i in range(len(last), end + 1):
-            for n in ends.get(s[i - 2 : i], (1,)) if i > 1 else (1,):
+        steps_to, apart, first = self.steps_to, self.apart, len(last)
+        base = max(0, first - self.longest)
+        at = [-1] * (first - base)  # from base on, the number of each prefix's last token; those given, once needed
+        state = self._longest_start(s[base : first - 1])
+        for i in range(first, end + 1):
+            key = state + s[i - 1 : i]
+            state, found = steps_to.get(key) or self._step(key)
+            for n, b in found:
                 j = i - n
-                if j < 0 or n > 1 and (t := s[j:i]) not in ranks:
-                    continue
-                if n == 1:
-                    t = s[j:i]
                 if j:
-                    p = s[j - last[j] : j]
-                    ok = apart.get((p, t))
-                    if ok or ok is None and self.follows(p, t):
+                    if (a := at[j - base]) < 0:
+                        a = at[j - base] = self._number(s[j - last[j] : j])
+                    ok = apart.get(a << SHIFT | b)
+                    if ok or ok is None and self.follows(s[j - last[j] : j], s[j:i]):
                         break
-                elif self.whole(t):
+                elif self.whole(s[:i]):
                     break
             else:
                 raise ValueError(f"no token ends at {i}")
             last.append(n)
+            at.append(b)
+
+    def _longest_start(self, s):
+        """The longest end of s that is the beginning of a token."""
+        starts = self.starts
+        while s and s not in starts:
+            s = s[1:]
+        return s
+
+    def _step(self, key) -> tuple:
+        """(longest end of key that begins a token, (length, number) of each token that key ends with, longest first).
+
+        key is such an end of what stands before a symbol, and the symbol: no longer token can end with it.
+        """
+        ends = [key[k:] for k in range(len(key) - 1)]
+        out = self._longest_start(key), (*((len(e), self.number[e]) for e in ends if e in self.ranks), (1, self._number(key[-1:])))
+        if len(self.steps_to) < self.memo // 4:
+            self.steps_to[key] = out
+        return out
 
     @staticmethod
     def tokens(s, last: list[int], end: int | None = None) -> list:

@@ -44,25 +44,25 @@ class PrefixCounts(dict):
         self.bpe, self.cap = PrefixBpe(ranks), cap
 
     def __missing__(self, s: str):
-        known = next((x for k in range(1, 7) if len(s) > k and (x := self.get(s[:-k])) is not None), b"")
-        half = len(known) // 2
-        last = self.bpe.last_lengths(s, [0, *known[:half]])
-        both = (*last[1:], *self._counts(s, last, [0, *known[half:]])[1:])
-        if len(s) < 100 and both[-1] < 256:  # counts ascend
+        n, last, count = len(s), [0], [0]
+        for k in range(n - 1, max(0, n - 7), -1):  # goes on from a prefix of it that is known
+            if (known := self.get(s[:k])) is not None:
+                last += known[:k]
+                count += known[k:]
+                break
+        self.bpe.extend(s, last, n)
+        ranks = self.bpe.ranks
+        for i in range(len(count), n + 1):
+            m = last[i]
+            # a character without a piece becomes its UTF-8 bytes
+            count.append(count[i - m] + (1 if m > 1 or s[i - 1] in ranks else len(s[i - 1].encode("utf-8", "surrogatepass"))))
+        both = last[1:] + count[1:]
+        if n < 100 and both[-1] < 256:  # counts ascend
             both = bytes(both)
             if len(self) < self.cap:
                 self[s] = both
         return both
 
-    def _counts(self, s: str, last: list[int], count: list[int]) -> list[int]:
-        """count, which holds those of the shorter prefixes, with the rest appended."""
-        ranks = self.bpe.ranks
-        for i in range(len(count), len(s) + 1):
-            n = last[i]
-            # a character without a piece becomes its UTF-8 bytes
-            count.append(count[i - n] + (1 if n > 1 or s[i - 1] in ranks else len(s[i - 1].encode("utf-8", "surrogatepass"))))
-        return count
-
     def counts(self, s: str) -> list[int]:
         """counts[i]: tokens of the first i + 1 characters of the stretch."""
         return list(self[s][len(s) :])
