@@ -77,7 +77,8 @@ def text_slices(batches, column: int = 0, most: int = 600_000) -> Iterator[pa.Re
             i = j
 
 
-def _trim() -> None:
+def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
@@ -92,7 +93,7 @@ def lean(run):
         try:
             yield from run(batches, *args, **more)
         finally:
-            _trim()
+            trim()
 
     return trimmed
 

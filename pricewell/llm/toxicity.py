@@ -11,10 +11,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lean, place_names, text_slices
+from .common import checkpointed, lean, place_names, text_slices, trim
 from .word_hash import hashes, joined, words_of
 
 #: Bounds of the sample that training may see: documents of either label, and characters in all.
@@ -68,10 +69,13 @@ class Model:
             out.append(np.maximum.reduceat(y, np.stack([heads[:-1], heads[1:] - PAD + 1], 1).ravel())[::2])
         return np.maximum(np.hstack(out) + self.bias, 0)
 
-    def logits(self, texts: list[str | None], most: int = 150_000) -> np.ndarray:
-        word, head, heads = features(texts)
-        out, i = [], 0
-        while i < len(texts):  # some texts at a time, so that memory stays small
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        return self.logits_of(*features(texts))
+
+    def logits_of(self, word: np.ndarray, head: np.ndarray, heads: np.ndarray, most: int = 150_000) -> np.ndarray:
+        """The same from the features of the texts, or of some that lie together among those of others."""
+        out, i, n = [], 0, len(heads) - 1
+        while i < n:  # some texts at a time, so that memory stays small
             j = max(i + 1, int(np.searchsorted(heads, heads[i] + most, "right")) - 1)
             a, b = heads[i], heads[j]
             out.append(self.pooled(np.append(word[a:b], [0] * PAD), np.append(head[a:b], [0] * PAD), heads[i : j + 1] - a) @ self.out[:-1] + self.out[-1])
@@ -214,24 +218,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([b.column(0), b.column(2), b.column(3), cut(word), cut(head)], names=["id", "lang", "label", "word", "head"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    sample = texts.mapInArrow(lean(rows), f"id {kind}, lang string, label int, word binary, head binary").toArrow().sort_by([("id", "ascending")])
+    try:
+        return _fitted(texts.mapInArrow(lean(rows), f"id {kind}, lang string, label int, word binary, head binary"))
+    finally:
+        trim()  # what training has used would else stand in the driver beside the needs of all later steps
+
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """The 32-bit numbers of all rows of a column of bytes, one row after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32)
+
+
+def _fitted(rows: DataFrame) -> Model | None:
+    """Train on rows (id, lang, label, word, head). The driver holds their features twice at most, and works out
+    the responses to some texts at a time only."""
+    sample = rows.toArrow().sort_by([("id", "ascending")])
     label_ = np.array(sample["label"].to_pylist(), np.int64)
     if len(np.unique(label_)) < 2:
         return None
-    size = np.array([len(x) // 4 for x in sample["word"].to_pylist()])
-    pick = np.random.default_rng(7).permutation(len(size))
-    words, heads_ = sample["word"].to_pylist(), sample["head"].to_pylist()
     lang = np.array([x or "" for x in sample["lang"].to_pylist()])
+    size = pc.binary_length(sample["word"]).to_numpy() // 4
+    words, heads_, at = _flat(sample["word"]), _flat(sample["head"]), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    del sample
+    pick = np.random.default_rng(7).permutation(len(size))
 
     def block(chosen):
-        w, h = (np.frombuffer(b"".join([t[i] for i in chosen]), np.int32) for t in (words, heads_))
+        w, h = (np.concatenate([t[at[i] : at[i + 1]] for i in chosen]) for t in (words, heads_))
         return w, h, np.concatenate([[0], np.cumsum(size[chosen])]), label_[chosen]
 
     test, rest = pick[: len(pick) // 5], pick[len(pick) // 5 :]
     model = train(*block(rest))
     held = test if len(np.unique(label_[test])) > 1 and len(test) >= 100 else pick
-    w, h, heads, y = block(held)
-    z = model.pooled(np.append(w, [0] * PAD).astype(np.int64), np.append(h, [0] * PAD).astype(np.int64), heads) @ model.out[:-1] + model.out[-1]
+    *features_, y = block(held)
+    z = model.logits_of(*features_)
     model.shift = best_cut(z, y)
     model.scale = float(2 / max(1e-3, np.std(z)))
     score = sigmoid(model.scale * (z - model.shift) + np.log(DECISION / (1 - DECISION)))

@@ -597,3 +597,15 @@ def test_pipeline_run_equals_brute_force(spark, tmp_path):
     table.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert P.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_training_works_out_some_texts_at_a_time(spark, monkeypatch):
+    seen, freed, pooled = [], [], X.Model.pooled
+    monkeypatch.setattr(X.Model, "pooled", lambda self, word, *a: seen.append(len(word)) or pooled(self, word, *a))
+    monkeypatch.setattr(X, "trim", lambda: freed.append(1), raising=False)
+    rows = [(i, ("bad " if i % 2 else "good ") * 10_000, "en", i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = X.fit(docs, docs)
+    assert seen and max(seen) <= 160_000  # of 400,000 words
+    assert freed
+    assert (model.scores(["bad bad", "good good"]) >= X.DECISION).tolist() == [True, False]
