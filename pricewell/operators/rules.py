@@ -45,13 +45,15 @@ def _holds(value: Column, op: Column, bound: Column) -> Column:
 
 def decided(rows: DataFrame, rules: DataFrame, measures: dict[str, Column] | list[str], name: str, set_col: str | Column = "rule_set") -> DataFrame:
     """rows with a column `name`: the outcome of the first rule that holds of the set that set_col names; null if none
-    does, or there is no such set. A measure that is null, or not among `measures`, meets no condition."""
+    does, or there is no such set. A measure that is null, or not among `measures`, meets no condition.
+
+    The rules, which people write, go to every task: rows joined by the name of their set would meet in one task a set."""
     if not isinstance(measures, dict):
         measures = {m: F.col(m) for m in measures}
     listed = rules.groupBy(F.col("rule_set").alias("_set")).agg(F.sort_array(F.collect_list(F.struct("ord", "outcome", "conditions"))).alias("_rules"))  # a set is one row of tens of rules
     key = F.col(set_col) if isinstance(set_col, str) else set_col
     values = F.create_map(*[x for k, v in measures.items() for x in (F.lit(k), v.cast("double"))])
-    out = rows.withColumn("_values", values).join(listed, key == F.col("_set"), "left")
+    out = rows.withColumn("_values", values).join(F.broadcast(listed), key == F.col("_set"), "left")
     first = F.get(F.filter("_rules", lambda r: F.forall(r["conditions"], lambda c: _holds(F.try_element_at("_values", c["measure"]), c["op"], c["bound"]))), 0)
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], first["outcome"].alias(name))
 

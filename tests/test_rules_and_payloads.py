@@ -60,3 +60,16 @@ def test_generated_methods_stay_small_enough_to_be_compiled(spark, sf_dir, name)
         assert code.size() and max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_rows_of_one_rule_set_stay_where_they_are(spark):
+    rows = spark.range(0, 4000, numPartitions=8).select("id", F.when(F.col("id") >= 0, "a").otherwise("b").alias("rule_set"), (F.col("id") % 3).cast("double").alias("x"))
+    table = rules.rule_table(spark, a=[("low", [("x", "<", 1.0)]), ("high", [])])
+    # as an input too large for Spark to broadcast by itself
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = rules.decided(rows, table, ["x"], "out").groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.count_if(F.col("out") == "low").alias("low")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 8 and sum(r.n for r in got) == 4000 and sum(r.low for r in got) == 1334
