@@ -87,15 +87,19 @@ _QUOTES = """
 FX4 = f"quotes AS (SELECT {', '.join(QUOTE_KEYS)}, {_QUOTES} FROM lineitem)"
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One supplier quote for each line item."""
+def quotes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """One supplier quote for each line item. dealt: the line items are dealt to all tasks, for queries that work long
+    on each; a file of one row group would else be the work of one task."""
     parts = [c.strip() for c in _QUOTES.replace("\n", " ").split(", ")]
     columns, held = [], ""
     for p in parts:  # commas within calls don't end an expression
         held = f"{held}, {p}" if held else p
         if held.count("(") == held.count(")"):
             columns, held = [*columns, held], ""
-    return table(spark, sf_dir, "lineitem").selectExpr(*QUOTE_KEYS, *columns)
+    items = table(spark, sf_dir, "lineitem")
+    if dealt:  # by number: partitions small in bytes would else be put together again
+        items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey", "l_linenumber")
+    return items.selectExpr(*QUOTE_KEYS, *columns)
 
 
 def broken_quotes(q: DataFrame) -> DataFrame:

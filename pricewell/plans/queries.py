@@ -406,7 +406,7 @@ CASES = f"""cases AS (SELECT *, {X.CASE_SQL} FROM reviewed), valid_cases AS (SEL
 
 
 def _cases(spark, d):
-    return X.cases(_reviewed(spark, d)).withColumns({"evidence": shouldcost.verdict_evidence(), "gap_text": shouldcost.gap_text()})
+    return X.cases(shouldcost.reviewed(X.quotes(spark, d, dealt=True))).withColumns({"evidence": shouldcost.verdict_evidence(), "gap_text": shouldcost.gap_text()})
 
 
 @query(X.sql(f"SELECT {KEYS}, md5(concat_ws(chr(10), " + ", ".join(f"'{s}|{f}|' || {v} || '|' || {u}" for s, f, v, u in REPORT_ROWS) + ")) AS report_md5 FROM valid_cases", *REVIEW_PARTS, CASES))

@@ -1,8 +1,10 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pricewell.operators import report, shouldcost as C
 from pricewell.sources import csv_export, landing, snapshots
 
@@ -78,3 +80,10 @@ def test_one_file_a_report(spark, tmp_path):
         cell = want[r.report, r.section, r.field]
         guarded = ("'" + cell.value) if cell.free and cell.value[:1] in "=+-@" and cell.value else cell.value
         assert (r.value or "", r.unit or "") == (guarded, cell.unit), json.dumps(r.asDict())
+
+
+@pytest.mark.parametrize("name", ["report_long", "csv_report_lines"])
+def test_quotes_of_one_file_are_dealt_and_judged_once(spark, sf_dir, name):
+    df = entry.queries()[name](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("THEN result_not_finite") == 1
+    assert df.groupBy(F.spark_partition_id()).count().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
