@@ -37,6 +37,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 
 
+#: What Spark hands to Python, and reads from files, at once. Its own bounds are 10,000 and 4,096 rows, which are tens
+#: of megabytes of texts: in the JVM's heap, in its own memory and in Python, for each task of an executor.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep BATCHES in this session, but for what its user has set. Plans take them when they run, so they stay."""
+    have = spark.conf.getAll
+    for k, v in BATCHES.items():
+        if k not in have:
+            spark.conf.set(k, v)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back: it survives a lost executor, and the
     shuffle files behind it are no longer needed.
@@ -45,6 +58,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     and in a loop of joins those grow until planning takes longer than the work.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = {k: conf.get(k, None) for k in CLEANUP}
@@ -109,4 +123,5 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -97,8 +97,7 @@ class Flushed:
 
     def _first_owners(self, a, b, owner):
         b = low(b, self.width)
-        order = np.lexsort((owner, b, a))
-        a, b, owner = a[order], b[order], owner[order]
+        a, b, owner = _sorted([a, b, owner])
         starts = _starts(a, b)
         least = np.repeat(owner[starts], np.diff(np.append(starts, len(a))))
         later = owner > least
@@ -232,6 +231,14 @@ def _joined(arrays: list[np.ndarray]) -> np.ndarray | None:
     return out
 
 
+def _sorted(names: list[np.ndarray | None]) -> tuple:
+    """Sorted (a, b, owner) of names, which gives them up one by one: few copies stand beside each other."""
+    order = np.lexsort([x for x in (names[2], names[1], names[0]) if x is not None])
+    for k in range(3):
+        names[k] = None if names[k] is None else names[k][order]
+    return tuple(names)
+
+
 def _passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     own = batch.filter(pc.equal(batch.column(1), REPLY))
     if own.num_rows:
@@ -263,7 +270,8 @@ def _collected(batches: Iterator[pa.RecordBatch], shrink):
         if n >= most:
             take_in()
             for kind in held:
-                rows, held[kind] = shrink(*held[kind])
+                names, held[kind] = list(held[kind]), None
+                rows, held[kind] = shrink(names)
                 yield from rows
             n = sum(len(x[0]) for x in held.values())
             most = max(HELD, 2 * n)
@@ -271,10 +279,10 @@ def _collected(batches: Iterator[pa.RecordBatch], shrink):
     return held
 
 
-def _later(a, b, owner) -> tuple[tuple, np.ndarray]:
-    """Sorted (a, b, owner), and which rows have an owner before them."""
-    order = np.lexsort((owner, b, a))
-    a, b, owner = a[order], b[order], owner[order]
+def _later(names: list[np.ndarray]) -> tuple[tuple, np.ndarray]:
+    """Sorted (a, b, owner) of names, which is emptied, and which rows have an owner before them."""
+    a, b, owner = _sorted(names)
+    names.clear()
     full = _starts(a, b)
     return (a, b, owner), owner > np.repeat(owner[full], np.diff(np.append(full, len(a))))
 
@@ -285,8 +293,8 @@ def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int, with
     owner, or one b, are settled with that; so are those of an a whose first owners are all one, since all others
     of its names are taken."""
 
-    def shrink(a, b, owner):
-        (a, b, owner), later = _later(a, b, owner)
+    def shrink(names):
+        (a, b, owner), later = _later(names)
         told = replies(owner[later], both_names(a[later], b[later], width), np.zeros(int(later.sum()), bool), buckets)
         first = np.zeros(len(a), bool)
         first[_starts(a, b)] = True
@@ -294,7 +302,7 @@ def rank_first(batches: Iterator[pa.RecordBatch], width: int, buckets: int, with
 
     held = yield from _collected(batches, shrink)
     for kind in sorted(held):
-        (a, b, owner), later = _later(*held.pop(kind))
+        (a, b, owner), later = _later(list(held.pop(kind)))
         heads = _starts(a)
         size = np.diff(np.append(heads, len(a)))
         two = lambda x: np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
@@ -311,26 +319,28 @@ def rank_taken(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> I
 def count_owners(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """open: the names that at least two owners have, with the number of owners, HOT standing for that and more."""
 
-    def counted(a, owner):
-        order = np.lexsort((owner, a))
-        a, owner = a[order], owner[order]
+    def counted(names):
+        a, _, owner = _sorted(names)
+        names.clear()
         first = _starts(a, owner)
-        a, owner = a[first], owner[first]
+        a = a[first]
+        owner = owner[first]
+        del first
         heads = _starts(a)
         size = np.diff(np.append(heads, len(a)))
         return a, owner, heads, np.repeat(np.where(owner[heads] == NOBODY, HOT, np.minimum(size, HOT)), size).astype(np.uint16)
 
     told = lambda a, owner, count: replies(owner, counted_names(a, count), np.ones(len(a), bool), buckets)
 
-    def shrink(a, _, owner):
-        a, owner, heads, count = counted(a, owner)
+    def shrink(names):
+        a, owner, heads, count = counted(names)
         hot = count == HOT
         marks = a[heads[hot[heads]]]
         return told(a[hot], owner[hot], count[hot]), (np.concatenate([a[~hot], marks]), None, np.concatenate([owner[~hot], np.full(len(marks), NOBODY)]))
 
     held = yield from _collected(batches, shrink)
     if NAMES in held:
-        a, owner, _, count = counted(*held.pop(NAMES)[::2])
+        a, owner, _, count = counted(list(held.pop(NAMES)))
         keep = count > 1
         yield from told(a[keep], owner[keep], count[keep])
 

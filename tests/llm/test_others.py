@@ -10,10 +10,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pricewell.llm import pii, quality_rules as Q, queries, topk_search as K, toxicity as X, url_filters as U
+from pricewell.llm.common import load
 from pricewell.llm.word_hash import hashes
 
 
@@ -609,3 +611,22 @@ def test_training_works_out_some_texts_at_a_time(spark, monkeypatch):
     assert seen and max(seen) <= 160_000  # of 400,000 words
     assert freed
     assert (model.scores(["bad bad", "good good"]) >= X.DECISION).tolist() == [True, False]
+
+
+def test_batches_of_texts_stay_small(spark, tmp_path):
+    spark.range(2000).select("id", F.repeat(F.lit("x"), 4000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    got = [r.n for r in load(spark, str(tmp_path), "documents").mapInArrow(sizes, "n long").collect()]
+    assert max(got) < 3_000_000 and sum(got) > 8_000_000
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "5m")
+        load(spark, str(tmp_path), "documents")
+        assert spark.conf.get(key) == "5m"  # what the user has set stays
+    finally:
+        spark.conf.set(key, before)
