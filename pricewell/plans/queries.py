@@ -835,7 +835,7 @@ def link_discovery(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def file_admission(spark: SparkSession, d: str) -> DataFrame:
     """The files of all given tables as landed files."""
-    return documents.admitted(documents.landed_files(spark, d, "*.parquet"), magic=b"PAR1").select("length", "sha256", "problem")
+    return documents.admitted_at(spark, d, "*.parquet", magic=b"PAR1").select("length", "sha256", "problem")
 
 
 # status, versions, profiles

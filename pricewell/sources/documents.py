@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
+import struct
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,68 @@ def admitted(files: DataFrame, least: int = MIN_BYTES, most: int = MAX_BYTES, ma
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"), problem.alias("problem"))
 
 
+#: Files that Spark's text source would unpack, and so are read whole.
+PACKED = (".gz", ".bz2", ".deflate", ".snappy", ".lz4", ".zst", ".zstd")
+
+
+def admitted_at(spark: SparkSession, path: str, pattern: str = "*", least: int = MIN_BYTES, most: int = MAX_BYTES, magic: bytes = MAGIC) -> DataFrame:
+    """admitted() of the files there. The SHA-256 of those that are too large is worked out here, in parts (`chained`)."""
+    files = landed_files(spark, path, pattern)
+    large = files.where(F.col("length") > most).select("path", "length").collect()  # a row for each refused file
+    done = [(r.path, r.length, x, "too large") for r in large if not r.path.endswith(PACKED) and (x := chained(spark, r.path, r.length))]
+    rest = [r.path for r in large if r.path not in {x[0] for x in done}]
+    out = admitted(files.where((F.col("length") <= most) | F.col("path").isin(rest)), least, most, magic)
+    return out.unionByName(spark.createDataFrame(done, out.schema)) if done else out
+
+
+def chained(spark: SparkSession, path: str, length: int) -> str | None:
+    """The SHA-256 of a file of which each task reads one split: the hash's state, about a hundred bytes, goes from
+    the task of one split to that of the next. None if the lines read don't make up the file's length, as where the
+    text source skips a byte order mark, or OpenSSL can't be reached."""
+    if not hasattr(ctypes.CDLL(_hashlib.__file__), "SHA256_Init"):  # an OpenSSL without it: read whole
+        return None
+    parts = _updated(spark, path, None).getNumPartitions()
+    state = None
+    for k in range(parts):
+        state = spark.sparkContext.runJob(_updated(spark, path, state), list, [k])[0].state
+    if state is None:
+        return None
+    context, n = _unpacked(bytes(state))
+    crypto = ctypes.CDLL(_hashlib.__file__)
+    if n == length - 1:
+        crypto.SHA256_Update(context, b"\n", ctypes.c_size_t(1))
+        n += 1
+    digest = ctypes.create_string_buffer(32)
+    crypto.SHA256_Final(digest, context)
+    return digest.raw.hex() if n == length else None
+
+
+def _unpacked(state: bytes | None) -> tuple:
+    """OpenSSL's SHA256_CTX, and how many bytes it has taken; -1 before the first line."""
+    if state is None:
+        context = ctypes.create_string_buffer(256)
+        ctypes.CDLL(_hashlib.__file__).SHA256_Init(context)
+        return context, -1
+    return ctypes.create_string_buffer(state[8:], 256), struct.unpack("<q", state[:8])[0]
+
+
+def _updated(spark: SparkSession, path: str, state: bytes | None):
+    """Each split of the file: the state after its lines."""
+
+    def run(batches):
+        crypto = ctypes.CDLL(_hashlib.__file__)
+        context, n = _unpacked(None if state is None else bytes(state))
+        for b in batches:
+            if b.num_rows:
+                data = (b"\n" if n >= 0 else b"") + b"\n".join(b.column(0).to_pylist())
+                crypto.SHA256_Update(context, data, ctypes.c_size_t(len(data)))
+                n = max(n, 0) + len(data)
+        yield pa.record_batch([pa.array([struct.pack("<q", n) + context.raw], pa.binary())], names=["state"])
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
+    return lines.mapInArrow(run, "state binary").rdd
+
+
 def secure_host(url: Column) -> Column:
     """The lower-cased host of an https URL; null for any other."""
     return F.when(F.try_parse_url(url, F.lit("PROTOCOL")) == "https", F.lower(F.try_parse_url(url, F.lit("HOST"))))

@@ -1,6 +1,8 @@
 """Should-cost review, reports, files, status and the incremental refresh."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +100,23 @@ def test_file_admission(spark, tmp_path):
     assert got == {"good.bin": None, "small.bin": "too small", "odd.bin": "not the expected format"}
 
 
+def test_large_files_are_hashed_split_by_split(spark, tmp_path):
+    body = random.Random(1).randbytes(300_000)
+    bodies = {"a.bin": body, "b.bin": body + b"\n", "c.bin": b"\n\n" + body + b"\n\n", "d.bin": b"\xef\xbb\xbf" + body, "e.gz": body, "small.bin": b"PK\n", "lines.bin": b"\r\n" * 100_000, "one.bin": b"x" * 200_000}
+    for name, x in bodies.items():
+        (tmp_path / name).write_bytes(x)
+    key = "spark.sql.files.maxPartitionBytes"
+    try:
+        spark.conf.set(key, "64k")
+        files = documents.admitted_at(spark, str(tmp_path), least=10, most=100_000)
+        assert len(documents._updated(spark, str(tmp_path / "a.bin"), None).collect()) >= 5
+        got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256, r.problem) for r in files.collect()}
+        assert documents.chained(spark, str(tmp_path / "a.bin"), len(body)) == hashlib.sha256(body).hexdigest()
+    finally:
+        spark.conf.unset(key)
+    assert got == {k: (len(x), hashlib.sha256(x).hexdigest(), "too small" if k == "small.bin" else "too large") for k, x in bodies.items()}
+
+
 def test_links(spark):
     html = '<a class="x" href="CMO.xlsx">1</a><!-- <a href="no">--><script><a href="no"></script><A HREF="//h.org/a/cmo.XLSX?x=1">2</A><a href="/up">3</a>'
     pages = spark.createDataFrame([(1, "https://h.org/d/i.html", html), (2, "https://h.org", None)], "page_id int, url string, html string")
