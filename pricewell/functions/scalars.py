@@ -24,6 +24,15 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def apart(x: Column) -> Column:
+    """x, which takes the projection that it stands in out of the code of the whole stage.
+
+    Such a projection is generated by itself, and then Spark cuts it into methods that are small enough to be compiled;
+    what stands in no lambda there is not evaluated node by node. x may not be a constant.
+    """
+    return let(x, lambda same: same)
+
+
 def normalize_text(x: Column) -> Column:
     """Null to '', each run of white space to one space, no space at the ends."""
     return F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "), "^ | $", "")
@@ -43,6 +52,13 @@ def trimmed(x: Column) -> Column:
     return F.btrim(F.coalesce(x, F.lit("")), F.lit(WHITE_SPACE))
 
 
+def trimmed_at_need(x: Column) -> Column:
+    """trimmed(); a look at the ends of the text is quicker than btrim, where x itself is no long expression."""
+    text = F.coalesce(x, F.lit(""))
+    visible = lambda char: F.ascii(char).between(33, 126)
+    return F.when(visible(text) & visible(F.substring(text, -1, 1)), text).otherwise(trimmed(text))
+
+
 def fixed(x: Column, places: int) -> Column:
     """A finite number with so many places, rounded half up on its decimal digits; other values are null."""
     return F.when(finite(x), x).try_cast(f"decimal(38,{places})").cast("string")
@@ -52,10 +68,16 @@ def signed(x: Column, places: int) -> Column:
     return F.replace(F.concat(F.lit("+"), fixed(x, places)), F.lit("+-"), F.lit("-"))
 
 
-def plain_number(x: Column, places: int = 6) -> Column:
-    """The shortest text of a number rounded to so many places: `35`, not `35.000000`; '' if it is not finite."""
+def short_number(x: Column, places: int = 6) -> Column:
+    """The shortest text of a number rounded to so many places: `35`, not `35.000000`; null if it is not finite or too large."""
+    whole = F.floor(x)
     short = F.rtrim(F.rtrim(fixed(x, places), F.lit("0")), F.lit("."))  # places > 0, so there is a point
-    return F.coalesce(short, F.when(finite(x), x.cast("string")), F.lit(""))
+    return F.when((F.abs(x) < 1e15) & (whole == x), whole.cast("string")).otherwise(short)
+
+
+def plain_number(x: Column, places: int = 6) -> Column:
+    """short_number(), for one too large as Spark writes it; '' if it is not finite."""
+    return F.coalesce(short_number(x, places), F.when(finite(x), x.cast("string")), F.lit(""))
 
 
 def strict_number(text: Column) -> Column:
@@ -129,6 +151,11 @@ def csv_number(x: Column, places: int = 4) -> Column:
     return F.coalesce(fixed(x, places), F.lit(""))
 
 
+def csv_plain_number(x: Column, places: int = 6) -> Column:
+    """plain_number() as a cell: bare, or quoted where it is empty or has an exponent."""
+    return F.coalesce(short_number(x, places), csv_text(F.when(finite(x), x.cast("string")), guard=False))
+
+
 def signed_percent(x: Column, places: int = 2) -> Column:
     """`▲ +1.20%`, `▼ -1.20%` or `— 0.00%`; the sign is that of the rounded value."""
     text = fixed(x, places)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import plain_number, signed, trimmed
+from ..functions.scalars import apart, plain_number, signed, trimmed, trimmed_at_need
 from .shouldcost import COMPONENTS, valid_target
 
 LABELS = {"mat": "material", "fx": "currency", "proc": "processing", "energy": "energy", "other": "other"}
@@ -36,12 +39,10 @@ def snapshots(reviews: DataFrame, *keys: str) -> DataFrame:
     prices, verdict with tone, gap_text and evidence, and market_context.
     """
     have = set(reviews.columns)
-    # one expression for all texts: as many copies of it would be too much code for the JVM to compile
-    given = [c for c in ("generated_at", *HEADER_FIELDS, "market_context") if c in have]
-    reviews = reviews.withColumn("_texts", F.transform(F.array(*[F.col(c).cast("string") for c in given]).cast("array<string>"), trimmed))
-    text = lambda c: F.get("_texts", given.index(c)) if c in have else F.lit("")
+    text = lambda c: trimmed_at_need(F.col(c).cast("string")) if c in have else F.lit("")
     target = F.col("target_rate").cast("double") if "target_rate" in have else F.lit(None).cast("double")
-    reason = F.coalesce("invalid_reason", F.when(~valid_target(target), "target_rate"))
+    # apart, twice as a reader may leave out either: so many texts in the code of a whole stage would be too much for the JVM to compile
+    reason = F.coalesce(apart(F.col("invalid_reason")), F.when(~valid_target(target), "target_rate"))
     number = lambda c: F.col(c).cast("double").alias(c)
     context = F.coalesce(F.nullif(text("market_context"), F.lit("")), F.lit(NO_CONTEXT))
     return reviews.select(
@@ -52,7 +53,7 @@ def snapshots(reviews: DataFrame, *keys: str) -> DataFrame:
         target.alias("target_rate"),
         *[number(c) for c in ("price", "supplier_ask", "estimate", "gap", "unexplained", "new_price", "requested_price")],
         *[number(f"{c}_{x}") for c in COMPONENTS for x in ("ratio", "rate", "impact")],
-        "verdict",
+        apart(F.col("verdict")).alias("verdict"),
         "tone",
         *[(F.col(c) if c in have else F.lit(None).cast(kind)).alias(c) for c, kind in (("gap_text", "string"), ("evidence", "array<string>"))],
         context.alias("market_context"),
@@ -65,49 +66,69 @@ def shown(snapshots_: DataFrame) -> DataFrame:
     return snapshots_.withColumns({f: or_default(F.col(f), DEFAULTS.get(f, EMPTY)) for f in HEADER_FIELDS} | {"target_rate": target})
 
 
-NUMBERS = ("price", "supplier_ask", "estimate", "gap", "unexplained", "new_price", "requested_price", *[f"{c}_{x}" for c in COMPONENTS for x in ("ratio", "rate", "impact")], "target_rate")
+class Row(NamedTuple):
+    """A row of a report. What all reports share is str; columns are over snapshots(), a text is never null. number: the
+    value's column where it is a number."""
 
+    section: str
+    field: str
+    text: str | Column = ""
+    unit: str | Column = ""
+    number: str | None = None
 
-def report_cells(snapshots_: DataFrame, *keys: str, places: int = 6) -> DataFrame:
-    """(keys, cells) of valid snapshots: `cells` are the 42 rows (section, field, value, unit, free) of the report,
-    17 head rows with the header, three for each cost component, ten at the tail. Empty fields stay empty but
-    for the price unit; so does a missing target."""
-    texts = F.transform(F.array(*[F.col(c) for c in NUMBERS]), lambda x: plain_number(x, places))
-    return snapshots_.where("reason IS NULL").withColumn("_numbers", texts).select(*keys, _cells().alias("cells"))
+    @property
+    def free(self) -> bool:
+        return self.field in FREE_TEXT
+
+    def value(self, places: int) -> str | Column:
+        return plain_number(F.col(self.number), places) if self.number else self.text
 
 
-def _cells() -> Column:
-    text, number = lambda c: F.coalesce(F.col(c), F.lit("")), lambda c: F.get("_numbers", NUMBERS.index(c))
+def report_rows() -> list[Row]:
+    """The 42 rows of a report: 17 head rows with the header, three for each cost component, ten at the tail. Empty
+    fields stay empty but for the price unit; so does a missing target."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    number = lambda section, field, c, u: Row(section, field, unit=u, number=c)
     unit = or_default(F.col("price_unit"), DEFAULTS["price_unit"])
-    rows: list[tuple] = [("section", "field", F.lit("value"), F.lit("unit"))]
-    add = lambda section, field, value, u="": rows.append((section, field, value, F.lit(u) if isinstance(u, str) else u))
-    add("document", "name", F.lit("supplier price review"))
-    add("document", "generated_at", text("generated_at"))
-    for f in CASE_FIELDS:
-        add("case", f, text(f))
-    add("market", "context", text("market_context"), "primary source; second source is a cross-check")
+    rows = [Row("section", "field", "value", "unit"), Row("document", "name", "supplier price review"), Row("document", "generated_at", text("generated_at"))]
+    rows += [Row("case", f, text(f)) for f in CASE_FIELDS]
+    rows.append(Row("market", "context", text("market_context"), "primary source; second source is a cross-check"))
     for c, u in (("price", unit), ("supplier_ask", "%"), ("estimate", "%"), ("gap", "points"), ("unexplained", unit), ("new_price", unit), ("requested_price", unit)):
-        add("result", c, number(c), u)
+        rows.append(number("result", c, c, u))
     for c in COMPONENTS:
-        add("cost", f"{LABELS[c]} ratio", number(f"{c}_ratio"), "%")
-        add("cost", f"{LABELS[c]} rate", number(f"{c}_rate"), "%")
-        add("cost", f"{LABELS[c]} impact", number(f"{c}_impact"), "points")
-    add("verdict", "code", text("verdict"), "decision support")
-    add("verdict", "tone", text("tone"))
-    add("verdict", "gap_text", text("gap_text"))
-    add("verdict", "evidence", F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), "; "))
-    for section, f in (("supplier", "supplier_reason"), ("supplier", "evidence_received"), ("purchase", "conclusion")):
-        add(section, f, text(f))
-    add("purchase", "target_rate", number("target_rate"), "%")
-    add("purchase", "note", text("note"))
-    add("policy", "automatic decision", F.lit("no"), "a material's rise is not the product's")
-    # what is the same for all quotes stands in arrays of constants beside the values, and one lambda makes the rows
-    listed = lambda k, kind: F.array(*[F.lit(r[k]) for r in rows]).cast(f"array<{kind}>")
-    sections, fields, free = listed(0, "string"), listed(1, "string"), F.array(*[F.lit(r[1] in FREE_TEXT) for r in rows])
-    units = F.array(*[r[3] for r in rows])
-    values = F.array(*[r[2] for r in rows])
-    row = lambda v, i: F.struct(F.get(sections, i).alias("section"), F.get(fields, i).alias("field"), v["value"].alias("value"), v["unit"].alias("unit"), F.get(free, i).alias("free"))
-    return F.transform(F.arrays_zip(values.alias("value"), units.alias("unit")), row)
+        rows += [number("cost", f"{LABELS[c]} {x}", f"{c}_{x}", u) for x, u in (("ratio", "%"), ("rate", "%"), ("impact", "points"))]
+    # apart: so many rows in the code of a whole stage would be too much for the JVM to compile
+    rows.append(Row("verdict", "code", F.coalesce(apart(F.col("verdict")), F.lit("")), "decision support"))
+    rows += [Row("verdict", c, text(c)) for c in ("tone", "gap_text")]
+    rows.append(Row("verdict", "evidence", F.array_join(F.coalesce("evidence", F.array().cast("array<string>")), "; ")))
+    rows += [Row(section, f, text(f)) for section, f in (("supplier", "supplier_reason"), ("supplier", "evidence_received"), ("purchase", "conclusion"))]
+    rows += [number("purchase", "target_rate", "target_rate", "%"), Row("purchase", "note", text("note"))]
+    return [*rows, Row("policy", "automatic decision", "no", "a material's rise is not the product's")]
+
+
+def concatenated(parts: list[str | Column]) -> Column:
+    """The parts as one text; neighbours that are str become one constant."""
+    out: list[str | Column] = []
+    for p in parts:
+        if out and isinstance(p, str) and isinstance(out[-1], str):
+            out[-1] += p
+        else:
+            out.append(p)
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in out])
+
+
+def report_text(snapshots_: DataFrame, *keys: str, line: Callable[[Row], list[str | Column]], sep: str) -> DataFrame:
+    """(keys, text) of valid snapshots: the lines of report_rows() as one text, each put together from the parts that
+    `line` gives for its row. No row of a report is ever made by itself."""
+    parts = [p for i, row in enumerate(report_rows()) for p in ([sep] if i else []) + line(row)]
+    return snapshots_.where("reason IS NULL").select(*keys, concatenated(parts).alias("text"))
+
+
+def report_cells(snapshots_: DataFrame, *keys: str, places: int = 6) -> DataFrame:
+    """(keys, cells) of valid snapshots: `cells` are report_rows() as (section, field, value, unit, free)."""
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    cell = lambda r: F.struct(F.lit(r.section).alias("section"), F.lit(r.field).alias("field"), lit(r.value(places)).alias("value"), lit(r.unit).alias("unit"), F.lit(r.free).alias("free"))
+    return snapshots_.where("reason IS NULL").select(*keys, F.array(*map(cell, report_rows())).alias("cells"))
 
 
 def report_long(reviews: DataFrame, *keys: str, places: int = 6) -> DataFrame:

@@ -412,9 +412,9 @@ def _cases(spark, d):
 @query(X.sql(f"SELECT {KEYS}, md5(concat_ws(chr(10), " + ", ".join(f"'{s}|{f}|' || {v} || '|' || {u}" for s, f, v, u in REPORT_ROWS) + ")) AS report_md5 FROM valid_cases", *REVIEW_PARTS, CASES))
 def report_long(spark: SparkSession, d: str) -> DataFrame:
     """All 42 report rows of each valid quote, as a digest of their cells."""
-    rows = report.report_cells(report.snapshots(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
-    lines = F.transform("cells", lambda r: F.concat_ws("|", r["section"], r["field"], r["value"], r["unit"]))
-    return rows.select(*X.QUOTE_KEYS, F.md5(F.array_join(lines, "\n").cast("binary")).alias("report_md5"))
+    snapshots = report.snapshots(_cases(spark, d), *X.QUOTE_KEYS)
+    rows = report.report_text(snapshots, *X.QUOTE_KEYS, line=lambda r: [f"{r.section}|{r.field}|", r.value(places=6), "|", r.unit], sep="\n")
+    return rows.select(*X.QUOTE_KEYS, F.md5(F.col("text").cast("binary")).alias("report_md5"))
 
 
 @query(X.sql(f"SELECT {KEYS}, CASE WHEN verdict = 'INVALID' THEN invalid_reason WHEN target_rate < -100 THEN 'target_rate' END AS reason, coalesce(nullif(supplier, ''), 'not given') AS supplier, coalesce(nullif(product, ''), 'not given') AS product, 'not given' AS evidence_received, 'waiting for the supplier''s documents' AS conclusion, {UNIT} AS price_unit, CASE WHEN target_rate IS NULL THEN 'not given' ELSE {_signed('target_rate', 2)} || '%' END AS target_rate, 'not linked to a signal' AS market_context FROM cases", *REVIEW_PARTS, CASES))
@@ -450,8 +450,8 @@ def _csv_cell(section: str, field: str, value: str) -> str:
 @query(X.sql(f"SELECT {KEYS}, md5(concat_ws(chr(13) || chr(10), " + ", ".join(f"'\"{s}\",\"{f}\",' || {_csv_cell(s, f, v)} || ',\"' || {u} || '\"'" for s, f, v, u in REPORT_ROWS) + ")) AS file_md5 FROM valid_cases", *REVIEW_PARTS, CASES))
 def csv_report_lines(spark: SparkSession, d: str) -> DataFrame:
     """The CSV file of each valid quote's report, as a digest."""
-    rows = report.report_cells(report.snapshots(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
-    return rows.select(*X.QUOTE_KEYS, F.md5(csv_export.report_text(F.col("cells")).cast("binary")).alias("file_md5"))
+    rows = csv_export.report_files(report.snapshots(_cases(spark, d), *X.QUOTE_KEYS), *X.QUOTE_KEYS)
+    return rows.select(*X.QUOTE_KEYS, F.md5(F.col("text").cast("binary")).alias("file_md5"))
 
 
 @query(X.sql("SELECT material_id, period, value FROM obs_primary", X.FX1))

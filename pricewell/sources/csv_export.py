@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import csv_number, csv_text, filename_part
+from ..functions.scalars import csv_number, csv_plain_number, csv_text, filename_part
+from ..operators import report
 
 PRICE_HEADER = ("material", "name", "period", "value", "mode", "currency", "unit", "source_unit", "source", "demo_data", "frequency", "dataset_latest", "synced_at")
 COMPARE_HEADER = ("material", "name", "period", "primary_value", "comparison_value", "diff", "diff_pct", "primary_unit", "comparison_unit", "comparison_series", "primary_source", "comparison_source", "automatic_fallback")
 REPORT_HEADER = ("section", "field", "value", "unit")
+BARE = r"^-?[0-9]+(\.[0-9]+)?$"
 MARK = "﻿"
 
 
@@ -50,7 +52,7 @@ def compare_lines(rows: DataFrame, materials: DataFrame, comparison_series: str
 def report_line(section: Column, field: Column, value: Column, unit: Column, free: Column) -> Column:
     """The line of a report row: numbers bare, text quoted, what people typed guarded."""
     quoted = F.when(free, csv_text(value)).otherwise(csv_text(value, guard=False))
-    cell = F.when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?$") & ~free, value).otherwise(quoted)
+    cell = F.when(value.rlike(BARE) & ~free, value).otherwise(quoted)
     plain = lambda c: csv_text(c, guard=False)
     return F.concat_ws(",", plain(section), plain(field), cell, plain(unit))
 
@@ -68,6 +70,22 @@ def report_text(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda r: report_line(*[r[c] for c in CELL])), "\r\n")
 
 
+def report_files(snapshots: DataFrame, *keys: str, places: int = 6) -> DataFrame:
+    """(keys, text) of valid snapshots: what report_text() makes of their report_cells(), without making the cells."""
+    quoted = lambda s: '"' + s.replace('"', '""') + '"'
+    plain = lambda x: quoted(x) if isinstance(x, str) else csv_text(x, guard=False)
+
+    def cell(row: report.Row) -> str | Column:
+        if row.number:
+            return csv_plain_number(F.col(row.number), places)
+        if row.free:
+            return csv_text(row.text)
+        return quoted(row.text) if isinstance(row.text, str) else F.when(row.text.rlike(BARE), row.text).otherwise(plain(row.text))
+
+    line = lambda r: [f"{quoted(r.section)},{quoted(r.field)},", cell(r), ",", plain(r.unit)]
+    return report.report_text(snapshots, *keys, line=line, sep="\r\n")
+
+
 def write_lines(lines: DataFrame, names, path: str, order: list[str], line_end: str = "\n") -> None:
     """Write one file with its header. An export of a view or report is small; tables go to write.csv."""
     body = lines.select(F.lit(1).alias("_k"), *order, "line")
